@@ -199,3 +199,25 @@ def is_missing(c: str, dtype) -> Column:
 
 def finite_edges(edges: Sequence[float]) -> list[float]:
     return [e for e in edges if not math.isinf(e)]
+
+
+def round_half_away(c: str | Column, digits: int = 6) -> Column:
+    """Round like SQL engines round doubles: half away from zero on ``x * 10^d``.
+
+    ``F.round`` rounds the shortest decimal string of ``x`` half-up, which can
+    differ from this on exact-half cases (1037.0821875 -> ...188 vs ...187).
+    """
+    m = float(10 ** digits)
+    return F.round(col_of(c) * F.lit(m)) / F.lit(m)
+
+
+def round_half_away_value(x: float | None, digits: int = 6) -> float | None:
+    """Python twin of ``round_half_away`` for driver-side constants."""
+    if x is None or math.isnan(x) or math.isinf(x):
+        return x
+    m = float(10 ** digits)
+    y = x * m
+    r = math.trunc(y)
+    if abs(y - r) >= 0.5:
+        r += math.copysign(1.0, y)
+    return r / m

@@ -12,8 +12,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
 from pyspark.sql.types import DoubleType, FloatType, NumericType
 
+from tablesmith.functions.columns import round_half_away, round_half_away_value
+
 from tablesmith.plans import quantiles as Q
 
 
@@ -112,7 +115,7 @@ def missing_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
                         F.col(f"n_missing__{i}").alias("n_missing"),
                         F.col("n_rows").alias("n_rows")) for i, f in enumerate(fields)]
     return (one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
-            .withColumn("share_missing", F.round(F.try_divide(F.col("n_missing"), F.col("n_rows")), 6)))
+            .withColumn("share_missing", round_half_away(F.try_divide(F.col("n_missing"), F.col("n_rows")), 6)))
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -133,7 +136,7 @@ def value_share(df: DataFrame, c: str) -> DataFrame:
     """A10: count and share of each value of ``c`` (null is a value)."""
     total = df.count()
     return (df.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("share", F.round(F.col("n") / F.lit(total), 6)))
+            .withColumn("share", round_half_away(F.col("n") / F.lit(total), 6)))
 
 
 def unpivot_values(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (),
@@ -155,8 +158,8 @@ def rating_distribution(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     # per_col holds one row per listed column: bounded
     return (g.join(F.broadcast(per_col), "column")
             .select("column", "value", "n",
-                    F.round(F.col("n") * 100.0 / F.col("n_col"), 2).alias("pct"),
-                    F.round("col_mean", 6).alias("col_mean")))
+                    round_half_away(F.col("n") * 100.0 / F.col("n_col"), 2).alias("pct"),
+                    round_half_away("col_mean", 6).alias("col_mean")))
 
 
 def column_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -225,7 +228,7 @@ def corr_matrix_pearson(df: DataFrame, cols: Sequence[str], digits: int | None =
     structs = []
     for i, (a, b) in enumerate(pairs):
         r = F.col(f"r__{i}")
-        r = F.round(r, digits) if digits is not None else r
+        r = round_half_away(r, digits) if digits is not None else r
         structs += [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r.alias("r")),
                     F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), r.alias("r"))]
     structs += [F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"), F.lit(1.0).alias("r")) for c in cols]
@@ -246,7 +249,7 @@ def corr_matrix_spearman(df: DataFrame, cols: Sequence[str], digits: int | None
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
             r = float(m[i][j])
-            rows.append((a, b, round(r, digits) if digits is not None else r))
+            rows.append((a, b, round_half_away_value(r, digits) if digits is not None else r))
     return df.sparkSession.createDataFrame(rows, "x string, y string, r double")
 
 
@@ -258,7 +261,7 @@ def corr_matrix_kendall(df: DataFrame, cols: Sequence[str], digits: int | None =
     for i, a in enumerate(cols):
         for b in cols[i + 1:]:
             t = kendall_tau_b(df, a, b)
-            t = round(t, digits) if (digits is not None and t is not None) else t
+            t = round_half_away_value(t, digits) if digits is not None else t
             rows += [(a, b, t), (b, a, t)]
     return df.sparkSession.createDataFrame(rows, "x string, y string, r double")
 
@@ -340,13 +343,13 @@ def profile_report(df: DataFrame, cols: Sequence[str] | None = None, exact: bool
     structs = [F.struct(F.lit(c).alias("column"), F.col(f"count__{i}").alias("count"),
                         (F.col("n_rows") - F.col(f"count__{i}")).alias("n_missing"),
                         F.col(f"distinct__{i}").alias("n_distinct"),
-                        *[F.round(F.col(f"{m}__{i}"), 6).alias(m)
+                        *[round_half_away(F.col(f"{m}__{i}"), 6).alias(m)
                           for m in ("mean", "stddev", "min", "max", "skewness", "kurtosis")])
                for i, c in enumerate(cols)]
     per_col = one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
     qs = Q.quantiles(df, cols, [0.25, 0.5, 0.75], exact=exact)
     qdf = df.sparkSession.createDataFrame(
-        [(c, *[None if v is None else round(float(v), 6) for v in qs[c]]) for c in cols],
+        [(c, *[None if v is None else round_half_away_value(float(v), 6) for v in qs[c]]) for c in cols],
         "column string, p25 double, p50 double, p75 double")
     out = {"columns": per_col.join(F.broadcast(qdf), "column"),
            "pearson": corr_matrix_pearson(df, cols)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablesmith.functions.columns import hash_bucket, sql_hash_bucket
+from tablesmith.functions.columns import hash_bucket, sql_hash_bucket, round_half_away
 from tablesmith.operators import clean, impute, outliers
 from tablesmith.queries import register
 from tablesmith.queries.common import LINEITEM_NUM, T
@@ -34,7 +34,7 @@ def flagship(spark, sf):
     kept = outliers.outlier_percentile(li, LINEITEM_NUM, 0.01, 0.99)
     kept = clean.ratio_features(kept, ratios={"price_per_qty": ("l_extendedprice", "l_quantity")})
     cols = LINEITEM_NUM + ["price_per_qty"]
-    g = kept.groupBy("l_returnflag").agg(*[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in cols],
+    g = kept.groupBy("l_returnflag").agg(*[round_half_away(F.avg(c), 6).alias(f"mean_{c}") for c in cols],
                                          F.count(F.lit(1)).alias("n"))
     return g
 
@@ -121,7 +121,7 @@ SELECT c_custkey, round(coalesce(c_acctbal, (SELECT avg(c_acctbal) FROM {HOLES_S
 FROM {HOLES_SQL} h""")
 def q_impute_mean(spark, sf):
     out = impute.impute_mean(_customer_holes(spark, sf), ["c_acctbal"], suffix="_imputed")
-    return out.select("c_custkey", F.round("c_acctbal_imputed", 6).alias("c_acctbal_imputed"))
+    return out.select("c_custkey", round_half_away("c_acctbal_imputed", 6).alias("c_acctbal_imputed"))
 
 
 @register("impute_median", f"""
@@ -130,7 +130,7 @@ SELECT c_custkey, round(coalesce(c_acctbal, (SELECT quantile_cont(c_acctbal, 0.5
 FROM {HOLES_SQL} h""")
 def q_impute_median(spark, sf):
     out = impute.impute_median(_customer_holes(spark, sf), ["c_acctbal"], exact=True, suffix="_imputed")
-    return out.select("c_custkey", F.round("c_acctbal_imputed", 6).alias("c_acctbal_imputed"))
+    return out.select("c_custkey", round_half_away("c_acctbal_imputed", 6).alias("c_acctbal_imputed"))
 
 
 @register("impute_mode", f"""
