@@ -109,62 +109,70 @@ class Vocabulary:
         return spark.createDataFrame(list(enumerate(self.terms)), "term_index int, term string")
 
 
-def fit_vocabulary(tokens: DataFrame, col: str, vocab_size: int, min_df: int = 1,
-                   id_col: str | None = None) -> Vocabulary:
+def term_frequencies(tokens: DataFrame, id_col: str, col: str) -> DataFrame:
+    """(id, term, tf): one exploded grouping, combined map-side inside each document."""
+    return tokens.select(id_col, F.explode(col).alias("term")).groupBy(id_col, "term") \
+        .agg(F.count(F.lit(1)).alias("tf"))
+
+
+def fit_vocabulary(tf: DataFrame, vocab_size: int, min_df: int = 1) -> Vocabulary:
     """Top terms by corpus count (ties: term ascending) among terms in >= min_df docs.
 
-    Counting is one exploded ``groupBy`` with map-side combine; only the
-    chosen ``vocab_size`` terms reach the driver.
+    Only the chosen ``vocab_size`` terms reach the driver.
     """
-    ex = tokens.select(*( [id_col] if id_col else []), F.explode(col).alias("term"))
+    g = tf.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
     if min_df > 1:
-        if id_col is None:
-            raise ValueError("min_df needs a document id")
-        per_doc = ex.groupBy("term", id_col).agg(F.count(F.lit(1)).alias("tf"))
-        g = per_doc.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df")) \
-            .where(F.col("df") >= min_df)
-    else:
-        g = ex.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        g = g.where(F.col("df") >= min_df)
     top = g.orderBy(F.col("n").desc(), F.col("term").asc()).limit(vocab_size).collect()
     return Vocabulary([r["term"] for r in top])
 
 
-def term_counts(tokens: DataFrame, id_col: str, col: str, vocab: Vocabulary) -> DataFrame:
+def term_counts(tf: DataFrame, id_col: str, vocab: Vocabulary) -> DataFrame:
     """Long counts (id, term_index, term, n) of vocabulary terms per document.
 
     The vocabulary is at most ``vocab_size`` rows: broadcast by construction.
     """
-    spark = tokens.sparkSession
-    v = F.broadcast(vocab.index_frame(spark))
-    ex = tokens.select(id_col, F.explode(col).alias("term"))
-    return ex.join(v, "term").groupBy(id_col, "term_index", "term").agg(F.count(F.lit(1)).alias("n"))
+    v = F.broadcast(vocab.index_frame(tf.sparkSession))
+    return tf.join(v, "term").select(id_col, "term_index", "term", F.col("tf").alias("n"))
+
+
+def _frequencies_once(tokens: DataFrame, id_col: str, col: str, reuse: bool) -> DataFrame:
+    """Term frequencies, checkpointed to the shared folder so that choosing the
+    vocabulary and counting read them instead of tokenising every text twice."""
+    tf = term_frequencies(tokens, id_col, col)
+    if reuse:
+        from tablesmith.session import cut_lineage
+        tf = cut_lineage(tf)
+    return tf
 
 
 def count_vectorize(df: DataFrame, id_col: str, text_col: str, vocab_size: int = 30, min_df: int = 1,
-                    as_vector: bool = False):
+                    as_vector: bool = False, reuse: bool = True):
     """Tokenize, choose the vocabulary, count.  Returns (counts, vocabulary).
 
     ``as_vector=True`` returns Spark's sparse ``CountVectorizerModel`` output
     built on the same (deterministically ordered) vocabulary.
     """
     toks = tokenize(df.select(id_col, text_col), text_col, "words")
-    vocab = fit_vocabulary(toks, "words", vocab_size, min_df, id_col)
     if as_vector:
+        vocab = fit_vocabulary(term_frequencies(toks, id_col, "words"), vocab_size, min_df)
         from pyspark.ml.feature import CountVectorizerModel
         m = CountVectorizerModel.from_vocabulary(vocab.terms, inputCol="words", outputCol="features")
         return m.transform(toks), vocab
-    return term_counts(toks, id_col, "words", vocab), vocab
+    tf = _frequencies_once(toks, id_col, "words", reuse)
+    vocab = fit_vocabulary(tf, vocab_size, min_df)
+    return term_counts(tf, id_col, vocab), vocab
 
 
 def count_vectorize_wide(df: DataFrame, id_col: str, text_col: str, max_features: int = 30, min_df: int = 5,
-                         prefix: str = "cv_") -> DataFrame:
+                         prefix: str = "cv_", reuse: bool = True) -> DataFrame:
     """Word tokens (2+ word chars), English stop words removed, vocabulary of
     terms in >= min_df documents by corpus count, one count column per term."""
-    from pyspark.ml.feature import StopWordsRemover
-    toks = df.select(id_col, TX.word_tokens(text_col).alias("raw"))
-    toks = StopWordsRemover(inputCol="raw", outputCol="words", stopWords=list(TX.ENGLISH_STOP_WORDS)).transform(toks)
-    vocab = fit_vocabulary(toks, "words", max_features, min_df, id_col)
-    counts = term_counts(toks, id_col, "words", vocab)
+    words = df.select(id_col, F.filter(TX.word_tokens(text_col),
+                                       lambda w: ~w.isin(*TX.ENGLISH_STOP_WORDS)).alias("words"))
+    tf = _frequencies_once(words, id_col, "words", reuse)
+    vocab = fit_vocabulary(tf, max_features, min_df)
+    counts = term_counts(tf, id_col, vocab)
     wide = counts.groupBy(id_col).pivot("term", vocab.terms).agg(F.first("n"))
     out = df.select(id_col).join(wide, id_col, "left")
     return out.select(id_col, *[F.coalesce(F.col(f"`{t}`"), F.lit(0)).cast("long").alias(f"{prefix}{t}")

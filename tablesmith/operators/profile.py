@@ -236,9 +236,42 @@ def corr_matrix_pearson(df: DataFrame, cols: Sequence[str], digits: int | None =
 
 
 def corr_matrix_spearman(df: DataFrame, cols: Sequence[str], digits: int | None = 6) -> DataFrame:
-    """Spearman rank correlation (average ranks for ties) via MLlib's
-    distributed ranking; rows with a missing value in any listed column are
-    left out first."""
+    """Spearman rank correlation (average ranks for ties) of every pair.
+
+    Rows missing any listed column are left out.  Each column's distinct
+    values get their average rank from range-partitioned running counts
+    (``plans.ranking``); the rank tables are joined back on the value (AQE
+    broadcasts the small ones) and all Pearson correlations of the ranks come
+    from one aggregate.
+    """
+    from tablesmith.plans.ranking import average_ranks_long
+    cols = list(cols)
+    base = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    if len(cols) > 1:
+        base = base.where(~F.greatest(*[F.isnan(c) for c in cols]))
+    else:
+        base = base.where(~F.isnan(cols[0]))
+    ranks = average_ranks_long(base, cols).persist()   # distinct values x columns, reused by every join
+    try:
+        ranked = base
+        for c in cols:
+            ranked = ranked.join(ranks.where(F.col("column") == c)
+                                 .select(F.col("value").alias(c), F.col("rank").alias(f"_rk_{c}")), c)
+        pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+        row = ranked.agg(*[F.corr(f"_rk_{a}", f"_rk_{b}").alias(f"r{i}") for i, (a, b) in enumerate(pairs)]) \
+            .collect()[0] if pairs else {}
+    finally:
+        ranks.unpersist()
+    rows = [(c, c, 1.0) for c in cols]
+    for i, (a, b) in enumerate(pairs):
+        r = row[f"r{i}"]
+        r = round_half_away_value(r, digits) if (digits is not None and r is not None) else r
+        rows += [(a, b, r), (b, a, r)]
+    return df.sparkSession.createDataFrame(rows, "x string, y string, r double")
+
+
+def corr_matrix_spearman_mllib(df: DataFrame, cols: Sequence[str], digits: int | None = 6) -> DataFrame:
+    """A21 through MLlib's ``Correlation.corr(..., "spearman")`` (RDD sorts)."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
     cols = list(cols)

@@ -42,8 +42,16 @@ def split_stratified(df: DataFrame, stratum: str | Sequence[str], key: Sequence[
 
 
 def split_chronological(df: DataFrame, ts: str, train_share: float = 0.8, out: str = "split") -> DataFrame:
-    """L3: time <= min + share * (max - min) -> train (epoch seconds, UTC)."""
-    secs = F.col(ts).cast("timestamp").cast("double")
+    """L3: time <= min + share * (max - min) -> train (epoch seconds).
+
+    A wall-clock ``timestamp_ntz`` is measured from 1970-01-01 00:00 wall time,
+    so the cut does not depend on the session time zone.
+    """
+    from pyspark.sql.types import TimestampNTZType
+    if isinstance(df.schema[ts].dataType, TimestampNTZType):
+        secs = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)") / F.lit(1e6)
+    else:
+        secs = F.col(ts).cast("timestamp").cast("double")
     mm = df.agg(F.min(secs).alias("lo"), F.max(secs).alias("hi")).collect()[0]
     if mm["lo"] is None:
         return df.withColumn(out, F.lit(None).cast("string"))

@@ -15,8 +15,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablesmith.session import cut_lineage
+
 # fixed tuning value: ranges per group
 RANGES = 64
+CUT_ACCURACY = 1000             # rank error of the range cuts: balance only, never the result
+MAX_LITERAL_GROUPS = 1000       # up to this many groups their cuts travel as literals
 
 
 def _range_of(value: Column, cuts: Sequence[float]) -> Column:
@@ -52,16 +56,31 @@ def cumulative_by_value(df: DataFrame, value: str, weights: Sequence[str], group
     """Per distinct (group, value): the weight sums at that value and strictly below it.
 
     Rows are first combined to distinct values (map-side), so a hot value is
-    one row.  Range cuts come from a sketch over the distinct values; they
-    only balance work and never change the result.
+    one row.  Range cuts come from a sketch over each group's distinct values
+    (one row of cuts per group, joined by the group key); they only balance
+    work and never change the result.
     Output columns: group..., value, w (at value), below_w (< value), total_w.
     """
     g = list(group_cols)
-    distinct = df.groupBy(*g, value).agg(*[F.sum(w).alias(w) for w in weights])
+    # the combined table feeds three branches (cuts, range totals, in-range sums):
+    # written once to the shared checkpoint folder instead of recomputed from the input
+    distinct = cut_lineage(df.groupBy(*g, value).agg(*[F.sum(w).alias(w) for w in weights]))
     qs = [i / ranges for i in range(1, ranges)]
-    cuts_row = distinct.agg(F.percentile_approx(F.col(value).cast("double"), qs, 10000).alias("c")).collect()[0]
-    cuts = sorted(set(cuts_row["c"] or []))
-    tagged = distinct.withColumn("_r", _range_of(F.col(value).cast("double"), cuts))
+    v = F.col(value).cast("double")
+    if g:
+        cuts = distinct.groupBy(*g).agg(F.percentile_approx(v, qs, CUT_ACCURACY).alias("_cuts"))
+        few = cuts.limit(MAX_LITERAL_GROUPS + 1).collect() if len(g) == 1 else []
+        if len(g) == 1 and len(few) <= MAX_LITERAL_GROUPS:
+            # few groups: their cut lists become a literal map (no join)
+            m = F.create_map(*[x for r in few for x in (F.lit(r[g[0]]), F.array(*[F.lit(float(c)) for c in r["_cuts"]]))])
+            tagged = distinct.withColumn("_r", F.size(F.filter(F.element_at(m, F.col(g[0])), lambda t: t < v)))
+        else:
+            tagged = (distinct.join(cuts, g)
+                      .withColumn("_r", F.size(F.filter("_cuts", lambda t: t < F.col(value).cast("double"))))
+                      .drop("_cuts"))
+    else:
+        row = distinct.agg(F.percentile_approx(v, qs, CUT_ACCURACY).alias("c")).collect()[0]
+        tagged = distinct.withColumn("_r", _range_of(v, sorted(set(row["c"] or []))))
     per_range = tagged.groupBy(*g, "_r").agg(*[F.sum(w).alias(f"_rs_{w}") for w in weights])
     w_off = Window.partitionBy(*g).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*g)
@@ -76,3 +95,19 @@ def cumulative_by_value(df: DataFrame, value: str, weights: Sequence[str], group
     return out.select(*g, value, *weights,
                       *[(F.col(f"_off_{w}") + F.col(f"_in_{w}")).alias(f"below_{w}") for w in weights],
                       *[F.col(f"total_{w}") for w in weights])
+
+
+def average_ranks(df: DataFrame, value: str, ranges: int = RANGES) -> DataFrame:
+    """(value, rank): 1-based average rank of each distinct value (ties share the mean rank)."""
+    ones = df.select(value, F.lit(1.0).alias("_one")).where(F.col(value).isNotNull())
+    c = cumulative_by_value(ones, value, ["_one"], ranges=ranges)
+    return c.select(value, (F.col("below__one") + (F.col("_one") + F.lit(1.0)) / F.lit(2.0)).alias("rank"))
+
+
+def average_ranks_long(df: DataFrame, cols: Sequence[str], ranges: int = RANGES) -> DataFrame:
+    """(column, value, rank) for several numeric columns in one plan."""
+    long = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+            .unpivot([], list(cols), "column", "value").where(F.col("value").isNotNull())
+            .withColumn("_one", F.lit(1.0)))
+    c = cumulative_by_value(long, "value", ["_one"], ["column"], ranges=ranges)
+    return c.select("column", "value", (F.col("below__one") + (F.col("_one") + F.lit(1.0)) / F.lit(2.0)).alias("rank"))
