@@ -287,15 +287,15 @@ def corr_matrix_spearman_mllib(df: DataFrame, cols: Sequence[str], digits: int |
 
 
 def corr_matrix_kendall(df: DataFrame, cols: Sequence[str], digits: int | None = 6) -> DataFrame:
-    """Kendall tau-b of every pair (see ``plans.kendall``)."""
-    from tablesmith.plans.kendall import kendall_tau_b
+    """Kendall tau-b of every pair (see ``plans.kendall``), all pairs in one batch."""
+    from tablesmith.plans.kendall import kendall_pairs
     cols = list(cols)
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    taus = kendall_pairs(df, pairs) if pairs else {}
     rows = [(c, c, 1.0) for c in cols]
-    for i, a in enumerate(cols):
-        for b in cols[i + 1:]:
-            t = kendall_tau_b(df, a, b)
-            t = round_half_away_value(t, digits) if digits is not None else t
-            rows += [(a, b, t), (b, a, t)]
+    for (a, b), t in taus.items():
+        t = round_half_away_value(t, digits) if digits is not None else t
+        rows += [(a, b, t), (b, a, t)]
     return df.sparkSession.createDataFrame(rows, "x string, y string, r double")
 
 

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablesmith.session import cut_lineage
+
 # fixed tuning values
 TARGET_LINE_POINTS = 2000      # wanted distinct points per cell line
 MAX_CELLS_PER_AXIS = 256
@@ -68,70 +70,83 @@ def _signed_dominance(key: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
 
 
 def kendall_tau_b(df: DataFrame, x: str, y: str) -> float | None:
-    pts = (df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-           .where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
-           .groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
-    pts = pts.persist()
-    try:
-        stats = pts.agg(F.count(F.lit(1)).alias("d"), F.sum("w").alias("n"),
-                        F.percentile_approx("x", [i / MAX_CELLS_PER_AXIS for i in range(1, MAX_CELLS_PER_AXIS)],
-                                            10000).alias("qx"),
-                        F.percentile_approx("y", [i / MAX_CELLS_PER_AXIS for i in range(1, MAX_CELLS_PER_AXIS)],
-                                            10000).alias("qy")).collect()[0]
-        n = stats["n"] or 0.0
-        if n < 2:
-            return None
-        d = stats["d"]
-        cells = int(min(MAX_CELLS_PER_AXIS, max(1, math.ceil(d / TARGET_LINE_POINTS))))
+    return kendall_pairs(df, [(x, y)])[(x, y)]
+
+
+def kendall_pairs(df: DataFrame, pairs) -> dict:
+    """tau-b for every (x, y) pair; all pairs share the same few jobs.
+
+    Rows missing x or y are left out for that pair (pairwise complete).
+    """
+    pairs = list(pairs)
+    parts = [F.struct(F.lit(i).alias("p"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+             for i, (a, b) in enumerate(pairs)]
+    long = (df.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
+            .where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")))
+    # distinct points per pair, written once (they feed every step below)
+    pts = cut_lineage(long.groupBy("p", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    qs = [i / MAX_CELLS_PER_AXIS for i in range(1, MAX_CELLS_PER_AXIS)]
+    stats = {r["p"]: r for r in pts.groupBy("p").agg(
+        F.count(F.lit(1)).alias("d"), F.sum("w").alias("n"),
+        F.percentile_approx("x", qs, 10000).alias("qx"), F.percentile_approx("y", qs, 10000).alias("qy")).collect()}
+    cuts_x, cuts_y = {}, {}
+    for p, r in stats.items():
+        cells = int(min(MAX_CELLS_PER_AXIS, max(1, math.ceil(r["d"] / TARGET_LINE_POINTS))))
         step = MAX_CELLS_PER_AXIS // cells if cells > 1 else MAX_CELLS_PER_AXIS
-        cx = sorted(set(stats["qx"][step - 1::step]))[:cells - 1] if cells > 1 else []
-        cy = sorted(set(stats["qy"][step - 1::step]))[:cells - 1] if cells > 1 else []
-
-        def cell(c, cuts):
-            if not cuts:
-                return F.lit(0)
-            return F.size(F.filter(F.array(*[F.lit(float(v)) for v in cuts]), lambda t: t < F.col(c)))
-
-        pc = pts.withColumns({"bx": cell("x", cx), "by": cell("y", cy)})
-
-        # ties: n1 over x, n2 over y
-        tx = pts.groupBy("x").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("v"))
-        ty = pts.groupBy("y").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("v"))
-        n1 = tx.collect()[0]["v"] or 0.0
-        n2 = ty.collect()[0]["v"] or 0.0
-
-        # pairs in different x-cells and y-cells: from the cell table (<= B*B rows)
-        grid = np.zeros((len(cx) + 1, len(cy) + 1))
-        for r in pc.groupBy("bx", "by").agg(F.sum("w").alias("w")).collect():
-            grid[r["bx"], r["by"]] = r["w"]
-        # below-left prefix: P[a, b] = sum_{a' < a, b' < b}
+        cuts_x[p] = sorted(set(r["qx"][step - 1::step]))[:cells - 1] if cells > 1 else []
+        cuts_y[p] = sorted(set(r["qy"][step - 1::step]))[:cells - 1] if cells > 1 else []
+
+    def cell(c, cuts):
+        m = F.create_map(*[e for p, cs in cuts.items()
+                           for e in (F.lit(p), F.array(*[F.lit(float(v)) for v in cs]).cast("array<double>"))])
+        return F.size(F.filter(F.element_at(m, F.col("p")), lambda t: t < F.col(c)))
+
+    pc = pts.withColumns({"bx": cell("x", cuts_x), "by": cell("y", cuts_y)})
+
+    def tie_sum(c):
+        g = pts.groupBy("p", c).agg(F.sum("w").alias("t")).groupBy("p") \
+            .agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("v"))
+        return {r["p"]: r["v"] for r in g.collect()}
+    n1, n2 = tie_sum("x"), tie_sum("y")
+
+    # pairs in different x-cells and y-cells: from each pair's cell table (<= B*B rows)
+    grids = {p: np.zeros((len(cuts_x[p]) + 1, len(cuts_y[p]) + 1)) for p in stats}
+    for r in pc.groupBy("p", "bx", "by").agg(F.sum("w").alias("w")).collect():
+        grids[r["p"]][r["bx"], r["by"]] = r["w"]
+    s_cells = {}
+    for p, grid in grids.items():
         cum = grid.cumsum(0).cumsum(1)
-        s_cells = 0.0
-        for a in range(grid.shape[0]):
+        tot = 0.0
+        for a in range(1, grid.shape[0]):
             for b in range(grid.shape[1]):
-                if grid[a, b] == 0 or a == 0:
+                if grid[a, b] == 0:
                     continue
                 below_left = cum[a - 1, b - 1] if b > 0 else 0.0
-                col_total_left = cum[a - 1, -1]
-                at_or_below_left = cum[a - 1, b]
-                above_left = col_total_left - at_or_below_left
-                s_cells += grid[a, b] * (below_left - above_left)
-
-        def per_line(key_name):
-            def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-                v = _signed_dominance(pdf[key_name].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())
-                return pd.DataFrame({"s": [v]})
-            return fn
-
-        # same x-cell: order by x itself; same y-cell, different x-cells: order by x-cell
-        s_col = (pc.groupBy("bx").applyInPandas(per_line("x"), "s double")
-                 .agg(F.sum("s").alias("s")).collect()[0]["s"] or 0.0)
-        s_row = (pc.select("by", F.col("bx").cast("double").alias("k"), "y", "w")
-                 .groupBy("by").applyInPandas(per_line("k"), "s double")
-                 .agg(F.sum("s").alias("s")).collect()[0]["s"] or 0.0)
-        s = s_cells + s_col + s_row
+                above_left = cum[a - 1, -1] - cum[a - 1, b]
+                tot += grid[a, b] * (below_left - above_left)
+        s_cells[p] = tot
+
+    def per_line(key_name):
+        def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+            v = _signed_dominance(pdf[key_name].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())
+            return pd.DataFrame({"p": [int(pdf["p"].iloc[0])], "s": [v]})
+        return fn
+
+    # same x-cell: order by x itself; same y-cell, different x-cells: order by x-cell
+    col_part = pc.select("p", "bx", "x", "y", "w").groupBy("p", "bx").applyInPandas(per_line("x"), "p int, s double")
+    row_part = (pc.select("p", "by", F.col("bx").cast("double").alias("k"), "y", "w")
+                .groupBy("p", "by").applyInPandas(per_line("k"), "p int, s double"))
+    s_lines = {r["p"]: r["s"] for r in col_part.unionByName(row_part).groupBy("p").agg(F.sum("s").alias("s")).collect()}
+
+    out = {}
+    for i, pair in enumerate(pairs):
+        r = stats.get(i)
+        n = r["n"] if r else 0.0
+        if n < 2:
+            out[pair] = None
+            continue
+        s = s_cells[i] + s_lines.get(i, 0.0)
         n0 = n * (n - 1) / 2
-        den = math.sqrt((n0 - n1) * (n0 - n2))
-        return None if den == 0 else s / den
-    finally:
-        pts.unpersist()
+        den = math.sqrt((n0 - n1.get(i, 0.0)) * (n0 - n2.get(i, 0.0)))
+        out[pair] = None if den == 0 else s / den
+    return out
