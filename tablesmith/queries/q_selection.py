@@ -296,3 +296,13 @@ SELECT event_type, round(avg(CASE WHEN abs(value) + 10.0 = 0 THEN 0.0
 def q_eval_smape(spark, sf):
     e = T(spark, sf, "events").select("event_type", F.col("value").alias("label"), F.lit(10.0).alias("prediction"))
     return _r(EV.eval_smape(e, group="event_type"), ["smape"])
+
+
+@register("top_features", f"""
+SELECT feature, score FROM ({_CORR_SCORE}) s ORDER BY score DESC, feature LIMIT 3""")
+def q_top_features(spark, sf):
+    """T4: the three features most correlated (in absolute value) with the price."""
+    from tablesmith.operators.profile import top_features
+    scores = S.select_by_correlation(T(spark, sf, "lineitem"), FEATS, TARGET).select(
+        "feature", round_half_away("abs_corr", 9).alias("score"))
+    return top_features(scores, n=3)
