@@ -109,6 +109,17 @@ class Vocabulary:
         return spark.createDataFrame(list(enumerate(self.terms)), "term_index int, term string")
 
 
+def spread_documents(df: DataFrame, id_col: str) -> DataFrame:
+    """Hash-partition by document id when the scan gives fewer splits than the
+    session's parallelism (a few large text files); a no-op on a cluster-sized
+    input.  The (id, term) grouping then needs no exchange of its own, since
+    partitioning by id already clusters every (id, term) group."""
+    want = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want, id_col)
+    return df
+
+
 def term_frequencies(tokens: DataFrame, id_col: str, col: str) -> DataFrame:
     """(id, term, tf): one exploded grouping, combined map-side inside each document."""
     return tokens.select(id_col, F.explode(col).alias("term")).groupBy(id_col, "term") \
@@ -153,7 +164,7 @@ def count_vectorize(df: DataFrame, id_col: str, text_col: str, vocab_size: int =
     ``as_vector=True`` returns Spark's sparse ``CountVectorizerModel`` output
     built on the same (deterministically ordered) vocabulary.
     """
-    toks = tokenize(df.select(id_col, text_col), text_col, "words")
+    toks = tokenize(spread_documents(df.select(id_col, text_col), id_col), text_col, "words")
     if as_vector:
         vocab = fit_vocabulary(term_frequencies(toks, id_col, "words"), vocab_size, min_df)
         from pyspark.ml.feature import CountVectorizerModel
@@ -168,7 +179,7 @@ def count_vectorize_wide(df: DataFrame, id_col: str, text_col: str, max_features
                          prefix: str = "cv_", reuse: bool = True) -> DataFrame:
     """Word tokens (2+ word chars), English stop words removed, vocabulary of
     terms in >= min_df documents by corpus count, one count column per term."""
-    words = df.select(id_col, F.filter(TX.word_tokens(text_col),
+    words = spread_documents(df.select(id_col, text_col), id_col).select(id_col, F.filter(TX.word_tokens(text_col),
                                        lambda w: ~w.isin(*TX.ENGLISH_STOP_WORDS)).alias("words"))
     tf = _frequencies_once(words, id_col, "words", reuse)
     vocab = fit_vocabulary(tf, max_features, min_df)
