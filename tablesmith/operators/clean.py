@@ -89,7 +89,7 @@ def filter_range(df: DataFrame, bounds: Mapping[str, tuple[float | None, float |
             part = part & (x <= F.lit(hi))
         if keep_missing:
             part = x.isNull() | part
-        cond = cond & F.coalesce(part, F.lit(False))
+        cond = cond & part          # plain comparisons: pushed to the scan; null fails the filter
     return df.where(cond)
 
 

@@ -17,11 +17,16 @@ from tablesmith.plans import quantiles as Q
 
 
 def _inside(c: str, lo: float, hi: float, keep_missing: bool) -> Column:
+    """``lo <= x <= hi`` as plain comparisons so the scan can skip row groups.
+
+    In a filter a null comparison drops the row, and NaN (largest in Spark's
+    order) fails ``x <= hi``: missing values are dropped without extra terms.
+    """
     x = F.col(c)
     cond = (x >= F.lit(lo)) & (x <= F.lit(hi))
     if keep_missing:
         return x.isNull() | F.isnan(x.cast("double")) | cond
-    return F.coalesce(cond & ~F.isnan(x.cast("double")), F.lit(False))
+    return cond
 
 
 def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5,
@@ -90,7 +95,12 @@ def outlier_zscore(df: DataFrame, cols: Sequence[str] | None = None, threshold:
             continue  # zero spread: skipped (D5)
         x = F.col(c)
         part = F.abs((x - F.lit(m)) / F.lit(s)) < F.lit(threshold)
-        part = (x.isNull() | part) if keep_missing else F.coalesce(part & ~F.isnan(x.cast("double")), F.lit(False))
+        if keep_missing:
+            part = x.isNull() | F.isnan(x.cast("double")) | part
+        else:
+            # an implied, slightly wider range first: pushable to the scan, never narrower
+            slack = abs(threshold * s) * (1 + 1e-9) + 1e-300
+            part = (x > F.lit(m - slack)) & (x < F.lit(m + slack)) & part
         cond = cond & part
     return df.where(cond)
 

@@ -21,6 +21,16 @@ from tablesmith.session import cut_lineage
 RANGES = 64
 CUT_ACCURACY = 1000             # rank error of the range cuts: balance only, never the result
 MAX_LITERAL_GROUPS = 1000       # up to this many groups their cuts travel as literals
+MAX_BROADCAST_ROWS = 100_000    # an offsets table this small (checked) is broadcast
+
+
+def bounded_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """The small side of a join, broadcast only after a bounded collect proved
+    it has at most ``max_rows`` rows; otherwise left to a shuffle join."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return df
 
 
 def _range_of(value: Column, cuts: Sequence[float]) -> Column:
@@ -46,7 +56,7 @@ def hash_order_ranks(df: DataFrame, group_cols: Sequence[str], hash_col: str, ti
                             F.sum("_cnt").over(w_all).alias("_group_n"))
     w_in = Window.partitionBy(*g, "_r").orderBy(F.col(hash_col), *[F.col(t) for t in tie_cols])
     ranked = tagged.withColumn("_rn", F.row_number().over(w_in))
-    return (ranked.join(offsets, [*g, "_r"])
+    return (ranked.join(bounded_side(offsets), [*g, "_r"])
             .withColumn(out, F.col("_off") + F.col("_rn") - 1)
             .drop("_r", "_rn", "_off"))
 
@@ -91,7 +101,7 @@ def cumulative_by_value(df: DataFrame, value: str, weights: Sequence[str], group
     w_in = Window.partitionBy(*g, "_r").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     inner = tagged.select(*g, value, "_r", *weights,
                           *[F.coalesce(F.sum(w).over(w_in), F.lit(0)).alias(f"_in_{w}") for w in weights])
-    out = inner.join(offsets, [*g, "_r"])
+    out = inner.join(bounded_side(offsets), [*g, "_r"])
     return out.select(*g, value, *weights,
                       *[(F.col(f"_off_{w}") + F.col(f"_in_{w}")).alias(f"below_{w}") for w in weights],
                       *[F.col(f"total_{w}") for w in weights])
