@@ -138,3 +138,20 @@ def q_force_variant(spark, sf):
     e = AB.ab_assign_random(T(spark, sf, "events").select("event_id", "props"), "event_id", SHARES_90_10, salt="ab")
     requested = F.when(F.get_json_object("props", "$.k").cast("int") < 10, F.lit("B"))
     return AB.force_variant(e, requested).select("event_id", "variant")
+
+
+@register("feedback_join_stream")
+def q_feedback_join_stream(spark, sf):
+    """Logged predictions (request stream) joined to ground truth arriving one
+    hour later (feedback stream), then accuracy per variant from the joined rows."""
+    e = AB.ab_assign_sticky(T(spark, sf, "events"), "user_id", SHARES_70_30, "checkout")
+    req = e.select("event_id", "ts", "variant", (F.col("value") > 10).cast("int").alias("prediction"))
+    fb = e.select("event_id", (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("feedback_ts"),
+                  (F.col("event_type") == "purchase").cast("int").alias("ground_truth"))
+    rpath, fpath = scratch_path(spark, "requests"), scratch_path(spark, "feedback")
+    req.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(rpath)
+    fb.withColumn("day", F.to_date("feedback_ts")).write.partitionBy("day").parquet(fpath)
+    sink = scratch_path(spark, "joined")
+    SC.feedback_join_stream(spark, rpath, req.schema, fpath, fb.schema, sink, scratch_path(spark, "ckpt"),
+                            "event_id", "ts", "feedback_ts", max_delay="1 day", watermark="1 day")
+    return AB.ab_metrics(spark.read.parquet(sink), control="control")

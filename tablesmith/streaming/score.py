@@ -52,7 +52,8 @@ def stream_files(spark: SparkSession, path: str, schema: StructType, fmt: str =
     r = spark.readStream.format(fmt).schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.load(path)
+    # only the declared columns (folder partition columns are not part of the record)
+    return r.load(path).select(*[F.col(f"`{n}`") for n in schema.fieldNames()])
 
 
 def stream_score(spark: SparkSession, model, source_path: str, schema: StructType, sink_path: str,
@@ -117,3 +118,29 @@ def ab_metrics_stream(spark: SparkSession, source_path: str, schema: StructType,
     if available_now:
         q.awaitTermination()
     return q
+
+
+def feedback_join_stream(spark: SparkSession, requests_path: str, requests_schema: StructType,
+                         feedback_path: str, feedback_schema: StructType, sink_path: str, checkpoint: str,
+                         key: str, request_ts: str, feedback_ts: str, max_delay: str = "1 day",
+                         watermark: str = "1 day", available_now: bool = True):
+    """B8 (join part): each logged request joined to its later feedback.
+
+    A stream-stream inner join on the request key, bounded in time
+    (``request_ts <= feedback_ts <= request_ts + max_delay``) so that both
+    sides' state is dropped once the watermarks pass; append-only parquet sink.
+    """
+    req = stream_files(spark, requests_path, requests_schema) \
+        .withColumn(request_ts, F.col(request_ts).cast("timestamp")).withWatermark(request_ts, watermark)
+    fb = stream_files(spark, feedback_path, feedback_schema) \
+        .withColumn(feedback_ts, F.col(feedback_ts).cast("timestamp")).withWatermark(feedback_ts, watermark) \
+        .withColumnRenamed(key, f"_fb_{key}")
+    cond = ((F.col(key) == F.col(f"_fb_{key}")) & (F.col(feedback_ts) >= F.col(request_ts))
+            & (F.col(feedback_ts) <= F.col(request_ts) + F.expr(f"INTERVAL {max_delay}")))
+    joined = req.join(fb, cond, "inner").drop(f"_fb_{key}")
+    w = joined.writeStream.format("parquet").option("path", sink_path).option("checkpointLocation", checkpoint) \
+        .outputMode("append")
+    q = w.trigger(availableNow=True).start() if available_now else w.start()
+    if available_now:
+        q.awaitTermination()
+    return q

@@ -42,3 +42,10 @@ def test_windowed_ab_metrics_closed_windows_match_batch(spark):
     j = got.join(batch, ["window_start", "variant"])
     assert j.count() == got.count() > 0
     assert j.where(got["n"] != batch["n"]).count() == 0
+
+
+def test_feedback_join_keeps_every_request(spark):
+    from tablesmith.queries.q_scoring import q_ab_metrics, q_feedback_join_stream
+    got = {r["variant"]: (r["n"], round(r["accuracy"], 9)) for r in q_feedback_join_stream(spark, SMALL).collect()}
+    want = {r["variant"]: (r["n"], round(r["accuracy"], 9)) for r in q_ab_metrics(spark, SMALL).collect()}
+    assert got == want
