@@ -31,8 +31,8 @@ MAX_CELLS_PER_AXIS = 256
 
 def _signed_dominance(key: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     """sum_{i,j: key_j < key_i} w_i w_j sign(y_i - y_j)."""
-    if len(key) < 2:
-        return 0.0
+    if len(key) < 2 or key.min() == key.max() or y.min() == y.max():
+        return 0.0            # one key (or one y) in the line: every pair is a tie
     ys = np.unique(y)
     yr = np.searchsorted(ys, y) + 1
     size = len(ys)
