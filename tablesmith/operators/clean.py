@@ -141,14 +141,18 @@ def columns_by_type(df: DataFrame) -> dict[str, list[str]]:
 
 
 def columns_by_type_frame(df: DataFrame) -> DataFrame:
-    """P18 as a table (column, type, kind)."""
+    """P18 as a table: position, column, type, kind and non-null count (one aggregate)."""
     kinds = columns_by_type(df)
-    rows = []
-    for i, f in enumerate(df.schema.fields):
+    fields = df.schema.fields
+    one = df.agg(*[F.count(F.col(f"`{f.name}`")).alias(f"nn{i}") for i, f in enumerate(fields)])
+    structs = []
+    for i, f in enumerate(fields):
         kind = "numeric" if f.name in kinds["numeric"] else (
             "categorical" if f.name in kinds["categorical"] else "other")
-        rows.append((i, f.name, f.dataType.simpleString(), kind))
-    return df.sparkSession.createDataFrame(rows, "position int, column string, type string, kind string")
+        structs.append(F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
+                                F.lit(f.dataType.simpleString()).alias("type"), F.lit(kind).alias("kind"),
+                                F.col(f"nn{i}").alias("non_null")))
+    return one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
 def parse_date(df: DataFrame, c: str, fmt: str | None = None, name: str | None = None) -> DataFrame:

@@ -188,13 +188,19 @@ def q_tag(spark, sf):
     return clean.tag_source(T(spark, sf, "supplier").select("s_suppkey", "s_acctbal"), "source", "supplier")
 
 
+_LI_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+            "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
 @register("columns_by_type", """
 SELECT CAST(ordinal_position - 1 AS INTEGER) AS position, column_name AS "column",
   CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
     WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS type,
   CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric'
-       WHEN data_type = 'VARCHAR' THEN 'categorical' ELSE 'other' END AS kind
-FROM information_schema.columns WHERE table_name = 'lineitem'""")
+       WHEN data_type = 'VARCHAR' THEN 'categorical' ELSE 'other' END AS kind, nn.non_null
+FROM information_schema.columns JOIN (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS c, count({c}) AS non_null FROM lineitem" for c in _LI_COLS) + """) nn ON nn.c = column_name
+WHERE table_name = 'lineitem'""")
 def q_columns_by_type(spark, sf):
     return clean.columns_by_type_frame(T(spark, sf, "lineitem"))
 

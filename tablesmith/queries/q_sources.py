@@ -61,12 +61,12 @@ PART_SCHEMA = StructType([StructField("p_partkey", LongType()), StructField("p_b
                           StructField("p_size", IntegerType()), StructField("p_retailprice", DoubleType())])
 
 
-@register("read_csv_trim_dropna", "SELECT p_partkey, p_brand, p_size, p_retailprice FROM part WHERE p_partkey % 10 <> 0")
+@register("read_csv_trim_dropna", "SELECT p_partkey, p_brand, p_size, p_retailprice FROM part WHERE p_size <= 45")
 def q_read_csv_trim(spark, sf):
-    """Fields written with a leading blank; every tenth row has an unparseable size."""
+    """Fields written with a leading blank; sizes above 45 are written as an unparseable "n/a"."""
     p = T(spark, sf, "part")
     raw = p.select(F.col("p_partkey").cast("string"), F.concat(F.lit(" "), "p_brand").alias("p_brand"),
-                   F.when(F.col("p_partkey") % 10 == 0, F.lit(" n/a"))
+                   F.when(F.col("p_size") > 45, F.lit(" n/a"))
                    .otherwise(F.concat(F.lit(" "), F.col("p_size").cast("string"))).alias("p_size"),
                    F.concat(F.lit(" "), F.col("p_retailprice").cast("string")).alias("p_retailprice"))
     path = _csv(raw, scratch_path(spark, "csv-trim"), header=False)
