@@ -371,4 +371,10 @@ def column_transformer(df: DataFrame, numeric: Sequence[str], categorical: Seque
     """Scale numeric + one-hot categorical; returns the named feature list."""
     m = feature_pipeline(numeric, categorical, out=out).fit(df)
     res = m.transform(df)
-    return res, m, feature_names(res, out)
+    names = []
+    for n in feature_names(res, out):
+        if n.startswith("_num_scaled_") or n.startswith("_num_"):
+            names.append(list(numeric)[int(n.rsplit("_", 1)[1])])   # scaled slot i = numeric input i
+        else:
+            names.append(n.replace("_ohe_", "_", 1))                   # c_ohe_value -> c_value
+    return res, m, names

@@ -337,6 +337,16 @@ def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
             .groupBy("bx", "by").agg(F.count(F.lit(1)).alias("n")))
 
 
+def scatter_sample(df: DataFrame, x: str, y: str, n: int = 1000, key: Sequence[str] | None = None,
+                   salt: str = "scatter") -> DataFrame:
+    """A24, point half: a bounded, layout-free sample of (x, y) points for a plot:
+    the ``n`` rows with the smallest key hash (ties by key)."""
+    from tablesmith.functions.columns import hash_unit
+    key = list(key) if key else [x, y]
+    h = df.select(*dict.fromkeys([*key, x, y]), hash_unit(key, salt).alias("_h"))
+    return h.orderBy("_h", *key).limit(n).select(x, y)
+
+
 def pair_bins(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
     """Binned counts for every ordered pair of columns; x == y rows are the
     diagonal histograms.  One job: bin every column once, explode the pairs."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablesmith.functions.columns import round_half_away
+from tablesmith.functions.columns import round_half_away, sql_hash_unit
 
 from tablesmith.operators import profile as P
 from tablesmith.queries import register
@@ -250,6 +250,16 @@ def q_scatter(spark, sf):
     return P.scatter_bins(T(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 20)
 
 
+@register("scatter_sample", f"""
+SELECT l_quantity, l_extendedprice FROM lineitem
+ORDER BY {sql_hash_unit(['l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey'], 'scatter')},
+         l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 500""")
+def q_scatter_sample(spark, sf):
+    """500 plot points chosen by key hash (the sample is the feature)."""
+    return P.scatter_sample(T(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 500,
+                            key=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+
+
 _PAIR_COLS = ["p_size", "p_retailprice", "p_partkey"]
 
 

@@ -38,6 +38,32 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def recommended_conf(total_cores: int, shuffle_gb: float = 0.0) -> dict[str, str]:
+    """Settings for a large cluster (e.g. 1000 executors reading ~100 TB).
+
+    Shuffle partitions start at ~3 per core (or ~256 MB per partition of the
+    expected shuffle volume, whichever is larger) and AQE coalesces them at
+    run time; skewed join partitions are split; files are read in 512 MB
+    splits; runtime broadcast only below 64 MB of measured size.
+    """
+    parts = max(3 * total_cores, int(shuffle_gb * 4) if shuffle_gb else 0, 200)
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.files.maxPartitionBytes": str(512 << 20),
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder; create a scratch one only when unset.
 
