@@ -95,3 +95,19 @@ def test_rounding_matches_sql_engine(spark):
         want = [con.execute(f"SELECT round({v!r}::DOUBLE, {d})").fetchall()[0][0] for v in vals]
         assert got == want
         assert [round_half_away_value(v, d) for v in vals] == want
+
+
+def test_signed_dominance_matches_brute_force():
+    rng = np.random.default_rng(11)
+    for n in (1, 2, 50, 300, 2000):
+        key = rng.integers(0, max(2, n // 7), n).astype(float)
+        key[: n // 3] = 5.0                                     # a hot key
+        y = rng.integers(0, max(2, n // 5), n).astype(float)
+        w = rng.integers(1, 4, n).astype(float)
+        got = kendall._signed_dominance(key, y, w)
+        if n <= 300:
+            want = float(np.sum(w[:, None] * w[None, :] * (key[None, :] < key[:, None])
+                                * np.sign(y[:, None] - y[None, :])))
+        else:
+            want = sum(float(np.sum(w[i] * w * (key < key[i]) * np.sign(y[i] - y))) for i in range(n))
+        assert got == pytest.approx(want, abs=1e-6)
