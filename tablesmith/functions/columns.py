@@ -221,3 +221,13 @@ def round_half_away_value(x: float | None, digits: int = 6) -> float | None:
     if abs(y - r) >= 0.5:
         r += math.copysign(1.0, y)
     return r / m
+
+
+def exact_mean(c: str | Column) -> Column:
+    """Mean from an exact decimal sum when every value fits DECIMAL(38,18), else
+    the double mean.  The exact form does not depend on summation order, so it
+    is the same on any partitioning (a double sum is not)."""
+    x = col_of(c).cast("double")
+    d = x.try_cast("decimal(38,18)")
+    exact = F.try_avg(d)
+    return F.when((F.count(d) == F.count(x)) & exact.isNotNull(), exact.cast("double")).otherwise(F.avg(x))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import DoubleType, FloatType, NumericType
 
-from tablesmith.functions.columns import round_half_away, round_half_away_value
+from tablesmith.functions.columns import exact_mean, round_half_away, round_half_away_value
 
 from tablesmith.plans import quantiles as Q
 
@@ -368,31 +368,32 @@ def pair_bins(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
 # ---------------------------------------------------------------- A26
 
 def profile_report(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True,
-                   with_rank_corr: bool = True) -> dict[str, DataFrame]:
+                   with_rank_corr: bool = True, digits: int = 9) -> dict[str, DataFrame]:
     """Per-column profile + correlation tables (the data of a profile report).
 
-    Per column: count, missing, distinct, mean, stddev, min, quartiles, max,
-    skewness and excess kurtosis (population forms).
+    Per column: count, missing, distinct, mean (exact, order-independent),
+    stddev, min, quartiles, max, skewness and excess kurtosis (population
+    forms), rounded to ``digits`` decimals.
     """
     cols = list(cols or numeric_columns(df))
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for i, c in enumerate(cols):
         v = Q.valid_value(c)
         aggs += [F.count(v).alias(f"count__{i}"), F.count_distinct(v).alias(f"distinct__{i}"),
-                 F.avg(v).alias(f"mean__{i}"), F.stddev_samp(v).alias(f"stddev__{i}"),
+                 exact_mean(v).alias(f"mean__{i}"), F.stddev_samp(v).alias(f"stddev__{i}"),
                  F.min(v).alias(f"min__{i}"), F.max(v).alias(f"max__{i}"),
                  F.skewness(v).alias(f"skewness__{i}"), F.kurtosis(v).alias(f"kurtosis__{i}")]
     one = df.agg(*aggs)
     structs = [F.struct(F.lit(c).alias("column"), F.col(f"count__{i}").alias("count"),
                         (F.col("n_rows") - F.col(f"count__{i}")).alias("n_missing"),
                         F.col(f"distinct__{i}").alias("n_distinct"),
-                        *[round_half_away(F.col(f"{m}__{i}"), 6).alias(m)
+                        *[round_half_away(F.col(f"{m}__{i}"), digits).alias(m)
                           for m in ("mean", "stddev", "min", "max", "skewness", "kurtosis")])
                for i, c in enumerate(cols)]
     per_col = one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
     qs = Q.quantiles(df, cols, [0.25, 0.5, 0.75], exact=exact)
     qdf = df.sparkSession.createDataFrame(
-        [(c, *[None if v is None else round_half_away_value(float(v), 6) for v in qs[c]]) for c in cols],
+        [(c, *[None if v is None else round_half_away_value(float(v), digits) for v in qs[c]]) for c in cols],
         "column string, p25 double, p50 double, p75 double")
     out = {"columns": per_col.join(F.broadcast(qdf), "column"),
            "pearson": corr_matrix_pearson(df, cols)}

@@ -285,17 +285,17 @@ def q_pair_bins(spark, sf):
     return P.pair_bins(T(spark, sf, "part"), _PAIR_COLS, 10)
 
 
-def _profile_sql(src, cols):
+def _profile_sql(src, cols, d=9):
     parts = []
     for c in cols:
         m = f"(SELECT avg({c}) FROM {src})"
         parts.append(
             f"SELECT '{c}' AS \"column\", count({c}) AS count, count(*) - count({c}) AS n_missing, "
-            f"count(DISTINCT {c}) AS n_distinct, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS stddev, "
-            f"round(min({c}), 6) AS min, round(max({c}), 6) AS max, "
-            f"round(avg(power({c} - {m}, 3)) / power(avg(power({c} - {m}, 2)), 1.5), 6) AS skewness, "
-            f"round(kurtosis_pop({c}), 6) AS kurtosis, round(quantile_cont({c}, 0.25), 6) AS p25, "
-            f"round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75 FROM {src}")
+            f"count(DISTINCT {c}) AS n_distinct, round(avg(CAST({c} AS DECIMAL(38,18))), {d}) AS mean, "
+            f"round(stddev_samp({c}), {d}) AS stddev, round(min({c}), {d}) AS min, round(max({c}), {d}) AS max, "
+            f"round(avg(power({c} - {m}, 3)) / power(avg(power({c} - {m}, 2)), 1.5), {d}) AS skewness, "
+            f"round(kurtosis_pop({c}), {d}) AS kurtosis, round(quantile_cont({c}, 0.25), {d}) AS p25, "
+            f"round(quantile_cont({c}, 0.5), {d}) AS p50, round(quantile_cont({c}, 0.75), {d}) AS p75 FROM {src}")
     return "\nUNION ALL\n".join(parts)
 
 
