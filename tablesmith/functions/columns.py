@@ -208,7 +208,11 @@ def round_half_away(c: str | Column, digits: int = 6) -> Column:
     differ from this on exact-half cases (1037.0821875 -> ...188 vs ...187).
     """
     m = float(10 ** digits)
-    return F.round(col_of(c) * F.lit(m)) / F.lit(m)
+    x = col_of(c)
+    r = F.round(x * F.lit(m)) / F.lit(m)
+    # IEEE rounding keeps the sign of a zero result (-0.4e-6 -> -0.0), as the SQL engines do
+    negative = (x < 0) | (x.cast("string") == "-0.0")          # also an input of -0.0
+    return F.when((r == 0) & negative, F.lit(-0.0)).otherwise(r)
 
 
 def round_half_away_value(x: float | None, digits: int = 6) -> float | None:
@@ -217,10 +221,10 @@ def round_half_away_value(x: float | None, digits: int = 6) -> float | None:
         return x
     m = float(10 ** digits)
     y = x * m
-    r = math.trunc(y)
+    r = float(math.trunc(y))
     if abs(y - r) >= 0.5:
         r += math.copysign(1.0, y)
-    return r / m
+    return math.copysign(r, y) / m if r == 0 else r / m
 
 
 def exact_mean(c: str | Column) -> Column:

@@ -87,14 +87,14 @@ def test_kendall_matches_pair_count(spark, monkeypatch, line_points):
 
 
 def test_rounding_matches_sql_engine(spark):
-    vals = [1037.0821875, 0.0499185, 2.675, -2.5e-7, 123456.1234565, 0.125]
+    vals = [1037.0821875, 0.0499185, 2.675, -2.5e-7, 123456.1234565, 0.125, -4e-7, -0.0, 0.0]
     con = duckdb.connect()
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     for d in (2, 6):
         got = [r[0] for r in df.select(round_half_away("x", d)).collect()]
         want = [con.execute(f"SELECT round({v!r}::DOUBLE, {d})").fetchall()[0][0] for v in vals]
-        assert got == want
-        assert [round_half_away_value(v, d) for v in vals] == want
+        assert [repr(v) for v in got] == [repr(v) for v in want]      # also the sign of zero
+        assert [repr(round_half_away_value(v, d)) for v in vals] == [repr(v) for v in want]
 
 
 def test_signed_dominance_matches_brute_force():
