@@ -188,19 +188,6 @@ def sentinel_to_null(c: str | Column, sentinels: Sequence[str] = ("?",)) -> Colu
     return F.when(F.trim(x).isin(*sentinels), F.lit(None).cast("string")).otherwise(x)
 
 
-def is_missing(c: str, dtype) -> Column:
-    """Null, or NaN for floating columns."""
-    from pyspark.sql.types import DoubleType, FloatType
-    x = F.col(c)
-    if isinstance(dtype, (DoubleType, FloatType)):
-        return x.isNull() | F.isnan(x)
-    return x.isNull()
-
-
-def finite_edges(edges: Sequence[float]) -> list[float]:
-    return [e for e in edges if not math.isinf(e)]
-
-
 def round_half_away(c: str | Column, digits: int = 6) -> Column:
     """Round like SQL engines round doubles: half away from zero on ``x * 10^d``.
 

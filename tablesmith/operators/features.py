@@ -110,11 +110,11 @@ class Vocabulary:
 
 
 def spread_documents(df: DataFrame, id_col: str) -> DataFrame:
-    """Hash-partition by document id when the scan gives fewer splits than the
-    session's parallelism (a few large text files); a no-op on a cluster-sized
-    input.  The (id, term) grouping then needs no exchange of its own, since
-    partitioning by id already clusters every (id, term) group."""
-    want = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Hash-partition by document id when the scan gives fewer splits than there
+    are cores (a few large text files); a no-op on a cluster-sized input.  The
+    (id, term) grouping then needs no exchange of its own, since partitioning by
+    id already clusters every (id, term) group."""
+    want = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want, id_col)
     return df

@@ -8,7 +8,6 @@ are (feature, score, ...) DataFrames with one row per feature.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
@@ -18,10 +17,6 @@ from pyspark.sql import functions as F
 from tablesmith.functions.columns import round_half_away
 
 
-def _scores_frame(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
-
-
 def select_by_correlation(df: DataFrame, features: Sequence[str], target: str,
                           threshold: float = 0.3) -> DataFrame:
     """K1: |corr(x, target)| for every feature from one aggregate; keep > threshold."""
@@ -230,7 +225,3 @@ def model_importance(model, names: Sequence[str], spark) -> DataFrame:
     imp = model.featureImportances.toArray()
     rows = sorted(((names[i], float(imp[i])) for i in range(len(names))), key=lambda t: (-t[1], t[0]))
     return spark.createDataFrame(rows, "feature string, importance double")
-
-
-def f_pvalue_free(r: float, n: int) -> float:
-    return r * r / (1 - r * r) * (n - 2) if abs(r) < 1 else math.inf
