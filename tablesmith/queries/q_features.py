@@ -230,3 +230,21 @@ def q_column_transformer(spark, sf):
     p = T(spark, sf, "part")
     _, _, names = FE.column_transformer(p, ["p_size", "p_retailprice"], ["p_type", "p_brand"])
     return spark.createDataFrame(list(enumerate(names)), "position int, name string")
+
+
+@register("scale_vector", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, [" + ", ".join(
+    f"round(({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT stddev_samp({c}) FROM lineitem), 6)"
+    for c in LINEITEM_NUM) + "] AS features FROM lineitem")
+def q_scale_vector(spark, sf):
+    """E13 on a vector with Spark's StandardScaler (mean 0, sample sd 1)."""
+    v = FE.assemble_vector(T(spark, sf, "lineitem"), LINEITEM_NUM, "raw")
+    out, _ = FE.scale_vector(v, "raw", "scaled", "standard")
+    return out.select(*LI_KEY, F.transform(vector_to_array("scaled"), lambda x: round_half_away(x, 6))
+                      .alias("features"))
+
+
+@register("quantile_discretize")
+def q_quantile_discretize(spark, sf):
+    """E3, scale variant: Spark's QuantileDiscretizer (sketch edges); rows-only check."""
+    return FE.quantile_discretize(T(spark, sf, "orders"), "o_totalprice", 5, "price_bucket").select(
+        "o_orderkey", "price_bucket")

@@ -155,3 +155,18 @@ def q_feedback_join_stream(spark, sf):
     SC.feedback_join_stream(spark, rpath, req.schema, fpath, fb.schema, sink, scratch_path(spark, "ckpt"),
                             "event_id", "ts", "feedback_ts", max_delay="1 day", watermark="1 day")
     return AB.ab_metrics(spark.read.parquet(sink), control="control")
+
+
+@register("linear_score", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  round((SELECT regr_intercept(l_extendedprice, l_quantity) FROM lineitem)
+        + (SELECT regr_slope(l_extendedprice, l_quantity) FROM lineitem) * l_quantity, 4) AS prediction
+FROM lineitem""")
+def q_linear_score(spark, sf):
+    """B2, JVM-side path: the same least-squares model as a column expression."""
+    li = T(spark, sf, "lineitem")
+    r = li.agg(F.regr_slope("l_extendedprice", "l_quantity").alias("b"),
+               F.regr_intercept("l_extendedprice", "l_quantity").alias("a")).collect()[0]
+    pred = SC.linear_score({"l_quantity": float(r["b"])}, float(r["a"]))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                     round_half_away(pred, 4).alias("prediction"))
