@@ -107,7 +107,7 @@ def missing_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     fields = [f for f in df.schema.fields if cols is None or f.name in cols]
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for i, f in enumerate(fields):
-        x = F.col(f.name)
+        x = F.col(f"`{f.name}`")
         miss = x.isNull() | F.isnan(x) if isinstance(f.dataType, (DoubleType, FloatType)) else x.isNull()
         aggs.append(F.sum(miss.cast("long")).alias(f"n_missing__{i}"))
     one = df.agg(*aggs)
@@ -122,7 +122,7 @@ def table_shape(df: DataFrame) -> DataFrame:
     """Per column its position, type, non-null count; table rows and columns."""
     fields = df.schema.fields
     one = df.agg(F.count(F.lit(1)).alias("n_rows"),
-                 *[F.count(F.col(f.name)).alias(f"nn__{i}") for i, f in enumerate(fields)])
+                 *[F.count(F.col(f"`{f.name}`")).alias(f"nn__{i}") for i, f in enumerate(fields)])
     structs = [F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
                         F.lit(f.dataType.simpleString()).alias("type"),
                         F.col(f"nn__{i}").alias("non_null"), F.col("n_rows").alias("n_rows"),
@@ -355,7 +355,8 @@ def pair_bins(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
     for i, c in enumerate(cols):
         aggs += [F.min(F.col(c).cast("double")).alias(f"lo{i}"), F.max(F.col(c).cast("double")).alias(f"hi{i}")]
     mm = df.agg(*aggs).collect()[0]
-    binned = df.select(*[_bin_expr(F.col(c).cast("double"), float(mm[f"lo{i}"]), float(mm[f"hi{i}"]), bins).alias(c)
+    binned = df.select(*[(_bin_expr(F.col(c).cast("double"), float(mm[f"lo{i}"]), float(mm[f"hi{i}"]), bins)
+                          if mm[f"lo{i}"] is not None else F.lit(None).cast("int")).alias(c)
                          for i, c in enumerate(cols)])
     pairs = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).alias("bx"), F.col(b).alias("by"))
              for a in cols for b in cols]
