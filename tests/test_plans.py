@@ -111,3 +111,24 @@ def test_signed_dominance_matches_brute_force():
         else:
             want = sum(float(np.sum(w[i] * w * (key < key[i]) * np.sign(y[i] - y))) for i in range(n))
         assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_hot_group_is_spread_over_ranges(spark):
+    """A stratum with a third of all rows is ranked in many balanced ranges,
+    not in one window partition."""
+    n = 30000
+    rows = [("hot" if i % 3 == 0 else f"g{i % 50}", i) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, k long").withColumn("h", hash_unit(["k"]))
+    width = (1 << 32) // ranking.RANGES
+    sizes = (df.where("g = 'hot'").groupBy((F.col("h") / F.lit(width)).cast("int").alias("r")).count()
+             .collect())
+    counts = [r["count"] for r in sizes]
+    assert len(counts) == ranking.RANGES
+    assert max(counts) < 2 * (n / 3) / ranking.RANGES      # no range holds more than twice its share
+
+
+def test_mode_of_a_hot_value(spark):
+    from tablesmith.operators import impute
+    rows = [("hot",)] * 5000 + [(f"v{i}",) for i in range(3000)] + [(None,)] * 6000
+    df = spark.createDataFrame(rows, "c string")
+    assert impute.fit_mode(df, ["c"]).values == {"c": "hot"}
