@@ -140,10 +140,20 @@ def q_force_variant(spark, sf):
     return AB.force_variant(e, requested).select("event_id", "variant")
 
 
-@register("feedback_join_stream")
+_AB_METRICS_SQL = f"""
+WITH p AS (SELECT variant, count(*) AS n, avg(CAST(prediction = ground_truth AS DOUBLE)) AS accuracy,
+                  avg(CAST(prediction AS DOUBLE)) AS mean_prediction FROM {_FEEDBACK_SQL} f GROUP BY variant),
+c AS (SELECT n AS n0, accuracy AS p0 FROM p WHERE variant = 'control')
+SELECT variant, n, round(accuracy, 6) AS accuracy, round(mean_prediction, 6) AS mean_prediction,
+  round(accuracy - p0, 6) AS diff_vs_control,
+  round(sqrt(accuracy * (1 - accuracy) / n + p0 * (1 - p0) / n0), 6) AS se_vs_control FROM p, c"""
+
+
+@register("feedback_join_stream", _AB_METRICS_SQL)
 def q_feedback_join_stream(spark, sf):
     """Logged predictions (request stream) joined to ground truth arriving one
-    hour later (feedback stream), then accuracy per variant from the joined rows."""
+    hour later (feedback stream), then accuracy per variant from the joined rows:
+    every request finds its feedback, so the result is B7's on all events."""
     e = AB.ab_assign_sticky(T(spark, sf, "events"), "user_id", SHARES_70_30, "checkout")
     req = e.select("event_id", "ts", "variant", (F.col("value") > 10).cast("int").alias("prediction"))
     fb = e.select("event_id", (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("feedback_ts"),
@@ -154,7 +164,9 @@ def q_feedback_join_stream(spark, sf):
     sink = scratch_path(spark, "joined")
     SC.feedback_join_stream(spark, rpath, req.schema, fpath, fb.schema, sink, scratch_path(spark, "ckpt"),
                             "event_id", "ts", "feedback_ts", max_delay="1 day", watermark="1 day")
-    return AB.ab_metrics(spark.read.parquet(sink), control="control")
+    m = AB.ab_metrics(spark.read.parquet(sink), control="control")
+    return m.withColumns({c: round_half_away(c, 6) for c in
+                          ("accuracy", "mean_prediction", "diff_vs_control", "se_vs_control")})
 
 
 @register("linear_score", """

@@ -73,7 +73,7 @@ def q_read_csv_trim(spark, sf):
     return S.read_csv_trim_dropna(spark, path, schema=PART_SCHEMA)
 
 
-@register("read_libsvm")
+@register("read_libsvm", "SELECT CAST(label AS DOUBLE) AS label, CAST(embedding AS DOUBLE[]) AS features FROM embeddings")
 def q_read_libsvm(spark, sf):
     """embeddings written as libsvm (label, 64 features) and read back."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
