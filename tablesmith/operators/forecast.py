@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import clip_lower
+from tablesmith.session import cut_lineage
 
 CANDIDATES = ("naive", "mean", "seasonal_naive", "drift", "linear_trend")
 
@@ -32,8 +33,9 @@ def series_prepare(df: DataFrame, id_col: str, date_col: str, value_col: str, mi
     daily = df.groupBy(F.col(id_col).alias("id"), day.alias("day")).agg(fn(value_col).cast("double").alias("y"))
     if clip:
         daily = daily.withColumn("y", clip_lower("y", 0.0))
-    ok = daily.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_len).select("id")
-    return daily.join(ok, "id", "left_semi").orderBy("id", "day")
+    # a series holds at most one row per calendar day, so a count per series is a bounded window
+    n = F.count(F.lit(1)).over(Window.partitionBy("id"))
+    return daily.withColumn("_n", n).where(F.col("_n") >= min_len).drop("_n").orderBy("id", "day")
 
 
 def regular_series(series: DataFrame, fill: str | None = "zero") -> DataFrame:
@@ -42,6 +44,7 @@ def regular_series(series: DataFrame, fill: str | None = "zero") -> DataFrame:
     fill: None (missing stays null), "zero", "ffill" (last known) or "linear"
     (straight line between the known neighbours).  Output (id, day, y, observed).
     """
+    series = cut_lineage(series.select("id", "day", "y"))   # small (ids x days); read twice below
     span = series.groupBy("id").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
     grid = span.select("id", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("day"))
     full = grid.join(series.select("id", "day", "y"), ["id", "day"], "left") \
@@ -78,6 +81,7 @@ def forecast_candidates(series: DataFrame, horizon: int = 30, season: int = 7,
                         models: Sequence[str] = CANDIDATES) -> DataFrame:
     """forecasts (id, model, day, forecast) for ``horizon`` days after each
     series' last day.  ``series`` should be regular (F2) for seasonal_naive."""
+    series = cut_lineage(series.select("id", "day", "y"))   # feeds every candidate: written once
     s = _summaries(series)
     h = s.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")) \
         .withColumn("day", F.date_add("last_day", F.col("h")))
@@ -146,6 +150,7 @@ def forecast_select(series: DataFrame, horizon: int = 30, season: int = 7, with_
     """hold out each series' last ``horizon`` days, score every candidate by
     sMAPE on them, rank per series (ties by model name).  Output (id, model,
     smape, rank, best)."""
+    series = cut_lineage(series.select("id", "day", "y"))   # train and hold-out both read it
     last = series.groupBy("id").agg(F.max("day").alias("_last"))
     tagged = series.join(last, "id").withColumn("_hold", F.col("day") > F.date_sub("_last", horizon))
     train = tagged.where(~F.col("_hold")).select("id", "day", "y")

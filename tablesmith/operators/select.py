@@ -163,7 +163,9 @@ def chi_square_scores(df: DataFrame, features: Sequence[str], label: str) -> Dat
                       F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("x"))
                                           for c in features])).alias("s"))
             .select("s.feature", "s.x", "_y").where(F.col("x").isNotNull() & F.col("_y").isNotNull()))
-    obs = long.groupBy("feature", "x", "_y").agg(F.count(F.lit(1)).cast("double").alias("o"))
+    # the contingency table (features x categories x classes) feeds four branches: written once
+    from tablesmith.session import cut_lineage
+    obs = cut_lineage(long.groupBy("feature", "x", "_y").agg(F.count(F.lit(1)).cast("double").alias("o")))
     xs = obs.groupBy("feature", "x").agg(F.sum("o").alias("nx"))
     ys = obs.groupBy("feature", "_y").agg(F.sum("o").alias("ny"))
     tot = obs.groupBy("feature").agg(F.sum("o").alias("n"), F.countDistinct("x").alias("kx"),
