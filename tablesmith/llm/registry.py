@@ -28,6 +28,19 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@register("op1_mix_sources")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablesmith.llm import mixing
+    return mixing.mix_counts(table(spark, sf_dir, "documents"))
+
+
+@register("op6_simhash_groups")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablesmith.llm import simhash
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.fp_hex().alias("fingerprint"), "component_id")
+
+
 @register("op5_byte_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablesmith.llm import bpe
