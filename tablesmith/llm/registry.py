@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablesmith.llm import oracles
 from tablesmith.llm.base import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +29,7 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@register("op1_mix_sources")
+@register("op1_mix_sources", oracles.MIX)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablesmith.llm import mixing
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
@@ -41,6 +42,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fp_hex().alias("fingerprint"), "component_id")
 
 
+@register("op3_quality_cascade", oracles.QUALITY)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablesmith.llm import quality_rules
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@register("op4_secret_scan", oracles.SECRETS)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablesmith.llm import secrets
+    return secrets.secret_digests(table(spark, sf_dir, "documents"))
+
+
+@register("op9_chat_examples", oracles.CHAT)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablesmith.llm import chat
+    return chat.digests(chat.with_tricky(spark, table(spark, sf_dir, "conversations")))
+
+
 @register("op5_byte_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablesmith.llm import bpe
