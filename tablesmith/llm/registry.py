@@ -42,6 +42,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fp_hex().alias("fingerprint"), "component_id")
 
 
+@register("op2_nearest_vectors")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablesmith.llm import ann
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @register("op3_quality_cascade", oracles.QUALITY)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablesmith.llm import quality_rules
@@ -54,6 +60,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(table(spark, sf_dir, "documents"))
 
 
+@register("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablesmith.llm import toxicity
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op8_quality_trees")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablesmith.llm import quality_model
+    return quality_model.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register("op9_chat_examples", oracles.CHAT)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablesmith.llm import chat
