@@ -9,20 +9,42 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 
 def col_of(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def quoted(name: str) -> str:
+    """A column name for ``F.col`` and ``expr``, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def nan_to_null(c: str | Column) -> Column:
     """NaN becomes null so that missing has one meaning."""
     x = col_of(c)
     return F.when(~F.isnan(x), x)
 
 
+def nan_free(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """D1 for a frame: NaN becomes null in the listed (default: all) floating columns; others stay as they are."""
+    floating = [f.name for f in df.schema.fields
+                if isinstance(f.dataType, (DoubleType, FloatType)) and (cols is None or f.name in cols)]
+    return df.withColumns({c: nan_to_null(F.col(quoted(c))) for c in floating}) if floating else df
+
+
+def equal_width_bin(x: Column, lo: float, hi: float, bins: int) -> Column:
+    """Bin 0..bins-1 over [lo, hi], the last one closed; null (and NaN) gives null."""
+    x = nan_to_null(x.cast("double"))
+    if hi == lo:
+        return F.when(x.isNotNull(), F.lit(0))
+    b = F.floor((x - F.lit(lo)) / F.lit((hi - lo) / bins)).cast("int")
+    return F.when(x.isNotNull(), F.least(b, F.lit(bins - 1)))
+
+
 def safe_div(a: str | Column, b: str | Column) -> Column:
     """A / b, null when b is 0 or null (ANSI mode would raise)."""
     return F.try_divide(col_of(a), col_of(b))
@@ -104,20 +126,6 @@ def cut(c: str | Column, edges: Sequence[float], labels: Sequence[str] | None =
     return expr.otherwise(F.lit(None).cast(out_type))
 
 
-def bucket_by_edges(c: str | Column, edges: Sequence[float]) -> Column:
-    """Bucketizer semantics as an expression: [e_i, e_{i+1}), last bucket closed.
-
-    Values outside the edges and nulls give null.
-    """
-    x = col_of(c)
-    n = len(edges) - 1
-    expr = F.when(x.isNull(), F.lit(None).cast("double"))
-    for i in range(n):
-        upper_ok = (x <= F.lit(edges[i + 1])) if i == n - 1 else (x < F.lit(edges[i + 1]))
-        expr = expr.when((x >= F.lit(edges[i])) & upper_ok, F.lit(float(i)))
-    return expr.otherwise(F.lit(None).cast("double"))
-
-
 def hash_unit(cols: Sequence[str | Column], salt: str = "") -> Column:
     """Layout-free pseudo-random integer in [0, 2^32) from md5 of the key.
 
@@ -144,6 +152,15 @@ def sql_hash_unit(cols: Sequence[str], salt: str = "") -> str:
     return f"CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT)"
 
 
+def in_share(cols: Sequence[str | Column], share: float, salt: str = "") -> Column:
+    """True for a ``share`` of the keys, to one part in 2^32 (``hash_unit`` below share * 2^32)."""
+    return hash_unit(cols, salt) < F.lit(int(share * (1 << 32) + 0.5))
+
+
+def sql_in_share(cols: Sequence[str], share: float, salt: str = "") -> str:
+    return f"({sql_hash_unit(cols, salt)} < {int(share * (1 << 32) + 0.5)})"
+
+
 def sql_hash_bucket(cols: Sequence[str], n: int = 100, salt: str = "") -> str:
     return f"CAST(({sql_hash_unit(cols, salt)} % {n}) AS INTEGER)"
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablesmith.functions.columns import nan_to_null
 from tablesmith.plans.ranking import cumulative_by_value
 
 
@@ -41,32 +42,29 @@ def eval_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataF
     AUC = sum_v pos(v) * (neg(< v) + neg(v) / 2) / (P * N): per distinct score
     the positives and negatives, and the negatives below it from a
     range-partitioned running sum (``cumulative_by_value``), so no window holds
-    all scores in one task.
+    all scores in one task.  Null with one class only; rows that miss label or score are left out.
     """
-    w = df.select(F.col(score).cast("double").alias("_s"),
-                  (F.col(label) == 1).cast("double").alias("pos"),
-                  (F.col(label) != 1).cast("double").alias("neg")).where(F.col("_s").isNotNull())
+    w = df.where(F.col(label).isNotNull()).select(
+        nan_to_null(F.col(score).cast("double")).alias("_s"), (F.col(label) == 1).cast("double").alias("pos"),
+        (F.col(label) != 1).cast("double").alias("neg")).where(F.col("_s").isNotNull())
     cum = cumulative_by_value(w, "_s", ["pos", "neg"])
-    return cum.agg((F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2))
-                    / (F.first("total_pos") * F.first("total_neg"))).alias("auc"),
+    return cum.agg(F.try_divide(F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2)),
+                                F.first("total_pos") * F.first("total_neg")).alias("auc"),
                    F.first("total_pos").cast("long").alias("n_pos"),
                    F.first("total_neg").cast("long").alias("n_neg"))
 
 
-def eval_auc_spark(df: DataFrame, label: str = "label", score: str = "score", num_bins: int = 1000) -> float:
-    """V2 with Spark's evaluator (binned above ``num_bins`` distinct scores)."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    d = df.select(F.col(label).cast("double").alias("label"), F.col(score).cast("double").alias("rawPrediction"))
-    return BinaryClassificationEvaluator(numBins=num_bins).evaluate(d)
-
-
 def eval_regression(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """V3: RMSE, MAE and R^2 in one aggregate; R^2 = 1 - SS_res / SS_tot."""
-    y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
-    err = y - p
-    return df.agg(F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"),
-                  (F.lit(1.0) - F.sum(err * err) / (F.var_pop(y) * F.count(y))).alias("r2"),
-                  F.count(y).alias("n"))
+    """V3: RMSE, MAE and R^2 in one aggregate; R^2 = 1 - SS_res / SS_tot (null for a constant label).
+
+    Rows that miss the label or the prediction (null or NaN) are left out of all four figures.
+    """
+    pairs = df.select(nan_to_null(F.col(label).cast("double")).alias("y"),
+                      nan_to_null(F.col(prediction).cast("double")).alias("p")).dropna()
+    err = F.col("y") - F.col("p")
+    return pairs.agg(F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"),
+                     (F.lit(1.0) - F.try_divide(F.sum(err * err), F.var_pop("y") * F.count("y"))).alias("r2"),
+                     F.count("y").alias("n"))
 
 
 def eval_smape(df: DataFrame, label: str = "label", prediction: str = "prediction",

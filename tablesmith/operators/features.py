@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from tablesmith.functions import columns as C
 from tablesmith.functions import text as TX
+from tablesmith.functions.columns import nan_free, quoted
 from tablesmith.plans import quantiles as Q
 
-# fixed values: the widest one-column-per-category output allowed
+#: The widest one-column-per-category output by default; wider ones raise an error.
 MAX_WIDE_COLUMNS = 1000
 
 
@@ -105,89 +106,63 @@ def tokenize(df: DataFrame, c: str, out: str = "words") -> DataFrame:
 class Vocabulary:
     terms: list[str]
 
-    def index_frame(self, spark) -> DataFrame:
-        return spark.createDataFrame(list(enumerate(self.terms)), "term_index int, term string")
 
+def fit_vocabulary(tokens: DataFrame, col: str, vocab_size: int, min_df: int = 1) -> Vocabulary:
+    """Top terms by corpus count (ties: term ascending) among terms in >= min_df documents.
 
-def spread_documents(df: DataFrame, id_col: str) -> DataFrame:
-    """Hash-partition by document id when the scan gives fewer splits than there
-    are cores (a few large text files); a no-op on a cluster-sized input.  The
-    (id, term) grouping then needs no exchange of its own, since partitioning by
-    id already clusters every (id, term) group."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want, id_col)
-    return df
-
-
-def term_frequencies(tokens: DataFrame, id_col: str, col: str) -> DataFrame:
-    """(id, term, tf): one exploded grouping, combined map-side inside each document."""
-    return tokens.select(id_col, F.explode(col).alias("term")).groupBy(id_col, "term") \
-        .agg(F.count(F.lit(1)).alias("tf"))
-
-
-def fit_vocabulary(tf: DataFrame, vocab_size: int, min_df: int = 1) -> Vocabulary:
-    """Top terms by corpus count (ties: term ascending) among terms in >= min_df docs.
-
-    Only the chosen ``vocab_size`` terms reach the driver.
+    One pass without a shuffle of documents: every token brings one to its term's count and every distinct
+    token of a document one to its document frequency; both are summed with a map-side combine.  Only
+    the chosen ``vocab_size`` terms reach the driver.
     """
-    g = tf.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+    words = F.col(col)
+    seen = F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("df")))
+    if min_df > 1:
+        seen = F.concat(seen, F.transform(F.array_distinct(words), lambda w: F.struct(
+            w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("df"))))
+    g = tokens.select(F.explode(seen).alias("t")).groupBy("t.term").agg(F.sum("t.n").alias("n"), F.sum("t.df").alias("df"))
     if min_df > 1:
         g = g.where(F.col("df") >= min_df)
     top = g.orderBy(F.col("n").desc(), F.col("term").asc()).limit(vocab_size).collect()
     return Vocabulary([r["term"] for r in top])
 
 
-def term_counts(tf: DataFrame, id_col: str, vocab: Vocabulary) -> DataFrame:
-    """Long counts (id, term_index, term, n) of vocabulary terms per document.
-
-    The vocabulary is at most ``vocab_size`` rows: broadcast by construction.
-    """
-    v = F.broadcast(vocab.index_frame(tf.sparkSession))
-    return tf.join(v, "term").select(id_col, "term_index", "term", F.col("tf").alias("n"))
+def _counted(tokens: DataFrame, id_col: str, col: str, vocab: Vocabulary) -> DataFrame:
+    """(id, words): the document's tokens that are in the vocabulary (at most ``vocab_size`` literals)."""
+    held = F.array(*[F.lit(t) for t in vocab.terms]).cast("array<string>")
+    return tokens.select(quoted(id_col), F.filter(col, lambda w: F.array_contains(held, w)).alias("_held"))
 
 
-def _frequencies_once(tokens: DataFrame, id_col: str, col: str, reuse: bool) -> DataFrame:
-    """Term frequencies, checkpointed to the shared folder so that choosing the
-    vocabulary and counting read them instead of tokenising every text twice."""
-    tf = term_frequencies(tokens, id_col, col)
-    if reuse:
-        from tablesmith.session import cut_lineage
-        tf = cut_lineage(tf)
-    return tf
+def term_counts(tokens: DataFrame, id_col: str, col: str, vocab: Vocabulary) -> DataFrame:
+    """Long counts (id, term_index, term, n) of vocabulary terms per document, counted inside the row."""
+    kept = _counted(tokens, id_col, col, vocab).select(quoted(id_col), "_held", F.explode(F.array_distinct("_held")).alias("term"))
+    position = F.array_position(F.array(*[F.lit(t) for t in vocab.terms]).cast("array<string>"), F.col("term"))
+    return kept.select(quoted(id_col), (position - 1).cast("int").alias("term_index"), "term",
+                       F.size(F.filter("_held", lambda w: w == F.col("term"))).cast("long").alias("n"))
 
 
-def count_vectorize(df: DataFrame, id_col: str, text_col: str, vocab_size: int = 30, min_df: int = 1,
-                    as_vector: bool = False, reuse: bool = True):
+def count_vectorize(df: DataFrame, id_col: str, text_col: str, vocab_size: int = 30, min_df: int = 1):
     """Tokenize, choose the vocabulary, count.  Returns (counts, vocabulary).
 
-    ``as_vector=True`` returns Spark's sparse ``CountVectorizerModel`` output
-    built on the same (deterministically ordered) vocabulary.
+    Two passes over the texts and no shuffle of documents: the first sums terms with a map-side combine,
+    the second keeps the chosen terms' tokens and counts them in the row.
     """
-    toks = tokenize(spread_documents(df.select(id_col, text_col), id_col), text_col, "words")
-    if as_vector:
-        vocab = fit_vocabulary(term_frequencies(toks, id_col, "words"), vocab_size, min_df)
-        from pyspark.ml.feature import CountVectorizerModel
-        m = CountVectorizerModel.from_vocabulary(vocab.terms, inputCol="words", outputCol="features")
-        return m.transform(toks), vocab
-    tf = _frequencies_once(toks, id_col, "words", reuse)
-    vocab = fit_vocabulary(tf, vocab_size, min_df)
-    return term_counts(tf, id_col, vocab), vocab
+    toks = tokenize(df.select(quoted(id_col), quoted(text_col)), text_col, "words")
+    vocab = fit_vocabulary(toks, "words", vocab_size, min_df)
+    return term_counts(toks, id_col, "words", vocab), vocab
 
 
 def count_vectorize_wide(df: DataFrame, id_col: str, text_col: str, max_features: int = 30, min_df: int = 5,
-                         prefix: str = "cv_", reuse: bool = True) -> DataFrame:
+                         prefix: str = "cv_") -> DataFrame:
     """Word tokens (2+ word chars), English stop words removed, vocabulary of
-    terms in >= min_df documents by corpus count, one count column per term."""
-    words = spread_documents(df.select(id_col, text_col), id_col).select(id_col, F.filter(TX.word_tokens(text_col),
-                                       lambda w: ~w.isin(*TX.ENGLISH_STOP_WORDS)).alias("words"))
-    tf = _frequencies_once(words, id_col, "words", reuse)
-    vocab = fit_vocabulary(tf, max_features, min_df)
-    counts = term_counts(tf, id_col, vocab)
-    wide = counts.groupBy(id_col).pivot("term", vocab.terms).agg(F.first("n"))
-    out = df.select(id_col).join(wide, id_col, "left")
-    return out.select(id_col, *[F.coalesce(F.col(f"`{t}`"), F.lit(0)).cast("long").alias(f"{prefix}{t}")
-                                for t in vocab.terms])
+    terms in >= min_df documents by corpus count, one count column per term, counted in the row."""
+    words = df.select(quoted(id_col), F.filter(TX.word_tokens(text_col),
+                                               lambda w: ~w.isin(*TX.ENGLISH_STOP_WORDS)).alias("words"))
+    vocab = fit_vocabulary(words, "words", max_features, min_df)
+    held = _counted(words, id_col, "words", vocab)
+
+    def times(term: str):
+        return F.coalesce(F.size(F.filter("_held", lambda w: w == F.lit(term))), F.lit(0)).cast("long")
+    return held.select(quoted(id_col), *[times(t).alias(f"{prefix}{t}") for t in vocab.terms])
 
 
 # ---------------------------------------------------------------- E9-E12
@@ -213,15 +188,15 @@ def one_hot_vector(df: DataFrame, index_col: str, out: str, drop_last: bool = Tr
 
 
 def one_hot_wide(df: DataFrame, c: str, prefix: str | None = None, drop_first: bool = True,
-                 categories: Sequence[str] | None = None) -> DataFrame:
+                 categories: Sequence[str] | None = None, max_columns: int = MAX_WIDE_COLUMNS) -> DataFrame:
     """One 0/1 int column per category (sorted), first dropped; missing or
-    unseen -> all zeros.  Category count is checked against MAX_WIDE_COLUMNS."""
+    unseen -> all zeros.  More than ``max_columns`` categories raise an error."""
     prefix = prefix if prefix is not None else c
     if categories is None:
         cats = (df.select(c).where(F.col(c).isNotNull()).distinct()
-                .limit(MAX_WIDE_COLUMNS + 1).collect())
-        if len(cats) > MAX_WIDE_COLUMNS:
-            raise ValueError(f"{c} has more than {MAX_WIDE_COLUMNS} categories; use one_hot_vector")
+                .limit(max_columns + 1).collect())
+        if len(cats) > max_columns:
+            raise ValueError(f"{c} has more than {max_columns} categories; use one_hot_vector")
         categories = sorted(r[0] for r in cats)
     cats = list(categories)[1:] if drop_first else list(categories)
     return df.withColumns({f"{prefix}_{v}": F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0))
@@ -240,24 +215,26 @@ def scale_standard_wide(df: DataFrame, cols: Sequence[str], ddof: int = 1, with_
                         suffix: str = "_std") -> DataFrame:
     """(x - mean) / sd as new columns; sd with n - ddof (D7); sd 0 -> 0."""
     sd = F.stddev_samp if ddof == 1 else F.stddev_pop
+    df = nan_free(df, cols)
     row = df.agg(*[e for i, c in enumerate(cols)
-                   for e in (F.avg(c).alias(f"m{i}"), sd(c).alias(f"s{i}"))]).collect()[0]
+                   for e in (F.avg(quoted(c)).alias(f"m{i}"), sd(quoted(c)).alias(f"s{i}"))]).collect()[0]
     new = {}
     for i, c in enumerate(cols):
         m, s = row[f"m{i}"], row[f"s{i}"]
-        centred = F.col(c) - F.lit(m) if with_mean else F.col(c)
+        centred = F.col(quoted(c)) - F.lit(m) if with_mean else F.col(quoted(c))
         new[c + suffix] = F.lit(0.0) if not s else centred / F.lit(s)
     return df.withColumns(new)
 
 
 def scale_minmax_wide(df: DataFrame, cols: Sequence[str], suffix: str = "_minmax") -> DataFrame:
     """(x - min) / (max - min); a constant column maps to 0.5 (Spark rule)."""
+    df = nan_free(df, cols)
     row = df.agg(*[e for i, c in enumerate(cols)
-                   for e in (F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"))]).collect()[0]
+                   for e in (F.min(quoted(c)).alias(f"lo{i}"), F.max(quoted(c)).alias(f"hi{i}"))]).collect()[0]
     new = {}
     for i, c in enumerate(cols):
         lo, hi = row[f"lo{i}"], row[f"hi{i}"]
-        new[c + suffix] = F.lit(0.5) if hi == lo else (F.col(c) - F.lit(lo)) / F.lit(float(hi - lo))
+        new[c + suffix] = F.lit(0.5) if hi == lo else (F.col(quoted(c)) - F.lit(lo)) / F.lit(float(hi - lo))
     return df.withColumns(new)
 
 
@@ -337,7 +314,7 @@ def feature_pipeline(numeric: Sequence[str], categorical: Sequence[str], impute:
                               strategy=impute_strategy))
     num = [imputed.get(c, c) for c in numeric]
     if derived:
-        exprs = ", ".join(f"try_divide({imputed.get(a, a)}, {imputed.get(b, b)}) AS {n}"
+        exprs = ", ".join(f"try_divide({quoted(imputed.get(a, a))}, {quoted(imputed.get(b, b))}) AS {quoted(n)}"
                           for n, (a, b) in derived.items())
         stages.append(SQLTransformer(statement=f"SELECT *, {exprs} FROM __THIS__"))
         num += list(derived)

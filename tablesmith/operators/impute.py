@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import DoubleType, FloatType, IntegralType, NumericType
 
 from tablesmith.plans import quantiles as Q
 
@@ -65,14 +65,14 @@ def fit_mode(df: DataFrame, cols: Sequence[str]) -> FillModel:
     (-count, value) per column: no per-column job, no value map in one task.
     """
     values: dict[str, object] = {}
-    kinds = {"string": [], "double": []}
-    for c in cols:
+    kinds: dict[str, list[str]] = {}
+    for c in cols:  # integers and decimals keep their own type, so large ones stay exact
         t = df.schema[c].dataType
-        kinds["double" if isinstance(t, NumericType) else "string"].append(c)
+        kind = "double" if isinstance(t, (DoubleType, FloatType)) else "long" if isinstance(t, IntegralType) \
+            else t.simpleString() if isinstance(t, NumericType) else "string"
+        kinds.setdefault(kind, []).append(c)
     for kind, cs in kinds.items():
-        if not cs:
-            continue
-        sel = [Q.valid_value(c).alias(c) if kind == "double" else F.col(c).cast("string").alias(c) for c in cs]
+        sel = [Q.valid_value(c).alias(c) if kind == "double" else F.col(c).cast(kind).alias(c) for c in cs]
         long = df.select(*sel).unpivot([], cs, "column", "value").where(F.col("value").isNotNull())
         g = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
         best = g.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("neg_n"), F.col("value").alias("value"))).alias("b"))
@@ -86,7 +86,3 @@ def impute_mode(train: DataFrame, cols: Sequence[str], *others: DataFrame):
     m = fit_mode(train, cols)
     out = [m.transform(train)] + [m.transform(o) for o in others]
     return out[0] if not others else tuple(out)
-
-
-def string_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]

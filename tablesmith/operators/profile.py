@@ -7,7 +7,6 @@ column) and returned as long, typed DataFrames.  Only aggregate constants
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +14,8 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import DoubleType, FloatType, NumericType
 
-from tablesmith.functions.columns import exact_mean, round_half_away, round_half_away_value
+from tablesmith.functions.columns import (equal_width_bin, exact_mean, nan_free, quoted, round_half_away,
+                                          round_half_away_value)
 
 from tablesmith.plans import quantiles as Q
 
@@ -45,7 +45,7 @@ def group_count(df: DataFrame, by: Sequence[str] | str) -> DataFrame:
 def _group_stat(df, by, cols, fn, prefix):
     by = [by] if isinstance(by, str) else list(by)
     cols = cols or numeric_columns(df, exclude=by)
-    return df.groupBy(*by).agg(*[fn(c).alias(f"{prefix}_{c}") for c in cols])
+    return nan_free(df, cols).groupBy(*by).agg(*[fn(F.col(quoted(c))).alias(f"{prefix}_{c}") for c in cols])
 
 
 def group_mean(df: DataFrame, by, cols: Sequence[str] | None = None) -> DataFrame:
@@ -132,11 +132,11 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- A10-A13
 
-def value_share(df: DataFrame, c: str) -> DataFrame:
+def value_share(df: DataFrame, c: str, digits: int = 6) -> DataFrame:
     """A10: count and share of each value of ``c`` (null is a value)."""
-    total = df.count()
-    return (df.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("share", round_half_away(F.col("n") / F.lit(total), 6)))
+    counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("_total"))  # one row, from the grouped counts
+    return counts.join(F.broadcast(total)).select(c, "n", round_half_away(F.col("n") / F.col("_total"), digits).alias("share"))
 
 
 def unpivot_values(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (),
@@ -151,10 +151,10 @@ def rating_distribution(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     One unpivot and one grouping instead of three jobs per column.  Missing
     answers are not counted.
     """
-    long = unpivot_values(df, cols).where(F.col("value").isNotNull())
+    long = unpivot_values(nan_free(df, cols), cols).where(F.col("value").isNotNull())
     g = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    per_col = long.groupBy("column").agg(F.count(F.lit(1)).alias("n_col"),
-                                         F.avg("value").alias("col_mean"))
+    # totals and means follow from the grouped counts
+    per_col = g.groupBy("column").agg(F.sum("n").alias("n_col"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("col_mean"))
     # per_col holds one row per listed column: bounded
     return (g.join(F.broadcast(per_col), "column")
             .select("column", "value", "n",
@@ -164,14 +164,15 @@ def rating_distribution(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def column_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Mean of each listed column (one row)."""
-    return df.agg(*[F.avg(c).alias(f"mean_{c}") for c in cols])
+    return nan_free(df, cols).agg(*[F.avg(F.col(quoted(c))).alias(f"mean_{c}") for c in cols])
 
 
 def overall_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Mean over all cells of the listed columns (missing cells skipped)."""
+    df = nan_free(df, cols)
     parts_sum = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols), F.lit(0.0))
     parts_n = sum((F.col(c).isNotNull().cast("long") for c in cols), F.lit(0))
-    return df.agg((F.sum(parts_sum) / F.sum(parts_n)).alias("overall_mean"),
+    return df.agg(F.try_divide(F.sum(parts_sum), F.sum(parts_n)).alias("overall_mean"),
                   F.sum(parts_n).alias("n_cells"))
 
 
@@ -221,68 +222,61 @@ def approx_quantiles(df, cols, probs=(0.01, 0.5, 0.99), relative_error: float =
 # ---------------------------------------------------------------- A20-A22
 
 def corr_matrix_pearson(df: DataFrame, cols: Sequence[str], digits: int | None = 6) -> DataFrame:
-    """Every pair's Pearson r from one aggregate, long form (x, y, r)."""
+    """Every pair's Pearson r from one aggregate, long form (x, y, r).
+
+    Each pair uses the rows where both are present (null and NaN are missing); r is null without spread.
+    """
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    one = df.agg(*[F.corr(a, b).alias(f"r__{i}") for i, (a, b) in enumerate(pairs)])
-    structs = []
+    structs = [F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"), F.lit(1.0).alias("r")) for c in cols]
     for i, (a, b) in enumerate(pairs):
         r = F.col(f"r__{i}")
         r = round_half_away(r, digits) if digits is not None else r
         structs += [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r.alias("r")),
                     F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), r.alias("r"))]
-    structs += [F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"), F.lit(1.0).alias("r")) for c in cols]
+    one = nan_free(df, cols).agg(F.count(F.lit(1)).alias("n_rows"),
+                                 *[F.corr(quoted(a), quoted(b)).alias(f"r__{i}") for i, (a, b) in enumerate(pairs)])
     return one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
 def corr_matrix_spearman(df: DataFrame, cols: Sequence[str], digits: int | None = 6) -> DataFrame:
     """Spearman rank correlation (average ranks for ties) of every pair.
 
-    Rows missing any listed column are left out.  Each column's distinct
-    values get their average rank from range-partitioned running counts
-    (``plans.ranking``); the rank tables are joined back on the value (AQE
-    broadcasts the small ones) and all Pearson correlations of the ranks come
-    from one aggregate.
+    Each pair uses the rows where both are present, like Pearson and Kendall.  Distinct points
+    (a, b, n) of a pair are counted once, map-side combined; ranks come from range-partitioned running counts
+    over the points' values (``plans.ranking``), all pairs and both sides in one plan; a
+    weighted correlation of the ranks is one aggregate.  Rows themselves are never ranked or joined.
     """
-    from tablesmith.plans.ranking import average_ranks_long
+    from tablesmith.plans.ranking import cumulative_by_value
+    from tablesmith.session import cut_lineage
     cols = list(cols)
-    base = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    if len(cols) > 1:
-        base = base.where(~F.greatest(*[F.isnan(c) for c in cols]))
-    else:
-        base = base.where(~F.isnan(cols[0]))
-    ranks = average_ranks_long(base, cols).persist()   # distinct values x columns, reused by every join
-    try:
-        ranked = base
-        for c in cols:
-            ranked = ranked.join(ranks.where(F.col("column") == c)
-                                 .select(F.col("value").alias(c), F.col("rank").alias(f"_rk_{c}")), c)
-        pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-        row = ranked.agg(*[F.corr(f"_rk_{a}", f"_rk_{b}").alias(f"r{i}") for i, (a, b) in enumerate(pairs)]) \
-            .collect()[0] if pairs else {}
-    finally:
-        ranks.unpersist()
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     rows = [(c, c, 1.0) for c in cols]
-    for i, (a, b) in enumerate(pairs):
-        r = row[f"r{i}"]
-        r = round_half_away_value(r, digits) if (digits is not None and r is not None) else r
-        rows += [(a, b, r), (b, a, r)]
-    return df.sparkSession.createDataFrame(rows, "x string, y string, r double")
-
-
-def corr_matrix_spearman_mllib(df: DataFrame, cols: Sequence[str], digits: int | None = 6) -> DataFrame:
-    """A21 through MLlib's ``Correlation.corr(..., "spearman")`` (RDD sorts)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    cols = list(cols)
-    vec = VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="skip").transform(
-        df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-    m = Correlation.corr(vec, "_v", "spearman").head()[0].toArray()  # k x k
-    rows = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            r = float(m[i][j])
-            rows.append((a, b, round_half_away_value(r, digits) if digits is not None else r))
+    if pairs:
+        base = nan_free(df.select(*[F.col(quoted(c)).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]))
+        both = [F.struct(F.lit(k).alias("pair"), F.col(f"c{cols.index(a)}").alias("a"), F.col(f"c{cols.index(b)}").alias("b"))
+                for k, (a, b) in enumerate(pairs)]
+        points = (base.select(F.explode(F.array(*both)).alias("p")).select("p.*").dropna()
+                  .groupBy("pair", "a", "b").agg(F.count(F.lit(1)).cast("double").alias("n")))
+        points = cut_lineage(points)
+        sides = points.select((F.col("pair") * 2).alias("side"), F.col("a").alias("value"), "n").unionByName(
+            points.select((F.col("pair") * 2 + 1).alias("side"), F.col("b").alias("value"), "n"))
+        ranks = cut_lineage(cumulative_by_value(sides, "value", ["n"], ["side"]).select(
+            "side", "value", (F.col("below_n") + (F.col("n") + F.lit(1.0)) / F.lit(2.0)).alias("rank")))
+        left = ranks.where("side % 2 = 0").select((F.col("side") / 2).cast("int").alias("pair"), F.col("value").alias("a"), F.col("rank").alias("ra"))
+        right = ranks.where("side % 2 = 1").select(((F.col("side") - 1) / 2).cast("int").alias("pair"), F.col("value").alias("b"), F.col("rank").alias("rb"))
+        ranked = points.join(left, ["pair", "a"]).join(right, ["pair", "b"])
+        # mean rank is (N + 1) / 2; centring first keeps the sums accurate
+        total = points.groupBy("pair").agg(((F.sum("n") + 1) / 2).alias("mid"))
+        c = ranked.join(F.broadcast(total), "pair")  # one row per pair of columns
+        da, db = F.col("ra") - F.col("mid"), F.col("rb") - F.col("mid")
+        sums = c.groupBy("pair").agg(F.sum(F.col("n") * da * db).alias("ab"), F.sum(F.col("n") * da * da).alias("aa"),
+                                     F.sum(F.col("n") * db * db).alias("bb"))
+        found = {r["pair"]: r["r"] for r in sums.select("pair", F.try_divide(F.col("ab"), F.sqrt("aa") * F.sqrt("bb")).alias("r")).collect()}
+        for k, (a, b) in enumerate(pairs):
+            r = found.get(k)
+            r = round_half_away_value(r, digits) if (digits is not None and r is not None) else r
+            rows += [(a, b, r), (b, a, r)]
     return df.sparkSession.createDataFrame(rows, "x string, y string, r double")
 
 
@@ -301,14 +295,6 @@ def corr_matrix_kendall(df: DataFrame, cols: Sequence[str], digits: int | None =
 
 # ---------------------------------------------------------------- A23-A25
 
-def _bin_expr(x: Column, lo: float, hi: float, bins: int) -> Column:
-    """Equal-width bin 0..bins-1 over [lo, hi]; the last bin is closed."""
-    if hi == lo:
-        return F.when(x.isNotNull(), F.lit(0))
-    b = F.floor((x - F.lit(lo)) / F.lit((hi - lo) / bins)).cast("int")
-    return F.when(x.isNull(), F.lit(None).cast("int")).otherwise(F.least(b, F.lit(bins - 1)))
-
-
 def histogram(df: DataFrame, c: str, bins: int = 30) -> DataFrame:
     """Equal-width counts over [min, max], empty bins included."""
     mm = df.agg(F.min(Q.valid_value(c)).alias("lo"), F.max(Q.valid_value(c)).alias("hi")).collect()[0]
@@ -317,7 +303,7 @@ def histogram(df: DataFrame, c: str, bins: int = 30) -> DataFrame:
         return spark.createDataFrame([], "bin int, lower double, upper double, n long")
     lo, hi = float(mm["lo"]), float(mm["hi"])
     width = (hi - lo) / bins
-    counts = (df.select(_bin_expr(Q.valid_value(c), lo, hi, bins).alias("bin"))
+    counts = (df.select(equal_width_bin(Q.valid_value(c), lo, hi, bins).alias("bin"))
               .where(F.col("bin").isNotNull()).groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
     grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (grid.join(counts, "bin", "left")
@@ -328,11 +314,12 @@ def histogram(df: DataFrame, c: str, bins: int = 30) -> DataFrame:
 
 def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
     """2-D binned counts of a point cloud (the data behind a scatter plot)."""
+    df = nan_free(df, [x, y])
     mm = df.agg(F.min(x).alias("xl"), F.max(x).alias("xh"), F.min(y).alias("yl"), F.max(y).alias("yh")).collect()[0]
-    if mm["xl"] is None:
+    if mm["xl"] is None or mm["yl"] is None:
         return df.sparkSession.createDataFrame([], "bx int, by int, n long")
-    return (df.select(_bin_expr(F.col(x).cast("double"), float(mm["xl"]), float(mm["xh"]), bins).alias("bx"),
-                      _bin_expr(F.col(y).cast("double"), float(mm["yl"]), float(mm["yh"]), bins).alias("by"))
+    return (df.select(equal_width_bin(F.col(x), float(mm["xl"]), float(mm["xh"]), bins).alias("bx"),
+                      equal_width_bin(F.col(y), float(mm["yl"]), float(mm["yh"]), bins).alias("by"))
             .where(F.col("bx").isNotNull() & F.col("by").isNotNull())
             .groupBy("bx", "by").agg(F.count(F.lit(1)).alias("n")))
 
@@ -353,9 +340,9 @@ def pair_bins(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
     cols = list(cols)
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.min(F.col(c).cast("double")).alias(f"lo{i}"), F.max(F.col(c).cast("double")).alias(f"hi{i}")]
+        aggs += [F.min(Q.valid_value(c)).alias(f"lo{i}"), F.max(Q.valid_value(c)).alias(f"hi{i}")]
     mm = df.agg(*aggs).collect()[0]
-    binned = df.select(*[(_bin_expr(F.col(c).cast("double"), float(mm[f"lo{i}"]), float(mm[f"hi{i}"]), bins)
+    binned = df.select(*[(equal_width_bin(F.col(c), float(mm[f"lo{i}"]), float(mm[f"hi{i}"]), bins)
                           if mm[f"lo{i}"] is not None else F.lit(None).cast("int")).alias(c)
                          for i, c in enumerate(cols)])
     pairs = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).alias("bx"), F.col(b).alias("by"))
@@ -433,7 +420,3 @@ def top_features(scores: DataFrame, n: int = 10, score: str = "score", name: str
     """T4: the n best-scored features (ties by name)."""
     s = F.abs(F.col(score)) if by_abs else F.col(score)
     return scores.orderBy(s.desc_nulls_last(), F.col(name).asc()).limit(n)
-
-
-def is_finite(x: float | None) -> bool:
-    return x is not None and not math.isnan(x) and not math.isinf(x)

@@ -14,53 +14,62 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesmith.functions.columns import round_half_away
+from tablesmith.functions.columns import equal_width_bin, nan_free, round_half_away
+from tablesmith.plans import quantiles as Q
 
 
 def select_by_correlation(df: DataFrame, features: Sequence[str], target: str,
                           threshold: float = 0.3) -> DataFrame:
     """K1: |corr(x, target)| for every feature from one aggregate; keep > threshold."""
-    one = df.agg(*[F.corr(c, target).alias(f"r{i}") for i, c in enumerate(features)])
+    one = nan_free(df, [*features, target]).agg(*[F.corr(c, target).alias(f"r{i}") for i, c in enumerate(features)])
     structs = [F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("corr")) for i, c in enumerate(features)]
     long = one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
     return (long.withColumn("abs_corr", F.abs("corr"))
             .withColumn("selected", (F.col("abs_corr") > F.lit(threshold)).cast("int")))
 
 
-def _equal_width_bin(c: str, lo: float, hi: float, bins: int):
-    x = F.col(c).cast("double")
-    if hi == lo:
-        return F.when(x.isNotNull(), F.lit(0))
-    return F.least(F.floor((x - F.lit(lo)) / F.lit((hi - lo) / bins)).cast("int"), F.lit(bins - 1))
+def quantile_bin(c: str, cuts: Sequence[float]):
+    """Bin number by ascending cuts: how many of them are below the value; missing (null, NaN) gives null."""
+    x = Q.valid_value(c)
+    return F.when(x.isNotNull(), F.size(F.filter(F.array(*[F.lit(float(v)) for v in cuts]), lambda t: t < x))
+                  if cuts else F.lit(0))
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins: int = 10,
-                       target_bins: int | None = None) -> DataFrame:
+                       target_bins: int | None = None, equal_width: bool = False) -> DataFrame:
     """K2: plug-in mutual information (nats) between each binned feature and
     the (binned, if ``target_bins``) target.
 
     Another estimator than a nearest-neighbour one: features are cut into
-    ``bins`` equal-width bins over [min, max]; MI = sum p(x,y) log(p(x,y) / (p(x) p(y))).
-    One aggregate for the ranges, one grouping over (feature, bin, target).
+    ``bins`` quantile bins (equal cuts merge), or with ``equal_width`` into bins of equal
+    width over [min, max]; MI = sum p(x,y) log(p(x,y) / (p(x) p(y))).  Rows that miss the feature or
+    the target (null or NaN) are left out for that feature.  The totals come from groupings of the
+    joint counts, joined on their keys, so no window holds a feature's whole table.
     """
     cols = list(features) + ([target] if target_bins else [])
-    mm = df.agg(*[e for i, c in enumerate(cols)
-                  for e in (F.min(F.col(c).cast("double")).alias(f"lo{i}"),
-                            F.max(F.col(c).cast("double")).alias(f"hi{i}"))]).collect()[0]
-    y = (_equal_width_bin(target, mm[f"lo{len(features)}"], mm[f"hi{len(features)}"], target_bins)
-         if target_bins else F.col(target))
-    binned = df.select(y.alias("_y"), *[_equal_width_bin(c, mm[f"lo{i}"], mm[f"hi{i}"], bins).alias(c)
-                                        for i, c in enumerate(features)])
-    long = (binned.select("_y", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("xb"))
-                                                     for c in features])).alias("s"))
-            .select("s.feature", "s.xb", "_y").where(F.col("xb").isNotNull() & F.col("_y").isNotNull()))
-    joint = long.groupBy("feature", "xb", "_y").agg(F.count(F.lit(1)).cast("double").alias("nxy"))
-    # the joint table holds at most features x bins x target values rows
-    wf = Window.partitionBy("feature")
-    wx = Window.partitionBy("feature", "xb")
-    wy = Window.partitionBy("feature", "_y")
-    j = joint.select("feature", "nxy", F.sum("nxy").over(wf).alias("n"),
-                     F.sum("nxy").over(wx).alias("nx"), F.sum("nxy").over(wy).alias("ny"))
+    wanted = {c: target_bins if target_bins and i == len(features) else bins for i, c in enumerate(cols)}
+    if equal_width:
+        one = df.agg(*[e for i, c in enumerate(cols) for e in (F.min(Q.valid_value(c)).alias(f"lo{i}"),
+                                                               F.max(Q.valid_value(c)).alias(f"hi{i}"))]).collect()[0]
+        binned = [equal_width_bin(F.col(c), one[f"lo{i}"], one[f"hi{i}"], wanted[c])
+                  if one[f"lo{i}"] is not None else F.lit(None).cast("int") for i, c in enumerate(cols)]
+    else:
+        most = sorted({i / n for n in wanted.values() for i in range(1, n)})
+        found = Q.exact_quantiles(df, list(dict.fromkeys(cols)), most)
+        at = {p: i for i, p in enumerate(most)}
+        binned = [quantile_bin(c, sorted({found[c][at[i / wanted[c]]] for i in range(1, wanted[c])} - {None})) for c in cols]
+    y = binned[-1] if target_bins else F.col(target)
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), x.cast("int").alias("xb")) for c, x in zip(features, binned)])
+    long = (df.select(y.alias("_y"), F.explode(pairs).alias("s")).select("s.feature", "s.xb", "_y")
+            .where(F.col("xb").isNotNull() & F.col("_y").isNotNull()))
+    if not target_bins:
+        long = nan_free(long, ["_y"]).where(F.col("_y").isNotNull())
+    from tablesmith.session import cut_lineage
+    joint = cut_lineage(long.groupBy("feature", "xb", "_y").agg(F.count(F.lit(1)).cast("double").alias("nxy")))
+    nx = joint.groupBy("feature", "xb").agg(F.sum("nxy").alias("nx"))
+    ny = joint.groupBy("feature", "_y").agg(F.sum("nxy").alias("ny"))
+    n = joint.groupBy("feature").agg(F.sum("nxy").alias("n"))
+    j = joint.join(nx, ["feature", "xb"]).join(ny, ["feature", "_y"]).join(n, "feature")
     term = F.col("nxy") / F.col("n") * F.log(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))
     return j.groupBy("feature").agg(F.sum(term).alias("mi"))
 
@@ -127,9 +136,10 @@ def select_from_model(importances: DataFrame, score: str = "importance") -> Data
 def select_k_best_f(df: DataFrame, features: Sequence[str], target: str, k: int = 10) -> DataFrame:
     """K6: univariate regression F statistic r^2 / (1 - r^2) * (n - 2), top k.
 
-    n counts rows where both the feature and the target are present.
+    n counts rows where both the feature and the target are present.  A feature with |r| = 1 has an
+    infinite F and comes first; one without spread has none and comes last.
     """
-    aggs = []
+    df, aggs = nan_free(df, [*features, target]), []
     for i, c in enumerate(features):
         both = F.col(c).isNotNull() & F.col(target).isNotNull()
         aggs += [F.corr(c, target).alias(f"r{i}"), F.sum(both.cast("long")).alias(f"n{i}")]
@@ -137,7 +147,8 @@ def select_k_best_f(df: DataFrame, features: Sequence[str], target: str, k: int
     structs = [F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n"))
                for i, c in enumerate(features)]
     long = one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
-    f = F.col("r") * F.col("r") / (F.lit(1.0) - F.col("r") * F.col("r")) * (F.col("n") - 2)
+    r2 = F.col("r") * F.col("r")
+    f = F.when(F.abs(F.col("r")) >= 1, F.lit(float("inf"))).otherwise(F.try_divide(r2, F.lit(1.0) - r2) * (F.col("n") - 2))
     scored = long.withColumn("f_score", f)
     w = Window.orderBy(F.col("f_score").desc_nulls_last(), F.col("feature"))  # one row per feature
     return scored.withColumn("rank", F.row_number().over(w)).withColumn(
@@ -146,7 +157,7 @@ def select_k_best_f(df: DataFrame, features: Sequence[str], target: str, k: int
 
 def variance_threshold(df: DataFrame, features: Sequence[str], threshold: float = 0.01) -> DataFrame:
     """K7: sample variance per feature; keep variance > threshold (Spark's rule)."""
-    one = df.agg(*[F.var_samp(c).alias(f"v{i}") for i, c in enumerate(features)])
+    one = nan_free(df, features).agg(*[F.var_samp(c).alias(f"v{i}") for i, c in enumerate(features)])
     structs = [F.struct(F.lit(c).alias("feature"), F.col(f"v{i}").alias("variance")) for i, c in enumerate(features)]
     long = one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
     return long.withColumn("selected", (F.col("variance") > F.lit(threshold)).cast("int"))
@@ -163,18 +174,17 @@ def chi_square_scores(df: DataFrame, features: Sequence[str], label: str) -> Dat
                       F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("x"))
                                           for c in features])).alias("s"))
             .select("s.feature", "s.x", "_y").where(F.col("x").isNotNull() & F.col("_y").isNotNull()))
-    # the contingency table (features x categories x classes) feeds four branches: written once
+    # the contingency table holds observed cells only; chi2 = n * (sum o^2 / (nx ny) - 1) over them
     from tablesmith.session import cut_lineage
     obs = cut_lineage(long.groupBy("feature", "x", "_y").agg(F.count(F.lit(1)).cast("double").alias("o")))
     xs = obs.groupBy("feature", "x").agg(F.sum("o").alias("nx"))
     ys = obs.groupBy("feature", "_y").agg(F.sum("o").alias("ny"))
-    tot = obs.groupBy("feature").agg(F.sum("o").alias("n"), F.countDistinct("x").alias("kx"),
-                                     F.countDistinct("_y").alias("ky"))
-    cells = xs.join(ys, "feature").join(tot, "feature").join(obs, ["feature", "x", "_y"], "left")
-    e = F.col("nx") * F.col("ny") / F.col("n")
-    contrib = (F.coalesce(F.col("o"), F.lit(0.0)) - e) ** 2 / e
-    return cells.groupBy("feature").agg(F.sum(contrib).alias("chi2"),
-                                        F.first((F.col("kx") - 1) * (F.col("ky") - 1)).cast("int").alias("dof"))
+    tot = (xs.groupBy("feature").agg(F.sum("nx").alias("n"), F.count(F.lit(1)).alias("kx"))
+           .join(ys.groupBy("feature").agg(F.count(F.lit(1)).alias("ky")), "feature"))
+    cells = obs.join(xs, ["feature", "x"]).join(ys, ["feature", "_y"])
+    share = cells.groupBy("feature").agg(F.sum(F.col("o") * F.col("o") / (F.col("nx") * F.col("ny"))).alias("s"))
+    return share.join(tot, "feature").select(
+        "feature", (F.col("n") * (F.col("s") - 1)).alias("chi2"), ((F.col("kx") - 1) * (F.col("ky") - 1)).cast("int").alias("dof"))
 
 
 def chi_square_select(df: DataFrame, features: Sequence[str], label: str, k: int = 10) -> DataFrame:

@@ -12,37 +12,39 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.functions.columns import hash_bucket, hash_unit
-from tablesmith.plans.ranking import hash_order_ranks
+from tablesmith.functions.columns import hash_bucket, hash_unit, in_share, quoted
+from tablesmith.plans.ranking import hash_order_ranks, null_safe_join
 
 
 def split_random(df: DataFrame, key: Sequence[str], train_share: float = 0.8, salt: str = "",
                  out: str = "split") -> DataFrame:
-    """L1: 'train' when the key's hash bucket (of 100) is below train_share * 100."""
-    cut = int(round(train_share * 100))
-    return df.withColumn(out, F.when(hash_bucket(key, 100, salt) < cut, "train").otherwise("test"))
-
-
-def split_random_spark(df: DataFrame, weights=(0.8, 0.2), seed: int = 42):
-    """L1, Spark's own sampler (partition dependent)."""
-    return df.randomSplit(list(weights), seed)
+    """L1: 'train' when the key's 32-bit hash is below train_share * 2^32."""
+    return df.withColumn(out, F.when(in_share(key, train_share, salt), "train").otherwise("test"))
 
 
 def split_stratified(df: DataFrame, stratum: str | Sequence[str], key: Sequence[str], train_share: float = 0.8,
                      salt: str = "", out: str = "split") -> DataFrame:
     """L2: exactly round(train_share * n_s) rows of every stratum go to train,
-    chosen by hash order of the key (ties by key).  Ranks come from
-    ``hash_order_ranks``, so a huge stratum is not ranked in one task."""
+    chosen by hash order of the key (ties by key).  A missing stratum is one too.
+
+    Ranks are taken over (stratum, hash, key) only, spread over hash ranges
+    (``hash_order_ranks``); they give each stratum the last (hash, key) of its train
+    rows, and the rows themselves are only compared with that threshold.
+    """
     strata = [stratum] if isinstance(stratum, str) else list(stratum)
-    h = df.withColumn("_h", hash_unit(key, salt))
-    r = hash_order_ranks(h, strata, "_h", list(key), out="_rank")
+    order = F.struct(F.col("_h").alias("h"), *[F.col(quoted(k)).alias(f"k{i}") for i, k in enumerate(key)])
+    hashed = df.withColumn("_h", hash_unit([F.col(quoted(k)) for k in key], salt))
+    narrow = hashed.select(*[quoted(c) for c in strata], "_h", order.alias("_last"))
+    ranked = hash_order_ranks(narrow, strata, "_h", ["_last"], out="_rank")
     n_train = F.floor(F.col("_group_n") * F.lit(train_share) + F.lit(0.5))
-    return (r.withColumn(out, F.when(F.col("_rank") < n_train, "train").otherwise("test"))
-            .drop("_h", "_rank", "_group_n"))
+    last = ranked.where(F.col("_rank") == n_train - 1).select(*[quoted(c) for c in strata], "_last")
+    placed = null_safe_join(hashed, last, strata, "left")
+    train = F.coalesce(order <= F.col("_last"), F.lit(False))
+    return placed.withColumn(out, F.when(train, "train").otherwise("test")).drop("_h", "_last")
 
 
 def split_chronological(df: DataFrame, ts: str, train_share: float = 0.8, out: str = "split") -> DataFrame:
-    """L3: time <= min + share * (max - min) -> train (epoch seconds).
+    """L3: time <= min + share * (max - min) -> train (epoch seconds); a missing time gives null.
 
     A wall-clock ``timestamp_ntz`` is measured from 1970-01-01 00:00 wall time,
     so the cut does not depend on the session time zone.
@@ -56,7 +58,7 @@ def split_chronological(df: DataFrame, ts: str, train_share: float = 0.8, out: s
     if mm["lo"] is None:
         return df.withColumn(out, F.lit(None).cast("string"))
     cutoff = mm["lo"] + train_share * (mm["hi"] - mm["lo"])
-    return df.withColumn(out, F.when(secs <= F.lit(cutoff), "train").otherwise("test"))
+    return df.withColumn(out, F.when(secs <= F.lit(cutoff), "train").when(secs.isNotNull(), "test"))
 
 
 def kfold(df: DataFrame, key: Sequence[str], k: int = 5, salt: str = "fold", out: str = "fold") -> DataFrame:

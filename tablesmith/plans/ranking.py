@@ -2,95 +2,75 @@
 
 A window ``PARTITION BY g ORDER BY v`` puts all rows of a group in one task;
 with a group holding a third of the data that task is the job.  Here the
-order key is cut into B ranges first.  Counts per (group, range) form a small
-table whose running sums give each range its offset; inside a range a window
-partitioned by (group, range) does the rest.  A hot group is thus spread over
-B tasks, and the offsets table has at most groups x B rows.
+order key is cut into ranges first, as many as the session has shuffle
+partitions, so their number follows the cluster's setting.  Totals per (group,
+range) form a small table whose running sums give each range its offset; inside
+a range a window partitioned by (group, range) does the rest.  A hot group is
+thus spread over all ranges, and the offsets table has at most groups x ranges
+rows.  Groups compare null-safe: a missing group is a group of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablesmith.functions.columns import quoted
 from tablesmith.session import cut_lineage
 
-# fixed tuning value: ranges per group
-RANGES = 64
-CUT_ACCURACY = 1000             # rank error of the range cuts: balance only, never the result
-MAX_LITERAL_GROUPS = 1000       # up to this many groups their cuts travel as literals
-MAX_BROADCAST_ROWS = 100_000    # an offsets table this small (checked) is broadcast
 
+def shuffle_ranges(df: DataFrame) -> int:
+    """Ranges to cut an order into: the session's shuffle partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def bounded_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """The small side of a join, broadcast only after a bounded collect proved
-    it has at most ``max_rows`` rows; otherwise left to a shuffle join."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-    return df
 
-
-def _range_of(value: Column, cuts: Sequence[float]) -> Column:
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda t: t < value))
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where null equals null; the keys appear once, from the left side."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [left[quoted(k)].eqNullSafe(renamed[quoted(f"_right_{k}")]) for k in keys]
+    return left.join(renamed, reduce(Column.__and__, on), how).drop(*[f"_right_{k}" for k in keys])
 
 
 def hash_order_ranks(df: DataFrame, group_cols: Sequence[str], hash_col: str, tie_cols: Sequence[str],
-                     out: str = "rank", ranges: int = RANGES) -> DataFrame:
+                     out: str = "rank", ranges: int | None = None) -> DataFrame:
     """0-based row rank inside each group, ordered by (hash_col, tie_cols...).
 
     ``hash_col`` must be uniform on [0, 2^32) (see ``hash_unit``), so equal-width
     ranges are balanced without sampling.  Adds ``out`` and ``_group_n``.
     """
     g = list(group_cols)
-    width = (1 << 32) // ranges
-    tagged = df.withColumn("_r", (F.col(hash_col) / F.lit(width)).cast("int"))
-    counts = tagged.groupBy(*g, "_r").agg(F.count(F.lit(1)).alias("_cnt"))
-    w_off = Window.partitionBy(*g).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*g)
-    offsets = counts.select(*g, "_r", F.coalesce(F.sum("_cnt").over(w_off), F.lit(0)).alias("_off"),
+    by = [quoted(c) for c in g]
+    width = -(-(1 << 32) // (ranges or shuffle_ranges(df)))
+    tagged = df.withColumn("_r", F.floor(F.col(hash_col) / F.lit(width)).cast("int"))
+    counts = tagged.groupBy(*by, "_r").agg(F.count(F.lit(1)).alias("_cnt"))
+    w_off = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*by)
+    offsets = counts.select(*by, "_r", F.coalesce(F.sum("_cnt").over(w_off), F.lit(0)).alias("_off"),
                             F.sum("_cnt").over(w_all).alias("_group_n"))
-    w_in = Window.partitionBy(*g, "_r").orderBy(F.col(hash_col), *[F.col(t) for t in tie_cols])
+    w_in = Window.partitionBy(*by, "_r").orderBy(F.col(hash_col), *[F.col(quoted(t)) for t in tie_cols])
     ranked = tagged.withColumn("_rn", F.row_number().over(w_in))
-    return (ranked.join(bounded_side(offsets), [*g, "_r"])
+    return (null_safe_join(ranked, offsets, [*g, "_r"])
             .withColumn(out, F.col("_off") + F.col("_rn") - 1)
             .drop("_r", "_rn", "_off"))
 
 
 def cumulative_by_value(df: DataFrame, value: str, weights: Sequence[str], group_cols: Sequence[str] = (),
-                        ranges: int = RANGES) -> DataFrame:
+                        ranges: int | None = None) -> DataFrame:
     """Per distinct (group, value): the weight sums at that value and strictly below it.
 
     Rows are first combined to distinct values (map-side), so a hot value is
-    one row.  Range cuts come from a sketch over each group's distinct values
-    (one row of cuts per group, joined by the group key); they only balance
-    work and never change the result.
+    one row.  Spark's range partitioning over (group, value) cuts the order; the
+    combined table with its range numbers is written once to the shared checkpoint
+    folder, since both the range totals and the in-range sums read it.
     Output columns: group..., value, w (at value), below_w (< value), total_w.
     """
     g = list(group_cols)
-    # the combined table feeds three branches (cuts, range totals, in-range sums):
-    # written once to the shared checkpoint folder instead of recomputed from the input
-    distinct = cut_lineage(df.groupBy(*g, value).agg(*[F.sum(w).alias(w) for w in weights]))
-    qs = [i / ranges for i in range(1, ranges)]
-    v = F.col(value).cast("double")
-    if g:
-        cuts = distinct.groupBy(*g).agg(F.percentile_approx(v, qs, CUT_ACCURACY).alias("_cuts"))
-        few = cuts.limit(MAX_LITERAL_GROUPS + 1).collect() if len(g) == 1 else []
-        if len(g) == 1 and len(few) <= MAX_LITERAL_GROUPS:
-            # few groups: their cut lists become a literal map (no join)
-            m = F.create_map(*[x for r in few for x in (F.lit(r[g[0]]), F.array(*[F.lit(float(c)) for c in r["_cuts"]]))])
-            tagged = distinct.withColumn("_r", F.size(F.filter(F.element_at(m, F.col(g[0])), lambda t: t < v)))
-        else:
-            tagged = (distinct.join(cuts, g)
-                      .withColumn("_r", F.size(F.filter("_cuts", lambda t: t < F.col(value).cast("double"))))
-                      .drop("_cuts"))
-    else:
-        row = distinct.agg(F.percentile_approx(v, qs, CUT_ACCURACY).alias("c")).collect()[0]
-        tagged = distinct.withColumn("_r", _range_of(v, sorted(set(row["c"] or []))))
+    combined = df.groupBy(*g, value).agg(*[F.sum(w).alias(w) for w in weights])
+    cut = combined.repartitionByRange(ranges, *g, value) if ranges else combined.repartitionByRange(*g, value)
+    tagged = cut_lineage(cut.withColumn("_r", F.spark_partition_id()))
     per_range = tagged.groupBy(*g, "_r").agg(*[F.sum(w).alias(f"_rs_{w}") for w in weights])
     w_off = Window.partitionBy(*g).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*g)
@@ -101,20 +81,20 @@ def cumulative_by_value(df: DataFrame, value: str, weights: Sequence[str], group
     w_in = Window.partitionBy(*g, "_r").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     inner = tagged.select(*g, value, "_r", *weights,
                           *[F.coalesce(F.sum(w).over(w_in), F.lit(0)).alias(f"_in_{w}") for w in weights])
-    out = inner.join(bounded_side(offsets), [*g, "_r"])
+    out = null_safe_join(inner, offsets, [*g, "_r"])
     return out.select(*g, value, *weights,
                       *[(F.col(f"_off_{w}") + F.col(f"_in_{w}")).alias(f"below_{w}") for w in weights],
                       *[F.col(f"total_{w}") for w in weights])
 
 
-def average_ranks(df: DataFrame, value: str, ranges: int = RANGES) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, ranges: int | None = None) -> DataFrame:
     """(value, rank): 1-based average rank of each distinct value (ties share the mean rank)."""
     ones = df.select(value, F.lit(1.0).alias("_one")).where(F.col(value).isNotNull())
     c = cumulative_by_value(ones, value, ["_one"], ranges=ranges)
     return c.select(value, (F.col("below__one") + (F.col("_one") + F.lit(1.0)) / F.lit(2.0)).alias("rank"))
 
 
-def average_ranks_long(df: DataFrame, cols: Sequence[str], ranges: int = RANGES) -> DataFrame:
+def average_ranks_long(df: DataFrame, cols: Sequence[str], ranges: int | None = None) -> DataFrame:
     """(column, value, rank) for several numeric columns in one plan."""
     long = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
             .unpivot([], list(cols), "column", "value").where(F.col("value").isNotNull())

@@ -16,7 +16,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, QueryFn] = {}
 _SQL: dict[str, str] = {}
 _MODULES = ["sources", "clean", "profile", "prepare", "features", "selection",
-            "learn", "forecast", "scoring"]
+            "learn", "forecast", "scoring", "gaps"]
 
 
 def register(name: str, sql: str | None = None):
@@ -31,11 +31,7 @@ def register(name: str, sql: str | None = None):
 
 def _load() -> None:
     for m in _MODULES:
-        try:
-            importlib.import_module(f"tablesmith.queries.q_{m}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if e.name != f"tablesmith.queries.q_{m}":
-                raise
+        importlib.import_module(f"tablesmith.queries.q_{m}")
 
 
 def queries() -> dict[str, QueryFn]:

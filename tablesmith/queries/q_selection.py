@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablesmith.functions.columns import round_half_away, sql_hash_bucket, sql_hash_unit
+from tablesmith.functions.columns import round_half_away, sql_hash_bucket, sql_hash_unit, sql_in_share
 from tablesmith.operators import evaluate as EV
 from tablesmith.operators import select as S
 from tablesmith.operators import split as SP
@@ -36,6 +36,20 @@ def _bin_sql(c, lo, hi, bins):
             f"{bins - 1}) END")
 
 
+def _quantile_bin_sql(c, bins, src):
+    cuts = ", ".join(str(i / bins) for i in range(1, bins))
+    return (f"len(list_filter((SELECT list_distinct(quantile_cont({c}::DOUBLE, [{cuts}])) FROM {src}), lambda t: t < {c}))")
+
+
+def _mi_quantile_sql(feats, target, bins=10, target_bins=10, src="lineitem"):
+    """Bins by exact interpolated quantiles; missing values leave the feature's counts."""
+    b = ("(SELECT " + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN {_quantile_bin_sql(c, bins, src)} END AS {c}" for c in feats)
+         + f", CASE WHEN {target} IS NOT NULL THEN {_quantile_bin_sql(target, target_bins, src)} END AS _y FROM {src})")
+    long = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS xb, _y FROM {b} b WHERE {c} IS NOT NULL AND _y IS NOT NULL"
+                              for c in feats)
+    return _mi_from(long)
+
+
 def _mi_sql(feats, target, bins=10, target_bins=10):
     cols = list(feats) + [target]
     mm = "(SELECT " + ", ".join(f"min({c})::DOUBLE AS lo_{c}, max({c})::DOUBLE AS hi_{c}" for c in cols) \
@@ -43,6 +57,10 @@ def _mi_sql(feats, target, bins=10, target_bins=10):
     b = ("(SELECT " + ", ".join(f"{_bin_sql(c, 'lo_' + c, 'hi_' + c, bins)} AS {c}" for c in feats)
          + f", {_bin_sql(target, 'lo_' + target, 'hi_' + target, target_bins)} AS _y FROM lineitem, {mm} mm)")
     long = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS xb, _y FROM {b} b" for c in feats)
+    return _mi_from(long)
+
+
+def _mi_from(long):
     return f"""
 WITH j AS (SELECT feature, xb, _y, count(*)::DOUBLE AS nxy FROM ({long}) l GROUP BY feature, xb, _y),
 m AS (SELECT feature, nxy, sum(nxy) OVER (PARTITION BY feature) AS n, sum(nxy) OVER (PARTITION BY feature, xb) AS nx,
@@ -50,7 +68,12 @@ m AS (SELECT feature, nxy, sum(nxy) OVER (PARTITION BY feature) AS n, sum(nxy) O
 SELECT feature, round(sum(nxy / n * ln(nxy * n / (nx * ny))), 6) AS mi FROM m GROUP BY feature"""
 
 
-@register("mutual_information", _mi_sql(FEATS, TARGET))
+@register("mutual_information_equal_width", _mi_sql(FEATS, TARGET))
+def q_mi_equal(spark, sf):
+    return _r(S.mutual_information(T(spark, sf, "lineitem"), FEATS, TARGET, 10, 10, equal_width=True), ["mi"])
+
+
+@register("mutual_information", _mi_quantile_sql(FEATS, TARGET))
 def q_mi(spark, sf):
     return _r(S.mutual_information(T(spark, sf, "lineitem"), FEATS, TARGET, 10, 10), ["mi"])
 
@@ -158,7 +181,7 @@ def _summary_sql():
     f_score = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, round(corr({c}, {TARGET}) * corr({c}, {TARGET}) / (1 - corr({c}, {TARGET}) * "
         f"corr({c}, {TARGET})) * (count({c}) - 2), 9) AS score FROM lineitem" for c in FEATS)
-    mi = _mi_sql(FEATS, TARGET).replace("round(sum(nxy / n * ln(nxy * n / (nx * ny))), 6) AS mi",
+    mi = _mi_quantile_sql(FEATS, TARGET).replace("round(sum(nxy / n * ln(nxy * n / (nx * ny))), 6) AS mi",
                                          "round(sum(nxy / n * ln(nxy * n / (nx * ny))), 9) AS score")
     return f"""
 SELECT c.rank, c.correlation, f.f_test, m.mutual_info, v.variance
@@ -201,18 +224,20 @@ LKEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 @register("split_random", f"""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-  CASE WHEN {sql_hash_bucket(LKEY, 100, 'split')} < 80 THEN 'train' ELSE 'test' END AS split FROM lineitem""")
+  CASE WHEN {sql_in_share(LKEY, 0.8, 'split')} THEN 'train' ELSE 'test' END AS split FROM lineitem""")
 def q_split_random(spark, sf):
     return SP.split_random(T(spark, sf, "lineitem").select(*LKEY), LKEY, 0.8, salt="split")
 
 
 @register("split_stratified", f"""
-WITH h AS (SELECT o_orderkey, o_orderpriority, {sql_hash_unit(['o_orderkey'], 'strat')} AS h FROM orders),
+WITH h AS (SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority,
+  {sql_hash_unit(['o_orderkey'], 'strat')} AS h FROM orders),
 r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY h, o_orderkey) - 1 AS rk,
              count(*) OVER (PARTITION BY o_orderpriority) AS n FROM h)
 SELECT o_orderkey, o_orderpriority, CASE WHEN rk < floor(n * 0.8 + 0.5) THEN 'train' ELSE 'test' END AS split FROM r""")
 def q_split_stratified(spark, sf):
-    o = T(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    """Priorities as strata, missing ones (by rule) being a stratum too."""
+    o = T(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 7 != 0, F.col("o_orderpriority")).alias("o_orderpriority"))
     return SP.split_stratified(o, "o_orderpriority", ["o_orderkey"], 0.8, salt="strat")
 
 

@@ -114,17 +114,31 @@ def test_signed_dominance_matches_brute_force():
 
 
 def test_hot_group_is_spread_over_ranges(spark):
-    """A stratum with a third of all rows is ranked in many balanced ranges,
-    not in one window partition."""
+    """A stratum with a third of all rows is ranked in as many balanced ranges as the session shuffles into."""
     n = 30000
     rows = [("hot" if i % 3 == 0 else f"g{i % 50}", i) for i in range(n)]
     df = spark.createDataFrame(rows, "g string, k long").withColumn("h", hash_unit(["k"]))
-    width = (1 << 32) // ranking.RANGES
+    ranges = ranking.shuffle_ranges(df)
+    width = -(-(1 << 32) // ranges)
     sizes = (df.where("g = 'hot'").groupBy((F.col("h") / F.lit(width)).cast("int").alias("r")).count()
              .collect())
     counts = [r["count"] for r in sizes]
-    assert len(counts) == ranking.RANGES
-    assert max(counts) < 2 * (n / 3) / ranking.RANGES      # no range holds more than twice its share
+    assert len(counts) == ranges
+    assert max(counts) < 2 * (n / 3) / ranges      # no range holds more than twice its share
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 50])
+def test_missing_groups_keep_their_rows(spark, ranges):
+    rows = [(None if i % 4 == 0 else "ab"[i % 2], i, float(i % 9)) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, k long, v double").withColumn("h", hash_unit(["k"]))
+    got = ranking.hash_order_ranks(df, ["g"], "h", ["k"], out="r", ranges=ranges).collect()
+    assert len(got) == 200
+    for g in (None, "a", "b"):
+        assert sorted(r.r for r in got if r.g == g) == list(range(sum(x[0] == g for x in rows)))
+    total = ranking.cumulative_by_value(df.withColumn("w", F.lit(1.0)), "v", ["w"], ["g"], ranges=ranges).collect()
+    for r in total:
+        below = sum(x[0] == r.g and x[2] < r.v for x in rows)
+        assert (r.below_w, r.total_w) == (below, sum(x[0] == r.g for x in rows))
 
 
 def test_mode_of_a_hot_value(spark):
