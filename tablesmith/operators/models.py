@@ -18,7 +18,9 @@ MAX_TREE_DEPTH = 30
 
 
 def _depth(d: int) -> int:
-    return min(int(d), MAX_TREE_DEPTH)
+    if int(d) > MAX_TREE_DEPTH:
+        raise ValueError(f"tree depth {d}: Spark's trees go to {MAX_TREE_DEPTH}")
+    return int(d)
 
 
 def logistic_regression(max_iter: int = 100, reg: float = 0.0, elastic_net: float = 0.0,

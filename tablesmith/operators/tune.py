@@ -1,8 +1,10 @@
 """Tuning, comparison, automatic search and run logging.
 
-Fits are Spark ML jobs; several settings are fitted at once by driver threads
-(``parallelism``), the way CrossValidator does it.  Result tables are small
-DataFrames (one row per setting / family / run).
+A trial is one setting of one family, fitted and measured on folds that a hash of
+the row's key names, so results do not depend on the layout (D14).  Trials are
+Spark ML jobs; ``parallelism`` driver threads keep several in flight.  A trial that
+fails is recorded and ranked last; one whose turn comes after the deadline is recorded as not
+run.  Result tables are small DataFrames (one row per setting / family / run).
 """
 
 from __future__ import annotations
@@ -13,15 +15,20 @@ import random
 import time
 import uuid
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import (BinaryClassificationEvaluator, MulticlassClassificationEvaluator,
                                    RegressionEvaluator)
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablesmith.functions.columns import hash_unit, quoted
 from tablesmith.operators import models as M
 from tablesmith.operators.features import feature_pipeline
 
@@ -80,73 +87,143 @@ class Space:
             return rng.choice(list(self.options))
         raise ValueError(self.kind)
 
+    def highest(self):
+        """The largest value it can draw."""
+        return max(self.options) if self.kind == "choice" else self.high
+
+
+WHOLE_NUMBERS = ("maxDepth", "maxBins", "minInstancesPerNode", "numTrees", "maxIter")
+
 
 def draw_param_maps(estimator, space: Mapping[str, Space], n: int, seed: int = 42):
-    """Seeded random settings; integer parameters are cast, tree depth capped at 30."""
+    """Seeded random settings; whole-number parameters are rounded.  A space that allows a tree
+    deeper than Spark can build is refused."""
+    if "maxDepth" in space and space["maxDepth"].highest() > M.MAX_TREE_DEPTH:
+        raise ValueError(f"maxDepth up to {space['maxDepth'].highest()}: Spark's trees go to {M.MAX_TREE_DEPTH}")
     rng = random.Random(seed)
     maps = []
     for _ in range(n):
-        pm = {}
-        for name, s in space.items():
-            p = estimator.getParam(name)
-            v = s.draw(rng)
-            if name in ("maxDepth", "maxBins", "minInstancesPerNode", "numTrees", "maxIter"):
-                v = int(round(v))
-                if name == "maxDepth":
-                    v = min(v, M.MAX_TREE_DEPTH)
-                if name == "maxBins":
-                    v = max(v, 2)
-            pm[p] = v
-        maps.append(pm)
+        drawn = {name: s.draw(rng) for name, s in space.items()}
+        maps.append({estimator.getParam(name): int(round(v)) if name in WHOLE_NUMBERS else v for name, v in drawn.items()})
     return maps
 
 
+# --- trials -------------------------------------------------------------------
+
+@dataclass
+class Trial:
+    family: str
+    estimator: object
+    setting: dict
+    metric: float | None = None
+    status: str = "not run"
+    seconds: float = 0.0
+
+
+def fold_number(df: DataFrame, folds: int, key: Sequence[str] | None, salt: str) -> Column:
+    """Fold 0..folds-1 by a hash of the key, or of all columns without one (equal rows then share a fold)."""
+    def text(c: str) -> Column:
+        x = F.col(quoted(c))
+        x = vector_to_array(x).cast("string") if isinstance(df.schema[c].dataType, VectorUDT) else x.cast("string")
+        return F.coalesce(x, F.lit(""))
+    return F.pmod(hash_unit([text(c) for c in (key or df.columns)], salt), F.lit(folds)).cast("int")
+
+
+def run_trials(df: DataFrame, trials: Sequence[Trial], evaluator, folds: int = 3, key: Sequence[str] | None = None,
+               measured_folds: int | None = None, parallelism: int = 4, deadline: float | None = None,
+               fold_col: str | None = None, salt: str = "trial") -> list[Trial]:
+    """Fit and measure each trial on the folds (the first ``measured_folds`` of them, default all)."""
+    if fold_col is None:
+        df = df.withColumn("_fold", fold_number(df, folds, key, salt))
+    data = df.withColumnRenamed(fold_col, "_fold") if fold_col else df
+    data = data.persist()
+
+    def one(t: Trial) -> None:
+        if deadline is not None and time.time() >= deadline:
+            return
+        began = time.time()
+        try:
+            found = []
+            for f in range(measured_folds or folds):
+                model = t.estimator.copy(t.setting).fit(data.where(F.col("_fold") != f).drop("_fold"))
+                found.append(evaluator.evaluate(model.transform(data.where(F.col("_fold") == f))))
+            t.metric = float(sum(found) / len(found))
+            t.status = "ok" if math.isfinite(t.metric) else "failed: metric is not finite"
+            t.metric = t.metric if t.status == "ok" else None
+        except Exception as e:  # the trial's own failure: the search goes on
+            t.status = f"failed: {type(e).__name__}: {str(e).splitlines()[0][:200]}" if str(e) else f"failed: {type(e).__name__}"
+        t.seconds = time.time() - began
+
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            list(pool.map(inheritable_thread_target(df.sparkSession)(one), trials))
+    finally:
+        data.unpersist()
+    return list(trials)
+
+
+def board_of(spark: SparkSession, trials: Sequence[Trial], larger: bool) -> DataFrame:
+    """family, params, metric, status; best first, then failed trials, then those not run."""
+    rows = [(t.family, _param_text(t.setting), t.metric, t.status) for t in trials]
+    df = spark.createDataFrame(rows, "family string, params string, metric double, status string")
+    metric = F.col("metric").desc_nulls_last() if larger else F.col("metric").asc_nulls_last()
+    return df.orderBy(metric, F.col("status") == "not run", "family", "params")
+
+
+def best_trial(trials: Sequence[Trial], larger: bool) -> Trial | None:
+    done = [t for t in trials if t.metric is not None]
+    return min(done, key=lambda t: (-t.metric if larger else t.metric, t.family, _param_text(t.setting)), default=None)
+
+
+def log_trials(log: RunLog | None, experiment: str, trials: Sequence[Trial], metric: str) -> None:
+    if log is not None:
+        log.log_many(experiment, [(f"{t.family}-{i}", json.loads(_param_text(t.setting)),
+                                   {"seconds": t.seconds} | ({metric: t.metric} if t.metric is not None else {}),
+                                   {"family": t.family, "status": t.status}) for i, t in enumerate(trials)])
+
+
 def random_search(estimator, space: Mapping[str, Space], evaluator, df: DataFrame, n_trials: int = 10,
-                  train_ratio: float = 0.8, folds: int | None = None, parallelism: int = 4, seed: int = 42):
-    """V6: draw N settings, fit each on Spark, rank.  Validation split (or k folds)."""
-    maps = draw_param_maps(estimator, space, n_trials, seed)
-    if folds:
-        t = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds,
-                           parallelism=parallelism, seed=seed)
-        m = t.fit(df)
-        metrics = m.avgMetrics
-    else:
-        t = TrainValidationSplit(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator,
-                                 trainRatio=train_ratio, parallelism=parallelism, seed=seed)
-        m = t.fit(df)
-        metrics = m.validationMetrics
-    return m, _results(df.sparkSession, maps, metrics, evaluator.isLargerBetter())
+                  train_ratio: float = 0.8, folds: int | None = None, parallelism: int = 4, seed: int = 42,
+                  key: Sequence[str] | None = None, log: RunLog | None = None, experiment: str = "random_search"):
+    """V6: draw N settings, fit each on Spark, rank -> (best model refitted on all rows, table).
+
+    With ``folds`` each setting is measured on all of them; without, on one fold of about
+    ``1 - train_ratio`` of the rows.  Folds are a hash of ``key``.
+    """
+    trials = [Trial(type(estimator).__name__, estimator, m) for m in draw_param_maps(estimator, space, n_trials, seed)]
+    parts = folds or max(2, round(1 / max(1e-9, 1 - train_ratio)))
+    run_trials(df, trials, evaluator, parts, key, None if folds else 1, parallelism)
+    larger = evaluator.isLargerBetter()
+    log_trials(log, experiment, trials, evaluator.getMetricName())
+    best = best_trial(trials, larger)
+    return (best.estimator.copy(best.setting).fit(df) if best else None), board_of(df.sparkSession, trials, larger)
 
 
 def model_compare(families: Mapping[str, tuple], evaluator, df: DataFrame, folds: int = 3, parallelism: int = 4,
-                  seed: int = 42, refit: bool = True):
+                  seed: int = 42, refit: bool = True, key: Sequence[str] | None = None,
+                  log: RunLog | None = None, experiment: str = "model_compare"):
     """V7: tune each family (grid dict or Space dict + trials), choose the best,
     refit it on all rows with ``estimator.copy(best)``.
 
     ``families``: name -> (estimator, grid values) or (estimator, space, n_trials).
-    Returns (leaderboard, best refitted model or None).
+    Returns (leaderboard with each family's best, best refitted model or None).
     """
-    spark = df.sparkSession
-    board, best = [], None
-    larger = evaluator.isLargerBetter()
+    trials = []
     for name, spec in families.items():
-        est = spec[0]
-        if len(spec) == 2:
-            maps = grid(est, spec[1])
-        else:
-            maps = draw_param_maps(est, spec[1], spec[2], seed)
-        cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds,
-                            parallelism=parallelism, seed=seed).fit(df)
-        metrics = cv.avgMetrics
-        i = max(range(len(metrics)), key=lambda j: metrics[j]) if larger else \
-            min(range(len(metrics)), key=lambda j: metrics[j])
-        board.append((name, _param_text(maps[i]), float(metrics[i]), len(maps)))
-        if best is None or (metrics[i] > best[1] if larger else metrics[i] < best[1]):
-            best = (est, metrics[i], maps[i])
-    lb = spark.createDataFrame(board, "family string, params string, metric double, n_settings int")
-    lb = lb.orderBy(F.col("metric").desc() if larger else F.col("metric").asc(), "family")
-    model = best[0].copy(best[2]).fit(df) if (refit and best) else None
-    return lb, model
+        maps = grid(spec[0], spec[1]) if len(spec) == 2 else draw_param_maps(spec[0], spec[1], spec[2], seed)
+        trials += [Trial(name, spec[0], m) for m in maps]
+    run_trials(df, trials, evaluator, folds, key, parallelism=parallelism)
+    log_trials(log, experiment, trials, evaluator.getMetricName())
+    larger = evaluator.isLargerBetter()
+    board = []
+    for name in families:
+        own = [t for t in trials if t.family == name]
+        top = best_trial(own, larger) or own[0]
+        board.append((name, _param_text(top.setting), top.metric, len(own), sum(t.status == "ok" for t in own)))
+    lb = df.sparkSession.createDataFrame(board, "family string, params string, metric double, n_settings int, n_ok int")
+    lb = lb.orderBy(F.col("metric").desc_nulls_last() if larger else F.col("metric").asc_nulls_last(), "family")
+    best = best_trial(trials, larger)
+    return lb, (best.estimator.copy(best.setting).fit(df) if refit and best else None)
 
 
 def train_validate(train: DataFrame, val: DataFrame, features: Sequence[str], label: str = "label",
@@ -161,36 +238,26 @@ def train_validate(train: DataFrame, val: DataFrame, features: Sequence[str], la
 
 
 def _auto(df: DataFrame, label: str, numeric, categorical, families, evaluator, max_trials: int,
-          timeout_minutes: float, parallelism: int, seed: int, folds: int):
-    """Shared body of V9 / V10: fit the feature stages once, then random search
-    over families in rounds of ``parallelism`` trials until trials or time run out."""
-    feats = feature_pipeline(numeric, categorical, out="features").fit(df)
-    data = feats.transform(df).select("features", F.col(label).cast("double").alias("label")).persist()
-    try:
-        deadline = time.time() + timeout_minutes * 60
-        rows, done = [], 0
-        rng_seed = seed
-        names = list(families)
-        while done < max_trials and time.time() < deadline:
-            name = names[done % len(names)]
-            est, space = families[name]
-            n = min(parallelism, max_trials - done)
-            maps = draw_param_maps(est, space, n, rng_seed)
-            rng_seed += 1
-            cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds,
-                                parallelism=parallelism, seed=seed).fit(data)
-            rows += [(name, _param_text(pm), float(mv)) for pm, mv in zip(maps, cv.avgMetrics)]
-            done += n
-        larger = evaluator.isLargerBetter()
-        board = df.sparkSession.createDataFrame(rows, "family string, params string, metric double")
-        return board.orderBy(F.col("metric").desc() if larger else F.col("metric").asc(), "family", "params")
-    finally:
-        data.unpersist()
+          timeout_minutes: float, parallelism: int, seed: int, folds: int, key, log, experiment: str) -> DataFrame:
+    """Shared body of V9 / V10: fit the feature stages once, then random search over the families in turn,
+    so every family is tried whatever ``parallelism`` is, until trials or time run out."""
+    deadline = time.time() + timeout_minutes * 60
+    named = df.withColumn("_fold", fold_number(df, folds, key or [*numeric, *categorical, label], "auto"))
+    feats = feature_pipeline(numeric, categorical, out="features").fit(named)
+    data = feats.transform(named).select("features", F.col(quoted(label)).cast("double").alias("label"), "_fold")
+    names = list(families)
+    drawn = {f: draw_param_maps(*families[f], -(-max_trials // len(names)), seed + i) for i, f in enumerate(names)}
+    trials = [Trial(f, families[f][0], drawn[f][i // len(names)])
+              for i in range(max_trials) for f in [names[i % len(names)]]]
+    run_trials(data, trials, evaluator, folds, parallelism=parallelism, deadline=deadline, fold_col="_fold")
+    log_trials(log, experiment, trials, evaluator.getMetricName())
+    return board_of(df.sparkSession, trials, evaluator.isLargerBetter())
 
 
 def auto_classify(df: DataFrame, label: str, numeric, categorical, max_trials: int = 30,
                   timeout_minutes: float = 60, parallelism: int = 4, metric: str = "areaUnderROC",
-                  seed: int = 42, folds: int = 3) -> DataFrame:
+                  seed: int = 42, folds: int = 3, key: Sequence[str] | None = None, log: RunLog | None = None,
+                  experiment: str = "auto_classify") -> DataFrame:
     """V9: bounded automatic search over logistic regression, tree, forest, boosted trees."""
     S = Space
     fams = {
@@ -203,12 +270,14 @@ def auto_classify(df: DataFrame, label: str, numeric, categorical, max_trials: i
         "gbt": (M.gbt_classifier(), {"maxDepth": S("randint", 2, 6), "stepSize": S("loguniform", 0.01, 0.3)}),
     }
     ev = BinaryClassificationEvaluator(labelCol="label", metricName=metric)
-    return _auto(df, label, numeric, categorical, fams, ev, max_trials, timeout_minutes, parallelism, seed, folds)
+    return _auto(df, label, numeric, categorical, fams, ev, max_trials, timeout_minutes, parallelism, seed, folds,
+                 key, log, experiment)
 
 
 def auto_regress(df: DataFrame, label: str, numeric, categorical, max_trials: int = 30,
                  timeout_minutes: float = 60, parallelism: int = 4, metric: str = "rmse",
-                 seed: int = 42, folds: int = 3) -> DataFrame:
+                 seed: int = 42, folds: int = 3, key: Sequence[str] | None = None, log: RunLog | None = None,
+                 experiment: str = "auto_regress") -> DataFrame:
     """The same over tree, forest, boosted trees and linear regression."""
     S = Space
     fams = {
@@ -219,7 +288,8 @@ def auto_regress(df: DataFrame, label: str, numeric, categorical, max_trials: in
         "gbt": (M.gbt_regressor(), {"maxDepth": S("randint", 2, 6), "stepSize": S("loguniform", 0.01, 0.3)}),
     }
     ev = RegressionEvaluator(labelCol="label", metricName=metric)
-    return _auto(df, label, numeric, categorical, fams, ev, max_trials, timeout_minutes, parallelism, seed, folds)
+    return _auto(df, label, numeric, categorical, fams, ev, max_trials, timeout_minutes, parallelism, seed, folds,
+                 key, log, experiment)
 
 
 RUN_SCHEMA = ("run_id string, experiment string, run_name string, params map<string,string>, "
@@ -238,13 +308,18 @@ class RunLog:
 
     def log(self, experiment: str, run_name: str, params: Mapping, metrics: Mapping, tags: Mapping | None = None,
             run_id: str | None = None) -> str:
+        return self.log_many(experiment, [(run_name, params, metrics, tags or {})], [run_id or uuid.uuid4().hex])[0]
+
+    def log_many(self, experiment: str, runs: Sequence[tuple[str, Mapping, Mapping, Mapping]],
+                 run_ids: Sequence[str] | None = None) -> list[str]:
+        """Append several runs (name, params, metrics, tags) in one write."""
         import datetime as dt
-        rid = run_id or uuid.uuid4().hex
-        row = (rid, experiment, run_name, {k: str(v) for k, v in params.items()},
-               {k: float(v) for k, v in metrics.items()}, {k: str(v) for k, v in (tags or {}).items()},
-               dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
-        self.spark.createDataFrame([row], RUN_SCHEMA).write.mode("append").parquet(self.path)
-        return rid
+        ids = list(run_ids or [uuid.uuid4().hex for _ in runs])
+        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        rows = [(i, experiment, name, {k: str(v) for k, v in params.items()}, {k: float(v) for k, v in metrics.items()},
+                 {k: str(v) for k, v in tags.items()}, now) for i, (name, params, metrics, tags) in zip(ids, runs)]
+        self.spark.createDataFrame(rows, RUN_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+        return ids
 
     def runs(self) -> DataFrame:
         return self.spark.read.schema(RUN_SCHEMA).parquet(self.path).dropDuplicates(["run_id"])

@@ -26,20 +26,30 @@ def _value_model(events):
 
 
 def _event_files(spark, sf):
-    """Events rewritten as one file folder per day: the arriving files of a stream."""
+    """Events rewritten as one folder per day: the arriving files of a stream (a busy day in several files)."""
     e = T(spark, sf, "events")
     path = scratch_path(spark, "events-stream")
-    e.withColumn("day", F.to_date("ts")).repartition("day").write.partitionBy("day").parquet(path)
+    e.withColumn("day", F.to_date("ts")).write.option("maxRecordsPerFile", 1_000_000).partitionBy("day").parquet(path)
     return path, e.schema
 
 
-@register("batch_score")
+def _scored(df, *keys):
+    """Row keys and whether the prediction is finite."""
+    finite = F.col("prediction").isNotNull() & ~F.isnan("prediction") & (F.abs("prediction") < float("inf"))
+    return df.select(*keys, finite.cast("int").alias("scored"))
+
+
+@register("batch_score", "SELECT event_id, '1' AS model_version, 1 AS scored FROM events")
 def q_batch_score(spark, sf):
+    """Scored twice into one folder, as after a retry: every event is there once."""
     e = T(spark, sf, "events")
     m = _value_model(e)
     mpath = scratch_path(spark, "model")
     m.write().overwrite().save(mpath)
-    return SC.batch_score(spark, mpath, e, scratch_path(spark, "scored"), keep=["event_id"])
+    out = scratch_path(spark, "scored")
+    SC.batch_score(spark, mpath, e, out, keep=["event_id"])
+    SC.batch_score(spark, mpath, e, out, keep=["event_id"])
+    return _scored(spark.read.parquet(out), "event_id", "model_version")
 
 
 @register("udf_score", """
@@ -61,23 +71,26 @@ def q_udf_score(spark, sf):
                       round_half_away("prediction", 4).alias("prediction"))
 
 
-@register("stream_score")
+@register("stream_score", "SELECT event_id, ts, 1 AS scored FROM events")
 def q_stream_score(spark, sf):
     path, schema = _event_files(spark, sf)
     m = _value_model(T(spark, sf, "events"))
     sink = scratch_path(spark, "stream-scored")
     SC.stream_score(spark, m, path, schema, sink, scratch_path(spark, "ckpt"), keep=["event_id", "ts"])
-    return spark.read.parquet(sink)
+    return _scored(spark.read.parquet(sink), "event_id", "ts")
 
 
-@register("inference_log")
+@register("inference_log", """
+SELECT event_id, user_id, v AS model_version, 1 AS scored FROM events, (VALUES ('7'), ('8')) t(v)""")
 def q_inference_log(spark, sf):
+    """Two streams (champion and challenger) log the same requests into one table."""
     path, schema = _event_files(spark, sf)
     m = _value_model(T(spark, sf, "events"))
     log = scratch_path(spark, "inference-log")
-    SC.inference_log(spark, m, path, schema, log, scratch_path(spark, "ckpt"), keep=["event_id", "user_id"],
-                     model_version="7")
-    return spark.read.parquet(log).select("event_id", "user_id", "prediction", "model_version", "batch_id")
+    for version in ("7", "8"):
+        SC.inference_log(spark, m, path, schema, log, scratch_path(spark, "ckpt"), keep=["event_id", "user_id"],
+                         model_version=version)
+    return _scored(spark.read.parquet(log), "event_id", "user_id", "model_version")
 
 
 @register("ab_assign_random", f"""
@@ -120,9 +133,25 @@ def q_ab_metrics(spark, sf):
                           ("accuracy", "mean_prediction", "diff_vs_control", "se_vs_control")})
 
 
-@register("ab_metrics_stream")
+@register("ab_metrics_stream", f"""
+WITH f AS (SELECT ts, CASE WHEN {sql_hash_bucket(['user_id'], 100, 'checkout:')} < 70 THEN 'control' ELSE 'treatment' END AS variant,
+  CAST(CAST(value > 10 AS INTEGER) = CAST(event_type = 'purchase' AS INTEGER) AS DOUBLE) AS correct FROM events)
+SELECT CAST(date_trunc('day', ts) AS VARCHAR)[:10] AS day, variant, count(*) AS n, round(avg(correct), 6) AS accuracy
+FROM f GROUP BY 1, 2""")
 def q_ab_metrics_stream(spark, sf):
-    """Daily windows per variant on the event stream (watermark on the cast time)."""
+    """Daily windows per variant over the whole replay, the last ones included."""
+    path, schema = _event_files(spark, sf)
+    sink = scratch_path(spark, "ab-stream")
+    SC.ab_metrics_stream(spark, path, schema, sink, scratch_path(spark, "ckpt"), "ts", "user_id",
+                         (F.col("value") > 10).cast("int"), (F.col("event_type") == "purchase").cast("int"),
+                         SHARES_70_30, "checkout", window="1 day", close_windows=True)
+    day = F.date_format("window_start", "yyyy-MM-dd")
+    return spark.read.parquet(sink).select(day.alias("day"), "variant", "n", round_half_away("accuracy", 6).alias("accuracy"))
+
+
+@register("ab_metrics_stream_open")
+def q_ab_metrics_stream_open(spark, sf):
+    """The same as an endless stream: a window appears once the watermark has passed it."""
     path, schema = _event_files(spark, sf)
     sink = scratch_path(spark, "ab-stream")
     SC.ab_metrics_stream(spark, path, schema, sink, scratch_path(spark, "ckpt"), "ts", "user_id",

@@ -8,6 +8,7 @@ replayed micro-batch rewrites the same output instead of duplicating it.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -19,14 +20,20 @@ from tablesmith.operators.abtest import ab_assign_sticky
 
 
 def batch_score(spark: SparkSession, model_path: str, table: DataFrame, out_path: str,
-                keep: Sequence[str] = (), model_version: str = "1") -> DataFrame:
-    """B1: load a saved pipeline, score a table, append the predictions."""
+                keep: Sequence[str] = (), model_version: str = "1", run_id: str | None = None) -> DataFrame:
+    """B1: load a saved pipeline, score a table, append the predictions; returns this run's rows.
+
+    Each run has a folder ``run_id=...`` of its own, written with overwrite: a retry under
+    the same ``run_id`` (the default: a digest of the model's path and version) replaces its rows, and other runs stay.
+    """
     from pyspark.ml import PipelineModel
+    run_id = run_id or hashlib.md5(f"{model_path}|{model_version}".encode()).hexdigest()
     m = PipelineModel.load(model_path)
     scored = m.transform(table).select(*keep, F.col("prediction").cast("double").alias("prediction"),
                                        F.lit(model_version).alias("model_version"))
-    scored.write.mode("append").parquet(out_path)
-    return spark.read.parquet(out_path)
+    folder = f"{out_path}/run_id={run_id}"
+    scored.write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def udf_score(df: DataFrame, predict: Callable[[pd.DataFrame], pd.Series], cols: Sequence[str],
@@ -75,16 +82,20 @@ def stream_score(spark: SparkSession, model, source_path: str, schema: StructTyp
 
 def inference_log(spark: SparkSession, model, source_path: str, schema: StructType, log_path: str,
                   checkpoint: str, keep: Sequence[str], model_version: str = "1", available_now: bool = True):
-    """Keep every request with its prediction, model version and batch id.
+    """Keep every request with its prediction, model version, stream and batch id.
 
-    Each micro-batch is written to its own ``batch_id=N`` folder with overwrite,
-    so a replayed batch (after a failure) replaces its output: idempotent.
+    A micro-batch is known by (stream id, batch id).  The stream id is a digest of the stream's checkpoint folder
+    and model version, so it is the same after a restart and differs between streams that share a log.
+    Each batch goes to its own ``stream_id=.../batch_id=N`` folder with overwrite: a replayed batch (after a
+    failure) replaces its output.  A new checkpoint is a new stream; it logs what it reads again.
     """
+    stream_id = hashlib.md5(f"{checkpoint}|{model_version}".encode()).hexdigest()[:16]
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         out = model.transform(batch).select(
             *keep, F.col("prediction").cast("double").alias("prediction"),
             F.lit(model_version).alias("model_version"), F.current_timestamp().alias("logged_at"))
-        out.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
+        out.write.mode("overwrite").parquet(f"{log_path}/stream_id=s{stream_id}/batch_id={batch_id}")
 
     src = stream_files(spark, source_path, schema)
     w = src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
@@ -97,23 +108,32 @@ def inference_log(spark: SparkSession, model, source_path: str, schema: StructTy
 def ab_metrics_stream(spark: SparkSession, source_path: str, schema: StructType, sink_path: str,
                       checkpoint: str, ts: str, user_id: str, prediction: Column, truth: Column,
                       shares: dict, experiment: str, window: str = "1 day", watermark: str = "1 day",
-                      available_now: bool = True):
+                      available_now: bool = True, close_windows: bool = False):
     """Per variant and event-time window: n and accuracy.
 
     Event time is cast to ``timestamp`` before the watermark (a watermark on
     timestamp_ntz is refused).  Append mode emits a window once the watermark
-    passes its end; rows later than the watermark are dropped (Spark's rule).
+    passes its end; rows later than the watermark are dropped (Spark's rule), and the last windows of
+    a stream that ends stay open.  ``close_windows`` is for a bounded replay (with ``available_now``): complete mode
+    writes all windows at the end, the last ones included, keeping the state of every window until then.
     """
     src = stream_files(spark, source_path, schema).withColumn(ts, F.col(ts).cast("timestamp"))
     assigned = ab_assign_sticky(src, user_id, shares, experiment)
     correct = (prediction == truth).cast("double")
-    agg = (assigned.withWatermark(ts, watermark)
-           .groupBy(F.window(ts, window).alias("w"), "variant")
+    late = assigned if close_windows else assigned.withWatermark(ts, watermark)
+    agg = (late.groupBy(F.window(ts, window).alias("w"), "variant")
            .agg(F.count(F.lit(1)).alias("n"), F.sum(correct).alias("n_correct"))
            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "variant", "n",
                    (F.col("n_correct") / F.col("n")).alias("accuracy")))
-    w = agg.writeStream.format("parquet").option("path", sink_path).option("checkpointLocation", checkpoint) \
-        .outputMode("append")
+    if close_windows:
+        assert available_now, "only a bounded replay can close its last windows"
+
+        def write_all(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(sink_path)
+        w = agg.writeStream.foreachBatch(write_all).option("checkpointLocation", checkpoint).outputMode("complete")
+    else:
+        w = agg.writeStream.format("parquet").option("path", sink_path).option("checkpointLocation", checkpoint) \
+            .outputMode("append")
     q = w.trigger(availableNow=True).start() if available_now else w.start()
     if available_now:
         q.awaitTermination()
