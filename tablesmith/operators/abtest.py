@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import hash_bucket
+from tablesmith.operators.evaluate import eval_auc, eval_multiclass, eval_regression
 
 
 def _variant_of(bucket: Column, shares: Mapping[str, int]) -> Column:
@@ -49,17 +50,23 @@ def force_variant(df: DataFrame, requested: str | Column, assigned: str = "varia
 def ab_metrics(feedback: DataFrame, variant: str = "variant", prediction: str = "prediction",
                truth: str = "ground_truth", control: str | None = None) -> DataFrame:
     """Per variant n, accuracy, mean prediction; difference in accuracy to
-    the control variant with its standard error sqrt(p1 q1 / n1 + p0 q0 / n0)."""
+    the control variant with its standard error sqrt(p1 q1 / n1 + p0 q0 / n0) (null if the control has no rows)."""
     correct = (F.col(prediction) == F.col(truth)).cast("double")
     per = feedback.groupBy(variant).agg(F.count(F.lit(1)).alias("n"), F.avg(correct).alias("accuracy"),
                                         F.avg(F.col(prediction).cast("double")).alias("mean_prediction"))
     if control is None:
         return per
-    row = per.where(F.col(variant) == control).collect()  # one row: the control's constants
-    if not row:
-        raise ValueError(f"control variant {control!r} has no rows")
-    n0, p0 = row[0]["n"], row[0]["accuracy"]
+    every = Window.partitionBy()  # one row per variant
+    is_control = F.col(variant) == control
+    n0, p0 = (F.max(F.when(is_control, F.col(c))).over(every) for c in ("n", "accuracy"))
     p1 = F.col("accuracy")
-    se = F.sqrt(p1 * (1 - p1) / F.col("n") + F.lit(p0 * (1 - p0) / n0))
-    return per.select(variant, "n", "accuracy", "mean_prediction", (p1 - F.lit(p0)).alias("diff_vs_control"),
-                      se.alias("se_vs_control"))
+    return per.select(variant, "n", "accuracy", "mean_prediction", (p1 - p0).alias("diff_vs_control"),
+                      F.sqrt(p1 * (1 - p1) / F.col("n") + p0 * (1 - p0) / n0).alias("se_vs_control"))
+
+
+def ab_evaluate(feedback: DataFrame, variant: str = "variant", prediction: str = "prediction",
+                truth: str = "ground_truth", score: str | None = None) -> DataFrame:
+    """B7 with V1-V3: per variant accuracy and weighted F1, RMSE, MAE and R^2, and with ``score`` the AUC."""
+    out = eval_multiclass(feedback, truth, prediction, variant).join(
+        eval_regression(feedback, truth, prediction, variant).drop("n"), variant, "left")
+    return out.join(eval_auc(feedback, truth, score, variant), variant, "left") if score else out

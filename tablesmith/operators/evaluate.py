@@ -14,29 +14,32 @@ from tablesmith.functions.columns import nan_to_null
 from tablesmith.plans.ranking import cumulative_by_value
 
 
-def eval_multiclass(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """V1: accuracy and weighted F1 (weights = class support), one row.
+def eval_multiclass(df: DataFrame, label: str = "label", prediction: str = "prediction",
+                    group: str | None = None) -> DataFrame:
+    """V1: accuracy and weighted F1 (weights = class support), one row (or one per ``group``).
 
     Per class: precision = tp / predicted, recall = tp / actual, F1 = 0 when
     both are 0.  Built from the confusion counts (A17): a grouping whose size is
     classes^2.
     """
-    cm = df.groupBy(F.col(label).alias("y"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    actual = cm.groupBy(F.col("y").alias("c")).agg(F.sum("n").alias("support"))
-    pred = cm.groupBy(F.col("p").alias("c")).agg(F.sum("n").alias("predicted"))
-    tp = cm.where(F.col("y") == F.col("p")).select(F.col("y").alias("c"), F.col("n").alias("tp"))
-    per = (actual.join(pred, "c", "full").join(tp, "c", "left")
-           .select("c", F.coalesce("support", F.lit(0)).alias("support"),
-                   F.coalesce("predicted", F.lit(0)).alias("predicted"), F.coalesce("tp", F.lit(0)).alias("tp")))
+    g = [group] if group else []
+    cm = df.groupBy(*g, F.col(label).alias("y"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    side = F.explode(F.array(
+        F.struct(F.col("y").alias("c"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"),
+                 F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("tp")),
+        F.struct(F.col("p").cast(dict(cm.dtypes)["y"]).alias("c"), F.lit(0).cast("long").alias("support"),
+                 F.col("n").alias("predicted"), F.lit(0).cast("long").alias("tp"))))
+    per = cm.select(*g, side.alias("s")).select(*g, "s.*").groupBy(*g, "c").agg(
+        F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("tp").alias("tp"))
     prec = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(F.lit(0.0))
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
-    return per.agg((F.sum("tp") / F.sum("support")).alias("accuracy"),
-                   (F.sum(f1 * F.col("support")) / F.sum("support")).alias("weighted_f1"),
-                   F.sum("support").alias("n"))
+    return per.groupBy(*g).agg(F.try_divide(F.sum("tp"), F.sum("support")).alias("accuracy"),
+                               F.try_divide(F.sum(f1 * F.col("support")), F.sum("support")).alias("weighted_f1"),
+                               F.sum("support").alias("n"))
 
 
-def eval_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def eval_auc(df: DataFrame, label: str = "label", score: str = "score", group: str | None = None) -> DataFrame:
     """V2: exact area under the ROC curve, ties counted one half.
 
     AUC = sum_v pos(v) * (neg(< v) + neg(v) / 2) / (P * N): per distinct score
@@ -44,25 +47,28 @@ def eval_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataF
     range-partitioned running sum (``cumulative_by_value``), so no window holds
     all scores in one task.  Null with one class only; rows that miss label or score are left out.
     """
+    g = [group] if group else []
     w = df.where(F.col(label).isNotNull()).select(
-        nan_to_null(F.col(score).cast("double")).alias("_s"), (F.col(label) == 1).cast("double").alias("pos"),
+        *g, nan_to_null(F.col(score).cast("double")).alias("_s"), (F.col(label) == 1).cast("double").alias("pos"),
         (F.col(label) != 1).cast("double").alias("neg")).where(F.col("_s").isNotNull())
-    cum = cumulative_by_value(w, "_s", ["pos", "neg"])
-    return cum.agg(F.try_divide(F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2)),
+    cum = cumulative_by_value(w, "_s", ["pos", "neg"], g)
+    return cum.groupBy(*g).agg(F.try_divide(F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2)),
                                 F.first("total_pos") * F.first("total_neg")).alias("auc"),
                    F.first("total_pos").cast("long").alias("n_pos"),
                    F.first("total_neg").cast("long").alias("n_neg"))
 
 
-def eval_regression(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+def eval_regression(df: DataFrame, label: str = "label", prediction: str = "prediction",
+                    group: str | None = None) -> DataFrame:
     """V3: RMSE, MAE and R^2 in one aggregate; R^2 = 1 - SS_res / SS_tot (null for a constant label).
 
     Rows that miss the label or the prediction (null or NaN) are left out of all four figures.
     """
-    pairs = df.select(nan_to_null(F.col(label).cast("double")).alias("y"),
-                      nan_to_null(F.col(prediction).cast("double")).alias("p")).dropna()
+    g = [group] if group else []
+    pairs = df.select(*g, nan_to_null(F.col(label).cast("double")).alias("y"),
+                      nan_to_null(F.col(prediction).cast("double")).alias("p")).dropna(subset=["y", "p"])
     err = F.col("y") - F.col("p")
-    return pairs.agg(F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"),
+    return pairs.groupBy(*g).agg(F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"),
                      (F.lit(1.0) - F.try_divide(F.sum(err * err), F.var_pop("y") * F.count("y"))).alias("r2"),
                      F.count("y").alias("n"))
 

@@ -5,8 +5,9 @@ in one grouped job: per-series summaries are one row per series, and
 horizon rows are ``sequence``-exploded from them, so the work grows with
 ids x horizon.  Windows are partitioned by series id; after the daily
 grouping a series holds at most one row per calendar day, so one series
-never exceeds its calendar length.  Holt's linear smoothing runs per
-series in ``applyInPandas`` (one group = one series' daily values).
+never exceeds its calendar length.  Smoothing (Holt's trend, and Holt-Winters with an
+additive season) runs per series in ``applyInPandas`` (one group = one series' daily
+values), all parameter settings at once in numpy.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ CANDIDATES = ("naive", "mean", "seasonal_naive", "drift", "linear_trend")
 def series_prepare(df: DataFrame, id_col: str, date_col: str, value_col: str, min_len: int = 100,
                    agg: str = "sum", clip: bool = True) -> DataFrame:
     """parse dates, one value per (id, day), negatives -> 0, series with at
-    least ``min_len`` days, ordered by id then day.  Output (id, day, y)."""
+    least ``min_len`` days.  Output (id, day, y); T3 sorts it where an order is wanted."""
     day = F.to_date(F.col(date_col))
     fn = {"sum": F.sum, "avg": F.avg, "count": F.count, "max": F.max}[agg]
     daily = df.groupBy(F.col(id_col).alias("id"), day.alias("day")).agg(fn(value_col).cast("double").alias("y"))
@@ -35,7 +36,7 @@ def series_prepare(df: DataFrame, id_col: str, date_col: str, value_col: str, mi
         daily = daily.withColumn("y", clip_lower("y", 0.0))
     # a series holds at most one row per calendar day, so a count per series is a bounded window
     n = F.count(F.lit(1)).over(Window.partitionBy("id"))
-    return daily.withColumn("_n", n).where(F.col("_n") >= min_len).drop("_n").orderBy("id", "day")
+    return daily.withColumn("_n", n).where(F.col("_n") >= min_len).drop("_n")
 
 
 def regular_series(series: DataFrame, fill: str | None = "zero") -> DataFrame:
@@ -109,44 +110,75 @@ def forecast_candidates(series: DataFrame, horizon: int = 30, season: int = 7,
     return res
 
 
-def _holt(pdf: pd.DataFrame, horizon: int, alphas=(0.1, 0.3, 0.5, 0.7, 0.9), betas=(0.05, 0.1, 0.3)) -> pd.DataFrame:
-    """Holt's linear smoothing for one series; (alpha, beta) by in-sample one-step SSE."""
-    pdf = pdf.sort_values("day")
-    y = pdf["y"].to_numpy(dtype=float)
-    best = None
-    if len(y) >= 2:
-        for a in alphas:
-            for b in betas:
-                level, trend, sse = y[0], y[1] - y[0], 0.0
-                for v in y[1:]:
-                    pred = level + trend
-                    sse += (v - pred) ** 2
-                    new_level = a * v + (1 - a) * (level + trend)
-                    trend = b * (new_level - level) + (1 - b) * trend
-                    level = new_level
-                if best is None or sse < best[0]:
-                    best = (sse, level, trend)
-    last = pd.Timestamp(pdf["day"].iloc[-1])
-    level, trend = (best[1], best[2]) if best else (y[-1] if len(y) else np.nan, 0.0)
-    days = [(last + pd.Timedelta(days=i)).date() for i in range(1, horizon + 1)]
-    return pd.DataFrame({"id": pdf["id"].iloc[0], "model": "holt", "day": days,
-                         "forecast": [level + i * trend for i in range(1, horizon + 1)]})
+# fixed values: smoothing constants that are tried
+ALPHAS, BETAS, GAMMAS = (0.1, 0.3, 0.5, 0.7, 0.9), (0.05, 0.1, 0.3), (0.05, 0.2, 0.5)
 
 
-def forecast_holt(series: DataFrame, horizon: int = 30) -> DataFrame:
-    """F3, smoothing candidate: one ``applyInPandas`` group per series (bounded by its days)."""
+def smooth(y: np.ndarray, horizon: int, season: int | None = None) -> np.ndarray:
+    """Exponential smoothing forecasts of one series, the constants chosen by in-sample one-step squared error.
+
+    Without ``season``: Holt's linear trend.  With it: Holt-Winters, additive season, started from the first
+    two seasons (a series shorter than that has none).  One loop over the days; all settings step together.
+    """
+    if len(y) < 2:
+        return np.full(horizon, y[-1] if len(y) else np.nan)
+    m = season if season and len(y) >= 2 * season else 1
+    a, b, g = (x.ravel() for x in np.meshgrid(ALPHAS, BETAS, GAMMAS if m > 1 else (0.0,), indexing="ij"))
+    if m > 1:
+        level = np.full(len(a), y[:m].mean())
+        trend = np.full(len(a), (y[m:2 * m].mean() - y[:m].mean()) / m)
+        cycle = np.tile(y[:m] - y[:m].mean(), (len(a), 1))
+        start = m
+    else:
+        level, trend, cycle = np.full(len(a), y[0]), np.full(len(a), y[1] - y[0]), np.zeros((len(a), 1))
+        start = 1
+    error = np.zeros(len(a))
+    for t in range(start, len(y)):
+        k = t % m
+        ahead = level + trend
+        error += (y[t] - ahead - cycle[:, k]) ** 2
+        new = a * (y[t] - cycle[:, k]) + (1 - a) * ahead
+        trend = b * (new - level) + (1 - b) * trend
+        cycle[:, k] = g * (y[t] - new) + (1 - g) * cycle[:, k]
+        level = new
+    i = int(error.argmin())
+    h = np.arange(1, horizon + 1)
+    return level[i] + h * trend[i] + cycle[i, (len(y) + h - 1) % m]
+
+
+def forecast_smoothing(series: DataFrame, horizon: int = 30, season: int = 7,
+                       models: Sequence[str] = ("holt", "holt_winters")) -> DataFrame:
+    """F3, smoothing candidates: one ``applyInPandas`` group per series (bounded by its days).
+
+    A missing day counts as no day; ``series`` should be regular (F2).
+    """
     id_type = series.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, model string, day date, forecast double"
-    return series.select("id", "day", "y").groupBy("id").applyInPandas(lambda p: _holt(p, horizon), schema)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=["y"]).sort_values("day")
+        if not len(pdf):
+            return pd.DataFrame({"id": [], "model": [], "day": [], "forecast": []})
+        last = pd.Timestamp(pdf["day"].iloc[-1])
+        days = [(last + pd.Timedelta(days=i)).date() for i in range(1, horizon + 1)]
+        return pd.concat([pd.DataFrame({"id": pdf["id"].iloc[0], "model": m, "day": days, "forecast": smooth(
+            pdf["y"].to_numpy(dtype=float), horizon, season if m == "holt_winters" else None)}) for m in models])
+
+    return series.select("id", "day", "y").groupBy("id").applyInPandas(
+        fit, f"id {id_type}, model string, day date, forecast double")
+
+
+def forecast_holt(series: DataFrame, horizon: int = 30) -> DataFrame:
+    """Holt's linear trend alone."""
+    return forecast_smoothing(series, horizon, models=("holt",))
 
 
 def forecast_multi(series: DataFrame, horizon: int = 30, season: int = 7, with_holt: bool = True) -> DataFrame:
     """all candidates for every series."""
     out = forecast_candidates(series, horizon, season)
-    return out.unionByName(forecast_holt(series, horizon)) if with_holt else out
+    return out.unionByName(forecast_smoothing(series, horizon, season)) if with_holt else out
 
 
-def forecast_select(series: DataFrame, horizon: int = 30, season: int = 7, with_holt: bool = False) -> DataFrame:
+def forecast_select(series: DataFrame, horizon: int = 30, season: int = 7, with_holt: bool = True) -> DataFrame:
     """hold out each series' last ``horizon`` days, score every candidate by
     sMAPE on them, rank per series (ties by model name).  Output (id, model,
     smape, rank, best)."""

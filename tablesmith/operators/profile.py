@@ -115,7 +115,7 @@ def missing_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
                         F.col(f"n_missing__{i}").alias("n_missing"),
                         F.col("n_rows").alias("n_rows")) for i, f in enumerate(fields)]
     return (one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
-            .withColumn("share_missing", round_half_away(F.try_divide(F.col("n_missing"), F.col("n_rows")), 6)))
+            .withColumn("share_missing", F.try_divide(F.col("n_missing"), F.col("n_rows"))))
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -132,11 +132,11 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- A10-A13
 
-def value_share(df: DataFrame, c: str, digits: int = 6) -> DataFrame:
+def value_share(df: DataFrame, c: str) -> DataFrame:
     """A10: count and share of each value of ``c`` (null is a value)."""
     counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("_total"))  # one row, from the grouped counts
-    return counts.join(F.broadcast(total)).select(c, "n", round_half_away(F.col("n") / F.col("_total"), digits).alias("share"))
+    return counts.join(F.broadcast(total)).select(c, "n", (F.col("n") / F.col("_total")).alias("share"))
 
 
 def unpivot_values(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (),
@@ -146,7 +146,7 @@ def unpivot_values(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (),
 
 
 def rating_distribution(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Per column and answer: count, percentage (2 decimals) and column mean.
+    """Per column and answer: count, percentage and column mean.
 
     One unpivot and one grouping instead of three jobs per column.  Missing
     answers are not counted.
@@ -158,8 +158,7 @@ def rating_distribution(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     # per_col holds one row per listed column: bounded
     return (g.join(F.broadcast(per_col), "column")
             .select("column", "value", "n",
-                    round_half_away(F.col("n") * 100.0 / F.col("n_col"), 2).alias("pct"),
-                    round_half_away("col_mean", 6).alias("col_mean")))
+                    (F.col("n") * 100.0 / F.col("n_col")).alias("pct"), "col_mean"))
 
 
 def column_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -221,7 +220,7 @@ def approx_quantiles(df, cols, probs=(0.01, 0.5, 0.99), relative_error: float =
 
 # ---------------------------------------------------------------- A20-A22
 
-def corr_matrix_pearson(df: DataFrame, cols: Sequence[str], digits: int | None = 6) -> DataFrame:
+def corr_matrix_pearson(df: DataFrame, cols: Sequence[str], digits: int | None = None) -> DataFrame:
     """Every pair's Pearson r from one aggregate, long form (x, y, r).
 
     Each pair uses the rows where both are present (null and NaN are missing); r is null without spread.
@@ -239,7 +238,7 @@ def corr_matrix_pearson(df: DataFrame, cols: Sequence[str], digits: int | None =
     return one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
-def corr_matrix_spearman(df: DataFrame, cols: Sequence[str], digits: int | None = 6) -> DataFrame:
+def corr_matrix_spearman(df: DataFrame, cols: Sequence[str], digits: int | None = None) -> DataFrame:
     """Spearman rank correlation (average ranks for ties) of every pair.
 
     Each pair uses the rows where both are present, like Pearson and Kendall.  Distinct points
@@ -280,7 +279,7 @@ def corr_matrix_spearman(df: DataFrame, cols: Sequence[str], digits: int | None
     return df.sparkSession.createDataFrame(rows, "x string, y string, r double")
 
 
-def corr_matrix_kendall(df: DataFrame, cols: Sequence[str], digits: int | None = 6) -> DataFrame:
+def corr_matrix_kendall(df: DataFrame, cols: Sequence[str], digits: int | None = None) -> DataFrame:
     """Kendall tau-b of every pair (see ``plans.kendall``), all pairs in one batch."""
     from tablesmith.plans.kendall import kendall_pairs
     cols = list(cols)
@@ -356,18 +355,23 @@ def pair_bins(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
 # ---------------------------------------------------------------- A26
 
 def profile_report(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True,
-                   with_rank_corr: bool = True, digits: int = 9) -> dict[str, DataFrame]:
+                   with_rank_corr: bool = True, digits: int | None = None) -> dict[str, DataFrame]:
     """Per-column profile + correlation tables (the data of a profile report).
 
     Per column: count, missing, distinct, mean (exact, order-independent),
     stddev, min, quartiles, max, skewness and excess kurtosis (population
-    forms), rounded to ``digits`` decimals.
+    forms); rounded only if ``digits`` is given.  Distinct counts come from one (column, value)
+    grouping with ``exact``, else from sketches in the same aggregate.
     """
     cols = list(cols or numeric_columns(df))
+
+    def rounded(x: Column) -> Column:
+        return x if digits is None else round_half_away(x, digits)
+
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for i, c in enumerate(cols):
         v = Q.valid_value(c)
-        aggs += [F.count(v).alias(f"count__{i}"), F.count_distinct(v).alias(f"distinct__{i}"),
+        aggs += [F.count(v).alias(f"count__{i}"), F.approx_count_distinct(v).alias(f"distinct__{i}"),
                  exact_mean(v).alias(f"mean__{i}"), F.stddev_samp(v).alias(f"stddev__{i}"),
                  F.min(v).alias(f"min__{i}"), F.max(v).alias(f"max__{i}"),
                  F.skewness(v).alias(f"skewness__{i}"), F.kurtosis(v).alias(f"kurtosis__{i}")]
@@ -375,19 +379,26 @@ def profile_report(df: DataFrame, cols: Sequence[str] | None = None, exact: bool
     structs = [F.struct(F.lit(c).alias("column"), F.col(f"count__{i}").alias("count"),
                         (F.col("n_rows") - F.col(f"count__{i}")).alias("n_missing"),
                         F.col(f"distinct__{i}").alias("n_distinct"),
-                        *[round_half_away(F.col(f"{m}__{i}"), digits).alias(m)
+                        *[rounded(F.col(f"{m}__{i}")).alias(m)
                           for m in ("mean", "stddev", "min", "max", "skewness", "kurtosis")])
                for i, c in enumerate(cols)]
     per_col = one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    if exact:  # (column, value) combines map-side: no copy of every row per distinct count
+        values = df.select(*[Q.valid_value(c).alias(f"v{i}") for i, c in enumerate(cols)]) \
+            .unpivot([], [f"v{i}" for i in range(len(cols))], "_at", "_value").where(F.col("_value").isNotNull())
+        found = values.groupBy("_at", "_value").agg(F.lit(1)).groupBy("_at").agg(F.count(F.lit(1)).alias("_n"))
+        names = df.sparkSession.createDataFrame([(f"v{i}", c) for i, c in enumerate(cols)], "_at string, column string")
+        distinct = F.broadcast(names.join(found, "_at", "left").select("column", F.coalesce("_n", F.lit(0)).alias("_n")))
+        per_col = per_col.join(distinct, "column").withColumn("n_distinct", F.col("_n")).drop("_n")  # one row per column
     qs = Q.quantiles(df, cols, [0.25, 0.5, 0.75], exact=exact)
     qdf = df.sparkSession.createDataFrame(
-        [(c, *[None if v is None else round_half_away_value(float(v), digits) for v in qs[c]]) for c in cols],
-        "column string, p25 double, p50 double, p75 double")
+        [(c, *[None if v is None else float(v) if digits is None else round_half_away_value(float(v), digits) for v in qs[c]])
+         for c in cols], "column string, p25 double, p50 double, p75 double")
     out = {"columns": per_col.join(F.broadcast(qdf), "column"),
-           "pearson": corr_matrix_pearson(df, cols)}
+           "pearson": corr_matrix_pearson(df, cols, digits)}
     if with_rank_corr:
-        out["spearman"] = corr_matrix_spearman(df, cols)
-        out["kendall"] = corr_matrix_kendall(df, cols)
+        out["spearman"] = corr_matrix_spearman(df, cols, digits)
+        out["kendall"] = corr_matrix_kendall(df, cols, digits)
     return out
 
 

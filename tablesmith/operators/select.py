@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesmith.functions.columns import equal_width_bin, nan_free, round_half_away
+from tablesmith.functions.columns import equal_width_bin, nan_free, quoted, round_half_away
 from tablesmith.plans import quantiles as Q
 
 
@@ -77,36 +77,31 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins
 def rfe(df: DataFrame, features: Sequence[str], label: str, n_keep: int = 8, step: int = 1) -> DataFrame:
     """K3: recursive elimination with a linear model on standardised features:
     refit, drop the smallest |coefficient|, until ``n_keep`` remain.  Rank 1 =
-    kept; higher ranks were dropped earlier."""
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.regression import LinearRegression
-    remaining = list(features)
-    vec = VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="skip").transform(df)
-    sc = StandardScaler(inputCol="_raw", outputCol="_z", withMean=True, withStd=True).fit(vec)
-    from pyspark.ml.functions import vector_to_array
-    z = sc.transform(vec).select(F.col(label).cast("double").alias("_label"),
-                                 vector_to_array("_z").alias("_za")).persist()
-    ranks: dict[str, int] = {}
-    try:
-        rank = len(features) - n_keep + 1
-        while len(remaining) > n_keep:
-            idx = [features.index(c) for c in remaining]
-            data = z.select("_label", F.array(*[F.col("_za")[i] for i in idx]).alias("_a"))
-            from pyspark.ml.functions import array_to_vector
-            data = data.select("_label", array_to_vector("_a").alias("_f"))
-            m = LinearRegression(featuresCol="_f", labelCol="_label", maxIter=100).fit(data)
-            coef = [abs(float(v)) for v in m.coefficients.toArray()]
-            order = sorted(range(len(remaining)), key=lambda i: (coef[i], remaining[i]))
-            drop = [remaining[i] for i in order[:min(step, len(remaining) - n_keep)]]
-            for d in drop:
-                ranks[d] = rank
-            rank -= 1
-            remaining = [c for c in remaining if c not in drop]
-        for c in remaining:
-            ranks[c] = 1
-    finally:
-        z.unpersist()
-    return df.sparkSession.createDataFrame([(c, ranks[c], int(ranks[c] == 1)) for c in features],
+    kept; higher ranks were dropped earlier.
+
+    One aggregate gives all covariances (rows complete in features and label); every refit is
+    the least-squares solution of the remaining features' normal equations, k x k numbers on the driver.
+    """
+    import numpy as np
+    cols = [*features, label]
+    rows = nan_free(df.select(*[F.col(quoted(c)).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])).dropna()
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    one = rows.agg(*[F.covar_samp(f"c{i}", f"c{j}").alias(f"v{k}") for k, (i, j) in enumerate(pairs)]).first()
+    cov = np.zeros((len(cols), len(cols)))
+    for k, (i, j) in enumerate(pairs):
+        cov[i, j] = cov[j, i] = one[f"v{k}"] or 0.0
+    spread = np.sqrt(np.diag(cov))
+    scale = np.where(spread > 0, spread, 1.0)
+    corr = cov / np.outer(scale, scale)
+    remaining, ranks, rank = list(range(len(features))), {}, max(1, len(features) - n_keep + 1)
+    while len(remaining) > n_keep:
+        coef = np.abs(np.linalg.lstsq(corr[np.ix_(remaining, remaining)], corr[remaining, -1], rcond=None)[0])
+        order = sorted(range(len(remaining)), key=lambda i: (coef[i], features[remaining[i]]))
+        drop = [remaining[i] for i in order[:min(step, len(remaining) - n_keep)]]
+        ranks.update({i: rank for i in drop})
+        rank -= 1
+        remaining = [i for i in remaining if i not in drop]
+    return df.sparkSession.createDataFrame([(c, ranks.get(i, 1), int(i not in ranks)) for i, c in enumerate(features)],
                                            "feature string, rank int, selected int")
 
 

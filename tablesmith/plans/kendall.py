@@ -2,15 +2,14 @@
 
 tau_b = S / sqrt((n0 - n1) (n0 - n2)),  S = sum over pairs of sign(dx) sign(dy).
 
-Rows are first grouped to distinct points (x, y, w).  Both axes are cut into
-B quantile cells (ties stay in one cell).  A pair whose points lie in
-different x-cells *and* different y-cells has a sign known from the cells
-alone, so those pairs are counted from the B x B cell-weight table by prefix
-sums.  The remaining pairs share an x-cell (a "column") or a y-cell (a "row");
-each column and each row is one ``applyInPandas`` group counted by a
-vectorised divide and conquer over key blocks (``_signed_dominance``).  No pair
-is materialised; work per group is O(m log^2 m) numpy work for the m distinct
-points of that cell line, and a hot key in a line costs nothing extra.
+Rows are first grouped to distinct points (x, y, w).  A point set of any size is cut into
+``CELLS`` quantile cells on both axes (ties stay in one cell).  A pair in different x-cells *and*
+different y-cells has a sign known from the cells alone: those are counted from the set's small cell table.
+Every other pair shares an x-cell (a "column") or a y-cell (a "row").  Columns and rows are point sets
+again, with 1 / ``CELLS`` of the points each, and go through the same step until a set holds at most
+``LINE_POINTS`` points; then one ``applyInPandas`` group counts it by a vectorised divide and conquer over key
+blocks (``_signed_dominance``).  So no task holds more than that, whatever the data's size; each level
+doubles the points and divides the sets by ``CELLS``.  A set with one x or one y has only ties and is left out.
 """
 
 from __future__ import annotations
@@ -22,12 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablesmith.functions.columns import quoted
 from tablesmith.session import cut_lineage
 
-# fixed tuning values
-TARGET_LINE_POINTS = 2000      # wanted distinct points per cell line
-MAX_CELLS_PER_AXIS = 256
-
+#: Cells per axis of one step, and the points that one group may hold.
+CELLS = 256
+LINE_POINTS = 100_000
 
 SMALL_SEGMENT = 64             # below this, a segment is finished by one dense comparison
 
@@ -85,74 +84,76 @@ def kendall_pairs(df: DataFrame, pairs) -> dict:
     Rows missing x or y are left out for that pair (pairwise complete).
     """
     pairs = list(pairs)
-    parts = [F.struct(F.lit(i).alias("p"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+    parts = [F.struct(F.lit(i).alias("p"), F.col(quoted(a)).cast("double").alias("x"), F.col(quoted(b)).cast("double").alias("y"))
              for i, (a, b) in enumerate(pairs)]
     long = (df.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
             .where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")))
     # distinct points per pair, written once (they feed every step below)
     pts = cut_lineage(long.groupBy("p", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
-    qs = [i / MAX_CELLS_PER_AXIS for i in range(1, MAX_CELLS_PER_AXIS)]
-    stats = {r["p"]: r for r in pts.groupBy("p").agg(
-        F.count(F.lit(1)).alias("d"), F.sum("w").alias("n"),
-        F.percentile_approx("x", qs, 10000).alias("qx"), F.percentile_approx("y", qs, 10000).alias("qy")).collect()}
-    cuts_x, cuts_y = {}, {}
-    for p, r in stats.items():
-        cells = int(min(MAX_CELLS_PER_AXIS, max(1, math.ceil(r["d"] / TARGET_LINE_POINTS))))
-        step = MAX_CELLS_PER_AXIS // cells if cells > 1 else MAX_CELLS_PER_AXIS
-        cuts_x[p] = sorted(set(r["qx"][step - 1::step]))[:cells - 1] if cells > 1 else []
-        cuts_y[p] = sorted(set(r["qy"][step - 1::step]))[:cells - 1] if cells > 1 else []
-
-    def cell(c, cuts):
-        m = F.create_map(*[e for p, cs in cuts.items()
-                           for e in (F.lit(p), F.array(*[F.lit(float(v)) for v in cs]).cast("array<double>"))])
-        return F.size(F.filter(F.element_at(m, F.col("p")), lambda t: t < F.col(c)))
-
-    pc = pts.withColumns({"bx": cell("x", cuts_x), "by": cell("y", cuts_y)})
+    counts = {r["p"]: r["n"] for r in pts.groupBy("p").agg(F.sum("w").alias("n")).collect()}
 
     def tie_sum(c):
         g = pts.groupBy("p", c).agg(F.sum("w").alias("t")).groupBy("p") \
             .agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("v"))
         return {r["p"]: r["v"] for r in g.collect()}
     n1, n2 = tie_sum("x"), tie_sum("y")
-
-    # pairs in different x-cells and y-cells: from each pair's cell table (<= B*B rows)
-    grids = {p: np.zeros((len(cuts_x[p]) + 1, len(cuts_y[p]) + 1)) for p in stats}
-    for r in pc.groupBy("p", "bx", "by").agg(F.sum("w").alias("w")).collect():
-        grids[r["p"]][r["bx"], r["by"]] = r["w"]
-    s_cells = {}
-    for p, grid in grids.items():
-        cum = grid.cumsum(0).cumsum(1)
-        tot = 0.0
-        for a in range(1, grid.shape[0]):
-            for b in range(grid.shape[1]):
-                if grid[a, b] == 0:
-                    continue
-                below_left = cum[a - 1, b - 1] if b > 0 else 0.0
-                above_left = cum[a - 1, -1] - cum[a - 1, b]
-                tot += grid[a, b] * (below_left - above_left)
-        s_cells[p] = tot
-
-    def per_line(key_name):
-        def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-            v = _signed_dominance(pdf[key_name].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())
-            return pd.DataFrame({"p": [int(pdf["p"].iloc[0])], "s": [v]})
-        return fn
-
-    # same x-cell: order by x itself; same y-cell, different x-cells: order by x-cell
-    col_part = pc.select("p", "bx", "x", "y", "w").groupBy("p", "bx").applyInPandas(per_line("x"), "p int, s double")
-    row_part = (pc.select("p", "by", F.col("bx").cast("double").alias("k"), "y", "w")
-                .groupBy("p", "by").applyInPandas(per_line("k"), "p int, s double"))
-    s_lines = {r["p"]: r["s"] for r in col_part.unionByName(row_part).groupBy("p").agg(F.sum("s").alias("s")).collect()}
-
+    s = dominance(pts)
     out = {}
     for i, pair in enumerate(pairs):
-        r = stats.get(i)
-        n = r["n"] if r else 0.0
+        n = counts.get(i, 0.0)
         if n < 2:
             out[pair] = None
             continue
-        s = s_cells[i] + s_lines.get(i, 0.0)
         n0 = n * (n - 1) / 2
         den = math.sqrt((n0 - n1.get(i, 0.0)) * (n0 - n2.get(i, 0.0)))
-        out[pair] = None if den == 0 else s / den
+        out[pair] = None if den == 0 else s.get(i, 0.0) / den
     return out
+
+
+def _grid_sum(pdf: pd.DataFrame) -> float:
+    """The sum over pairs of cells that differ on both axes, from one set's cell table (at most CELLS ** 2 rows)."""
+    grid = np.zeros((int(pdf["bx"].max()) + 1, int(pdf["by"].max()) + 1))
+    grid[pdf["bx"], pdf["by"]] = pdf["w"]
+    left = grid.cumsum(axis=0)[:-1]                       # weight in smaller x-cells, by y-cell
+    upto = left.cumsum(axis=1)
+    below = upto - left
+    above = upto[:, -1:] - upto
+    return float((grid[1:] * (below - above)).sum())
+
+
+def dominance(points: DataFrame, cells: int = CELLS, line_points: int = LINE_POINTS) -> dict[int, float]:
+    """S of every ``p`` from its distinct weighted points (p, x, y, w)."""
+    def grouped(fn):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"p": [int(pdf["p"].iloc[0])], "s": [fn(pdf)]})
+        return run
+
+    def line(pdf: pd.DataFrame) -> float:
+        return _signed_dominance(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())
+
+    totals: dict[int, float] = {}
+    probs = [i / cells for i in range(1, cells)]
+    sets = points.select("p", F.col("p").cast("string").alias("part"), "x", "y", "w")
+    while True:
+        facts = cut_lineage(sets.groupBy("part").agg(
+            F.count(F.lit(1)).alias("d"), F.percentile_approx("x", probs, 10000).alias("qx"),
+            F.percentile_approx("y", probs, 10000).alias("qy"),
+            ((F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))).alias("counts")).where("counts"))
+        small, big = facts.where(F.col("d") <= line_points).select("part"), facts.where(F.col("d") > line_points)
+        sums = (sets.join(small, "part", "left_semi").groupBy("p", "part").applyInPandas(grouped(line), "p int, s double"))
+        more = not big.isEmpty()
+        if more:
+            placed = cut_lineage(sets.join(big.select("part", "qx", "qy"), "part").select(
+                "p", "part", "x", "y", "w", F.size(F.filter(F.array_distinct("qx"), lambda t: t < F.col("x"))).alias("bx"),
+                F.size(F.filter(F.array_distinct("qy"), lambda t: t < F.col("y"))).alias("by")))
+            tables = placed.groupBy("p", "part", "bx", "by").agg(F.sum("w").alias("w"))
+            sums = sums.unionByName(tables.groupBy("p", "part").applyInPandas(grouped(_grid_sum), "p int, s double"))
+        for r in sums.groupBy("p").agg(F.sum("s").alias("s")).collect():  # one row per pair of columns
+            totals[r["p"]] = totals.get(r["p"], 0.0) + r["s"]
+        if not more:
+            return totals
+        # same x-cell: order by x itself; same y-cell, different x-cells: order by x-cell
+        columns = placed.select("p", F.concat("part", F.lit("x"), "bx").alias("part"), "x", "y", "w")
+        rows = placed.select("p", F.concat("part", F.lit("y"), "by").alias("part"), F.col("bx").cast("double").alias("x"), "y", "w")
+        rows = rows.groupBy("p", "part", "x", "y").agg(F.sum("w").alias("w"))
+        sets = cut_lineage(columns.unionByName(rows))

@@ -10,8 +10,8 @@ from tablesmith.operators import clean
 from tablesmith.queries import register
 from tablesmith.queries.common import T
 
-# fixed values: segment scores of the ordinal map (P9), default 1
-SEGMENT_SCORE = {"BUILDING": 4, "AUTOMOBILE": 3, "MACHINERY": 2, "FURNITURE": 5}
+# test values: segment scores of the ordinal map (P9), default 0
+SEGMENT_SCORE = {"MACHINERY": 10, "HOUSEHOLD": 7, "AUTOMOBILE": 6}
 
 
 @register("select_cols", "SELECT l_orderkey, l_quantity, l_returnflag FROM lineitem")
@@ -78,25 +78,22 @@ def q_flag(spark, sf):
 
 
 @register("case_bins", """
-SELECT p_partkey,
-  CASE WHEN p_size < 15 THEN 'small' WHEN p_size < 30 THEN 'medium' WHEN p_size < 45 THEN 'large' ELSE 'huge' END
-    AS size_category,
-  CASE WHEN p_retailprice >= 980 THEN 'Luxury' WHEN p_retailprice >= 940 THEN 'Mid-range' ELSE 'Affordable' END
-    AS price_category
+SELECT p_partkey, CASE WHEN p_size < 9 THEN 'S' WHEN p_size < 26 THEN 'M' ELSE 'L' END AS size_class,
+  CASE WHEN p_retailprice >= 1400 THEN 'top' WHEN p_retailprice >= 1100 THEN 'upper' WHEN p_retailprice >= 950 THEN 'lower'
+    ELSE 'base' END AS price_tier
 FROM part""")
 def q_case_bins(spark, sf):
-    p = clean.case_bins(T(spark, sf, "part"), "size_category", "p_size", [15, 30, 45],
-                        ["small", "medium", "large", "huge"])
-    p = clean.case_bins(p, "price_category", "p_retailprice", [980, 940], ["Luxury", "Mid-range", "Affordable"],
+    p = clean.case_bins(T(spark, sf, "part"), "size_class", "p_size", [9, 26], ["S", "M", "L"])
+    p = clean.case_bins(p, "price_tier", "p_retailprice", [1400, 1100, 950], ["top", "upper", "lower", "base"],
                         descending=True)
-    return p.select("p_partkey", "size_category", "price_category")
+    return p.select("p_partkey", "size_class", "price_tier")
 
 
 @register("ordinal_map", """
-SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 4 WHEN 'AUTOMOBILE' THEN 3 WHEN 'MACHINERY' THEN 2
-  WHEN 'FURNITURE' THEN 5 ELSE 1 END AS segment_score FROM customer""")
+SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN 10 WHEN 'HOUSEHOLD' THEN 7 WHEN 'AUTOMOBILE' THEN 6
+  ELSE 0 END AS segment_score FROM customer""")
 def q_ordinal(spark, sf):
-    c = clean.ordinal_map(T(spark, sf, "customer"), "segment_score", "c_mktsegment", SEGMENT_SCORE, default=1)
+    c = clean.ordinal_map(T(spark, sf, "customer"), "segment_score", "c_mktsegment", SEGMENT_SCORE, default=0)
     return c.select("c_custkey", "segment_score")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import round_half_away
 from tablesmith.operators import forecast as FC
@@ -87,10 +87,37 @@ def q_forecast_multi(spark, sf):
     return out.withColumn("forecast", round_half_away("forecast", 6))
 
 
-@register("forecast_holt")
+_AFTER = f"""(SELECT id, CAST(l + h * INTERVAL 1 DAY AS DATE) AS day FROM
+  (SELECT id, max(day) AS l FROM {_EVENT_SERIES_SQL} s GROUP BY id) m, (SELECT unnest(range(1, {HORIZON + 1})) AS h) r)"""
+
+
+def _finite(df, *keys):
+    ok = F.col("forecast").isNotNull() & ~F.isnan("forecast") & (F.abs("forecast") < float("inf"))
+    return df.select(*keys, ok.cast("int").alias("finite"))
+
+
+@register("forecast_holt", f"SELECT id, 'holt' AS model, day, 1 AS finite FROM {_AFTER} a")
 def q_forecast_holt(spark, sf):
-    """Holt's linear smoothing per series (applyInPandas); rows-only check."""
-    return FC.forecast_holt(event_series(spark, sf), HORIZON)
+    """Holt's linear smoothing per series: a finite forecast for each day of the horizon."""
+    return _finite(FC.forecast_holt(event_series(spark, sf), HORIZON), "id", "model", "day")
+
+
+@register("forecast_smoothing", f"""SELECT id, model, day, 1 AS finite FROM {_AFTER} a,
+(VALUES ('holt'), ('holt_winters')) v(model)""")
+def q_forecast_smoothing(spark, sf):
+    """Holt and Holt-Winters with a weekly season."""
+    s = FC.regular_series(event_series(spark, sf), fill="zero").select("id", "day", "y")
+    return _finite(FC.forecast_smoothing(s, HORIZON, SEASON), "id", "model", "day")
+
+
+@register("forecast_select_all", f"""SELECT id, 7 AS n_models, 1 AS n_best, 1 AS ranks_complete FROM
+(SELECT DISTINCT id FROM {_EVENT_SERIES_SQL} s) i""")
+def q_forecast_select_all(spark, sf):
+    """Every candidate, smoothing included, ranked per series: seven ranks and one best."""
+    out = FC.forecast_select(FC.regular_series(event_series(spark, sf), fill="zero"), HORIZON, SEASON)
+    n = F.count(F.lit(1))
+    return out.groupBy("id").agg(n.cast("int").alias("n_models"), F.sum("best").cast("int").alias("n_best"),
+                                 (F.sum("rank") == n * (n + 1) / 2).cast("int").alias("ranks_complete"))
 
 
 _HOLD_SRC = f"""(SELECT s.* FROM {_EVENT_SERIES_SQL} s JOIN (SELECT id, max(day) AS l FROM {_EVENT_SERIES_SQL} x

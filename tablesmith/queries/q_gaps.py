@@ -66,7 +66,7 @@ def _pairs_sql(of):
 
 @register("gaps_pearson", _pairs_sql(lambda a, b: f"(SELECT round(corr({min(a, b)}, {max(a, b)}), 6) FROM {GAPS} g)"))
 def q_pearson(spark, sf):
-    return P.corr_matrix_pearson(gappy(spark, sf), COLS)
+    return P.corr_matrix_pearson(gappy(spark, sf), COLS, digits=6)
 
 
 def _rank_corr(a, b):
@@ -78,7 +78,7 @@ def _rank_corr(a, b):
 @register("gaps_spearman", _pairs_sql(_rank_corr))
 def q_spearman(spark, sf):
     """Pairwise: a gap in a third column changes nothing."""
-    return P.corr_matrix_spearman(gappy(spark, sf), COLS)
+    return P.corr_matrix_spearman(gappy(spark, sf), COLS, digits=6)
 
 
 @register("gaps_mutual_information", _mi_quantile_sql(COLS, "price", src=f"{GAPS} g"))

@@ -80,7 +80,7 @@ _HOLE_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
     f"SELECT '{c}' AS \"column\", CAST(count(*) - count({c}) AS BIGINT) AS n_missing, count(*) AS n_rows, "
     f"round((count(*) - count({c})) / count(*), 6) AS share_missing FROM {HOLES_SQL} h" for c in _HOLE_COLS))
 def q_missing(spark, sf):
-    return P.missing_counts(_customer_holes(spark, sf))
+    return _rounded(P.missing_counts(_customer_holes(spark, sf)), ["share_missing"])
 
 
 _ORDERS_COLS = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
@@ -98,7 +98,7 @@ def q_shape(spark, sf):
 SELECT o_orderpriority, count(*) AS n, round(count(*) / (SELECT count(*) FROM orders), 6) AS share
 FROM orders GROUP BY o_orderpriority""")
 def q_value_share(spark, sf):
-    return P.value_share(T(spark, sf, "orders"), "o_orderpriority")
+    return _rounded(P.value_share(T(spark, sf, "orders"), "o_orderpriority"), ["share"])
 
 
 @register("rating_distribution", "\nUNION ALL\n".join(
@@ -107,7 +107,8 @@ def q_value_share(spark, sf):
         round((SELECT avg({c}) FROM {SURVEY_SQL} t), 6) AS col_mean
         FROM {SURVEY_SQL} s GROUP BY {c}""" for c in SURVEY_COLS))
 def q_rating(spark, sf):
-    return P.rating_distribution(survey_answers(spark, sf), SURVEY_COLS)
+    out = P.rating_distribution(survey_answers(spark, sf), SURVEY_COLS)
+    return out.withColumns({"pct": round_half_away("pct", 2), "col_mean": round_half_away("col_mean", 6)})
 
 
 @register("column_means", "SELECT " + ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in SURVEY_COLS)
@@ -179,7 +180,7 @@ def _pairs_sql(cols, expr, src):
 
 @register("corr_matrix_pearson", _pairs_sql(LINEITEM_NUM, lambda a, b: f"corr({a}, {b})", "lineitem"))
 def q_pearson(spark, sf):
-    return P.corr_matrix_pearson(T(spark, sf, "lineitem"), LINEITEM_NUM)
+    return P.corr_matrix_pearson(T(spark, sf, "lineitem"), LINEITEM_NUM, digits=6)
 
 
 _RANKS = "(SELECT " + ", ".join(
@@ -189,7 +190,7 @@ _RANKS = "(SELECT " + ", ".join(
 
 @register("corr_matrix_spearman", _pairs_sql(LINEITEM_NUM, lambda a, b: f"corr(r_{a}, r_{b})", _RANKS + " rk"))
 def q_spearman(spark, sf):
-    return P.corr_matrix_spearman(T(spark, sf, "lineitem"), LINEITEM_NUM)
+    return P.corr_matrix_spearman(T(spark, sf, "lineitem"), LINEITEM_NUM, digits=6)
 
 
 KENDALL_COLS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
@@ -216,7 +217,7 @@ def _kendall_sql(cols):
 
 @register("corr_matrix_kendall", _kendall_sql(KENDALL_COLS))
 def q_kendall(spark, sf):
-    return P.corr_matrix_kendall(T(spark, sf, "lineitem"), KENDALL_COLS)
+    return P.corr_matrix_kendall(T(spark, sf, "lineitem"), KENDALL_COLS, digits=6)
 
 
 def _hist_sql(c, bins, src):
@@ -301,10 +302,27 @@ def _profile_sql(src, cols, d=9):
 
 @register("profile_report", _profile_sql("lineitem", LINEITEM_NUM))
 def q_profile_report(spark, sf):
-    rep = P.profile_report(T(spark, sf, "lineitem"), LINEITEM_NUM, with_rank_corr=False)
+    rep = P.profile_report(T(spark, sf, "lineitem"), LINEITEM_NUM, with_rank_corr=False, digits=9)
     return rep["columns"]
 
 
+_REPORT_COLS = ["l_quantity", "l_discount", "l_tax"]
+_REPORT_RANKS = "(SELECT " + ", ".join(
+    f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r_{c}" for c in _REPORT_COLS) + " FROM lineitem) rk"
+
+
+@register("profile_report_correlations", " UNION ALL ".join(
+    f"SELECT '{k}' AS kind, * FROM ({q})" for k, q in (
+        ("pearson", _pairs_sql(_REPORT_COLS, lambda a, b: f"corr({a}, {b})", "lineitem")),
+        ("spearman", _pairs_sql(_REPORT_COLS, lambda a, b: f"corr(r_{a}, r_{b})", _REPORT_RANKS)),
+        ("kendall", _kendall_sql(_REPORT_COLS)))))
+def q_profile_correlations(spark, sf):
+    """The report's three correlation tables."""
+    rep = P.profile_report(T(spark, sf, "lineitem"), _REPORT_COLS, digits=6)
+    kinds = [rep[k].select(F.lit(k).alias("kind"), "x", "y", "r") for k in ("pearson", "spearman", "kendall")]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+
+
 # ------------------------------------------------------------------ T1-T3
 
 @register("order_limit", """

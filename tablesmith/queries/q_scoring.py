@@ -133,6 +133,33 @@ def q_ab_metrics(spark, sf):
                           ("accuracy", "mean_prediction", "diff_vs_control", "se_vs_control")})
 
 
+_SCORED_FEEDBACK_SQL = _FEEDBACK_SQL.replace("FROM events", ", value FROM events")
+
+
+@register("ab_evaluate", f"""
+WITH f AS (SELECT * FROM {_SCORED_FEEDBACK_SQL} q),
+k AS (SELECT variant, c, sum(CAST(ground_truth = c AS INTEGER)) AS s, sum(CAST(prediction = c AS INTEGER)) AS p,
+        sum(CAST(ground_truth = c AND prediction = c AS INTEGER)) AS t FROM f, (VALUES (0), (1)) v(c) GROUP BY 1, 2),
+w AS (SELECT variant, sum(t) / sum(s) AS accuracy, sum(CASE WHEN s + p > 0 THEN 2.0 * t / (s + p) ELSE 0 END * s) / sum(s) AS weighted_f1,
+        sum(s)::BIGINT AS n FROM k GROUP BY 1),
+e AS (SELECT variant, sqrt(avg((ground_truth - prediction) ^ 2)) AS rmse, avg(abs(ground_truth - prediction)) AS mae,
+        1 - sum((ground_truth - prediction) ^ 2) / (var_pop(ground_truth) * count(*)) AS r2 FROM f GROUP BY 1),
+r AS (SELECT *, rank() OVER (PARTITION BY variant ORDER BY value)
+        + (count(*) OVER (PARTITION BY variant, value) - 1) / 2.0 AS rk FROM f),
+a AS (SELECT variant, count(*) FILTER (ground_truth = 1) AS n_pos, count(*) FILTER (ground_truth <> 1) AS n_neg,
+        sum(rk) FILTER (ground_truth = 1) AS sr FROM r GROUP BY 1)
+SELECT variant, round(accuracy, 6) AS accuracy, round(weighted_f1, 6) AS weighted_f1, n, round(rmse, 6) AS rmse,
+  round(mae, 6) AS mae, round(r2, 6) AS r2, round((sr - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg), 6) AS auc, n_pos, n_neg
+FROM w JOIN e USING (variant) JOIN a USING (variant)""")
+def q_ab_evaluate(spark, sf):
+    """Per variant: F1, RMSE and AUC of the event value as a score."""
+    e = AB.ab_assign_sticky(T(spark, sf, "events"), "user_id", SHARES_70_30, "checkout")
+    f = e.select("variant", "value", (F.col("value") > 10).cast("int").alias("prediction"),
+                 (F.col("event_type") == "purchase").cast("int").alias("ground_truth"))
+    m = AB.ab_evaluate(f, score="value")
+    return m.withColumns({c: round_half_away(c, 6) for c in ("accuracy", "weighted_f1", "rmse", "mae", "r2", "auc")})
+
+
 @register("ab_metrics_stream", f"""
 WITH f AS (SELECT ts, CASE WHEN {sql_hash_bucket(['user_id'], 100, 'checkout:')} < 70 THEN 'control' ELSE 'treatment' END AS variant,
   CAST(CAST(value > 10 AS INTEGER) = CAST(event_type = 'purchase' AS INTEGER) AS DOUBLE) AS correct FROM events)

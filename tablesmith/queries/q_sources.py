@@ -91,8 +91,9 @@ def _view_name(base):
 
 @register("read_table", "SELECT * FROM nation")
 def q_read_table(spark, sf):
-    name = _view_name("nation_view")
-    T(spark, sf, "nation").createOrReplaceTempView(name)
+    """A catalog table over the given file, read by its name."""
+    name = _view_name("nation_table")
+    spark.catalog.createTable(name, path=f"{sf}/nation.parquet", source="parquet")
     return S.read_table(spark, name)
 
 
@@ -104,16 +105,18 @@ def q_read_fallback(spark, sf):
 @register("write_table_overwrite", "SELECT * FROM supplier")
 def q_write_overwrite(spark, sf):
     name = _view_name("supplier_copy")
-    S.write_table_overwrite(T(spark, sf, "nation"), name)
-    S.write_table_overwrite(T(spark, sf, "supplier"), name)
+    path = scratch_path(spark, name)
+    S.write_table_overwrite(T(spark, sf, "nation"), name, path=path)
+    S.write_table_overwrite(T(spark, sf, "supplier"), name, path=path)
     return spark.table(name)
 
 
 @register("write_table_append", "SELECT * FROM nation UNION ALL SELECT * FROM nation")
 def q_write_append(spark, sf):
     name = _view_name("nation_log")
-    S.write_table_append(T(spark, sf, "nation"), name)
-    S.write_table_append(T(spark, sf, "nation"), name)
+    path = scratch_path(spark, name)
+    S.write_table_append(T(spark, sf, "nation"), name, path=path)
+    S.write_table_append(T(spark, sf, "nation"), name, path=path)
     return spark.table(name)
 
 
@@ -130,9 +133,9 @@ def q_literal(spark, sf):
     return n.join(F.broadcast(lit), n.n_regionkey == lit.r).select("n_nationkey", "n_name", "weight")
 
 
-@register("save_load_model")
+@register("save_load_model", "SELECT l_orderkey, l_linenumber, 1 AS same FROM lineitem")
 def q_save_load(spark, sf):
-    """Fit, save, reload and score: the reloaded model's predictions."""
+    """Fit, save, reload and score: the reloaded model predicts what the fitted one did."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
@@ -141,7 +144,9 @@ def q_save_load(spark, sf):
                          LinearRegression(labelCol="l_extendedprice")]).fit(li)
     path = scratch_path(spark, "model")
     S.save_model(m, path)
-    return S.load_model(path).transform(li).select("l_orderkey", "l_linenumber", "prediction")
+    back = S.load_model(path).transform(m.transform(li).select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_discount", F.col("prediction").alias("before")))
+    return back.select("l_orderkey", "l_linenumber", (F.col("prediction") == F.col("before")).cast("int").alias("same"))
 
 
 @register("sample_rows", f"""

@@ -82,17 +82,19 @@ def read_with_fallback(spark: SparkSession, name: str, path: str, fmt: str = "pa
 
 
 def write_table_overwrite(df: DataFrame, name: str, fmt: str = "parquet",
-                          partition_by: Sequence[str] | None = None) -> None:
-    """Replace a managed table."""
+                          partition_by: Sequence[str] | None = None, path: str | None = None) -> None:
+    """Replace a managed table (or, with ``path``, an external one kept there)."""
     w = df.write.mode("overwrite").format(fmt)
+    w = w.option("path", path) if path else w
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.saveAsTable(name)
 
 
-def write_table_append(df: DataFrame, name: str, fmt: str = "parquet") -> None:
-    """Append rows to a table (created on first write)."""
-    df.write.mode("append").format(fmt).saveAsTable(name)
+def write_table_append(df: DataFrame, name: str, fmt: str = "parquet", path: str | None = None) -> None:
+    """Append rows to a table (created on first write, at ``path`` if given)."""
+    w = df.write.mode("append").format(fmt)
+    (w.option("path", path) if path else w).saveAsTable(name)
 
 
 def literal_table(spark: SparkSession, rows: Sequence[Sequence], schema: StructType | str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Semantic rules of SURVEY section 1.1 and the reference's defects (section 1.2)."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -45,8 +46,20 @@ def test_d5_zero_spread_column_skipped(spark):
     assert kept.count() == 22
 
 
-def test_d3_sequential_iqr_depends_on_order():
-    pass  # covered by the outlier_iqr oracle (sequential CTE chain) in test_oracle
+def test_d3_sequential_iqr_depends_on_order(spark):
+    """Sequential bounds are measured on what the columns before left; simultaneous ones on all rows."""
+    rows = [(float(i), float(i % 7)) for i in range(40)] + [(1e6, 500.0), (2.0, 60.0)]
+    df = spark.createDataFrame(rows, "x double, y double")
+
+    def brute(order):
+        left = rows
+        for k in order:
+            v = sorted(r[k] for r in left)
+            q1, q3 = (np.quantile(v, q) for q in (0.25, 0.75))
+            left = [r for r in left if q1 - 1.5 * (q3 - q1) <= r[k] <= q3 + 1.5 * (q3 - q1)]
+        return sorted(left)
+    for cols, order in ((["x", "y"], (0, 1)), (["y", "x"], (1, 0))):
+        assert sorted(map(tuple, outliers.outlier_iqr(df, cols).collect())) == brute(order)
 
 
 def test_d6_missing_dropped_unless_kept(spark):
