@@ -38,9 +38,13 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE_CLASS + "+"), "")
 
 
+def characters(text: Column, kind: str) -> Column:
+    """Characters of a class: what the text loses without their runs (no match is ever built)."""
+    return F.length(text) - F.length(F.regexp_replace(text, kind + "+", ""))
+
+
 def symbols(text: Column) -> Column:
-    """Characters of ``[#*$%&|<>]``."""
-    return F.regexp_count(text, F.lit("[#*$%&|<>]"))
+    return characters(text, "[#*$%&|<>]")
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -100,7 +104,7 @@ def _default_rules() -> list[Rule]:
         return F.regexp_count(text, F.lit(WORD))
 
     def chars(text: Column) -> Column:
-        return F.length(F.regexp_replace(text, SPACE_CLASS + "+", ""))
+        return F.length(text) - characters(text, SPACE_CLASS)
 
     def many_repeats(text: Column) -> Column:
         return let(words_of(text), lambda w: 100 * let(window_hashes(w), covered_words) > 20 * F.size(w))
@@ -112,7 +116,7 @@ def _default_rules() -> list[Rule]:
         Rule("too_short", lambda t: count(t) < 10, F.col("n_words") < 10),
         Rule("repeats", many_repeats, 100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
         Rule("symbols", lambda t: 10 * symbols(t) > count(t), 10 * F.col("n_symbols") > F.col("n_words")),
-        Rule("shouting", lambda t: 2 * F.regexp_count(t, F.lit(r"\p{Lu}")) > F.regexp_count(t, F.lit(r"\p{L}")),
+        Rule("shouting", lambda t: 2 * characters(t, r"\p{Lu}") > characters(t, r"\p{L}"),
              2 * F.col("n_upper") > F.col("n_letters")),
         Rule("duplicate_lines", lambda t: let(F.split(t, "\n"), lambda x: F.size(F.filter(x, lambda y: y.rlike(WORD))))
              < 2 * duplicate_lines(t), F.col("n_lines") < 2 * F.col("n_dup_lines")),
@@ -180,8 +184,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         "doc_id", words_of(text).alias("_words"), symbols(text).cast("long").alias("n_symbols"),
         duplicate_lines(text).cast("long").alias("n_dup_lines"),
         F.size(F.filter(F.split(text, "\n"), lambda y: y.rlike(WORD))).cast("long").alias("n_lines"),
-        F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
-        F.regexp_count(text, F.lit(r"\p{L}")).cast("long").alias("n_letters"))
+        characters(text, r"\p{Lu}").cast("long").alias("n_upper"), characters(text, r"\p{L}").cast("long").alias("n_letters"))
     return rows.select(
         "doc_id", F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"), "n_symbols", "n_dup_lines",
