@@ -28,6 +28,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +48,7 @@ LETTER, NUMBER, OTHER, WHITE, APOS1, APOS2, SPACE_LAST, WHITE_LAST, BREAK = rang
 FRESH, IN_LETTER, IN_NUMBER, IN_OTHER, JOINING, IN_WHITE, END1, END2 = range(8)
 
 CHUNK_CHARS = 1 << 20
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 
 
 # --- classes -----------------------------------------------------------------
@@ -346,32 +347,39 @@ def _ranks(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+def _encoded(c: Codec, batches: Iterator[pa.RecordBatch], keep: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of (keep..., text) as (keep..., ids, offsets), about a million characters at a time."""
+    for batch in batches:
+        column = batch.column(batch.num_columns - 1)
+        for lo, hi in slices(batch, pc.binary_length(column).to_pylist(), CHUNK_CHARS):
+            part = column.slice(lo, hi - lo).to_pylist()
+            ids = [c.encode_whole(part[0])] if len(part) == 1 else c.encode(part)
+            rest = [x.slice(lo, hi - lo) for x in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays(
+                [*rest, pa.array(ids, pa.binary()), pa.array([c.offsets(x) for x in ids], pa.binary())],
+                names=[*keep, "ids", "offsets"])
+
+
+def _decoded(c: Codec, batches: Iterator[pa.RecordBatch], keep: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of (keep..., ids, offsets) as (keep..., decoded)."""
+    k = len(keep)
+    for batch in batches:
+        for lo, hi in slices(batch, pc.binary_length(batch.column(k)).to_pylist(), 4 * CHUNK_CHARS):
+            part = batch.slice(lo, hi - lo)
+            texts = [c.decode(a, b) for a, b in zip(part.column(k).to_pylist(), part.column(k + 1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(texts, pa.binary())], names=[*keep, "decoded"])
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` plus ids and offsets, both packed little-endian in a binary column.
 
-    No shuffle: one Arrow pass over the texts, in chunks of about a million
-    characters.  Only the named columns are read, so further columns never clash.
+    No shuffle: one Arrow pass over the texts.  Only the named columns are read, so further columns never clash.
     """
     shared = _ranks(docs, path)
     src = docs.select(*keep, text_of(text).alias("__text"))
-    fields = [src.schema[c] for c in keep]
-    schema = T.StructType(fields + [T.StructField("ids", T.BinaryType(), False),
-                                    T.StructField("offsets", T.BinaryType(), False)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(shared.value)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            rest = batch.select(range(batch.num_columns - 1))
-            for lo, hi in slices(batch, [len(x) for x in texts], CHUNK_CHARS):
-                part = texts[lo:hi]
-                ids = [c.encode_whole(part[0])] if len(part) == 1 else c.encode(part)
-                yield pa.RecordBatch.from_arrays(
-                    [*rest.slice(lo, hi - lo).columns, pa.array(ids, pa.binary()),
-                     pa.array([c.offsets(x) for x in ids], pa.binary())],
-                    names=[*keep, "ids", "offsets"])
-
-    return src.mapInArrow(run, schema)
+    schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("ids", T.BinaryType(), False),
+                                                           T.StructField("offsets", T.BinaryType(), False)])
+    return src.mapInArrow(lambda batches: _encoded(codec(shared.value), batches, keep), schema)
 
 
 def decode(encoded: DataFrame, path: str, keep: Sequence[str] = ("doc_id", "ids")) -> DataFrame:
@@ -379,26 +387,27 @@ def decode(encoded: DataFrame, path: str, keep: Sequence[str] = ("doc_id", "ids"
     shared = _ranks(encoded, path)
     src = encoded.select(*keep, F.col("ids").alias("__ids"), F.col("offsets").alias("__offsets"))
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("decoded", T.BinaryType(), False)])
+    return src.mapInArrow(lambda batches: _decoded(codec(shared.value), batches, keep), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(shared.value)
-        k = len(keep)
-        for batch in batches:
-            sizes = [len(x.as_buffer()) for x in batch.column(k)]
-            for lo, hi in slices(batch, sizes, 4 * CHUNK_CHARS):
-                part = batch.slice(lo, hi - lo)
-                texts = [c.decode(a, b) for a, b in zip(part.column(k).to_pylist(),
-                                                        part.column(k + 1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(texts, pa.binary())],
-                                                 names=[*keep, "decoded"])
 
-    return src.mapInArrow(run, schema)
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """Per row: doc_id, n_tokens, and SHA-256 of the packed ids and of the decoded bytes.
+
+    ``encode`` and ``decode`` in one Arrow pass, so that a task needs one Python worker and the ids cross to it once.
+    """
+    shared = _ranks(docs, path)
+    src = docs.select("doc_id", text_of().alias("__text"))
+    schema = T.StructType([src.schema["doc_id"], T.StructField("ids", T.BinaryType(), False),
+                           T.StructField("decoded", T.BinaryType(), False)])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(shared.value)
+        for found in _encoded(c, batches, ["doc_id"]):
+            back = _decoded(c, [found.select([0, 1, 1, 2]).rename_columns(["doc_id", "ids", "__ids", "__offsets"])], ["doc_id", "ids"])
+            yield from back
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Per row: doc_id, n_tokens, and SHA-256 of the packed ids and of the decoded bytes."""
-    back = decode(encode(docs, path), path)
-    return back.select(
+    both = src.mapInArrow(run, schema)
+    return both.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2(F.col("ids"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

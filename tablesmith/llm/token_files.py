@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -207,9 +208,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pl
 
         def records() -> Iterator[bytes]:
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for lo, hi in slices(batch, [len(x) for x in texts], CHUNK_CHARS):
-                    part = texts[lo:hi]
+                ids, texts = batch.column(0).to_pylist(), batch.column(1)
+                for lo, hi in slices(batch, pc.binary_length(texts).to_pylist(), CHUNK_CHARS):
+                    part = texts.slice(lo, hi - lo).to_pylist()
                     packed = [enc.encode_long(part[0], end)] if len(part) == 1 else enc.encode(part, end)
                     for doc_id, x in zip(ids[lo:hi], packed):
                         yield from out.add(doc_id, x)
