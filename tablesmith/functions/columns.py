@@ -50,6 +50,16 @@ def safe_div(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(col_of(a), col_of(b))
 
 
+def safe_corr(a: str | Column, b: str | Column) -> Column:
+    """Aggregate: Pearson r over the rows where both are present, within [-1, 1]; null if either has no
+    spread there (``F.corr`` raises then in ANSI mode)."""
+    x, y = col_of(a).cast("double"), col_of(b).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+
+
 def smoothed_ratio(a: str | Column, b: str | Column, eps: float = 1e-6) -> Column:
     """a / (b + eps) (P5)."""
     return F.try_divide(col_of(a), col_of(b) + F.lit(eps))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType
 
 from tablesmith.functions.columns import (equal_width_bin, exact_mean, nan_free, quoted, round_half_away,
-                                          round_half_away_value)
+                                          round_half_away_value, safe_corr)
 
 from tablesmith.plans import quantiles as Q
 
@@ -234,7 +234,7 @@ def corr_matrix_pearson(df: DataFrame, cols: Sequence[str], digits: int | None =
         structs += [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r.alias("r")),
                     F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), r.alias("r"))]
     one = nan_free(df, cols).agg(F.count(F.lit(1)).alias("n_rows"),
-                                 *[F.corr(quoted(a), quoted(b)).alias(f"r__{i}") for i, (a, b) in enumerate(pairs)])
+                                 *[safe_corr(F.col(quoted(a)), F.col(quoted(b))).alias(f"r__{i}") for i, (a, b) in enumerate(pairs)])
     return one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 

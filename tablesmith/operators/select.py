@@ -14,14 +14,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesmith.functions.columns import equal_width_bin, nan_free, quoted, round_half_away
+from tablesmith.functions.columns import equal_width_bin, nan_free, quoted, round_half_away, safe_corr
 from tablesmith.plans import quantiles as Q
 
 
 def select_by_correlation(df: DataFrame, features: Sequence[str], target: str,
                           threshold: float = 0.3) -> DataFrame:
     """K1: |corr(x, target)| for every feature from one aggregate; keep > threshold."""
-    one = nan_free(df, [*features, target]).agg(*[F.corr(c, target).alias(f"r{i}") for i, c in enumerate(features)])
+    one = nan_free(df, [*features, target]).agg(*[safe_corr(F.col(quoted(c)), F.col(quoted(target))).alias(f"r{i}") for i, c in enumerate(features)])
     structs = [F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("corr")) for i, c in enumerate(features)]
     long = one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
     return (long.withColumn("abs_corr", F.abs("corr"))
@@ -131,19 +131,19 @@ def select_from_model(importances: DataFrame, score: str = "importance") -> Data
 def select_k_best_f(df: DataFrame, features: Sequence[str], target: str, k: int = 10) -> DataFrame:
     """K6: univariate regression F statistic r^2 / (1 - r^2) * (n - 2), top k.
 
-    n counts rows where both the feature and the target are present.  A feature with |r| = 1 has an
+    n counts rows where both the feature and the target are present.  A feature with |r| = 1 (to 12 digits) has an
     infinite F and comes first; one without spread has none and comes last.
     """
     df, aggs = nan_free(df, [*features, target]), []
     for i, c in enumerate(features):
         both = F.col(c).isNotNull() & F.col(target).isNotNull()
-        aggs += [F.corr(c, target).alias(f"r{i}"), F.sum(both.cast("long")).alias(f"n{i}")]
+        aggs += [safe_corr(F.col(quoted(c)), F.col(quoted(target))).alias(f"r{i}"), F.sum(both.cast("long")).alias(f"n{i}")]
     one = df.agg(*aggs)
     structs = [F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n"))
                for i, c in enumerate(features)]
     long = one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
     r2 = F.col("r") * F.col("r")
-    f = F.when(F.abs(F.col("r")) >= 1, F.lit(float("inf"))).otherwise(F.try_divide(r2, F.lit(1.0) - r2) * (F.col("n") - 2))
+    f = F.when(F.abs(F.col("r")) >= 1 - 1e-12, F.lit(float("inf"))).otherwise(F.try_divide(r2, F.lit(1.0) - r2) * (F.col("n") - 2))
     scored = long.withColumn("f_score", f)
     w = Window.orderBy(F.col("f_score").desc_nulls_last(), F.col("feature"))  # one row per feature
     return scored.withColumn("rank", F.row_number().over(w)).withColumn(

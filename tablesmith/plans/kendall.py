@@ -3,7 +3,7 @@
 tau_b = S / sqrt((n0 - n1) (n0 - n2)),  S = sum over pairs of sign(dx) sign(dy).
 
 Rows are first grouped to distinct points (x, y, w).  A point set of any size is cut into
-``CELLS`` quantile cells on both axes (ties stay in one cell).  A pair in different x-cells *and*
+about ``CELLS`` quantile cells on both axes (ties stay in one cell, a cut value has its own).  A pair in different x-cells *and*
 different y-cells has a sign known from the cells alone: those are counted from the set's small cell table.
 Every other pair shares an x-cell (a "column") or a y-cell (a "row").  Columns and rows are point sets
 again, with 1 / ``CELLS`` of the points each, and go through the same step until a set holds at most
@@ -18,7 +18,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import quoted
@@ -111,7 +111,7 @@ def kendall_pairs(df: DataFrame, pairs) -> dict:
 
 
 def _grid_sum(pdf: pd.DataFrame) -> float:
-    """The sum over pairs of cells that differ on both axes, from one set's cell table (at most CELLS ** 2 rows)."""
+    """The sum over pairs of cells that differ on both axes, from one set's cell table (at most (2 * CELLS) ** 2 rows)."""
     grid = np.zeros((int(pdf["bx"].max()) + 1, int(pdf["by"].max()) + 1))
     grid[pdf["bx"], pdf["by"]] = pdf["w"]
     left = grid.cumsum(axis=0)[:-1]                       # weight in smaller x-cells, by y-cell
@@ -121,8 +121,16 @@ def _grid_sum(pdf: pd.DataFrame) -> float:
     return float((grid[1:] * (below - above)).sum())
 
 
-def dominance(points: DataFrame, cells: int = CELLS, line_points: int = LINE_POINTS) -> dict[int, float]:
+def _cell(cuts: str, value: str) -> Column:
+    """Cell of a value: a cut value has a cell of its own between those of its neighbours, so a hot value
+    is alone in its cell and every other cell holds a small share of the points."""
+    distinct = F.array_distinct(cuts)
+    return F.size(F.filter(distinct, lambda t: t < F.col(value))) + F.size(F.filter(distinct, lambda t: t <= F.col(value)))
+
+
+def dominance(points: DataFrame, cells: int | None = None, line_points: int | None = None) -> dict[int, float]:
     """S of every ``p`` from its distinct weighted points (p, x, y, w)."""
+    cells, line_points = cells or CELLS, line_points or LINE_POINTS
     def grouped(fn):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"p": [int(pdf["p"].iloc[0])], "s": [fn(pdf)]})
@@ -144,8 +152,7 @@ def dominance(points: DataFrame, cells: int = CELLS, line_points: int = LINE_POI
         more = not big.isEmpty()
         if more:
             placed = cut_lineage(sets.join(big.select("part", "qx", "qy"), "part").select(
-                "p", "part", "x", "y", "w", F.size(F.filter(F.array_distinct("qx"), lambda t: t < F.col("x"))).alias("bx"),
-                F.size(F.filter(F.array_distinct("qy"), lambda t: t < F.col("y"))).alias("by")))
+                "p", "part", "x", "y", "w", _cell("qx", "x").alias("bx"), _cell("qy", "y").alias("by")))
             tables = placed.groupBy("p", "part", "bx", "by").agg(F.sum("w").alias("w"))
             sums = sums.unionByName(tables.groupBy("p", "part").applyInPandas(grouped(_grid_sum), "p int, s double"))
         for r in sums.groupBy("p").agg(F.sum("s").alias("s")).collect():  # one row per pair of columns

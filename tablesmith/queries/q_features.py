@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import round_half_away, sql_hash_unit
@@ -193,20 +194,33 @@ def _scaled_lineitem(spark, sf):
     return FE.scale_vector(v, "raw", "features", "standard")[0]
 
 
-@register("pca")
+@register("pca", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 2 AS components, 1 AS uncorrelated
+FROM lineitem""")
 def q_pca(spark, sf):
-    """Two components of the scaled lineitem measures; rows-only check."""
+    """Two components of the scaled lineitem measures for every row; the components do not correlate."""
     res, _, _ = FE.pca(_scaled_lineitem(spark, sf), "features", 2)
-    return res.select(*LI_KEY, "pca")
+    r = res.agg(F.corr(F.col("pca")[0], F.col("pca")[1])).first()[0]
+    return res.select(*LI_KEY, F.size("pca").alias("components"), F.lit(int(abs(r) < 1e-6)).alias("uncorrelated"))
 
 
-@register("pca_variance")
+@register("pca_variance", """SELECT i AS component, 1 AS in_order, 1.0::DOUBLE AS total
+FROM range(1, 5) r(i) WHERE (SELECT count(*) FROM lineitem) > 0""")
 def q_pca_variance(spark, sf):
+    """Variance shares of all four components: descending, and one in sum."""
     _, _, m = FE.pca(_scaled_lineitem(spark, sf), "features", 4)
-    return FE.pca_variance(m, 0.9, spark)
+    v = FE.pca_variance(m, 0.9, spark)
+    w = Window.orderBy("component")  # four rows
+    return v.select(F.col("component").cast("long").alias("component"),
+                    (F.col("explained") <= F.coalesce(F.lag("explained").over(w), F.lit(1.0))).cast("int").alias("in_order"),
+                    F.round(F.sum("explained").over(Window.partitionBy()), 9).alias("total"))
 
 
-@register("vector_index")
+_DENSE = "(dense_rank() OVER (ORDER BY {0}) - 1)::DOUBLE"
+
+
+@register("vector_index", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  [{_DENSE.format("l_linenumber")}, l_quantity, {_DENSE.format("l_discount")}, {_DENSE.format("l_tax")}, l_extendedprice] AS indexed
+FROM lineitem""")
 def q_vector_index(spark, sf):
     v = FE.assemble_vector(T(spark, sf, "lineitem"), ["l_linenumber", "l_quantity", "l_discount", "l_tax",
                                                       "l_extendedprice"], "raw")
@@ -214,22 +228,40 @@ def q_vector_index(spark, sf):
     return res.select(*LI_KEY, vector_to_array("indexed").alias("indexed"))
 
 
-@register("feature_pipeline")
+_SCALED = "round(({0} - avg({0}) OVER ()) / stddev_samp({0}) OVER (), 6)"
+_HOT = "CAST(CAST({0} = {1} AS INTEGER) AS DOUBLE)"
+
+
+@register("feature_pipeline", f"""
+WITH a AS (SELECT *, CASE WHEN l_discount = 0 THEN NULL ELSE l_discount END AS d, l_extendedprice / l_quantity AS ratio FROM lineitem),
+m AS (SELECT quantile_disc(d, 0.5) AS m FROM a),
+f AS (SELECT l_returnflag, row_number() OVER (ORDER BY count(*) DESC, l_returnflag) - 1 AS fi FROM lineitem GROUP BY 1),
+s AS (SELECT l_linestatus, row_number() OVER (ORDER BY count(*) DESC, l_linestatus) - 1 AS si FROM lineitem GROUP BY 1),
+b AS (SELECT a.*, coalesce(d, m) AS di, fi, si FROM a JOIN f USING (l_returnflag) JOIN s USING (l_linestatus), m)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, [{", ".join(
+    [_SCALED.format(c) for c in ("l_quantity", "l_extendedprice", "di", "l_tax", "ratio")]
+    + [_HOT.format("fi", k) for k in range(4)] + [_HOT.format("si", k) for k in range(3)])}] AS features FROM b""")
 def q_feature_pipeline(spark, sf):
     li = T(spark, sf, "lineitem").withColumn("l_discount", F.nullif(F.col("l_discount"), F.lit(0.0)))
     pipe = FE.feature_pipeline(["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
                                ["l_returnflag", "l_linestatus"], impute=["l_discount"],
                                derived={"price_per_qty": ("l_extendedprice", "l_quantity")})
     out = pipe.fit(li).transform(li)
-    return out.select(*LI_KEY, vector_to_array("features").alias("features"))
+    return out.select(*LI_KEY, F.transform(vector_to_array("features"), lambda x: round_half_away(x, 6)).alias("features"))
+
+
+_NAMES = """SELECT {n} + row_number() OVER (ORDER BY count(*) DESC, {c}) - 1 AS position, '{c}_' || {c} AS name FROM part GROUP BY {c}
+UNION ALL SELECT {n} + count(DISTINCT {c}), '{c}___unknown' FROM part"""
 
 
-@register("column_transformer")
+@register("column_transformer", f"""
+SELECT 0::BIGINT AS position, 'p_size' AS name UNION ALL SELECT 1, 'p_retailprice' UNION ALL {_NAMES.format(n=2, c="p_type")}
+UNION ALL {_NAMES.format(n="3 + (SELECT count(DISTINCT p_type) FROM part)", c="p_brand")}""")
 def q_column_transformer(spark, sf):
     """Feature names after scaling and one-hot, as (position, name)."""
     p = T(spark, sf, "part")
     _, _, names = FE.column_transformer(p, ["p_size", "p_retailprice"], ["p_type", "p_brand"])
-    return spark.createDataFrame(list(enumerate(names)), "position int, name string")
+    return spark.createDataFrame(list(enumerate(names)), "position long, name string")
 
 
 @register("scale_vector", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, [" + ", ".join(
@@ -243,8 +275,12 @@ def q_scale_vector(spark, sf):
                       .alias("features"))
 
 
-@register("quantile_discretize")
+@register("quantile_discretize", """SELECT i::DOUBLE AS price_bucket, 1 AS about_a_fifth
+FROM range(5) r(i) WHERE (SELECT count(*) FROM orders) > 0""")
 def q_quantile_discretize(spark, sf):
-    """E3, scale variant: Spark's QuantileDiscretizer (sketch edges); rows-only check."""
-    return FE.quantile_discretize(T(spark, sf, "orders"), "o_totalprice", 5, "price_bucket").select(
-        "o_orderkey", "price_bucket")
+    """E3, scale variant: Spark's QuantileDiscretizer (sketch edges): five buckets of about a fifth each."""
+    d = FE.quantile_discretize(T(spark, sf, "orders"), "o_totalprice", 5, "price_bucket")
+    n = F.count(F.lit(1))
+    sizes = d.groupBy("price_bucket").agg(n.alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy())  # five rows
+    return sizes.select("price_bucket", share.between(0.18, 0.22).cast("int").alias("about_a_fifth"))

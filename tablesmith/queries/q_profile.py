@@ -161,10 +161,21 @@ def q_exact_quantiles(spark, sf):
     return _rounded(P.exact_quantiles(T(spark, sf, "lineitem"), LINEITEM_NUM, _QPROBS), ["value"])
 
 
-@register("approx_quantiles")
+@register("approx_quantiles", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {p}::DOUBLE AS p, 1 AS within_rank_error"
+    for c in LINEITEM_NUM for p in (0.01, 0.5, 0.99)))
 def q_approx_quantiles(spark, sf):
-    """Sketch quantiles: actual values within the rank error; rows-only check."""
-    return P.approx_quantiles(T(spark, sf, "lineitem"), LINEITEM_NUM, [0.01, 0.5, 0.99], 0.01)
+    """Sketch quantiles: the share of rows below the value, and up to it, meets p within the rank error."""
+    li, error = T(spark, sf, "lineitem"), 0.01
+    found = P.approx_quantiles(li, LINEITEM_NUM, [0.01, 0.5, 0.99], error).collect()  # one row per column and p
+    shares = [e for i, r in enumerate(found) for e in (
+        F.avg((F.col(r["column"]) < r["value"]).cast("double")).alias(f"b{i}"),
+        F.avg((F.col(r["column"]) <= r["value"]).cast("double")).alias(f"u{i}"))]
+    one = li.agg(*shares)
+    rows = [F.struct(F.lit(r["column"]).alias("column"), F.lit(r["p"]).alias("p"),
+                     ((F.col(f"b{i}") <= r["p"] + error) & (F.col(f"u{i}") >= r["p"] - error)).cast("int").alias("within_rank_error"))
+            for i, r in enumerate(found)]
+    return one.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
 
 
 def _pairs_sql(cols, expr, src):

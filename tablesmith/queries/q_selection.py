@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import round_half_away, sql_hash_bucket, sql_hash_unit, sql_in_share
@@ -78,24 +79,39 @@ def q_mi(spark, sf):
     return _r(S.mutual_information(T(spark, sf, "lineitem"), FEATS, TARGET, 10, 10), ["mi"])
 
 
-@register("rfe")
+def _each_feature(extra, of="lineitem"):
+    return " UNION ALL ".join(f"SELECT '{c}' AS feature, {extra} WHERE (SELECT count(*) FROM {of}) > 0" for c in FEATS)
+
+
+@register("rfe", _each_feature("1 AS rank_fits, 3 AS n_kept"))
 def q_rfe(spark, sf):
-    """Linear-model elimination down to 3 of 6 features; rows-only check."""
-    return S.rfe(T(spark, sf, "lineitem"), FEATS, TARGET, n_keep=3)
+    """Linear-model elimination down to 3 of 6 features: ranks 2 to 4 once each, rank 1 for those kept."""
+    r = S.rfe(T(spark, sf, "lineitem"), FEATS, TARGET, n_keep=3)
+    same = F.count(F.lit(1)).over(Window.partitionBy("rank"))  # one row per feature
+    fits = ((F.col("rank") == 1) & (same == 3) & (F.col("selected") == 1)) | (F.col("rank").between(2, 4) & (same == 1) & (F.col("selected") == 0))
+    return r.select("feature", fits.cast("int").alias("rank_fits"), F.sum("selected").over(Window.partitionBy()).cast("int").alias("n_kept"))
+
+
+def _shares(imp, *keys):
+    """Importances as what holds for any fit: none negative, and one in sum."""
+    return imp.select(*keys, "feature", (F.col("importance") >= 0).cast("int").alias("not_negative"),
+                      F.round(F.sum("importance").over(Window.partitionBy(*keys)), 9).alias("total"))  # one row per feature
 
 
-@register("tree_importance")
+@register("tree_importance", " UNION ALL ".join(
+    f"SELECT '{m}' AS model, * FROM ({_each_feature('1 AS not_negative, 1.0::DOUBLE AS total')})" for m in ("forest", "boosted")))
 def q_tree_importance(spark, sf):
     li = T(spark, sf, "lineitem")
     rf = S.tree_importance(li, FEATS, TARGET, "forest", num_trees=20, max_depth=6).withColumn("model", F.lit("forest"))
     gb = S.tree_importance(li, FEATS, TARGET, "boosted", max_iter=10).withColumn("model", F.lit("boosted"))
-    return rf.unionByName(gb)
+    return _shares(rf.unionByName(gb), "model")
 
 
-@register("select_from_model")
+@register("select_from_model", "SELECT CAST(i AS INTEGER) AS selected, 3 AS n FROM range(2) r(i) WHERE (SELECT count(*) FROM lineitem) > 0")
 def q_select_from_model(spark, sf):
+    """Half of the six features reach the median importance."""
     imp = S.tree_importance(T(spark, sf, "lineitem"), FEATS, TARGET, "forest", num_trees=20, max_depth=6)
-    return S.select_from_model(imp)
+    return S.select_from_model(imp).groupBy("selected").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
 def _f_sql():
@@ -196,14 +212,14 @@ def q_selection_summary(spark, sf):
     return S.selection_summary(T(spark, sf, "lineitem"), FEATS, TARGET, n=10, bins=10)
 
 
-@register("model_importance")
+@register("model_importance", _each_feature("1 AS not_negative, 1.0::DOUBLE AS total"))
 def q_model_importance(spark, sf):
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import VectorAssembler
     li = T(spark, sf, "lineitem").withColumn("label", (F.col("l_returnflag") == "R").cast("double"))
     v = VectorAssembler(inputCols=FEATS, outputCol="features").transform(li)
     m = DecisionTreeClassifier(maxDepth=5, seed=42).fit(v)
-    return S.model_importance(m, FEATS, spark)
+    return _shares(S.model_importance(m, FEATS, spark))
 
 
 @register("append_columns", """

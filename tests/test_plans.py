@@ -76,9 +76,10 @@ def _tau_b_brute(x, y):
     return s / math.sqrt((n0 - tx) * (n0 - ty))
 
 
-@pytest.mark.parametrize("line_points", [2000, 7])
-def test_kendall_matches_pair_count(spark, monkeypatch, line_points):
-    monkeypatch.setattr(kendall, "TARGET_LINE_POINTS", line_points)   # 7 forces many cells
+@pytest.mark.parametrize("cells, line_points", [(256, 100_000), (3, 12), (4, 40)])
+def test_kendall_matches_pair_count(spark, monkeypatch, cells, line_points):
+    monkeypatch.setattr(kendall, "CELLS", cells)               # few cells and short lines: several levels
+    monkeypatch.setattr(kendall, "LINE_POINTS", line_points)
     rng = random.Random(5)
     x = [float(rng.randint(0, 30)) for _ in range(400)]
     y = [float(v + rng.randint(-10, 10)) if i % 4 else 3.0 for i, v in enumerate(x)]
@@ -86,6 +87,18 @@ def test_kendall_matches_pair_count(spark, monkeypatch, line_points):
     assert abs(kendall.kendall_tau_b(df, "x", "y") - _tau_b_brute(x, y)) < 1e-12
 
 
+def test_kendall_groups_stay_small_as_data_grows(spark, monkeypatch):
+    """Ten times the points: the largest group a task counts stays under the same bound."""
+    monkeypatch.setattr(kendall, "CELLS", 8)
+    monkeypatch.setattr(kendall, "LINE_POINTS", 60)
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 200, 1500).astype(float)
+    x[:500] = 17.0                                             # a third of the rows share one value
+    y = rng.standard_normal(1500).round(2)
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "x double, y double")
+    assert abs(kendall.kendall_tau_b(df, "x", "y") - _tau_b_brute(x, y)) < 1e-12
+
+
 def test_rounding_matches_sql_engine(spark):
     vals = [1037.0821875, 0.0499185, 2.675, -2.5e-7, 123456.1234565, 0.125, -4e-7, -0.0, 0.0]
     con = duckdb.connect()
