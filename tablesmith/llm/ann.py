@@ -40,6 +40,8 @@ SAMPLE_ROWS = 20_000
 #: Queries that search one block in one task unit; more are dealt to several units with a copy of the block.
 UNIT_QUERIES = 4096
 LEAF = 64
+#: Queries that advance together inside a block.
+QUERY_BATCH = 512
 
 
 def chi_square_quantile(p: float, dimensions: int) -> float:
@@ -162,10 +164,10 @@ class UpperTree:
 
 
 class BlockTree:
-    """kd-tree leaves of one block's projected points, with the points' vectors."""
+    """kd-tree leaves of one block's projected points, with the points' vectors in leaf order."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.x = x
+    def __init__(self, x: np.ndarray, y: np.ndarray, names: np.ndarray):
+        """``names``: each point's smallest id, which breaks ties."""
         parts, leaves = [np.arange(len(y))], []
         while parts:
             p = parts.pop()
@@ -175,37 +177,73 @@ class BlockTree:
             j = int(np.argmax(y[p].max(axis=0) - y[p].min(axis=0)))
             order = p[np.argsort(y[p, j], kind="stable")]
             parts += [order[:len(p) // 2], order[len(p) // 2:]]
-        self.leaves = leaves
-        self.y = y
+        self.row = np.concatenate(leaves)          # point at each place of the leaf order
+        self.x, self.names = x[self.row], names[self.row]
+        self.start = np.cumsum([0] + [len(p) for p in leaves])
         self.low = np.array([y[p].min(axis=0) for p in leaves])
         self.high = np.array([y[p].max(axis=0) for p in leaves])
 
-    def search(self, q: np.ndarray, at: np.ndarray, k: int, bound: float, quantile: float, norms: float) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) of the k best found, ties at the end included.  ``bound``: a k-th score known already;
-        ``norms``: squared norms of query and points together, so squared distance = norms - 2 * score."""
-        gap = np.maximum(np.maximum(self.low - at, at - self.high), 0.0)
-        near = (gap ** 2).sum(axis=1)
-        order = np.argsort(near, kind="stable")
-        rows, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        i, step = 0, 4
-        while i < len(order):
-            reach = quantile * max(norms - 2 * bound, 0.0) if bound > -np.inf else np.inf
-            if near[order[i]] > reach:
-                break  # the chi-square test holds for all that is left
-            part = order[i:i + step]
-            points = np.concatenate([self.leaves[j] for j in part[near[part] <= reach]])
-            if reach < np.inf:
-                points = points[((self.y[points] - at) ** 2).sum(axis=1) <= reach]
-            rows = np.concatenate([rows, points])
-            scores = np.concatenate([scores, (self.x[points] * q).sum(axis=1)])
-            if len(scores) > k:
-                least = np.partition(scores, len(scores) - k)[len(scores) - k]
-                keep = scores >= least
-                rows, scores = rows[keep], scores[keep]
-            if len(scores) >= k:
-                bound = max(bound, scores.min())
+    def _top(self, scores: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of each row by score; where the k-th is tied, by the smaller name."""
+        if scores.shape[1] <= k:
+            return scores, places
+        pick = np.argpartition(scores, scores.shape[1] - k, axis=1)[:, -k:]
+        best = np.take_along_axis(scores, pick, axis=1)
+        least = best.min(axis=1)
+        for r in np.flatnonzero(((scores >= least[:, None]).sum(axis=1) > k) & (least > -np.inf)):
+            tied = np.flatnonzero(scores[r] >= least[r])
+            pick[r] = tied[np.lexsort((self.names[places[r, tied]], -scores[r, tied]))[:k]]
+        return np.take_along_axis(scores, pick, axis=1), np.take_along_axis(places, pick, axis=1)
+
+    def search(self, queries: np.ndarray, at: np.ndarray, k: int, bounds: np.ndarray, quantile: float, norms: np.ndarray) -> list:
+        """Per query the (rows, scores) of its k best found.  ``bounds``: k-th scores known already; ``norms``:
+        squared norms of query and points together, so squared distance = norms - 2 * score.
+
+        All queries advance together: each takes its next leaves by projected distance, and a leaf is verified for
+        the queries that reach it in one product, until the test holds for every query's next leaf.
+        """
+        gap = np.maximum(self.low[None] - at[:, None], at[:, None] - self.high[None])
+        near = (np.maximum(gap, 0.0) ** 2).sum(axis=2)
+        order = np.argsort(near, axis=1, kind="stable")
+        n, leaves = near.shape
+        best, place = np.full((n, 0), -np.inf), np.zeros((n, 0), dtype=np.int64)
+        bounds, active, i, step = bounds.copy(), np.arange(n), 0, 4
+        while i < leaves and len(active):
+            with np.errstate(invalid="ignore"):
+                reach = np.where(bounds > -np.inf, quantile * np.maximum(norms - 2 * bounds, 0.0), np.inf)
+            chunk = order[active, i:i + step]
+            due = near[active[:, None], chunk] <= reach[active, None]
+            keep = due[:, 0]  # for the others the chi-square test holds for all that is left
+            active, chunk, due = active[keep], chunk[keep], due[keep]
+            if not len(active):
+                break
+            width = chunk.shape[1]
+            scores = np.full((len(active), width, LEAF), -np.inf)
+            places = np.zeros((len(active), width, LEAF), dtype=np.int64)
+            rows, cols = np.nonzero(due)
+            which = chunk[rows, cols]
+            by_leaf = np.argsort(which, kind="stable")
+            cuts = np.flatnonzero(np.diff(which[by_leaf])) + 1
+            for group in np.split(by_leaf, cuts):
+                leaf = which[group[0]]
+                lo, hi = self.start[leaf], self.start[leaf + 1]
+                r, c = rows[group], cols[group]
+                scores[r, c, :hi - lo] = queries[active[r]] @ self.x[lo:hi].T
+                places[r, c, :hi - lo] = np.arange(lo, hi)
+            if best.shape[1] < k:
+                grow = k - best.shape[1]
+                best = np.hstack([best, np.full((n, grow), -np.inf)])
+                place = np.hstack([place, np.zeros((n, grow), dtype=np.int64)])
+            top, where = self._top(np.hstack([best[active], scores.reshape(len(active), -1)]),
+                                   np.hstack([place[active], places.reshape(len(active), -1)]), k)
+            best[active], place[active] = top, where
+            bounds[active] = np.maximum(bounds[active], top.min(axis=1))
             i, step = i + step, step * 2
-        return rows, scores
+        out = []
+        for q, found, p in zip(queries, best, place):
+            p = p[found > -np.inf]
+            out.append((self.row[p], (self.x[p] * q).sum(axis=1)))  # the score itself: one way for every point
+        return out
 
 
 # --- Spark operator ----------------------------------------------------------
@@ -238,7 +276,7 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     placed = cut_lineage(points.select("vkey", "vec", "ids", "is_query").mapInArrow(
         place, "block long, vkey string, vec binary, ids array<long>, is_query boolean"))
 
-    def best(tree: BlockTree, ids: list, rows_: np.ndarray, scores: np.ndarray) -> tuple[list, list]:
+    def best(ids: list, rows_: np.ndarray, scores: np.ndarray) -> tuple[list, list]:
         """Ids and scores of the k + 1 best, copies spread out."""
         every_id = np.concatenate([ids[r] for r in rows_]) if len(rows_) else np.zeros(0, dtype=np.int64)
         every_score = np.repeat(scores, [len(ids[r]) for r in rows_]) if len(rows_) else np.zeros(0)
@@ -246,14 +284,16 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         return every_id[order].tolist(), every_score[order].tolist()
 
     def search(data: pd.DataFrame, keys, queries: np.ndarray, bounds: np.ndarray):
-        """(qkey, ids, scores, the query's projection) for each query over one block."""
-        x = unpack(data["vec"].tolist())
-        tree, ids = BlockTree(x, projection.points(x)), data["ids"].tolist()
+        """(qkey, ids, scores, the query's projection, norms) for each query over one block."""
+        x, ids = unpack(data["vec"].tolist()), data["ids"].tolist()
+        tree = BlockTree(x, projection.points(x), np.array([i[0] for i in ids]))
         at = projection.queries(queries)
-        for key, q, y, bound in zip(keys, queries, at, bounds):
-            norms = float((q ** 2).sum()) + projection.top
-            rows_, scores = tree.search(q, y, k + 1, bound, quantile, norms)
-            yield key, *best(tree, ids, rows_, scores), y, norms
+        norms = (queries ** 2).sum(axis=1) + projection.top
+        for i in range(0, len(queries), QUERY_BATCH):
+            part = slice(i, i + QUERY_BATCH)
+            found = tree.search(queries[part], at[part], k + 1, bounds[part], quantile, norms[part])
+            for key, (rows_, scores), y, norm in zip(keys[part], found, at[part], norms[part]):
+                yield key, *best(ids, rows_, scores), y, float(norm)
 
     def home(data: pd.DataFrame) -> pd.DataFrame:
         """Searches of the block's own queries, and the further blocks each has to see."""
@@ -262,7 +302,7 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         out = []
         if len(mine):
             queries = unpack(mine["vec"].tolist())
-            found = search(data, mine["vkey"], queries, np.full(len(mine), -np.inf))
+            found = search(data, mine["vkey"].tolist(), queries, np.full(len(mine), -np.inf))
             for (key, ids, scores, y, norms), vec in zip(found, mine["vec"]):
                 bound = scores[k] if len(scores) > k else -np.inf
                 reach = quantile * max(norms - 2 * bound, 0.0) if bound > -np.inf else np.inf
@@ -280,7 +320,7 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     def visit(data: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(data) and len(queries):
-            found = search(data, queries["qkey"], unpack(queries["qvec"].tolist()), queries["bound"].to_numpy())
+            found = search(data, queries["qkey"].tolist(), unpack(queries["qvec"].tolist()), queries["bound"].to_numpy())
             out = [(key, ids, scores) for key, ids, scores, _, _ in found if ids]
         return pd.DataFrame(out, columns=["qkey", "ids", "scores"])
 
