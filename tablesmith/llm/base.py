@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +45,19 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+#: Columns of the documents table; a table may have more.
+DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def shielded(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its further columns under names that nothing else uses, and how to get its columns back."""
+    names = [c if c in DOCUMENT_COLUMNS else f"_further_{i}" for i, c in enumerate(docs.columns)]
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    return docs.toDF(*names), back
+
+
 def word_count(text: Column) -> Column:
     """Number of words, without building them: gaps become single spaces."""
     return F.regexp_count(text, F.lit(WORD)).cast("long")

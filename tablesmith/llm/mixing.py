@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablesmith.llm.base import ship_package, text_of, word_count
+from tablesmith.llm.base import shielded, ship_package, text_of, word_count
 from tablesmith.session import cut_lineage
 
 BITS = 40
@@ -233,6 +233,7 @@ def mix_texts(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, bl
     A document at the end of a source's last pass keeps only its taken words (a prefix, as a
     pass takes blocks in order), joined by single spaces; its n_chars, if there is such a column, follows the text.
     """
+    docs, back = shielded(docs)
     cols = docs.columns
     rows = cut_lineage(measured(docs))
     plan = source_plan(sources(rows), weights, max_repeat, block)
@@ -247,4 +248,4 @@ def mix_texts(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, bl
                     F.lit(1), F.col("_upto_word").cast("int"))
     text = F.when(whole, F.col("text")).otherwise(F.array_join(words, " "))
     out = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in cols else {})
-    return mixed.select(*[out[c].alias(c) if c in out else F.col(c) for c in cols])
+    return back(mixed.select(*[out[c].alias(c) if c in out else F.col(c) for c in cols]))

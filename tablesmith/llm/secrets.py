@@ -22,7 +22,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.base import text_of
+from tablesmith.llm.base import shielded, text_of
 from tablesmith.session import cut_lineage
 
 _parser = re._parser  # the standard library's own parse tree of a pattern
@@ -172,11 +172,11 @@ def _rule_spans(rules: list[Rule], text: Column, mask: Column) -> Column:
 def with_spans(docs: DataFrame, rules: list[Rule] | None = None, keep_columns: bool = True) -> DataFrame:
     """``docs`` (or just doc_id and text) with ``_spans``: every row, whether it holds secrets or not."""
     rules = rules or RULES
-    found = candidates(docs, rules).select(F.col("doc_id").alias("_found_id"), F.col("text_hash").alias("_found_hash"), "rules")
+    found = candidates(docs, rules).select(F.col("doc_id").alias("_found_id"), F.col("text_hash").alias("_found_hash"), F.col("rules").alias("_rules"))
     cols = docs.columns if keep_columns else ["doc_id", "text"]
     keyed = docs.select(*cols, F.col("doc_id").cast("long").alias("_own_id"), F.xxhash64(text_of()).alias("_own_hash"))
     on = keyed["_own_id"].eqNullSafe(found["_found_id"]) & (keyed["_own_hash"] == found["_found_hash"])
-    joined = keyed.join(found, on, "left").withColumnRenamed("rules", "_rules")
+    joined = keyed.join(found, on, "left")
     spans = _rule_spans(rules, text_of(), F.coalesce("_rules", F.lit(0)))
     return joined.select(*cols, spans.alias("_spans"))
 
@@ -197,6 +197,7 @@ def secret_digests(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, rules: list[Rule] | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span replaced by ``mark`` (overlapping spans by one) and n_chars, if present, following."""
+    docs, back = shielded(docs)
     rows = with_spans(docs, rules)
     text = text_of()
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -212,4 +213,4 @@ def redact(docs: DataFrame, rules: list[Rule] | None = None, mark: str = "[SECRE
     if "n_chars" in docs.columns:
         length = F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
         out = out.withColumn("n_chars", length.otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return back(out)

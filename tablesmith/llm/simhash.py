@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.base import ship_package, text_of
+from tablesmith.llm.base import shielded, ship_package, text_of
 from tablesmith.session import cut_lineage
 
 BLOCK = 2048
@@ -236,10 +236,11 @@ def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
 
     Ids that are null come last.  Of rows that agree in id and text one stays.
     """
+    docs, back = shielded(docs)
     found = near_duplicates(docs, radius, width)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
     best = found.groupBy("root").agg(F.min(order).alias("best"))
     kept = best.select(F.col("best.doc_id").alias("_kept_id"), F.col("best.text_hash").alias("_kept_hash"))
     keyed = docs.withColumns({"_own_id": F.col("doc_id").cast("long"), "_own_hash": F.xxhash64(text_of())})
     on = keyed["_own_id"].eqNullSafe(kept["_kept_id"]) & (keyed["_own_hash"] == kept["_kept_hash"])
-    return keyed.join(kept, on, "left_semi").dropDuplicates(["_own_id", "_own_hash"]).drop("_own_id", "_own_hash")
+    return back(keyed.join(kept, on, "left_semi").dropDuplicates(["_own_id", "_own_hash"]))

@@ -21,8 +21,8 @@ ODD_TEXTS = [
 
 @pytest.fixture
 def make_docs(spark):
-    """Documents from (doc_id, text, source) rows, with an extra column whose name could clash."""
+    """Documents from (doc_id, text, source) rows, with further columns whose names could clash."""
     def make(rows):
-        full = [(i, t, "en", s, None if t is None else len(t), "x") for i, t, s in rows]
-        return spark.createDataFrame(full, DOC + ", size string")
+        full = [(i, t, "en", s, None if t is None else len(t), *"xyzuv") for i, t, s in rows]
+        return spark.createDataFrame(full, DOC + ", size string, rules string, source_no string, _own_id string, pass_no string")
     return make
