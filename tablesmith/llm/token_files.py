@@ -42,6 +42,8 @@ from tablesmith.session import cut_lineage, ensure_checkpoint_dir
 
 MAGIC = b"PLANES01"
 BLOCK_IDS = 1 << 16
+#: Pieces whose ids a worker remembers (about 200 bytes each); asking the library again costs ten lookups.
+KNOWN_PIECES = 800_000
 
 
 # --- planes ------------------------------------------------------------------
@@ -96,7 +98,7 @@ class LibraryEncoder:
         self.alphabet = byte_alphabet()
         self.width = np.dtype(self.id_type).itemsize
         self.model = self.library.model
-        self.cache = PieceCache(self._piece)
+        self.cache = PieceCache(self._piece, KNOWN_PIECES)
 
     @property
     def id_type(self) -> str:
@@ -109,7 +111,7 @@ class LibraryEncoder:
     def _piece(self, piece: bytes) -> bytes:
         """Ids of one piece, by the library's model over its byte alphabet."""
         found = self.model.tokenize(piece.decode("latin-1").translate(self.alphabet))
-        return b"".join([x.id.to_bytes(self.width, "little") for x in found])
+        return struct.pack(f"<{len(found)}{'H' if self.width == 2 else 'I'}", *[x.id for x in found])
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """Packed ids of each text followed by ``end``."""
