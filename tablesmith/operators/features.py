@@ -115,13 +115,14 @@ def fit_vocabulary(tokens: DataFrame, col: str, vocab_size: int, min_df: int = 1
     the chosen ``vocab_size`` terms reach the driver.
     """
     words = F.col(col)
-    seen = F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("df")))
-    if min_df > 1:
-        seen = F.concat(seen, F.transform(F.array_distinct(words), lambda w: F.struct(
-            w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("df"))))
-    g = tokens.select(F.explode(seen).alias("t")).groupBy("t.term").agg(F.sum("t.n").alias("n"), F.sum("t.df").alias("df"))
     if min_df > 1:
+        seen = F.concat(F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("df"))),
+                        F.transform(F.array_distinct(words), lambda w: F.struct(
+                            w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("df"))))
+        g = tokens.select(F.explode(seen).alias("t")).groupBy("t.term").agg(F.sum("t.n").alias("n"), F.sum("t.df").alias("df"))
         g = g.where(F.col("df") >= min_df)
+    else:
+        g = tokens.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     top = g.orderBy(F.col("n").desc(), F.col("term").asc()).limit(vocab_size).collect()
     return Vocabulary([r["term"] for r in top])
 
