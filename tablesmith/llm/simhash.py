@@ -21,7 +21,7 @@ rows are equal fingerprints.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -236,8 +236,13 @@ def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
 
     Ids that are null come last.  Of rows that agree in id and text one stays.
     """
+    return keep_smallest(docs, lambda rows: near_duplicates(rows, radius, width))
+
+
+def keep_smallest(docs: DataFrame, groups: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``keep_one`` for any grouping into doc_id, text_hash and root."""
     docs, back = shielded(docs)
-    found = near_duplicates(docs, radius, width)
+    found = groups(docs)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
     best = found.groupBy("root").agg(F.min(order).alias("best"))
     kept = best.select(F.col("best.doc_id").alias("_kept_id"), F.col("best.text_hash").alias("_kept_hash"))
