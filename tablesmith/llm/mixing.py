@@ -227,11 +227,13 @@ def mix_counts(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, b
                     F.when(F.col("_size") > 0, F.coalesce("_taken", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken")))
 
 
-def mix_texts(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK_WORDS) -> DataFrame:
+def mix_texts(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK_WORDS,
+              whole_documents: bool = False) -> DataFrame:
     """The mixed documents, with the columns of ``docs``: one row for each document and pass that takes it.
 
     A document at the end of a source's last pass keeps only its taken words (a prefix, as a
     pass takes blocks in order), joined by single spaces; its n_chars, if there is such a column, follows the text.
+    With ``whole_documents`` it is taken as it is, or not at all if that leaves its source nearer its target.
     """
     docs, back = shielded(docs)
     cols = docs.columns
@@ -243,6 +245,8 @@ def mix_texts(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, bl
              .agg(F.max("to_word").alias("_upto_word")))
     carried = positions(measured(docs, keep_columns=True), plan, count).where("_size > 0")
     mixed = carried.join(taken, ["source_no", "_start"])
+    if whole_documents:
+        return back(mixed.where(2 * F.col("_upto_word") >= F.col("_size")).select(*cols))
     whole = F.col("_upto_word") >= F.col("_size")
     words = F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"),
                     F.lit(1), F.col("_upto_word").cast("int"))

@@ -80,6 +80,22 @@ def test_taken_words_equal_the_segments(spark, make_docs):  # noqa: F811
     assert mixed == {k: v for k, v in taken.items() if v}
 
 
+def test_stage_takes_whole_documents_near_the_target(spark, make_docs):  # noqa: F811
+    """Line breaks stay, and each source misses its target by at most half a document (40 words)."""
+    import corpus_pipeline
+    rows = [(i, "\n".join(f"w{i} x{k}" for k in range(5 + i % 16)), "abcd"[i % 4]) for i in range(90)]
+    texts, size, words = {i: t for i, t, _ in rows}, defaultdict(int), defaultdict(int)
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    got = dict(corpus_pipeline.STAGES)["mix_sources"](spark, make_docs(rows), "").collect()
+    assert all(r.text == texts[r.doc_id] and r.n_chars == len(r.text) for r in got)
+    for r in got:
+        words[r.source] += len(r.text.split())
+    plan = mixing.source_plan(list(size.items()))
+    assert all(abs(words[s] - n) <= 20 for s, n in zip(plan.names, plan.words))
+    assert any(words[s] != n for s, n in zip(plan.names, plan.words))
+
+
 def test_reruns_and_layout_change_nothing(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     first = sorted(map(tuple, mixing.mix_counts(docs).collect()))
