@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesmith.llm import bpe, mixing, near_copies, quality_rules, secrets
+from tablesmith.llm import bpe, mixing, quality_rules, secrets, simhash
 from tablesmith.llm.base import table
 from tablesmith.llm.registry import vocabulary
 from tablesmith.session import cut_lineage
@@ -21,12 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id.
-
-    Near copies share a Jaccard of at least 0.8 of their five-word shingles, checked on the texts; operator 6's
-    rule (four-word shingles, at most 4 of 64 bits) finds few of them.
-    """
-    return near_copies.keep_one(docs)
+    """One document of each component of SimHash links (four-word shingles, at most 4 of 64 bits): the smallest id."""
+    return simhash.keep_one(docs, radius=4, width=4)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +48,7 @@ STAGES = [
     ("byte_bpe", tokens),
 ]
 
-#: SQL expresses neither the fingerprints nor the tokens; tests hold the stages against a brute-force version.
+#: SQL expresses neither the fingerprints nor the tokens; tests/llm/test_pipeline.py holds the rows against a plain-Python version.
 ORACLE_SQL = None
 
 
