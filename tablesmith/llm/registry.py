@@ -90,6 +90,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@register("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablesmith.llm import runs
+    return runs.run_digests(table(spark, sf_dir, "documents"))
+
+
 @register("op13_piece_bpe")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablesmith.llm import pieces
