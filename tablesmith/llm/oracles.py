@@ -81,6 +81,24 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN a ON d.k = a.k
 """
 
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+LEXICAL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS w FROM documents),
+post AS (SELECT k, t, count(*) AS tf FROM (SELECT k, unnest(w) AS t FROM d) GROUP BY k, t),
+total AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+freq AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM post, total GROUP BY t, n_docs),
+q AS (SELECT i, item_id, t, count(*) AS times FROM (
+  SELECT i, item_id, unnest(w) AS t FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS w FROM benchmark)) GROUP BY i, item_id, t),
+size AS (SELECT k, doc_id, 75 + (25 * len(w) * n_docs) // n_terms AS m FROM d, total WHERE len(w) > 0),
+s AS (
+  SELECT i, item_id, doc_id, k, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN post USING (t) JOIN freq USING (t) JOIN size USING (k) GROUP BY i, item_id, doc_id, k),
+r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
 _W = "CASE " + " ".join(f"WHEN (place - 1) % {len(WEIGHTS)} = {i} THEN {w}" for i, w in enumerate(WEIGHTS)) + " END"
 
 MIX = rf"""

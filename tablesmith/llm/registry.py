@@ -90,6 +90,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@register("op11_lexical_search", oracles.LEXICAL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablesmith.llm import lexical
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 @register("op12_periodic_runs")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablesmith.llm import runs
