@@ -79,14 +79,15 @@ def _above(level: Level, first: np.ndarray, last: np.ndarray, key: np.ndarray) -
 
 def grammar(symbol: np.ndarray) -> list[Level]:
     """Levels of the run-length grammar, until no symbol occurs twice: then no two places can be equal."""
+    symbol = np.unique(symbol, return_inverse=True)[1].astype(np.int32)
     levels = [Level(symbol, np.ones(len(symbol), dtype=np.int32))]
     step, idle = 0, 0
     while True:
         level = levels[-1]
         s = level.symbol.astype(np.int64)
         n = len(s)
-        if n < 2 or len(np.unique(s)) == n:
-            return levels
+        if n < 2 or int(s.max()) == n - 1:
+            return levels  # symbols are numbered without gaps
         step += 1
         opens = np.ones(n, dtype=bool)
         if step % 2:  # blocks
