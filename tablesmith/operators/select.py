@@ -8,6 +8,7 @@ are (feature, score, ...) DataFrames with one row per feature.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
@@ -28,13 +29,6 @@ def select_by_correlation(df: DataFrame, features: Sequence[str], target: str,
             .withColumn("selected", (F.col("abs_corr") > F.lit(threshold)).cast("int")))
 
 
-def quantile_bin(c: str, cuts: Sequence[float]):
-    """Bin number by ascending cuts: how many of them are below the value; missing (null, NaN) gives null."""
-    x = Q.valid_value(c)
-    return F.when(x.isNotNull(), F.size(F.filter(F.array(*[F.lit(float(v)) for v in cuts]), lambda t: t < x))
-                  if cuts else F.lit(0))
-
-
 def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins: int = 10,
                        target_bins: int | None = None, equal_width: bool = False) -> DataFrame:
     """K2: plug-in mutual information (nats) between each binned feature and
@@ -57,7 +51,12 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins
         most = sorted({i / n for n in wanted.values() for i in range(1, n)})
         found = Q.exact_quantiles(df, list(dict.fromkeys(cols)), most)
         at = {p: i for i, p in enumerate(most)}
-        binned = [quantile_bin(c, sorted({found[c][at[i / wanted[c]]] for i in range(1, wanted[c])} - {None})) for c in cols]
+        # a value's bin is the number of cuts below it: of the doubles after the cuts, those at most the value
+        edges = {f"_v{j}": [math.nextafter(x, math.inf) for x in sorted({found[c][at[i / wanted[c]]] for i in range(1, wanted[c])} - {None})]
+                 for j, c in enumerate(cols)}
+        df = Q.placed(df.select(F.col(target).alias("_target"), *[Q.valid_value(c).alias(f"_v{j}") for j, c in enumerate(cols)]),
+                      edges, {v: f"_b{v}" for v in edges})
+        binned, target = [F.col(f"_b{v}") for v in edges], "_target"
     y = binned[-1] if target_bins else F.col(target)
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), x.cast("int").alias("xb")) for c, x in zip(features, binned)])
     long = (df.select(y.alias("_y"), F.explode(pairs).alias("s")).select("s.feature", "s.xb", "_y")

@@ -3,11 +3,20 @@
 Spark's ``percentile`` keeps a value -> count map per group; for a global
 aggregate the final merge of that map runs in one task, which does not hold for
 a column with billions of distinct values.  ``exact_quantiles`` instead finds
-the k-th smallest values by narrowing: an approximate sketch brackets each
-wanted rank, then histogram passes over the bracket (one small ``groupBy`` per
-pass, answer size = targets x buckets) shrink it until the bracket holds one
-distinct value or few enough rows to fetch.  Every pass is an ordinary
-distributed aggregate; nothing but bucket counts reaches the driver.
+the k-th smallest values by narrowing, all columns and all wanted ranks in the
+same scans:
+
+- An approximate sketch brackets each wanted rank; overlapping brackets merge.
+- The brackets' ends (and points between them) cut a column into ascending cells.
+  A row finds its cell by binary search (Spark ML's ``Bucketizer``, JVM side) and adds one to
+  (column, cell): one row per (row, column), whatever the number of ranks.  In a
+  bracket of few rows the value itself is the cell.
+- Prefix sums over the cells' counts place every rank, so a bracket that missed its
+  rank is no special case: the cell that holds the rank is the next bracket.
+
+With the default sketch two scans are enough up to about ``FETCH_LIMIT`` * 1,000 rows;
+beyond that a scan more per factor of a few hundred.  Only cell counts reach the
+driver, at most ``CELL_LIMIT`` + ``FETCH_LIMIT`` rows a pass.
 
 Interpolation follows ``percentile`` / SQL ``quantile_cont``: position
 ``p * (n - 1)`` between the two neighbouring order statistics.
@@ -16,16 +25,18 @@ Interpolation follows ``percentile`` / SQL ``quantile_cont``: position
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import struct
+from bisect import bisect_right
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed tuning values
 SKETCH_ACCURACY = 10000        # relative rank error of the bracketing sketch = 1e-4
-HISTOGRAM_BUCKETS = 1024       # buckets per narrowing pass
-FETCH_LIMIT = 20000            # a bracket this small is fetched and read directly
-MAX_PASSES = 64                # doubles converge in ~6 passes (1024^6 > 2^52)
+CELL_LIMIT = 1 << 15           # cells of a pass, shared by all brackets
+FETCH_LIMIT = 200_000          # values that a pass may list, shared by all brackets
+MAX_PASSES = 64                # a pass cuts a bracket's doubles into at least 8 cells; 2^64 of them last 22
 
 
 def valid_value(c: str) -> Column:
@@ -34,114 +45,131 @@ def valid_value(c: str) -> Column:
     return F.when(~F.isnan(v), v)
 
 
-def kth_smallest(df: DataFrame, wanted: dict[str, Sequence[int]],
-                 sketch: dict[str, tuple[float, float, dict[int, tuple[float, float]]]] | None = None
-                 ) -> dict[tuple[str, int], float]:
+def placed(df: DataFrame, edges: Mapping[str, Sequence[float]], names: Mapping[str, str]) -> DataFrame:
+    """``df`` with integer columns ``names[c]``: how many of the ascending ``edges[c]`` are at most the value of ``c``.
+
+    Columns must be double without NaN; null gives null.  Binary search in the JVM, no Python worker.
+    """
+    from pyspark.ml.feature import Bucketizer
+    inf = float("inf")
+    inner = {c: [e for e in dict.fromkeys(x + 0.0 for x in es) if -inf < e < inf] for c, es in edges.items()}
+    cut = [c for c in edges if inner[c]]
+    if cut:
+        df = Bucketizer(splitsArray=[[-inf, *inner[c], inf] for c in cut], inputCols=cut,
+                        outputCols=[names[c] for c in cut]).transform(df)
+    more = {}
+    for c, es in edges.items():
+        n = F.col(names[c]).cast("int") if inner[c] else F.when(F.col(c).isNotNull(), F.lit(0))
+        if -inf in es:
+            n = n + F.lit(1)
+        if inf in es:
+            n = n + F.when(F.col(c) == inf, F.lit(1)).otherwise(F.lit(0))
+        more[names[c]] = n
+    return df.withColumns(more)
+
+
+def _ordered(x: float) -> int:
+    """The place of a double among all doubles."""
+    n = struct.unpack("<q", struct.pack("<d", x + 0.0))[0]
+    return n if n >= 0 else -(n & (2 ** 63 - 1))
+
+
+def _double(n: int) -> float:
+    return struct.unpack("<d", struct.pack("<q", n))[0] if n >= 0 else -struct.unpack("<d", struct.pack("<q", -n))[0]
+
+
+def _cuts(lo: float, hi: float, parts: int) -> list[float]:
+    """Ascending edges that cut [lo, hi] into at most ``parts`` cells; the first is lo, the last the double after hi."""
+    a, b = _ordered(lo), _ordered(hi) + 1
+    parts = min(parts, b - a)
+    return [_double(a + (b - a) * i // parts) for i in range(parts + 1)]
+
+
+def _merged(brackets: Sequence[tuple[float, float, float]]) -> list[tuple[float, float, float]]:
+    """Disjoint ascending (lo, hi, rows expected) from overlapping ones."""
+    out: list[tuple[float, float, float]] = []
+    for lo, hi, n in sorted(brackets):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi), out[-1][2] + n)
+        else:
+            out.append((lo, hi, n))
+    return out
+
+
+def kth_smallest(df: DataFrame, wanted: Mapping[str, Sequence[int]],
+                 brackets: Mapping[str, Sequence[tuple[float, float, float]]]) -> dict[tuple[str, int], float]:
     """k-th smallest non-missing value (0-based k) for each column and k.
 
-    ``wanted`` maps column -> ranks.  ``sketch`` may carry, per column,
-    (min, max, {k: (lo, hi)}) brackets found by an earlier aggregate.
+    ``wanted`` maps column -> ranks; ``brackets`` maps column -> (lo, hi, rows expected between) where to look first.
     """
-    targets = []  # [tid, col, k, lo, hi, below_known]
-    for c, ks in wanted.items():
-        mn, mx, brackets = sketch[c] if sketch else (None, None, {})
-        for k in sorted(set(ks)):
-            lo, hi = brackets.get(k, (mn, mx))
-            targets.append({"col": c, "k": k, "lo": lo, "hi": hi, "min": mn, "max": mx,
-                            "tid": len(targets), "fallback": False})
     result: dict[tuple[str, int], float] = {}
-    active = [t for t in targets if t["lo"] is not None]
-    below = {t["tid"]: None for t in active}
-
+    open_ = {c: sorted(set(ks)) for c, ks in wanted.items() if ks}
+    look = {c: _merged(brackets[c]) for c in open_}
     for _ in range(MAX_PASSES):
-        if not active:
+        if not open_:
+            return result
+        counts = _cell_counts(df, look)
+        nxt: dict[str, list[int]] = {}
+        for c, ks in open_.items():
+            cells = counts.get(c, [])
+            ends, total = [], 0
+            for cell in cells:
+                total += cell[0]
+                ends.append(total)
+            found = []
+            for k in ks:
+                at = bisect_right(ends, k)
+                if at == len(cells):
+                    raise ValueError(f"rank {k} of {c} is beyond its {total} values")
+                n, lo, hi = cells[at]
+                if lo == hi:
+                    result[c, k] = lo
+                else:
+                    nxt.setdefault(c, []).append(k)
+                    found.append((lo, hi, n))
+            look[c] = _merged(list(dict.fromkeys(found)))
+        open_, look = nxt, {c: look[c] for c in nxt}
+    raise RuntimeError(f"quantile narrowing did not converge for {open_}")
+
+
+def _cell_counts(df: DataFrame, look: Mapping[str, Sequence[tuple[float, float, float]]]
+                 ) -> dict[str, list[tuple[int, float, float]]]:
+    """Per column the ascending cells as (rows, least, greatest value), from one scan and one aggregate."""
+    brackets = sorted((n, c, lo, hi) for c, found in look.items() for lo, hi, n in found)
+    listed, room = set(), FETCH_LIMIT
+    for n, c, lo, hi in brackets:  # the smallest brackets give their values
+        if n > room:
             break
-        hist = _histogram_pass(df, active)
-        nxt = []
-        fetch = []
-        for t in active:
-            rows = hist.get(t["tid"], {})
-            b_below = rows.get(-1, (0, None, None))[0]
-            in_band = sorted((b, r) for b, r in rows.items() if b >= 0)
-            total_in = sum(r[0] for _, r in in_band)
-            if below[t["tid"]] is None:
-                # first pass: check the sketch bracket really holds rank k
-                if not (b_below <= t["k"] < b_below + total_in) and not t["fallback"]:
-                    t.update(lo=t["min"], hi=t["max"], fallback=True)
-                    nxt.append(t)
-                    continue
-                below[t["tid"]] = b_below
-            else:
-                b_below = below[t["tid"]]
-            need = t["k"] - b_below
-            acc = 0
-            for b, (cnt, bmin, bmax) in in_band:
-                if acc + cnt > need:
-                    if bmin == bmax:
-                        result[(t["col"], t["k"])] = bmin
-                    elif cnt <= FETCH_LIMIT:
-                        t.update(lo=bmin, hi=bmax, need=need - acc)
-                        fetch.append(t)
-                    else:
-                        t.update(lo=bmin, hi=bmax)
-                        below[t["tid"]] = b_below + acc
-                        nxt.append(t)
-                    break
-                acc += cnt
-        if fetch:
-            result.update(_fetch_pass(df, fetch))
-        active = nxt
-    if active:
-        raise RuntimeError(f"quantile narrowing did not converge for {[(t['col'], t['k']) for t in active]}")
-    return result
-
-
-def _histogram_pass(df: DataFrame, active: list[dict]) -> dict[int, dict[int, tuple]]:
-    """One aggregate: per target, rows below the bracket and a histogram inside it."""
-    by_col: dict[str, list[dict]] = {}
-    for t in active:
-        by_col.setdefault(t["col"], []).append(t)
-    parts = []
-    for c, ts in by_col.items():
-        spec = F.array(*[F.struct(F.lit(t["tid"]).alias("tid"),
-                                  F.lit(float(t["lo"])).alias("lo"),
-                                  F.lit(float(t["hi"])).alias("hi")) for t in ts])
-        parts.append(df.select(valid_value(c).alias("v"))
-                     .where(F.col("v").isNotNull())
-                     .select("v", F.explode(spec).alias("t")))
-    un = parts[0]
-    for p in parts[1:]:
-        un = un.unionByName(p)
-    lo, hi, v = F.col("t.lo"), F.col("t.hi"), F.col("v")
-    width = hi - lo
-    bucket = (F.when(v < lo, F.lit(-1))
-              .when(width == 0, F.lit(0))
-              .otherwise(F.least(F.floor((v - lo) / width * HISTOGRAM_BUCKETS),
-                                 F.lit(HISTOGRAM_BUCKETS - 1)).cast("int")))
-    agg = (un.where(v <= hi)
-           .groupBy(F.col("t.tid").alias("tid"), bucket.alias("b"))
-           .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")))
-    out: dict[int, dict[int, tuple]] = {}
-    for r in agg.collect():  # at most targets x (buckets + 1) rows
-        out.setdefault(r["tid"], {})[r["b"]] = (r["n"], r["mn"], r["mx"])
+        listed.add((c, lo, hi))
+        room -= n
+    parts = max(8, CELL_LIMIT // max(1, len(brackets) - len(listed)))
+    edges: dict[str, list[float]] = {}
+    single: dict[str, list[int]] = {}  # cells whose values are listed
+    for c, found in look.items():
+        edges[c], single[c] = [], []
+        for lo, hi, _ in found:
+            cuts = _cuts(lo, hi, 1 if (c, lo, hi) in listed else parts)
+            if edges[c] and edges[c][-1] == cuts[0]:
+                edges[c].pop()
+            edges[c] += cuts
+            if (c, lo, hi) in listed:
+                single[c].append(len(edges[c]) - 1)
+    cols = list(look)
+    inner, place = {c: f"v{i}" for i, c in enumerate(cols)}, {f"v{i}": f"c{i}" for i in range(len(cols))}
+    wide = df.select(*[(valid_value(c) + F.lit(0.0)).alias(v) for c, v in inner.items()])  # one zero: -0.0 + 0.0
+    wide = placed(wide, {v: edges[c] for c, v in inner.items()}, place)
+    long = wide.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("no"), F.col(f"c{i}").alias("cell"), F.col(f"v{i}").alias("v"),
+                 (F.col(f"c{i}").isin(single[c]) if single[c] else F.lit(False)).alias("listed"))
+        for i, c in enumerate(cols)])).alias("s")).select("s.*").where(F.col("v").isNotNull())
+    sums = (long.groupBy("no", "cell", F.when(F.col("listed"), F.col("v")).alias("value"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    out: dict[str, list[tuple[int, float, float]]] = {}
+    for r in sorted(sums.collect(), key=lambda r: (r.no, r.cell, r.lo)):  # cells, and values of the small brackets
+        out.setdefault(cols[r.no], []).append((r.n, r.lo, r.hi))
     return out
 
 
-def _fetch_pass(df: DataFrame, fetch: list[dict]) -> dict[tuple[str, int], float]:
-    """Read the (at most FETCH_LIMIT rows per target) bracket and pick the value."""
-    parts = []
-    for t in fetch:
-        v = valid_value(t["col"])
-        parts.append(df.select(F.lit(t["tid"]).alias("tid"), v.alias("v"))
-                     .where((F.col("v") >= t["lo"]) & (F.col("v") <= t["hi"])))
-    un = parts[0]
-    for p in parts[1:]:
-        un = un.unionByName(p)
-    got = (un.groupBy("tid").agg(F.sort_array(F.collect_list("v")).alias("vs"))).collect()
-    vals = {r["tid"]: r["vs"] for r in got}
-    return {(t["col"], t["k"]): vals[t["tid"]][t["need"]] for t in fetch}
-
-
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
                     ) -> dict[str, list[float | None]]:
     """Exact interpolated quantiles ``{col: [q(p) for p in probs]}``; missing ignored."""
@@ -156,28 +184,21 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
                  F.percentile_approx(v, qgrid, SKETCH_ACCURACY).alias(f"q{i}")]
     row = df.agg(*aggs).collect()[0]
     wanted: dict[str, list[int]] = {}
-    sketch = {}
+    brackets: dict[str, list[tuple[float, float, float]]] = {}
     counts = {}
     for i, c in enumerate(cols):
-        n = row[f"n{i}"]
-        counts[c] = n
+        n = counts[c] = row[f"n{i}"]
         if not n:
             continue
         qv = dict(zip(qgrid, row[f"q{i}"]))
-        ks = []
-        brackets = {}
+        wanted[c], brackets[c] = [], []
         for p in probs:
-            pos = p * (n - 1)
-            for k in {math.floor(pos), math.ceil(pos)}:
-                ks.append(k)
-                lo_q = min(1.0, max(0.0, p - 3 * eps))
-                hi_q = min(1.0, max(0.0, p + 3 * eps))
-                lo = row[f"mn{i}"] if lo_q <= 0.0 else qv[lo_q]
-                hi = row[f"mx{i}"] if hi_q >= 1.0 else qv[hi_q]
-                brackets[k] = (lo, hi)
-        wanted[c] = ks
-        sketch[c] = (row[f"mn{i}"], row[f"mx{i}"], brackets)
-    kth = kth_smallest(df, wanted, sketch) if wanted else {}
+            lo_q, hi_q = min(1.0, max(0.0, p - 3 * eps)), min(1.0, max(0.0, p + 3 * eps))
+            lo = row[f"mn{i}"] if lo_q <= 0.0 else qv[lo_q]
+            hi = row[f"mx{i}"] if hi_q >= 1.0 else qv[hi_q]
+            wanted[c] += {math.floor(p * (n - 1)), math.ceil(p * (n - 1))}
+            brackets[c].append((lo, hi, 8 * eps * n + 2))
+    kth = kth_smallest(df, wanted, brackets) if wanted else {}
     out: dict[str, list[float | None]] = {}
     for c in cols:
         n = counts[c]

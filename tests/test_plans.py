@@ -27,17 +27,59 @@ def _skewed(n=3000, seed=1):
     return vals
 
 
-@pytest.mark.parametrize("fetch_limit", [20000, 5])
+@pytest.mark.parametrize("fetch_limit", [200_000, 5])
 def test_exact_quantiles_match_numpy(spark, monkeypatch, fetch_limit):
     monkeypatch.setattr(quantiles, "FETCH_LIMIT", fetch_limit)   # 5 forces several narrowing passes
+    monkeypatch.setattr(quantiles, "CELL_LIMIT", 64)
     vals = _skewed()
-    df = spark.createDataFrame([(v,) for v in vals], "x double").union(
-        spark.createDataFrame([(float("nan"),)], "x double"))
-    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0]
-    got = quantiles.exact_quantiles(df, ["x"], probs)["x"]
+    other = [None if v is None else float("inf") if i % 50 == 0 else -float("inf") if i % 50 == 1 else -0.0 if i % 9 == 0
+             else math.copysign(abs(v) ** 40, v) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(list(zip(vals, other)), "x double, `y.z` double").union(
+        spark.createDataFrame([(float("nan"), 1.0)], "x double, y double"))
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0] + [i / 97 for i in range(97)]
+    got = quantiles.exact_quantiles(df.withColumnRenamed("y.z", "y"), ["x", "y"], probs)
     clean = np.array([v for v in vals if v is not None])
-    want = np.quantile(clean, probs, method="linear")
-    assert np.allclose(got, want, rtol=0, atol=1e-9)
+    assert np.allclose(got["x"], np.quantile(clean, probs, method="linear"), rtol=0, atol=1e-9)
+    y = sorted([v for v in other if v is not None] + [1.0])
+    for p, v in zip(probs, got["y"]):
+        k = p * (len(y) - 1)
+        lo, hi = y[math.floor(k)], y[math.ceil(k)]
+        want = lo if k == math.floor(k) else lo + (k - math.floor(k)) * (hi - lo)
+        assert v == want or math.isnan(v) and math.isnan(want)
+
+
+def test_ranks_of_many_columns_take_one_scan_a_pass(spark, monkeypatch):
+    """Whatever the number of ranks: a pass counts every value of every column once."""
+    rows = [(float(i * 7919 % 1000), float(i % 13)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    seen = []
+    count = quantiles._cell_counts
+
+    def spy(*a):
+        out = count(*a)
+        seen.append({c: sum(n for n, _, _ in cells) for c, cells in out.items()})
+        return out
+    monkeypatch.setattr(quantiles, "_cell_counts", spy)
+    got = quantiles.exact_quantiles(df, ["x", "y"], [i / 200 for i in range(201)])
+    assert np.allclose(got["x"], np.quantile([r[0] for r in rows], [i / 200 for i in range(201)]))
+    assert seen == [{"x": 1000, "y": 1000}]
+
+
+def test_a_bracket_without_its_rank_is_no_special_case(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(500)], "x double")
+    wrong = {"x": [(400.0, 410.0, 5), (700.0, 900.0, 5)]}
+    assert quantiles.kth_smallest(df, {"x": [0, 3, 250, 499]}, wrong) == {("x", k): float(k) for k in (0, 3, 250, 499)}
+    with pytest.raises(ValueError):
+        quantiles.kth_smallest(df, {"x": [500]}, wrong)
+
+
+def test_placed_counts_edges_up_to_the_value(spark):
+    inf = float("inf")
+    vals = [None, -inf, -1.5, -0.0, 0.0, 2.0, 2.5, inf]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    for edges in ([], [0.0], [-inf, 0.0, 2.0, inf], [-inf], [inf], [-1.5, 2.5]):
+        got = [r.n for r in quantiles.placed(df.select((F.col("x") + 0.0).alias("x")), {"x": edges}, {"x": "n"}).collect()]
+        assert got == [None if v is None else sum(e <= v for e in edges) for v in vals], edges
 
 
 def test_quantiles_all_missing(spark):
