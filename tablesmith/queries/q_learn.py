@@ -1,8 +1,9 @@
 """Queries: learners (M1-M9) and tuning / comparison / automatic search / run log.
 
-Learners are not reproduced in SQL.  The oracles state what must hold whatever the solver does: every input
-row is scored with a finite prediction, and the model is at least as good as the best constant on its rows;
-every setting of a search is tried and measured.
+Learners without randomness are fitted a second time in SQL (``sql_models``) and compared by their predictions.
+For the forests and the linear SVM the oracles state what must hold whatever the solver does: every input row is
+scored with a finite prediction, the model is at least as good as the best constant on its rows, and a forest's
+column expression equals the model; every setting of a search is tried and measured.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tablesmith.functions.columns import sql_in_share
+from tablesmith.functions.columns import round_half_away, sql_in_share
 from tablesmith.operators import models as M
 from tablesmith.operators import split as SP
 from tablesmith.operators import tune as TU
 from tablesmith.operators.features import feature_pipeline
 from tablesmith.queries import register
+from tablesmith.plans.trees import TreeModel, tree_score
+from tablesmith.queries import sql_models as Q
 from tablesmith.queries.common import T, scratch_path
 
 
@@ -47,11 +50,11 @@ def regression_frame(spark, sf):
                                       "features")
 
 
-def _checked(df, key, classes: bool):
+def _checked(df, key, classes: bool, *more):
     """key, label, scored (the prediction is finite) and at_least_constant (for all rows: no worse than the
     majority class, or than the mean)."""
     keys = [key] if isinstance(key, str) else list(key)
-    p = df.select(*keys, "label", F.col("prediction").cast("double").alias("prediction"))
+    p = df.select(*keys, "label", F.col("prediction").cast("double").alias("prediction"), *more)
     if classes:
         share = p.groupBy("label").count().agg((F.max("count") / F.sum("count")).alias("s")).first()["s"]
         good = p.agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a")).first()["a"] >= share - 1e-12
@@ -60,31 +63,84 @@ def _checked(df, key, classes: bool):
                   (F.var_pop("label") * F.count("label")).alias("t")).first()
         good = r["e"] <= r["t"]
     finite = F.col("prediction").isNotNull() & ~F.isnan("prediction") & (F.abs("prediction") < float("inf"))
-    return p.select(*keys, "label", finite.cast("int").alias("scored"), F.lit(int(good)).alias("at_least_constant"))
+    return p.select(*keys, "label", finite.cast("int").alias("scored"), F.lit(int(good)).alias("at_least_constant"),
+                    *[c for c in p.columns if c not in (*keys, "label", "prediction")])
 
 
-_BINARY = """SELECT doc_id, quality::DOUBLE AS label, 1 AS scored, 1 AS at_least_constant
-FROM documents JOIN labels USING (doc_id)"""
 _CLASSES = "SELECT vec_id, label::DOUBLE AS label, 1 AS scored, 1 AS at_least_constant FROM embeddings"
-_PRICES = "SELECT l_orderkey, l_linenumber, l_extendedprice AS label, 1 AS scored, 1 AS at_least_constant FROM lineitem"
 
 
-@register("logistic_regression", _BINARY)
+# --- frames whose features have few distinct values each (thresholds between all of them), also in SQL
+
+PRICE_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+PRICE_SQL = ("d AS (SELECT l_orderkey, l_linenumber AS line, l_extendedprice AS label, "
+             + ", ".join(f"{c}::DOUBLE AS f_{j}" for j, c in enumerate(PRICE_FEATURES)) + " FROM lineitem)")
+QUALITY_SQL = """d AS (
+  SELECT q.*, labels.quality::DOUBLE AS label, 2 * labels.quality::DOUBLE - 1 AS sign FROM (
+    SELECT doc_id, length(bin(greatest(n_chars, 1)))::DOUBLE AS f_0, dense_rank() OVER (ORDER BY coalesce(lang, ''))::DOUBLE AS f_1,
+      dense_rank() OVER (ORDER BY coalesce(source, ''))::DOUBLE AS f_2 FROM documents) q JOIN labels USING (doc_id))"""
+
+
+def price_frame(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+    li = T(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_extendedprice").alias("label"),
+                                         *[F.col(c).cast("double").alias(f"f_{j}") for j, c in enumerate(PRICE_FEATURES)])
+    return VectorAssembler(inputCols=[f"f_{j}" for j in range(len(PRICE_FEATURES))], outputCol="features").transform(li)
+
+
+def quality_frame(spark, sf):
+    """Labelled documents with the binary digits of their length, and language and source numbered alphabetically."""
+    from pyspark.ml.feature import VectorAssembler
+    d = T(spark, sf, "documents")
+
+    def number(c):
+        names = sorted(r[0] for r in d.select(F.coalesce(c, F.lit(""))).distinct().collect())  # a handful of names
+        return F.array_position(F.array(*map(F.lit, names)), F.coalesce(c, F.lit(""))).cast("double")
+    size = F.length(F.bin(F.greatest("n_chars", F.lit(1)))).cast("double")
+    d = d.select("doc_id", size.alias("f_0"), number("lang").alias("f_1"), number("source").alias("f_2")).join(
+        T(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
+    return VectorAssembler(inputCols=["f_0", "f_1", "f_2"], outputCol="features").transform(d)
+
+
+def _expression(df, model, k, *keys, out="prediction", digits=4):
+    """Keys, label and the prediction that the model's column expression gives."""
+    names = [f"f_{j}" for j in range(k)]
+    return tree_score(df, model, names).select(*keys, "label", round_half_away("prediction", digits).alias(out))
+
+
+def _forest_checked(df, model, k, key, classes):
+    """``_checked`` of the expression's predictions, and whether they equal the model's own."""
+    both = model.transform(df).withColumn("_mine", TreeModel(model, [f"f_{j}" for j in range(k)]).prediction())
+    same = (F.abs(F.col("_mine") - F.col("theirs")) < 1e-9).cast("int").alias("same_as_model")
+    return _checked(both.withColumnRenamed("prediction", "theirs").withColumn("prediction", F.col("_mine")), key, classes, same)
+
+
+@register("logistic_regression", f"""WITH {QUALITY_SQL},
+{Q.logistic_ctes("d", ["f_0", "f_1", "f_2"], "label", 0.01)}
+SELECT doc_id, label, round(1 / (1 + exp(-({" + ".join(f"nt_12.x_{j} * z_{j}" for j in range(4))}))), 4) AS probability FROM nt_z, nt_12""")
 def q_lr(spark, sf):
-    d = binary_frame(spark, sf)
-    return _checked(M.fit_predict(M.logistic_regression(max_iter=100, reg=0.01), d)[1], "doc_id", True)
+    """Probability of quality; the oracle solves the same penalised likelihood by Newton's method."""
+    from pyspark.ml.functions import vector_to_array
+    d = quality_frame(spark, sf)
+    m = M.logistic_regression(max_iter=500, reg=0.01).setTol(1e-14).fit(d)
+    return m.transform(d).select("doc_id", "label", round_half_away(vector_to_array("probability")[1], 4).alias("probability"))
 
 
-@register("decision_tree_classifier", _CLASSES)
+@register("decision_tree_classifier", f"""WITH {QUALITY_SQL},
+{Q.tree_ctes("d", 3, "label", 4, True)}
+SELECT doc_id, label, CASE WHEN leaf > 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction, round(leaf, 6) AS probability FROM t""")
 def q_dtc(spark, sf):
-    d = multiclass_frame(spark, sf)
-    return _checked(M.fit_predict(M.decision_tree_classifier(max_depth=5), d)[1], "vec_id", True)
+    """Class and leaf share, from the tree as a column expression; the oracle grows the tree in SQL."""
+    d = quality_frame(spark, sf)
+    tree = TreeModel(M.decision_tree_classifier(max_depth=4, max_bins=64).fit(d), ["f_0", "f_1", "f_2"])
+    return d.select("doc_id", "label", tree.prediction().alias("prediction"), round_half_away(tree.probability()[1], 6).alias("probability"))
 
 
-@register("random_forest_classifier", _BINARY)
+@register("random_forest_classifier", "SELECT doc_id, quality::DOUBLE AS label, 1 AS scored, 1 AS at_least_constant, 1 AS same_as_model "
+                                      "FROM documents JOIN labels USING (doc_id)")
 def q_rfc(spark, sf):
-    d = binary_frame(spark, sf)
-    return _checked(M.fit_predict(M.random_forest_classifier(num_trees=20, max_depth=5), d)[1], "doc_id", True)
+    d = quality_frame(spark, sf)
+    return _forest_checked(d, M.random_forest_classifier(num_trees=20, max_depth=5).fit(d), 3, "doc_id", True)
 
 
 @register("linear_svc", _CLASSES)
@@ -93,43 +149,63 @@ def q_svc(spark, sf):
     return _checked(M.fit_predict(M.linear_svc(reg=0.01, max_iter=20), d)[1], "vec_id", True)
 
 
-@register("gbt_classifier", _BINARY)
+@register("gbt_classifier", f"""WITH {QUALITY_SQL},
+{Q.boosted_ctes("d", 3, "sign", 4, 3, 0.1, ["doc_id", "label"], logistic=True)}
+SELECT doc_id, label, CASE WHEN score > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction, round(1 / (1 + exp(-2 * score)), 5) AS probability FROM boosted""")
 def q_gbtc(spark, sf):
-    d = binary_frame(spark, sf)
-    return _checked(M.fit_predict(M.gbt_classifier(max_iter=10, max_depth=3), d)[1], "doc_id", True)
+    """Four boosted trees as a column expression; the oracle boosts in SQL."""
+    d = quality_frame(spark, sf)
+    tree = TreeModel(M.gbt_classifier(max_iter=4, max_depth=3).setMaxBins(64).fit(d), ["f_0", "f_1", "f_2"])
+    return d.select("doc_id", "label", tree.prediction().alias("prediction"), round_half_away(tree.probability()[1], 5).alias("probability"))
 
 
-@register("decision_tree_regressor", _PRICES)
+@register("decision_tree_regressor", f"""WITH {PRICE_SQL},
+{Q.tree_ctes("d", 4, "label", 4, False)}
+SELECT l_orderkey, line, label, round(leaf, 4) AS prediction FROM t""")
 def q_dtr(spark, sf):
-    d = regression_frame(spark, sf)
-    m, p = M.fit_predict(M.decision_tree_regressor(max_depth=4), d)
-    return _checked(p, ["l_orderkey", "l_linenumber"], False)
+    """Leaf means from the tree as a column expression; the oracle grows the tree in SQL."""
+    d = price_frame(spark, sf)
+    return _expression(d, M.decision_tree_regressor(max_depth=4, max_bins=64).fit(d), 4, "l_orderkey", "line")
 
 
-@register("decision_tree_text")
+@register("decision_tree_text", f"""WITH {PRICE_SQL},
+{Q.tree_ctes("d", 4, "label", 3, False)}
+{" UNION ALL ".join(f"SELECT {lv} AS level, feature::INTEGER AS feature, round(threshold, 6) AS threshold FROM t_b{lv}" for lv in range(3))}""")
 def q_dt_text(spark, sf):
-    d = regression_frame(spark, sf)
-    m, _ = M.fit_predict(M.decision_tree_regressor(max_depth=3), d)
-    lines = m.toDebugString.splitlines()
-    return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
-
-
-@register("random_forest_regressor", _PRICES)
+    """The splits that the tree's text lists: level (from the indent), feature and threshold."""
+    m = M.decision_tree_regressor(max_depth=3, max_bins=64).fit(price_frame(spark, sf))
+    lines = spark.createDataFrame([(x,) for x in m.toDebugString.splitlines()], "text string")
+    split = r"^( +)If \(feature (\d+) <= ([^)]+)\)"
+    found = lines.where(F.col("text").rlike(split))
+    part = [F.regexp_extract("text", split, i) for i in (1, 2, 3)]
+    return found.select((F.length(part[0]) - 2).alias("level"), part[1].cast("int").alias("feature"),
+                        round_half_away(part[2].cast("double"), 6).alias("threshold"))
+
+
+@register("random_forest_regressor", "SELECT l_orderkey, l_linenumber AS line, l_extendedprice AS label, 1 AS scored, "
+                                     "1 AS at_least_constant, 1 AS same_as_model FROM lineitem")
 def q_rfr(spark, sf):
-    d = regression_frame(spark, sf)
-    return _checked(M.fit_predict(M.random_forest_regressor(num_trees=10, max_depth=5), d)[1], ["l_orderkey", "l_linenumber"], False)
+    d = price_frame(spark, sf)
+    return _forest_checked(d, M.random_forest_regressor(num_trees=10, max_depth=5).fit(d), 4, ["l_orderkey", "line"], False)
 
 
-@register("gbt_regressor", _PRICES)
+@register("gbt_regressor", f"""WITH {PRICE_SQL},
+{Q.boosted_ctes("d", 4, "label", 4, 3, 0.1, ["l_orderkey", "line"])}
+SELECT l_orderkey, line, label, round(score, 3) AS prediction FROM boosted""")
 def q_gbtr(spark, sf):
-    d = regression_frame(spark, sf)
-    return _checked(M.fit_predict(M.gbt_regressor(max_iter=10, max_depth=4), d)[1], ["l_orderkey", "l_linenumber"], False)
+    """Four boosted trees as a column expression; the oracle boosts in SQL."""
+    d = price_frame(spark, sf)
+    return _expression(d, M.gbt_regressor(max_iter=4, max_depth=3).setMaxBins(64).fit(d), 4, "l_orderkey", "line", digits=3)
 
 
-@register("linear_regression", _PRICES)
+@register("linear_regression", f"""WITH {PRICE_SQL},
+{Q.ridge_ctes("d", ["f_0", "f_1", "f_2", "f_3"], "label", 0.1)}
+SELECT l_orderkey, line, label, round({Q.linear(["f_0", "f_1", "f_2", "f_3"], "ls")}, 2) AS prediction FROM d, ls""")
 def q_linreg(spark, sf):
-    d = regression_frame(spark, sf)
-    return _checked(M.fit_predict(M.linear_regression(), d)[1], ["l_orderkey", "l_linenumber"], False)
+    """Ridge regression on four features; the oracle solves the normal equations."""
+    d = price_frame(spark, sf)
+    p = M.fit_predict(M.linear_regression(reg=0.1), d)[1]
+    return p.select("l_orderkey", "line", "label", round_half_away("prediction", 2).alias("prediction"))
 
 
 @register("linear_regression_1d", """
