@@ -105,16 +105,18 @@ def rfe(df: DataFrame, features: Sequence[str], label: str, n_keep: int = 8, ste
 
 
 def tree_importance(df: DataFrame, features: Sequence[str], label: str, kind: str = "forest",
-                    num_trees: int = 100, max_depth: int = 10, max_iter: int = 50, seed: int = 42) -> DataFrame:
-    """K4: forest (100 trees, depth 10) or boosted trees (50 rounds) importances."""
+                    num_trees: int = 100, max_depth: int = 10, max_iter: int = 50, seed: int = 42,
+                    boosted_depth: int = 5, max_bins: int = 32) -> DataFrame:
+    """K4: forest (100 trees, depth 10) or boosted trees (50 rounds, depth 5) importances."""
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
     vec = VectorAssembler(inputCols=list(features), outputCol="_f", handleInvalid="skip").transform(df) \
         .select("_f", F.col(label).cast("double").alias("_label"))
     if kind == "forest":
         est = RandomForestRegressor(featuresCol="_f", labelCol="_label", numTrees=num_trees, maxDepth=max_depth,
-                                    seed=seed)
+                                    maxBins=max_bins, seed=seed)
     else:
-        est = GBTRegressor(featuresCol="_f", labelCol="_label", maxIter=max_iter, seed=seed)
+        est = GBTRegressor(featuresCol="_f", labelCol="_label", maxIter=max_iter, maxDepth=boosted_depth, maxBins=max_bins,
+                           seed=seed)
     m = est.fit(vec)
     imp = m.featureImportances.toArray()
     return df.sparkSession.createDataFrame([(c, float(imp[i])) for i, c in enumerate(features)],

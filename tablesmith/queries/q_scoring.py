@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablesmith.functions.columns import round_half_away, sql_hash_bucket
 from tablesmith.operators import abtest as AB
 from tablesmith.queries import register
+from tablesmith.queries import sql_models as Q
 from tablesmith.queries.common import T, scratch_path
 from tablesmith.streaming import score as SC
 
@@ -33,13 +34,18 @@ def _event_files(spark, sf):
     return path, e.schema
 
 
+#: The least-squares model of ``_value_model`` in SQL; ``scored`` has the events with their prediction.
+_SCORED_SQL = f"""WITH n AS (SELECT event_type, row_number() OVER (ORDER BY count(*) DESC, event_type) - 1 AS i FROM events GROUP BY event_type),
+e AS (SELECT events.*, n.i::DOUBLE AS f_0, user_id::DOUBLE AS f_1 FROM events JOIN n USING (event_type)),
+{Q.ridge_ctes("e", ["f_0", "f_1"], "value")},
+scored AS (SELECT *, round({Q.linear(["f_0", "f_1"], "ls")}, 4) AS prediction FROM e, ls)"""
+
+
 def _scored(df, *keys):
-    """Row keys and whether the prediction is finite."""
-    finite = F.col("prediction").isNotNull() & ~F.isnan("prediction") & (F.abs("prediction") < float("inf"))
-    return df.select(*keys, finite.cast("int").alias("scored"))
+    return df.select(*keys, round_half_away("prediction", 4).alias("prediction"))
 
 
-@register("batch_score", "SELECT event_id, '1' AS model_version, 1 AS scored FROM events")
+@register("batch_score", _SCORED_SQL + " SELECT event_id, '1' AS model_version, prediction FROM scored")
 def q_batch_score(spark, sf):
     """Scored twice into one folder, as after a retry: every event is there once."""
     e = T(spark, sf, "events")
@@ -71,7 +77,7 @@ def q_udf_score(spark, sf):
                       round_half_away("prediction", 4).alias("prediction"))
 
 
-@register("stream_score", "SELECT event_id, ts, 1 AS scored FROM events")
+@register("stream_score", _SCORED_SQL + " SELECT event_id, ts, prediction FROM scored")
 def q_stream_score(spark, sf):
     path, schema = _event_files(spark, sf)
     m = _value_model(T(spark, sf, "events"))
@@ -80,8 +86,8 @@ def q_stream_score(spark, sf):
     return _scored(spark.read.parquet(sink), "event_id", "ts")
 
 
-@register("inference_log", """
-SELECT event_id, user_id, v AS model_version, 1 AS scored FROM events, (VALUES ('7'), ('8')) t(v)""")
+@register("inference_log", _SCORED_SQL + """
+SELECT event_id, user_id, v AS model_version, prediction FROM scored, (VALUES ('7'), ('8')) t(v)""")
 def q_inference_log(spark, sf):
     """Two streams (champion and challenger) log the same requests into one table."""
     path, schema = _event_files(spark, sf)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import round_half_away, sql_hash_bucket, sql_hash_unit, sql_in_share
 from tablesmith.operators import evaluate as EV
+from tablesmith.operators import models as M
 from tablesmith.operators import select as S
 from tablesmith.operators import split as SP
 from tablesmith.queries import register
+from tablesmith.queries import sql_models as Q
 from tablesmith.queries.common import T
 
 FEATS = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -83,35 +85,44 @@ def _each_feature(extra, of="lineitem"):
     return " UNION ALL ".join(f"SELECT '{c}' AS feature, {extra} WHERE (SELECT count(*) FROM {of}) > 0" for c in FEATS)
 
 
-@register("rfe", _each_feature("1 AS rank_fits, 3 AS n_kept"))
+@register("rfe", f"""WITH {Q.elimination_ctes("lineitem", FEATS, TARGET, 3)}
+SELECT v.name AS feature, coalesce(rank, 1)::INTEGER AS rank, (rank IS NULL)::INTEGER AS selected
+FROM (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(FEATS))}) v(i, name) LEFT JOIN gone USING (i)""")
 def q_rfe(spark, sf):
-    """Linear-model elimination down to 3 of 6 features: ranks 2 to 4 once each, rank 1 for those kept."""
-    r = S.rfe(T(spark, sf, "lineitem"), FEATS, TARGET, n_keep=3)
-    same = F.count(F.lit(1)).over(Window.partitionBy("rank"))  # one row per feature
-    fits = ((F.col("rank") == 1) & (same == 3) & (F.col("selected") == 1)) | (F.col("rank").between(2, 4) & (same == 1) & (F.col("selected") == 0))
-    return r.select("feature", fits.cast("int").alias("rank_fits"), F.sum("selected").over(Window.partitionBy()).cast("int").alias("n_kept"))
+    """Linear-model elimination down to 3 of 6 features; the oracle solves each step's correlation matrix."""
+    return S.rfe(T(spark, sf, "lineitem"), FEATS, TARGET, n_keep=3)
 
 
-def _shares(imp, *keys):
-    """Importances as what holds for any fit: none negative, and one in sum."""
-    return imp.select(*keys, "feature", (F.col("importance") >= 0).cast("int").alias("not_negative"),
-                      F.round(F.sum("importance").over(Window.partitionBy(*keys)), 9).alias("total"))  # one row per feature
+def _boosted_sql(rounds=3, depth=3):
+    few = ", ".join(f"{c}::DOUBLE AS f_{j}" for j, c in enumerate(SMALL_FEATS))
+    return (f"WITH d AS (SELECT {few}, {TARGET} AS label FROM lineitem),\n"
+            + Q.boosted_ctes("d", len(SMALL_FEATS), "label", rounds, depth, 0.1, [])
+            + f",\nimp AS MATERIALIZED ({Q.importance_sql(SMALL_FEATS, [f't{r}' for r in range(rounds)], depth)})\n")
 
 
-@register("tree_importance", " UNION ALL ".join(
-    f"SELECT '{m}' AS model, * FROM ({_each_feature('1 AS not_negative, 1.0::DOUBLE AS total')})" for m in ("forest", "boosted")))
+def _boosted(spark, sf):
+    return S.tree_importance(T(spark, sf, "lineitem"), SMALL_FEATS, TARGET, "boosted", max_iter=3, boosted_depth=3, max_bins=64)
+
+
+@register("tree_importance", _boosted_sql() + "SELECT feature, round(importance, 5) AS importance FROM imp")
 def q_tree_importance(spark, sf):
-    li = T(spark, sf, "lineitem")
-    rf = S.tree_importance(li, FEATS, TARGET, "forest", num_trees=20, max_depth=6).withColumn("model", F.lit("forest"))
-    gb = S.tree_importance(li, FEATS, TARGET, "boosted", max_iter=10).withColumn("model", F.lit("boosted"))
-    return _shares(rf.unionByName(gb), "model")
+    """Importances of boosted trees; the oracle boosts in SQL and sums the gains of its splits."""
+    return _boosted(spark, sf).withColumn("importance", round_half_away("importance", 5))
 
 
-@register("select_from_model", "SELECT CAST(i AS INTEGER) AS selected, 3 AS n FROM range(2) r(i) WHERE (SELECT count(*) FROM lineitem) > 0")
-def q_select_from_model(spark, sf):
-    """Half of the six features reach the median importance."""
+@register("tree_importance_forest", _each_feature("1 AS not_negative, 1.0::DOUBLE AS total"))
+def q_tree_importance_forest(spark, sf):
+    """A forest draws its rows and features: none negative, and one in sum."""
     imp = S.tree_importance(T(spark, sf, "lineitem"), FEATS, TARGET, "forest", num_trees=20, max_depth=6)
-    return S.select_from_model(imp).groupBy("selected").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return imp.select("feature", (F.col("importance") >= 0).cast("int").alias("not_negative"),
+                      F.round(F.sum("importance").over(Window.partitionBy()), 9).alias("total"))  # one row per feature
+
+
+@register("select_from_model", _boosted_sql() + """SELECT feature, round(importance, 5) AS importance,
+(importance >= (SELECT quantile_cont(importance, 0.5) FROM imp))::INTEGER AS selected FROM imp""")
+def q_select_from_model(spark, sf):
+    """Features that reach the median importance."""
+    return S.select_from_model(_boosted(spark, sf)).withColumn("importance", round_half_away("importance", 5))
 
 
 def _f_sql():
@@ -212,14 +223,16 @@ def q_selection_summary(spark, sf):
     return S.selection_summary(T(spark, sf, "lineitem"), FEATS, TARGET, n=10, bins=10)
 
 
-@register("model_importance", _each_feature("1 AS not_negative, 1.0::DOUBLE AS total"))
+@register("model_importance", f"""WITH d AS (SELECT {", ".join(f"{c}::DOUBLE AS f_{j}" for j, c in enumerate(SMALL_FEATS))},
+  {TARGET} AS label FROM lineitem),
+{Q.tree_ctes("d", len(SMALL_FEATS), "label", 4, False)}
+SELECT feature, round(importance, 5) AS importance FROM ({Q.importance_sql(SMALL_FEATS, ["t"], 4)})""")
 def q_model_importance(spark, sf):
-    from pyspark.ml.classification import DecisionTreeClassifier
+    """Importances of a fitted tree by name; the oracle grows the tree in SQL."""
     from pyspark.ml.feature import VectorAssembler
-    li = T(spark, sf, "lineitem").withColumn("label", (F.col("l_returnflag") == "R").cast("double"))
-    v = VectorAssembler(inputCols=FEATS, outputCol="features").transform(li)
-    m = DecisionTreeClassifier(maxDepth=5, seed=42).fit(v)
-    return _shares(S.model_importance(m, FEATS, spark))
+    li = VectorAssembler(inputCols=SMALL_FEATS, outputCol="features").transform(T(spark, sf, "lineitem").withColumnRenamed(TARGET, "label"))
+    m = M.decision_tree_regressor(max_depth=4, max_bins=64).fit(li)
+    return S.model_importance(m, SMALL_FEATS, spark).withColumn("importance", round_half_away("importance", 5))
 
 
 @register("append_columns", """
