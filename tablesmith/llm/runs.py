@@ -12,8 +12,8 @@ symbol's border, takes at most one step a level, and descends at the first diffe
 two or three comparisons a level, for all queried pairs at once.
 
 A run of period p and at least 4 p words holds some multiple i of 3 p together with
-i + p.  So for each p the pairs (i, i + p) on that grid are candidates; equal words
-survive, and the extensions to both sides give the run's exact ends.  A run found for a
+i + p.  So for each p the pairs (i, i + p) on that grid are candidates where four words
+in a row, p apart, agree; the extensions to both sides give the run's exact ends.  A run found for a
 multiple of its period has the same ends; the smallest period stays.
 
 Rules: a null text has no words; every input row gives one output row (repeated rows and
@@ -37,7 +37,7 @@ from tablesmith.llm.base import ship_package, slices, text_of
 
 MIN_WORDS, MIN_EXPONENT = 6, 4
 #: Texts are worked on together up to about so many bytes; a longer one is alone.
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 #: So many pairs of the grid are extended at once.
 GRID_PAIRS = 1 << 20
 
@@ -72,7 +72,7 @@ def _above(level: Level, first: np.ndarray, last: np.ndarray, key: np.ndarray) -
     """The next level: groups with the same key are the same symbol."""
     _, symbol = np.unique(key, return_inverse=True)
     ends = np.cumsum(level.width)
-    up = Level(symbol.astype(np.int32), ends[last] - ends[first] + level.width[first])
+    up = Level(symbol.astype(np.int32), (ends[last] - ends[first] + level.width[first]).astype(np.int32))
     up.first, up.last = first, last
     return up
 
@@ -179,25 +179,49 @@ def extensions(levels: Sequence[Level], a: np.ndarray, b: np.ndarray, forward: b
 
 # --- runs ------------------------------------------------------------------------
 
+def grid_pairs(symbol: np.ndarray, p: int, stop: int) -> np.ndarray:
+    """Places i on the grid of 3 p, below ``stop``, that a run of period p may hold together with i + p.
+
+    Such a run holds at least four places i + j p in a row, j = 0 and 1 among them; they carry the same symbol.
+    """
+    i = np.flatnonzero(symbol[0:stop - p:3 * p] == symbol[p:stop:3 * p]) * (3 * p)
+    if not len(i):
+        return i
+
+    def same(j: int) -> np.ndarray:
+        a, b = i + j * p, i + (j + 1) * p
+        inside = (a >= 0) & (b < stop)
+        return inside & (symbol[np.where(inside, a, 0)] == symbol[np.where(inside, b, 0)])
+    before, after = same(-1), same(1)
+    return i[(before & after) | (before & same(-2)) | (after & same(2))]
+
+
 def find_runs(symbol: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, length, period) of all runs of a sequence, by start and period.
 
-    ``symbol`` holds texts of ``lengths`` symbols, each followed by a symbol that occurs once.
+    ``symbol`` holds texts of ``lengths`` symbols, longest first, each followed by a symbol that occurs once.  The
+    grammar is built over the texts that have candidates.
     """
-    n = len(symbol)
-    longest = int(lengths.max()) if len(lengths) else 0
-    # Longer periods need longer texts; where the long ones come first, the others are not looked at again.
-    upto = np.cumsum(lengths + 1)
-    descending = bool((np.diff(lengths) <= 0).all())
-    levels: list[Level] = []
+    def periods(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Each period with the end of the texts that are long enough for it."""
+        upto = np.cumsum(sizes + 1)
+        for p in range(1, (int(sizes[0]) if len(sizes) else 0) // MIN_EXPONENT + 1):
+            yield p, int(upto[np.searchsorted(-sizes, -MIN_EXPONENT * p, side="right") - 1])
+
+    ends = np.cumsum(lengths + 1)
+    hopeful = np.zeros(len(lengths), dtype=bool)
+    for p, stop in periods(lengths):
+        hopeful[np.searchsorted(ends, grid_pairs(symbol, p, stop), side="right")] = True
+    if not hopeful.any():
+        return (np.zeros(0, dtype=np.int64),) * 3
+    kept = np.repeat(hopeful, lengths + 1)
+    place = np.flatnonzero(kept)  # of each symbol that is left, its place in the whole
+    symbol, lengths = symbol[kept], lengths[hopeful]
+    levels = grammar(symbol)
     found = [np.zeros((0, 3), dtype=np.int64)]
     grid: list[tuple[np.ndarray, int]] = []
 
     def extend() -> None:
-        if not grid:
-            return
-        if not levels:
-            levels.extend(grammar(symbol))
         i = np.concatenate([at for at, _ in grid])
         p = np.repeat(np.array([p for _, p in grid]), [len(at) for at, _ in grid])
         grid.clear()
@@ -207,22 +231,22 @@ def find_runs(symbol: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
         found.append(np.unique(runs[runs[:, 1] >= np.maximum(MIN_WORDS, MIN_EXPONENT * p)], axis=0))
 
     held = 0
-    for p in range(1, longest // MIN_EXPONENT + 1):
-        stop = int(upto[np.searchsorted(-lengths, -MIN_EXPONENT * p, side="right") - 1]) if descending else n
-        at = np.flatnonzero(symbol[0:stop - p:3 * p] == symbol[p:stop:3 * p]) * (3 * p)
+    for p, stop in periods(lengths):
+        at = grid_pairs(symbol, p, stop)
         if len(at):
             grid.append((at, p))
             held += len(at)
             if held > GRID_PAIRS:
                 extend()
                 held = 0
-    extend()
+    if grid:
+        extend()
     runs = np.unique(np.concatenate(found), axis=0)  # by start, length and period
     new = np.ones(len(runs), dtype=bool)  # of the same stretch the smallest period
     new[1:] = (runs[1:, :2] != runs[:-1, :2]).any(axis=1)
     runs = runs[new]
     runs = runs[np.lexsort((runs[:, 2], runs[:, 0]))]
-    return runs[:, 0], runs[:, 1], runs[:, 2]
+    return place[runs[:, 0]], runs[:, 1], runs[:, 2]
 
 
 def made_periodic(words: list[bytes], doc_id: int | None) -> list[bytes]:
