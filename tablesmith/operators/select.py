@@ -32,9 +32,10 @@ def select_by_correlation(df: DataFrame, features: Sequence[str], target: str,
 def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins: int = 10,
                        target_bins: int | None = None, equal_width: bool = False) -> DataFrame:
     """K2: plug-in mutual information (nats) between each binned feature and
-    the (binned, if ``target_bins``) target.
+    the (binned, if ``target_bins``) target.  (``plans.neighbours`` has the
+    nearest-neighbour estimator.)
 
-    Another estimator than a nearest-neighbour one: features are cut into
+    Features are cut into
     ``bins`` quantile bins (equal cuts merge), or with ``equal_width`` into bins of equal
     width over [min, max]; MI = sum p(x,y) log(p(x,y) / (p(x) p(y))).  Rows that miss the feature or
     the target (null or NaN) are left out for that feature.  The totals come from groupings of the

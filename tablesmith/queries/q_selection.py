@@ -10,6 +10,7 @@ from tablesmith.operators import evaluate as EV
 from tablesmith.operators import models as M
 from tablesmith.operators import select as S
 from tablesmith.operators import split as SP
+from tablesmith.plans import neighbours as N
 from tablesmith.queries import register
 from tablesmith.queries import sql_models as Q
 from tablesmith.queries.common import T
@@ -81,6 +82,33 @@ def q_mi(spark, sf):
     return _r(S.mutual_information(T(spark, sf, "lineitem"), FEATS, TARGET, 10, 10), ["mi"])
 
 
+NEAR_FEATS = ["p_size", "p_partkey"]
+
+
+def _nearest_sql(feats, target, k=3, src="part"):
+    """The definition over all pairs of rows; harmonic sums stand for psi of whole numbers."""
+    one = " UNION ALL ".join(f"SELECT '{c}' AS feature, row_number() OVER () AS i, {c} / stddev_pop({c}) OVER () AS x, "
+                             f"{target} / stddev_pop({target}) OVER () AS y FROM {src}" for c in feats)
+    return f"""
+WITH p AS MATERIALIZED ({one}),
+psi AS MATERIALIZED (SELECT n, -0.5772156649015329 + coalesce(sum(1.0 / (n - 1)) FILTER (n > 1) OVER (ORDER BY n), 0) AS psi
+  FROM range(1, (SELECT count(*) + 2 FROM {src})) r(n)),
+e AS (SELECT a.feature, a.i, list_sort(min(greatest(abs(a.x - b.x), abs(a.y - b.y)), {k}))[{k}] AS eps
+  FROM p a JOIN p b ON a.feature = b.feature AND a.i <> b.i GROUP BY a.feature, a.i),
+c AS (SELECT a.feature, a.i, count(*) FILTER (CASE WHEN eps = 0 THEN a.x = b.x ELSE abs(a.x - b.x) < eps END) AS nx,
+    count(*) FILTER (CASE WHEN eps = 0 THEN a.y = b.y ELSE abs(a.y - b.y) < eps END) AS ny
+  FROM p a JOIN e USING (feature, i) JOIN p b ON a.feature = b.feature GROUP BY a.feature, a.i)
+SELECT feature, round(greatest(0, (SELECT psi FROM psi WHERE n = any_value(total)) + (SELECT psi FROM psi WHERE n = {k})
+  - avg(px.psi + py.psi)), 6) AS mi
+FROM c JOIN psi px ON px.n = nx JOIN psi py ON py.n = ny, (SELECT count(*) AS total FROM {src}) GROUP BY feature"""
+
+
+@register("mutual_information_nearest", _nearest_sql(NEAR_FEATS, "p_retailprice"))
+def q_mi_nearest(spark, sf):
+    """The k-nearest-neighbour estimator; the oracle compares all pairs."""
+    return _r(N.nearest_mutual_information(T(spark, sf, "part"), NEAR_FEATS, "p_retailprice", 3), ["mi"])
+
+
 def _each_feature(extra, of="lineitem"):
     return " UNION ALL ".join(f"SELECT '{c}' AS feature, {extra} WHERE (SELECT count(*) FROM {of}) > 0" for c in FEATS)
 
