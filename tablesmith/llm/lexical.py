@@ -47,7 +47,7 @@ HASHES = 3             # slices of an entry
 BITS = 8               # slices per entry of the block's richest document
 BLOCK_DOCS = 512       # documents of a block
 BLOCK_CELLS = 1 << 21  # slices times documents of a block; a richer document is a block of its own
-CHUNK_BYTES = 1 << 23  # texts that are split at once; a longer one is taken in parts
+CHUNK_BYTES = 1 << 22  # texts that are split at once; a longer one is taken in parts
 SEED_PART = 16         # one block in so many gives the first known scores
 ITEM_BLOCK = 1000      # items searched together,
 ITEM_BYTES = 1 << 18   # or so many bytes of their texts

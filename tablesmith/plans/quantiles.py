@@ -6,7 +6,7 @@ a column with billions of distinct values.  ``exact_quantiles`` instead finds
 the k-th smallest values by narrowing, all columns and all wanted ranks in the
 same scans:
 
-- An approximate sketch brackets each wanted rank; overlapping brackets merge.
+- A KLL sketch brackets each wanted rank; overlapping brackets merge.
 - The brackets' ends (and points between them) cut a column into ascending cells.
   A row finds its cell by binary search (Spark ML's ``Bucketizer``, JVM side) and adds one to
   (column, cell): one row per (row, column), whatever the number of ranks.  In a
@@ -33,7 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed tuning values
-SKETCH_ACCURACY = 10000        # relative rank error of the bracketing sketch = 1e-4
+SKETCH_SIZE = 16384            # k of the bracketing KLL sketches (some 400 KB a column and task)
+SKETCH_ERROR = 3.7e-4           # their rank error; a bracket that misses its rank only costs a pass
 CELL_LIMIT = 1 << 15           # cells of a pass, shared by all brackets
 FETCH_LIMIT = 200_000          # values that a pass may list, shared by all brackets
 MAX_PASSES = 64                # a pass cuts a bracket's doubles into at least 8 cells; 2^64 of them last 22
@@ -174,14 +175,16 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
                     ) -> dict[str, list[float | None]]:
     """Exact interpolated quantiles ``{col: [q(p) for p in probs]}``; missing ignored."""
     cols = list(dict.fromkeys(cols))
-    eps = 1.0 / SKETCH_ACCURACY
+    eps = 2 * SKETCH_ERROR
     # one aggregate: counts, extremes and a sketch bracket around every wanted rank
-    qgrid = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-3 * eps, 0.0, 3 * eps)})
+    qgrid = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
     aggs = []
     for i, c in enumerate(cols):
         v = valid_value(c)
+        sketch = F.call_function("kll_sketch_agg_double", v, F.lit(SKETCH_SIZE))
+        ranks = F.array(*map(F.lit, qgrid))
         aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"),
-                 F.percentile_approx(v, qgrid, SKETCH_ACCURACY).alias(f"q{i}")]
+                 F.when(F.count(v) > 0, F.call_function("kll_sketch_get_quantile_double", sketch, ranks)).alias(f"q{i}")]
     row = df.agg(*aggs).collect()[0]
     wanted: dict[str, list[int]] = {}
     brackets: dict[str, list[tuple[float, float, float]]] = {}
@@ -193,11 +196,11 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
         qv = dict(zip(qgrid, row[f"q{i}"]))
         wanted[c], brackets[c] = [], []
         for p in probs:
-            lo_q, hi_q = min(1.0, max(0.0, p - 3 * eps)), min(1.0, max(0.0, p + 3 * eps))
+            lo_q, hi_q = min(1.0, max(0.0, p - eps)), min(1.0, max(0.0, p + eps))
             lo = row[f"mn{i}"] if lo_q <= 0.0 else qv[lo_q]
             hi = row[f"mx{i}"] if hi_q >= 1.0 else qv[hi_q]
             wanted[c] += {math.floor(p * (n - 1)), math.ceil(p * (n - 1))}
-            brackets[c].append((lo, hi, 8 * eps * n + 2))
+            brackets[c].append((lo, hi, 3 * eps * n + 2))
     kth = kth_smallest(df, wanted, brackets) if wanted else {}
     out: dict[str, list[float | None]] = {}
     for c in cols:
