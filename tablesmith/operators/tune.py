@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import hash_unit, quoted
 from tablesmith.operators import models as M
-from tablesmith.operators.features import feature_pipeline
+from tablesmith.operators.fold_features import FoldFeatures
 
 
 def _param_text(pm) -> str:
@@ -52,6 +52,26 @@ def grid(estimator, values: Mapping[str, Sequence]):
     return b.build()
 
 
+def grid_cv_prepared(estimator, values: Mapping[str, Sequence], evaluator, df: DataFrame, numeric: Sequence[str],
+                     categorical: Sequence[str], fold_col: str, folds: int, label: str = "label", parallelism: int = 4):
+    """V5 over raw columns: gaps filled, values scaled and categories numbered inside each fold's training rows.
+
+    Returns (best estimator's model over all rows, its ``FoldFeatures``, table of params and mean metric).  ``fold_col``
+    holds 0..folds-1; one pass gives the statistics of all splits.
+    """
+    narrow = df.select(F.col(quoted(fold_col)).alias("_fold"), F.col(quoted(label)).cast("double").alias("label"),
+                       *[F.col(quoted(c)).alias(f"n{i}") for i, c in enumerate(numeric)],
+                       *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(categorical)])
+    narrow = narrow.where(F.col("label").isNotNull() & ~F.isnan("label"))
+    features = FoldFeatures(narrow, [f"n{i}" for i in range(len(numeric))], [f"c{i}" for i in range(len(categorical))], "_fold")
+    trials = [Trial(type(estimator).__name__, estimator, m) for m in grid(estimator, values)]
+    run_trials(narrow, trials, evaluator, folds, parallelism=parallelism, fold_col="_fold", features=features)
+    larger = evaluator.isLargerBetter()
+    best = best_trial(trials, larger)
+    model = best.estimator.copy(best.setting).fit(features.transform(narrow.drop("_fold"))) if best else None
+    return model, features.renamed(numeric, categorical), board_of(df.sparkSession, trials, larger)
+
+
 def grid_cv(estimator, values: Mapping[str, Sequence], evaluator, df: DataFrame, folds: int = 5,
             fold_col: str | None = None, parallelism: int = 4, seed: int = 42):
     """V5: grid x k folds; returns (CrossValidatorModel, table of params and mean metric).
@@ -131,8 +151,11 @@ def fold_number(df: DataFrame, folds: int, key: Sequence[str] | None, salt: str)
 
 def run_trials(df: DataFrame, trials: Sequence[Trial], evaluator, folds: int = 3, key: Sequence[str] | None = None,
                measured_folds: int | None = None, parallelism: int = 4, deadline: float | None = None,
-               fold_col: str | None = None, salt: str = "trial") -> list[Trial]:
-    """Fit and measure each trial on the folds (the first ``measured_folds`` of them, default all)."""
+               fold_col: str | None = None, salt: str = "trial", features: FoldFeatures | None = None) -> list[Trial]:
+    """Fit and measure each trial on the folds (the first ``measured_folds`` of them, default all).
+
+    With ``features`` the rows are raw, and each split's feature vector comes from its training rows alone.
+    """
     if fold_col is None:
         df = df.withColumn("_fold", fold_number(df, folds, key, salt))
     data = df.withColumnRenamed(fold_col, "_fold") if fold_col else df
@@ -145,8 +168,9 @@ def run_trials(df: DataFrame, trials: Sequence[Trial], evaluator, folds: int = 3
         try:
             found = []
             for f in range(measured_folds or folds):
-                model = t.estimator.copy(t.setting).fit(data.where(F.col("_fold") != f).drop("_fold"))
-                found.append(evaluator.evaluate(model.transform(data.where(F.col("_fold") == f))))
+                split = features.transform(data, f) if features else data
+                model = t.estimator.copy(t.setting).fit(split.where(F.col("_fold") != f).drop("_fold"))
+                found.append(evaluator.evaluate(model.transform(split.where(F.col("_fold") == f))))
             t.metric = float(sum(found) / len(found))
             t.status = "ok" if math.isfinite(t.metric) else "failed: metric is not finite"
             t.metric = t.metric if t.status == "ok" else None
@@ -239,17 +263,19 @@ def train_validate(train: DataFrame, val: DataFrame, features: Sequence[str], la
 
 def _auto(df: DataFrame, label: str, numeric, categorical, families, evaluator, max_trials: int,
           timeout_minutes: float, parallelism: int, seed: int, folds: int, key, log, experiment: str) -> DataFrame:
-    """Shared body of V9 / V10: fit the feature stages once, then random search over the families in turn,
-    so every family is tried whatever ``parallelism`` is, until trials or time run out."""
+    """Shared body of V9 / V10: random search over the families in turn, so every family is tried whatever
+    ``parallelism`` is, until trials or time run out.  Feature stages are fitted on each split's training rows."""
     deadline = time.time() + timeout_minutes * 60
     named = df.withColumn("_fold", fold_number(df, folds, key or [*numeric, *categorical, label], "auto"))
-    feats = feature_pipeline(numeric, categorical, out="features").fit(named)
-    data = feats.transform(named).select("features", F.col(quoted(label)).cast("double").alias("label"), "_fold")
+    data = named.select("_fold", F.col(quoted(label)).cast("double").alias("label"),
+                        *[F.col(quoted(c)).alias(f"n{i}") for i, c in enumerate(numeric)],
+                        *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(categorical)]).where(F.col("label").isNotNull() & ~F.isnan("label"))
+    features = FoldFeatures(data, [f"n{i}" for i in range(len(numeric))], [f"c{i}" for i in range(len(categorical))], "_fold")
     names = list(families)
     drawn = {f: draw_param_maps(*families[f], -(-max_trials // len(names)), seed + i) for i, f in enumerate(names)}
     trials = [Trial(f, families[f][0], drawn[f][i // len(names)])
               for i in range(max_trials) for f in [names[i % len(names)]]]
-    run_trials(data, trials, evaluator, folds, parallelism=parallelism, deadline=deadline, fold_col="_fold")
+    run_trials(data, trials, evaluator, folds, parallelism=parallelism, deadline=deadline, fold_col="_fold", features=features)
     log_trials(log, experiment, trials, evaluator.getMetricName())
     return board_of(df.sparkSession, trials, evaluator.isLargerBetter())
 

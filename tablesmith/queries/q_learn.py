@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tablesmith.functions.columns import round_half_away, sql_in_share
+from tablesmith.functions.columns import round_half_away, sql_hash_bucket, sql_in_share
 from tablesmith.operators import models as M
 from tablesmith.operators import split as SP
 from tablesmith.operators import tune as TU
@@ -277,6 +277,37 @@ def q_train_validate(spark, sf):
     return test.agg(F.count(F.lit(1)).alias("n_validated"), F.lit(int(f1 > 1 / classes)).alias("better_than_chance"))
 
 
+def _prepared_sql(regs, folds=3):
+    """Ridge regression on each fold's training rows, gaps filled by their mean; mean RMSE over the folds per setting."""
+    fold = sql_hash_bucket(["l_orderkey", "l_linenumber"], folds, "fold")
+    cols = {"f_0": "l_quantity", "f_1": "nullif(l_discount, 0)", "f_2": "l_tax"}
+    parts = [f"b AS MATERIALIZED (SELECT {fold} AS fold, l_extendedprice AS label, "
+             + ", ".join(f"({e})::DOUBLE AS {c}" for c, e in cols.items()) + " FROM lineitem)"]
+    found = []
+    for f in range(folds):
+        means = ", ".join(f"avg({c}) AS {c}" for c in cols)
+        parts.append(f"m{f} AS (SELECT {means} FROM b WHERE fold <> {f})")
+        filled = ", ".join(f"coalesce(b.{c}, m{f}.{c}) AS {c}" for c in cols)
+        parts.append(f"d{f} AS MATERIALIZED (SELECT fold, label, {filled} FROM b, m{f})")
+        parts.append(f"t{f} AS MATERIALIZED (SELECT * FROM d{f} WHERE fold <> {f})")
+        for i, reg in enumerate(regs):
+            parts.append(Q.ridge_ctes(f"t{f}", list(cols), "label", reg, f"ls{f}_{i}"))
+            found.append(f"SELECT {reg!r}::DOUBLE AS reg, sqrt(avg((label - ({Q.linear(list(cols), f'ls{f}_{i}')})) ** 2)) AS rmse "
+                         f"FROM d{f}, ls{f}_{i} WHERE fold = {f}")
+    return ("WITH " + ",\n".join(parts) + "\nSELECT '{\"regParam\": ' || reg || '}' AS params, round(avg(rmse), 4) AS metric FROM ("
+            + " UNION ALL ".join(found) + ") GROUP BY reg")
+
+
+@register("grid_cv_prepared", _prepared_sql([0.0, 2000.0]))
+def q_grid_cv_prepared(spark, sf):
+    """Ridge grid x 3 hash folds over raw columns; gaps and scales come from each fold's training rows."""
+    li = T(spark, sf, "lineitem").withColumn("l_discount", F.nullif(F.col("l_discount"), F.lit(0.0)))
+    d = SP.kfold(li, ["l_orderkey", "l_linenumber"], 3, out="fold")
+    _, _, table = TU.grid_cv_prepared(M.linear_regression(), {"regParam": [0.0, 2000.0]}, RegressionEvaluator(metricName="rmse"), d,
+                                      ["l_quantity", "l_discount", "l_tax"], [], "fold", 3, label="l_extendedprice")
+    return table.select("params", round_half_away("metric", 4).alias("metric"))
+
+
 def _families(board, better):
     """Per family: trials, those that were measured, and whether the search's best trial beats a constant."""
     best = board.agg((F.max if better > 0 else F.min)("metric").alias("m")).first()["m"]
