@@ -47,7 +47,7 @@ s AS (
 r AS (
   SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines)::BIGINT AS n_lines,
     n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_letters, base_failed,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_upper > n_letters OR n_lines < 2 * n_dup_lines
        OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
 FROM r

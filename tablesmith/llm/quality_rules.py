@@ -1,7 +1,8 @@
 """Quality rules as a short-circuit cascade (operator 3), in DataFrame functions only.
 
-Each rule is one Boolean expression over the text that is true when the document should go.
-``order_rules`` runs every rule over a small sample, takes its time (cost) and the share it
+Each rule is one Boolean expression that is true when the document should go: over the text, or
+over the text and the statistics that a judgement reports anyway.  ``order_rules`` runs every rule, in the
+form that will be used, over a small sample, takes its time (cost) and the share it
 rejects (selectivity), and orders the rules by rejections per cost.  ``verdict`` is a CASE over
 the rules in that order: a document leaves at its first failing rule and the dearer ones are never evaluated.
 The order changes the time only, never the verdict, so the sample may be small.
@@ -93,10 +94,10 @@ def repeated_words(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` takes the text; ``on_stats`` says the same over the columns of ``with_statistics``."""
+    """``rejects`` takes the text; ``judged`` says the same, reading what the columns of ``with_statistics`` give."""
     name: str
     rejects: Callable[[Column], Column]
-    on_stats: Column
+    judged: Callable[[Column], Column]
 
 
 def _default_rules() -> list[Rule]:
@@ -112,15 +113,20 @@ def _default_rules() -> list[Rule]:
     def odd_length(n_chars: Column, n_words: Column) -> Column:
         return (n_chars < 2 * n_words) | (n_chars > 20 * n_words)
 
+    def shouting(text: Column) -> Column:
+        return 2 * characters(text, r"\p{Lu}") > characters(text, r"\p{L}")
+
+    def lines(text: Column) -> Column:
+        return let(F.split(text, "\n"), lambda x: F.size(F.filter(x, lambda y: y.rlike(WORD))))
+
     return [
-        Rule("too_short", lambda t: count(t) < 10, F.col("n_words") < 10),
-        Rule("repeats", many_repeats, 100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
-        Rule("symbols", lambda t: 10 * symbols(t) > count(t), 10 * F.col("n_symbols") > F.col("n_words")),
-        Rule("shouting", lambda t: 2 * characters(t, r"\p{Lu}") > characters(t, r"\p{L}"),
-             2 * F.col("n_upper") > F.col("n_letters")),
-        Rule("duplicate_lines", lambda t: let(F.split(t, "\n"), lambda x: F.size(F.filter(x, lambda y: y.rlike(WORD))))
-             < 2 * duplicate_lines(t), F.col("n_lines") < 2 * F.col("n_dup_lines")),
-        Rule("word_length", lambda t: odd_length(chars(t), count(t)), odd_length(F.col("word_chars"), F.col("n_words"))),
+        Rule("too_short", lambda t: count(t) < 10, lambda t: F.col("n_words") < 10),
+        Rule("repeats", many_repeats, lambda t: 100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
+        Rule("symbols", lambda t: 10 * symbols(t) > count(t), lambda t: 10 * F.col("n_symbols") > F.col("n_words")),
+        Rule("shouting", shouting, shouting),
+        Rule("duplicate_lines", lambda t: lines(t) < 2 * duplicate_lines(t),
+             lambda t: F.when(F.col("n_dup_lines") > 0, lines(t) < 2 * F.col("n_dup_lines")).otherwise(F.lit(False))),
+        Rule("word_length", lambda t: odd_length(chars(t), count(t)), lambda t: odd_length(F.col("word_chars"), F.col("n_words"))),
     ]
 
 
@@ -146,10 +152,13 @@ def sample_texts(docs: DataFrame, size: int = SAMPLE_DOCS) -> DataFrame:
     return found
 
 
-def order_rules(docs: DataFrame, rules: list[Rule] | None = None, size: int = SAMPLE_DOCS) -> list[Measured]:
-    """The rules by rejections per cost on a sample, best first."""
+def order_rules(docs: DataFrame, rules: list[Rule] | None = None, size: int = SAMPLE_DOCS, judged: bool = False) -> list[Measured]:
+    """The rules by rejections per cost on a sample, best first; ``judged``: in the form that has the statistics."""
     rules = rules or _default_rules()
     sample = sample_texts(docs, size).coalesce(1)
+    if judged:
+        rows = with_statistics(sample.select(F.lit(0).alias("doc_id"), "text"))
+        sample = docs.sparkSession.createDataFrame(rows.collect(), rows.schema).withColumnRenamed("_text", "text").coalesce(1)
     found = []
 
     def seconds(condition: Column) -> tuple[float, float]:
@@ -162,42 +171,43 @@ def order_rules(docs: DataFrame, rules: list[Rule] | None = None, size: int = SA
 
     idle, _ = seconds(F.length("text") < 0)
     for rule in rules:
-        took, share = seconds(rule.rejects(F.col("text")))
+        took, share = seconds((rule.judged if judged else rule.rejects)(F.col("text")))
         found.append(Measured(rule, max(took - idle, 1e-4), share))
     return sorted(found, key=lambda m: (-m.gain, m.seconds))
 
 
-def verdict(rules: list[Rule], text: Column | None = None) -> Column:
-    """False at the first rule that rejects; over the text, or over the statistics if none is given."""
-    def condition(rule: Rule) -> Column:
-        return rule.on_stats if text is None else rule.rejects(text)
-    case = F.when(condition(rules[0]), False)
-    for rule in rules[1:]:
-        case = case.when(condition(rule), False)
+def verdict(rules: list[Rule], text: Column, judged: bool = False) -> Column:
+    """False at the first rule that rejects."""
+    case = None
+    for rule in rules:
+        condition = (rule.judged if judged else rule.rejects)(text)
+        case = F.when(condition, False) if case is None else case.when(condition, False)
     return case.otherwise(True)
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and all statistics of each document; the words are split once."""
+    """doc_id, the text and the reported statistics of each document; the words are split once."""
     text = F.col("_text")
     rows = docs.select("doc_id", text_of().alias("_text")).select(
-        "doc_id", words_of(text).alias("_words"), symbols(text).cast("long").alias("n_symbols"),
-        duplicate_lines(text).cast("long").alias("n_dup_lines"),
-        F.size(F.filter(F.split(text, "\n"), lambda y: y.rlike(WORD))).cast("long").alias("n_lines"),
-        characters(text, r"\p{Lu}").cast("long").alias("n_upper"), characters(text, r"\p{L}").cast("long").alias("n_letters"))
+        "doc_id", "_text", words_of(text).alias("_words"), symbols(text).cast("long").alias("n_symbols"),
+        duplicate_lines(text).cast("long").alias("n_dup_lines"))
     return rows.select(
-        "doc_id", F.size("_words").cast("long").alias("n_words"),
+        "doc_id", "_text", F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"), "n_symbols", "n_dup_lines",
-        let(window_hashes(F.col("_words")), covered_words).cast("long").alias("n_repeat_words"),
-        "n_lines", "n_upper", "n_letters")
+        let(window_hashes(F.col("_words")), covered_words).cast("long").alias("n_repeat_words"))
 
 
 def judge(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Statistics, base_failed and kept of every document, by the cascade in its measured order."""
-    ordered = [m.rule for m in order_rules(docs, rules)]
-    stats = with_statistics(docs)
+    """The reported statistics, base_failed and kept of every document.
+
+    A document that fails the base is done; the others meet the rules in their measured order, and what a rule
+    needs of the text beyond the statistics is only computed when its turn comes.
+    """
+    ordered = [m.rule for m in order_rules(docs, rules, judged=True)]
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return stats.withColumn("base_failed", base).withColumn("kept", ~base & verdict(ordered))
+    stats = with_statistics(docs).withColumn("base_failed", base)
+    kept = F.when(F.col("base_failed"), False).otherwise(verdict(ordered, F.col("_text"), judged=True))
+    return stats.withColumn("kept", kept).drop("_text")
 
 
 def passing(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
