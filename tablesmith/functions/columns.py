@@ -29,6 +29,27 @@ def nan_to_null(c: str | Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def named(df: DataFrame, c: str) -> Column:
+    """Column ``c`` of ``df``, or the field of a struct that it names."""
+    return F.col(quoted(c) if c in df.columns else c)
+
+
+def is_floating(df: DataFrame, c: str) -> bool:
+    return isinstance(df.select(named(df, c)).schema[0].dataType, (DoubleType, FloatType))
+
+
+def known(df: DataFrame, c: str) -> Column:
+    """Column ``c`` of ``df`` with NaN as null, whatever its type."""
+    return nan_to_null(named(df, c)) if is_floating(df, c) else named(df, c)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that ``df`` has not."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def nan_free(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """D1 for a frame: NaN becomes null in the listed (default: all) floating columns; others stay as they are."""
     floating = [f.name for f in df.schema.fields
@@ -74,14 +95,14 @@ _OPS = {">": "__gt__", ">=": "__ge__", "<": "__lt__", "<=": "__le__", "==": "__e
 
 
 def threshold_flag(c: str | Column, op: str, value) -> Column:
-    """1 when ``c op value`` else 0; null stays null."""
+    """1 when ``c op value`` else 0; null stays null (P7).  NaN compares as the greatest value: pass it as null."""
     x = col_of(c)
     cond = getattr(x, _OPS[op])(F.lit(value))
     return F.when(x.isNull(), F.lit(None).cast("int")).otherwise(cond.cast("int"))
 
 
 def case_bins(c: str | Column, thresholds: Sequence[float], labels: Sequence[str]) -> Column:
-    """Ordered ``c < t_i`` -> label_i, else last label; null -> null.
+    """Ordered ``c < t_i`` -> label_i, else last label; null -> null (P8, D10); pass NaN as null.
 
     ``labels`` has one entry more than ``thresholds``.
     """

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesmith.functions.columns import hash_bucket
+from tablesmith.functions.columns import hash_bucket, known
 from tablesmith.operators.evaluate import eval_auc, eval_multiclass, eval_regression
 
 
@@ -50,8 +50,10 @@ def force_variant(df: DataFrame, requested: str | Column, assigned: str = "varia
 def ab_metrics(feedback: DataFrame, variant: str = "variant", prediction: str = "prediction",
                truth: str = "ground_truth", control: str | None = None) -> DataFrame:
     """Per variant n, accuracy, mean prediction; difference in accuracy to
-    the control variant with its standard error sqrt(p1 q1 / n1 + p0 q0 / n0) (null if the control has no rows)."""
+    the control variant with its standard error sqrt(p1 q1 / n1 + p0 q0 / n0) (null if the control has no rows).
+    Rows that miss the prediction or the truth (null or NaN) are left out, as in V1-V4."""
     correct = (F.col(prediction) == F.col(truth)).cast("double")
+    feedback = feedback.where(known(feedback, prediction).isNotNull() & known(feedback, truth).isNotNull())
     per = feedback.groupBy(variant).agg(F.count(F.lit(1)).alias("n"), F.avg(correct).alias("accuracy"),
                                         F.avg(F.col(prediction).cast("double")).alias("mean_prediction"))
     if control is None:

@@ -61,14 +61,14 @@ def scaled_ratio(df: DataFrame, name: str, a: str, b: str, scale: float = 100000
 
 def threshold_flag(df: DataFrame, name: str, c: str, op: str, value) -> DataFrame:
     """P7."""
-    return df.withColumn(name, C.threshold_flag(c, op, value))
+    return df.withColumn(name, C.threshold_flag(C.known(df, c), op, value))
 
 
 def case_bins(df: DataFrame, name: str, c: str, thresholds: Sequence[float],
               labels: Sequence[str], descending: bool = False) -> DataFrame:
     """P8."""
     f = C.case_bins_desc if descending else C.case_bins
-    return df.withColumn(name, f(c, thresholds, labels))
+    return df.withColumn(name, f(C.known(df, c), thresholds, labels))
 
 
 def ordinal_map(df: DataFrame, name: str, c: str, mapping: Mapping, default=1) -> DataFrame:
@@ -78,17 +78,20 @@ def ordinal_map(df: DataFrame, name: str, c: str, mapping: Mapping, default=1) -
 
 def filter_range(df: DataFrame, bounds: Mapping[str, tuple[float | None, float | None]],
                  keep_missing: bool = False) -> DataFrame:
-    """P10: keep rows inside all bounds (inclusive); one AND-ed predicate."""
+    """P10: keep rows inside all bounds (inclusive); one AND-ed predicate.  NaN is missing, like null."""
     cond = F.lit(True)
     for c, (lo, hi) in bounds.items():
         x = F.col(c)
+        missing = x.isNull() | F.isnan(x) if C.is_floating(df, c) else x.isNull()
         part = F.lit(True)
         if lo is not None:
             part = part & (x >= F.lit(lo))
         if hi is not None:
             part = part & (x <= F.lit(hi))
         if keep_missing:
-            part = x.isNull() | part
+            part = missing | part
+        elif hi is None and C.is_floating(df, c):
+            part = part & ~F.isnan(x)   # above every bound
         cond = cond & part          # plain comparisons: pushed to the scan; null fails the filter
     return df.where(cond)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.functions.columns import nan_to_null
+from tablesmith.functions.columns import known, nan_to_null
 from tablesmith.plans.ranking import cumulative_by_value
 
 
@@ -18,12 +18,15 @@ def eval_multiclass(df: DataFrame, label: str = "label", prediction: str = "pred
                     group: str | None = None) -> DataFrame:
     """V1: accuracy and weighted F1 (weights = class support), one row (or one per ``group``).
 
+    Rows that miss the label or the prediction (null or NaN) are left out.
+
     Per class: precision = tp / predicted, recall = tp / actual, F1 = 0 when
     both are 0.  Built from the confusion counts (A17): a grouping whose size is
     classes^2.
     """
     g = [group] if group else []
-    cm = df.groupBy(*g, F.col(label).alias("y"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = df.select(*g, known(df, label).alias("y"), known(df, prediction).alias("p")).dropna(subset=["y", "p"])
+    cm = pairs.groupBy(*g, "y", "p").agg(F.count(F.lit(1)).alias("n"))
     side = F.explode(F.array(
         F.struct(F.col("y").alias("c"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"),
                  F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("tp")),
@@ -75,8 +78,9 @@ def eval_regression(df: DataFrame, label: str = "label", prediction: str = "pred
 
 def eval_smape(df: DataFrame, label: str = "label", prediction: str = "prediction",
                group: str | None = None) -> DataFrame:
-    """V4: symmetric MAPE = mean(2 |y - p| / (|y| + |p|)); pairs with y = p = 0 count 0."""
-    y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
+    """V4: symmetric MAPE = mean(2 |y - p| / (|y| + |p|)); pairs with y = p = 0 count 0, and those that miss either
+    (null or NaN) do not count."""
+    y, p = nan_to_null(F.col(label).cast("double")), nan_to_null(F.col(prediction).cast("double"))
     den = F.abs(y) + F.abs(p)
     term = F.when(den == 0, F.lit(0.0)).otherwise(F.lit(2.0) * F.abs(y - p) / den)
     g = [group] if group else []

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import DoubleType, FloatType, NumericType
 
-from tablesmith.functions.columns import (equal_width_bin, exact_mean, nan_free, quoted, round_half_away,
+from tablesmith.functions.columns import (equal_width_bin, exact_mean, free_name, known, nan_free, quoted, round_half_away,
                                           round_half_away_value, safe_corr)
 
 from tablesmith.plans import quantiles as Q
@@ -69,8 +69,8 @@ def group_sum(df: DataFrame, by, cols: Sequence[str] | None = None) -> DataFrame
 
 
 def group_avg_sorted(df: DataFrame, by: str, value: str, ascending: bool = True) -> DataFrame:
-    """Mean by key, ordered by key."""
-    out = df.groupBy(by).agg(F.avg(value).alias(f"avg_{value}"), F.count(F.lit(1)).alias("n"))
+    """Mean by key (missing values left out) and rows, ordered by key."""
+    out = nan_free(df, [value]).groupBy(by).agg(F.avg(value).alias(f"avg_{value}"), F.count(F.lit(1)).alias("n"))
     return out.orderBy(F.col(by).asc() if ascending else F.col(by).desc())
 
 
@@ -119,10 +119,10 @@ def missing_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 
 def table_shape(df: DataFrame) -> DataFrame:
-    """Per column its position, type, non-null count; table rows and columns."""
+    """Per column its position, type, count of values that are there (not null, not NaN); table rows and columns."""
     fields = df.schema.fields
     one = df.agg(F.count(F.lit(1)).alias("n_rows"),
-                 *[F.count(F.col(f"`{f.name}`")).alias(f"nn__{i}") for i, f in enumerate(fields)])
+                 *[F.count(known(df, f.name)).alias(f"nn__{i}") for i, f in enumerate(fields)])
     structs = [F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
                         F.lit(f.dataType.simpleString()).alias("type"),
                         F.col(f"nn__{i}").alias("non_null"), F.col("n_rows").alias("n_rows"),
@@ -191,7 +191,8 @@ def min_group_size(df: DataFrame, id_col: str | Sequence[str], min_rows: int = 1
     splits a hot id's partition otherwise) - no window holding a whole group.
     """
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
-    ok = df.groupBy(*ids).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows).select(*ids)
+    size = free_name(df, "_n")
+    ok = df.groupBy(*ids).agg(F.count(F.lit(1)).alias(size)).where(F.col(size) >= min_rows).select(*ids)
     return df.join(ok, ids, "left_semi")
 
 

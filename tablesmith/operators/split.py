@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.functions.columns import hash_bucket, hash_unit, in_share, quoted
+from tablesmith.functions.columns import hash_bucket, hash_unit, in_share
 from tablesmith.plans.ranking import hash_order_ranks, null_safe_join
 
 
@@ -24,23 +24,28 @@ def split_random(df: DataFrame, key: Sequence[str], train_share: float = 0.8, sa
 
 def split_stratified(df: DataFrame, stratum: str | Sequence[str], key: Sequence[str], train_share: float = 0.8,
                      salt: str = "", out: str = "split") -> DataFrame:
-    """L2: exactly round(train_share * n_s) rows of every stratum go to train,
-    chosen by hash order of the key (ties by key).  A missing stratum is one too.
+    """L2: round(train_share * n_s) rows of every stratum go to train, chosen by hash order of the key (ties by key).
+    A missing stratum is one too.
 
-    Ranks are taken over (stratum, hash, key) only, spread over hash ranges
+    Rows with the same key stay together: with unique keys the number is exact, with repeated ones the
+    boundary key's rows all go to train.  Ranks are taken over (stratum, hash, key) only, spread over hash ranges
     (``hash_order_ranks``); they give each stratum the last (hash, key) of its train
     rows, and the rows themselves are only compared with that threshold.
     """
-    strata = [stratum] if isinstance(stratum, str) else list(stratum)
-    order = F.struct(F.col("_h").alias("h"), *[F.col(quoted(k)).alias(f"k{i}") for i, k in enumerate(key)])
-    hashed = df.withColumn("_h", hash_unit([F.col(quoted(k)) for k in key], salt))
-    narrow = hashed.select(*[quoted(c) for c in strata], "_h", order.alias("_last"))
+    names = df.columns
+    strata = [f"c{names.index(c)}" for c in ([stratum] if isinstance(stratum, str) else stratum)]
+    keys = [F.col(f"c{names.index(k)}") for k in key]
+    order = F.struct(F.col("_h").alias("h"), *[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    # columns by number, so that no name of the table meets a helper's
+    hashed = df.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("_h", hash_unit(keys, salt))
+    narrow = hashed.select(*strata, "_h", order.alias("_last"))
     ranked = hash_order_ranks(narrow, strata, "_h", ["_last"], out="_rank")
     n_train = F.floor(F.col("_group_n") * F.lit(train_share) + F.lit(0.5))
-    last = ranked.where(F.col("_rank") == n_train - 1).select(*[quoted(c) for c in strata], "_last")
+    last = ranked.where(F.col("_rank") == n_train - 1).select(*strata, "_last")
     placed = null_safe_join(hashed, last, strata, "left")
     train = F.coalesce(order <= F.col("_last"), F.lit(False))
-    return placed.withColumn(out, F.when(train, "train").otherwise("test")).drop("_h", "_last")
+    return placed.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c != out],
+                         F.when(train, "train").otherwise("test").alias(out))
 
 
 def split_chronological(df: DataFrame, ts: str, train_share: float = 0.8, out: str = "split") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablesmith.functions.columns import round_half_away
 from tablesmith.operators import forecast as FC
 from tablesmith.queries import register
+from tablesmith.queries import sql_models as Q
 from tablesmith.queries.common import T
 
 HORIZON, SEASON = 7, 7
@@ -91,30 +92,50 @@ _AFTER = f"""(SELECT id, CAST(l + h * INTERVAL 1 DAY AS DATE) AS day FROM
   (SELECT id, max(day) AS l FROM {_EVENT_SERIES_SQL} s GROUP BY id) m, (SELECT unnest(range(1, {HORIZON + 1})) AS h) r)"""
 
 
-def _finite(df, *keys):
-    ok = F.col("forecast").isNotNull() & ~F.isnan("forecast") & (F.abs("forecast") < float("inf"))
-    return df.select(*keys, ok.cast("int").alias("finite"))
+_FILLED_SQL = f"""(SELECT g.id, g.day, coalesce(s.y, 0.0) AS y FROM {_GRID_SQL.format(src=_EVENT_SERIES_SQL)} g
+  LEFT JOIN {_EVENT_SERIES_SQL} s USING (id, day))"""
+_HOLT_SQL = "SELECT id, '{0}' AS model, day, round(forecast, 4) AS forecast FROM ({1})"
 
 
-@register("forecast_holt", f"SELECT id, 'holt' AS model, day, 1 AS finite FROM {_AFTER} a")
+@register("forecast_holt", _HOLT_SQL.format("holt", Q.holt_sql(_EVENT_SERIES_SQL, HORIZON, FC.ALPHAS, FC.BETAS)))
 def q_forecast_holt(spark, sf):
-    """Holt's linear smoothing per series: a finite forecast for each day of the horizon."""
-    return _finite(FC.forecast_holt(event_series(spark, sf), HORIZON), "id", "model", "day")
+    """Holt's linear smoothing per series; the oracle steps through the days in a recursive query."""
+    return FC.forecast_holt(event_series(spark, sf), HORIZON).withColumn("forecast", round_half_away("forecast", 4))
 
 
-@register("forecast_smoothing", f"""SELECT id, model, day, 1 AS finite FROM {_AFTER} a,
-(VALUES ('holt'), ('holt_winters')) v(model)""")
+@register("forecast_smoothing", " UNION ALL ".join([
+    _HOLT_SQL.format("holt", Q.holt_sql(_FILLED_SQL, HORIZON, FC.ALPHAS, FC.BETAS)),
+    _HOLT_SQL.format("holt_winters", Q.holt_sql(_FILLED_SQL, HORIZON, FC.ALPHAS, FC.BETAS, FC.GAMMAS, SEASON))]))
 def q_forecast_smoothing(spark, sf):
     """Holt and Holt-Winters with a weekly season."""
     s = FC.regular_series(event_series(spark, sf), fill="zero").select("id", "day", "y")
-    return _finite(FC.forecast_smoothing(s, HORIZON, SEASON), "id", "model", "day")
+    return FC.forecast_smoothing(s, HORIZON, SEASON).withColumn("forecast", round_half_away("forecast", 4))
 
 
-@register("forecast_select_all", f"""SELECT id, 7 AS n_models, 1 AS n_best, 1 AS ranks_complete FROM
+DESIGN = FC.Design(breaks=2, weekly=2, holidays=("month start",))
+
+
+def month_starts(series):
+    """A holiday table: the first day of every month between the series' first day and the horizon's end."""
+    span = series.agg(F.min("day").alias("lo"), F.date_add(F.max("day"), HORIZON).alias("hi"))
+    days = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("day"))
+    return days.where(F.dayofmonth("day") == 1).select(F.lit("month start").alias("name"), "day")
+
+
+@register("forecast_regression", f"""SELECT id, model, day, round(forecast, 4) AS forecast FROM ({Q.regression_forecast_sql(
+    _FILLED_SQL, HORIZON, 2, DESIGN.break_share, 2, DESIGN.break_penalty, DESIGN.season_penalty, "day(day) = 1")})""")
+def q_forecast_regression(spark, sf):
+    """Trend with two breaks, weekly season and month starts; the oracle solves the same normal equations."""
+    s = FC.regular_series(event_series(spark, sf), fill="zero").select("id", "day", "y")
+    return FC.forecast_regression(s, HORIZON, DESIGN, month_starts(s)).withColumn("forecast", round_half_away("forecast", 4))
+
+
+@register("forecast_select_all", f"""SELECT id, 8 AS n_models, 1 AS n_best, 1 AS ranks_complete FROM
 (SELECT DISTINCT id FROM {_EVENT_SERIES_SQL} s) i""")
 def q_forecast_select_all(spark, sf):
-    """Every candidate, smoothing included, ranked per series: seven ranks and one best."""
-    out = FC.forecast_select(FC.regular_series(event_series(spark, sf), fill="zero"), HORIZON, SEASON)
+    """Every candidate, smoothing and regression included, ranked per series: eight ranks and one best."""
+    s = FC.regular_series(event_series(spark, sf), fill="zero").select("id", "day", "y")
+    out = FC.forecast_select(s, HORIZON, SEASON, design=DESIGN, holidays=month_starts(s))
     n = F.count(F.lit(1))
     return out.groupBy("id").agg(n.cast("int").alias("n_models"), F.sum("best").cast("int").alias("n_best"),
                                  (F.sum("rank") == n * (n + 1) / 2).cast("int").alias("ranks_complete"))

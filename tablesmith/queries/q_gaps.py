@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import round_half_away
+from tablesmith.operators import abtest as AB
+from tablesmith.operators import clean as CL
 from tablesmith.operators import evaluate as EV
 from tablesmith.operators import features as FE
+from tablesmith.operators import forecast as FC
 from tablesmith.operators import profile as P
 from tablesmith.operators import select as S
 from tablesmith.queries import register
@@ -135,3 +138,68 @@ SELECT l_orderkey, l_linenumber, round((tax - lo) / (hi - lo), 6) AS tax_minmax
 def q_minmax(spark, sf):
     d = FE.scale_minmax_wide(gappy(spark, sf), ["tax"])
     return d.select("l_orderkey", "l_linenumber", round_half_away("tax_minmax", 6).alias("tax_minmax"))
+
+
+@register("gaps_group_avg_sorted", f"SELECT l_returnflag, round(avg(disc), 6) AS avg_disc, count(*) AS n FROM {GAPS} g GROUP BY 1")
+def q_group_avg_sorted(spark, sf):
+    return _r(P.group_avg_sorted(gappy(spark, sf), "l_returnflag", "disc"), ["avg_disc"])
+
+
+_FIELDS = ["l_orderkey", "l_linenumber", "l_returnflag", "qty", "disc", "tax", "price"]
+
+
+@register("gaps_table_shape", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS non_null, count(*) AS n_rows FROM {GAPS} g" for c in _FIELDS))
+def q_table_shape(spark, sf):
+    return P.table_shape(gappy(spark, sf)).select("column", "non_null", "n_rows")
+
+
+@register("gaps_threshold_flag", f"SELECT l_orderkey, l_linenumber, (disc > 0.05)::INTEGER AS high, (tax <> 0.02)::INTEGER AS odd FROM {GAPS} g")
+def q_threshold_flag(spark, sf):
+    d = CL.threshold_flag(CL.threshold_flag(gappy(spark, sf), "high", "disc", ">", 0.05), "odd", "tax", "!=", 0.02)
+    return d.select("l_orderkey", "l_linenumber", "high", "odd")
+
+
+@register("gaps_case_bins", f"SELECT l_orderkey, l_linenumber, CASE WHEN tax IS NULL THEN NULL WHEN tax < 0.03 THEN 'low' ELSE 'high' END AS band FROM {GAPS} g")
+def q_case_bins(spark, sf):
+    return CL.case_bins(gappy(spark, sf), "band", "tax", [0.03], ["low", "high"]).select("l_orderkey", "l_linenumber", "band")
+
+
+@register("gaps_filter_range", f"""SELECT 'strict' AS kind, count(*) AS n, sum(l_orderkey)::BIGINT AS keys FROM {GAPS} g WHERE disc >= 0.05 AND qty <= 30
+UNION ALL SELECT 'missing kept', count(*), sum(l_orderkey)::BIGINT FROM {GAPS} g WHERE (disc IS NULL OR disc >= 0.05) AND (qty IS NULL OR qty <= 30)""")
+def q_filter_range(spark, sf):
+    bounds = {"disc": (0.05, None), "qty": (None, 30.0)}
+    found = [CL.filter_range(gappy(spark, sf), bounds, keep).agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
+             for kind, keep in (("strict", False), ("missing kept", True))]
+    return found[0].unionByName(found[1])
+
+
+@register("gaps_eval_smape", f"""SELECT round(avg(CASE WHEN abs(disc) + abs(tax) = 0 THEN 0 ELSE 2 * abs(disc - tax) / (abs(disc) + abs(tax)) END), 6) AS smape,
+  count(*) AS n FROM {GAPS} g WHERE disc IS NOT NULL AND tax IS NOT NULL""")
+def q_eval_smape(spark, sf):
+    return _r(EV.eval_smape(gappy(spark, sf), "disc", "tax"), ["smape"])
+
+
+@register("gaps_eval_multiclass", f"""WITH p AS (SELECT disc AS y, tax AS p FROM {GAPS} g WHERE disc IS NOT NULL AND tax IS NOT NULL),
+c AS (SELECT DISTINCT y AS c FROM p),
+s AS (SELECT c, (SELECT count(*) FROM p WHERE y = c) AS support, (SELECT count(*) FROM p WHERE p.p = c) AS predicted,
+  (SELECT count(*) FROM p WHERE y = c AND p.p = c) AS tp FROM c)
+SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(sum(CASE WHEN tp > 0 THEN support * 2.0 * tp / (support + predicted) ELSE 0 END) / sum(support), 6) AS weighted_f1,
+  sum(support)::BIGINT AS n FROM s""")
+def q_eval_multiclass(spark, sf):
+    """Discounts taken as labels and taxes as predictions: rows that miss either do not count."""
+    return _r(EV.eval_multiclass(gappy(spark, sf), "disc", "tax"), ["accuracy", "weighted_f1"])
+
+
+@register("gaps_ab_metrics", f"""SELECT l_returnflag, count(*) AS n, round(avg((disc = tax)::INTEGER), 6) AS accuracy, round(avg(disc), 6) AS mean_prediction
+FROM {GAPS} g WHERE disc IS NOT NULL AND tax IS NOT NULL GROUP BY 1""")
+def q_ab_metrics(spark, sf):
+    return _r(AB.ab_metrics(gappy(spark, sf), "l_returnflag", "disc", "tax"), ["accuracy", "mean_prediction"])
+
+
+@register("gaps_series_prepare", f"""SELECT id, day, round(greatest(y, 0.0), 6) AS y FROM (
+  SELECT event_type AS id, ts::DATE AS day, sum(CASE WHEN event_id % 9 <> 0 THEN value END) AS y FROM events GROUP BY 1, 2)
+  WHERE id IN (SELECT event_type FROM events GROUP BY 1 HAVING count(DISTINCT ts::DATE) >= 20)""")
+def q_series_prepare(spark, sf):
+    e = T(spark, sf, "events").withColumn("value", F.when(F.col("event_id") % 9 != 0, F.col("value")).otherwise(F.lit(float("nan"))))
+    return _r(FC.series_prepare(e, "event_type", "ts", "value", min_len=20), ["y"])

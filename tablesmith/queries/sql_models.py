@@ -10,15 +10,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 
-def _solved(k: int, matrix: str, target: str, out: str) -> str:
-    """CTEs that solve a k x k system by elimination.
+def _solved(k: int, matrix: str, keys: str, out: str) -> str:
+    """CTEs that solve a k x k system per row by elimination.
 
-    ``matrix`` is a CTE with one row of columns m_i_j (i <= j; symmetric) and ``target`` gives b_i in the same row;
-    the last CTE, ``out``, has columns x_0 .. x_{k-1}.
+    ``matrix`` is a CTE of columns m_i_j (i <= j; symmetric), b_i and ``keys`` (a list that ends in a comma, or nothing);
+    the last CTE, ``out``, has the keys and columns x_0 .. x_{k-1}.
     """
     cell = {(i, j): f"m_{min(i, j)}_{max(i, j)}" for i in range(k) for j in range(k)}
-    ctes = [f"{out}_0 AS (SELECT " + ", ".join([f"{cell[i, j]} AS a_{i}_{j}" for i in range(k) for j in range(k)]
-                                               + [f"b_{i} AS c_{i}" for i in range(k)]) + f" FROM {matrix}{target})"]
+    ctes = [f"{out}_0 AS (SELECT {keys}" + ", ".join([f"{cell[i, j]} AS a_{i}_{j}" for i in range(k) for j in range(k)]
+                                                      + [f"b_{i} AS c_{i}" for i in range(k)]) + f" FROM {matrix})"]
     for p in range(k):
         made = []
         for i in range(k):
@@ -26,8 +26,8 @@ def _solved(k: int, matrix: str, target: str, out: str) -> str:
             for j in range(k):
                 made.append(f"a_{p}_{j} AS a_{p}_{j}" if i == p else f"a_{i}_{j} - {scale} * a_{p}_{j} AS a_{i}_{j}")
             made.append(f"c_{p} AS c_{p}" if i == p else f"c_{i} - {scale} * c_{p} AS c_{i}")
-        ctes.append(f"{out}_{p + 1} AS (SELECT {', '.join(made)} FROM {out}_{p})")
-    ctes.append(f"{out} AS (SELECT " + ", ".join(f"c_{i} / a_{i}_{i} AS x_{i}" for i in range(k)) + f" FROM {out}_{k})")
+        ctes.append(f"{out}_{p + 1} AS (SELECT {keys}{', '.join(made)} FROM {out}_{p})")
+    ctes.append(f"{out} AS (SELECT {keys}" + ", ".join(f"c_{i} / a_{i}_{i} AS x_{i}" for i in range(k)) + f" FROM {out}_{k})")
     return ",\n".join(ctes)
 
 
@@ -169,3 +169,55 @@ def elimination_ctes(data: str, features: Sequence[str], label: str, n_keep: int
                     + f" FROM alive{s}, drop{s})")
     ctes.append("gone AS (" + " UNION ALL ".join(f"SELECT i, {drops + 1 - s} AS rank FROM drop{s}" for s in range(drops)) + ")")
     return ",\n".join(ctes)
+
+
+def regression_forecast_sql(src: str, horizon: int, breaks: int, share: float, weekly: int, break_penalty: float, season_penalty: float,
+                            holiday: str) -> str:
+    """Forecasts of the regression with one holiday (a Boolean over ``day``): normal equations and their solution per series."""
+    t = "date_diff('day', first_day, day)::DOUBLE / greatest(1, date_diff('day', first_day, last_day))"
+    number = "(date_diff('day', DATE '1970-01-01', day) % 7)"
+    cols = [("1.0::DOUBLE", 0.0), ("t", 0.0)] + [(f"greatest(0.0, t - {share * j / (breaks + 1)!r})", break_penalty) for j in range(1, breaks + 1)]
+    for n in range(1, weekly + 1):
+        cols += [(f"{fn}(2 * pi() * {n} / 7 * {number})", season_penalty) for fn in ("sin", "cos")]
+    cols.append((f"({holiday})::INTEGER::DOUBLE", season_penalty))
+    k = len(cols)
+    xs = ", ".join(f"{e} AS x_{i}" for i, (e, _) in enumerate(cols))
+    cells = ", ".join([f"sum(x_{i} * x_{j})" + (f" + count(*) * {cols[i][1] + 1e-12!r}" if i == j else "") + f" AS m_{i}_{j}"
+                       for i in range(k) for j in range(i, k)] + [f"sum(x_{i} * y) AS b_{i}" for i in range(k)])
+    return f"""WITH s AS (SELECT * FROM {src} q), span AS (SELECT id, min(day) AS first_day, max(day) AS last_day FROM s GROUP BY id),
+d AS (SELECT *, {xs} FROM (SELECT s.*, first_day, last_day, {t} AS t FROM s JOIN span USING (id))),
+eq AS MATERIALIZED (SELECT id, first_day, last_day, {cells} FROM d GROUP BY ALL),
+{_solved(k, "eq", "id, first_day, last_day, ", "beta").replace("x_", "w_")},
+h AS (SELECT beta.*, CAST(last_day + hh * INTERVAL 1 DAY AS DATE) AS day FROM beta, (SELECT unnest(range(1, {horizon + 1})) AS hh)),
+f AS (SELECT *, {xs} FROM (SELECT *, {t} AS t FROM h))
+SELECT id, 'regression' AS model, day, {" + ".join(f"w_{i} * x_{i}" for i in range(k))} AS forecast FROM f"""
+
+
+def holt_sql(src: str, horizon: int, alphas: Sequence[float], betas: Sequence[float], gammas: Sequence[float] = (), season: int = 1) -> str:
+    """Holt's smoothing, or with ``season`` Holt-Winters: every setting steps through the days in a recursive query.
+
+    Series must have two seasons at least.
+    """
+    m = season
+    grid = [(a, b, g) for a in alphas for b in betas for g in (gammas if m > 1 else [0.0])]
+    params = ", ".join(f"({i}, {a!r}::DOUBLE, {b!r}::DOUBLE, {g!r}::DOUBLE)" for i, (a, b, g) in enumerate(grid))
+    first = f"""SELECT id, list(y ORDER BY t) FILTER (t < {2 * m}) AS y0, count(*) AS n FROM s GROUP BY id"""
+    if m > 1:
+        mean = f"list_avg(y0[1:{m}])"
+        begin = (f"{m - 1} AS t, {mean} AS level, (list_avg(y0[{m + 1}:{2 * m}]) - {mean}) / {m} AS trend, "
+                 f"list_transform(y0[1:{m}], lambda v: v - {mean}) AS cycle")
+    else:
+        begin = "0 AS t, y0[1] AS level, y0[2] - y0[1] AS trend, [0.0::DOUBLE] AS cycle"
+    at = f"cycle[(r.t + 1) % {m} + 1]"
+    new = f"(a * (s.y - {at}) + (1 - a) * (level + trend))"
+    turn = (f"list_transform(range({m}), lambda j: CASE WHEN j = (r.t + 1) % {m} THEN g * (s.y - {new}) + (1 - g) * {at} ELSE cycle[j + 1] END)"
+            if m > 1 else "cycle")
+    return f"""WITH RECURSIVE s AS (SELECT id, day, y, row_number() OVER (PARTITION BY id ORDER BY day) - 1 AS t FROM {src} q),
+p(setting, a, b, g) AS (VALUES {params}), first AS ({first}),
+r AS (SELECT id, setting, a, b, g, {begin}, 0.0::DOUBLE AS error FROM first, p
+  UNION ALL SELECT r.id, setting, a, b, g, r.t + 1, {new}, b * ({new} - level) + (1 - b) * trend, {turn}, error + (s.y - level - trend - {at}) ** 2
+  FROM r JOIN s ON s.id = r.id AND s.t = r.t + 1),
+best AS (SELECT * FROM (SELECT r.*, n, row_number() OVER (PARTITION BY r.id ORDER BY error, setting) AS place
+  FROM r JOIN first ON r.id = first.id AND r.t = n - 1) WHERE place = 1)
+SELECT best.id, CAST(last_day + h * INTERVAL 1 DAY AS DATE) AS day, level + h * trend + cycle[(n + h - 1) % {m} + 1] AS forecast
+FROM best JOIN (SELECT id, max(day) AS last_day FROM s GROUP BY id) USING (id), (SELECT unnest(range(1, {horizon + 1})) AS h)"""
