@@ -252,6 +252,21 @@ def q_random_search(spark, sf):
                         (reg.between(1e-4, 1.0) & net.between(0.0, 1.0)).cast("int").alias("in_space"))
 
 
+@register("guided_search", """SELECT i AS trial, 'ok' AS status, i >= 6 AS guided, 1 AS in_space FROM range(10) r(i)
+WHERE (SELECT count(*) FROM labels) > 0""")
+def q_guided_search(spark, sf):
+    """Ten trials in two sittings over one log: six plain draws, then proposals from what the log holds."""
+    from tablesmith.operators import guided as G
+    d = quality_frame(spark, sf)
+    space = {"regParam": TU.Space("loguniform", 1e-4, 1.0), "elasticNetParam": TU.Space("uniform", 0.0, 1.0)}
+    log, ev = TU.RunLog(spark, scratch_path(spark, "guided")), BinaryClassificationEvaluator()
+    for n in (6, 10):
+        _, table = G.guided_search(M.logistic_regression(), space, ev, d, log, "quality", n, 4, 2, ["doc_id"], startup=6)
+    reg, net = (F.get_json_object("setting", f"$.{c}").cast("double") for c in ("regParam", "elasticNetParam"))
+    return table.select(F.col("trial").cast("long").alias("trial"), "status", "guided",
+                        (reg.between(1e-4, 1.0) & net.between(0.0, 1.0)).cast("int").alias("in_space"))
+
+
 @register("model_compare", """SELECT family, 2 AS n_settings, 2 AS n_ok FROM (VALUES ('logistic_regression'),
 ('decision_tree'), ('random_forest')) v(family) WHERE (SELECT count(*) FROM labels) > 0""")
 def q_model_compare(spark, sf):
