@@ -48,6 +48,7 @@ BITS = 8               # slices per entry of the block's richest document
 BLOCK_DOCS = 512       # documents of a block
 BLOCK_CELLS = 1 << 21  # slices times documents of a block; a richer document is a block of its own
 CHUNK_BYTES = 1 << 22  # texts that are split at once; a longer one is taken in parts
+ROW_GROUP = 1 << 23    # bytes of a row group of the index: what a reader holds at once
 SEED_PART = 16         # one block in so many gives the first known scores
 ITEM_BLOCK = 1000      # items searched together,
 ITEM_BYTES = 1 << 18   # or so many bytes of their texts
@@ -158,7 +159,7 @@ def build_index(docs: DataFrame, text: str = "text") -> DataFrame:
                     yield pa.RecordBatch.from_pylist([block], schema=INDEX_ARROW)
 
     path = f"{ensure_checkpoint_dir(docs.sparkSession).rstrip('/')}/tablesmith-tables/{uuid.uuid4().hex}"
-    src.mapInArrow(run, INDEX).write.partitionBy("seed").parquet(path)
+    src.mapInArrow(run, INDEX).write.partitionBy("seed").option("parquet.block.size", ROW_GROUP).parquet(path)
     return docs.sparkSession.read.schema(INDEX).parquet(path)
 
 
