@@ -5,11 +5,14 @@ document, and writes the ids in ascending document order; ``read_tokens`` reads
 files back.  Files go through Spark's own writer and reader, so they may live in
 any store that Spark reaches, and a lost task is simply written again.
 
-One file per range of document ids.  Its bytes:
+A task writes one range of document ids; after ``FILE_BYTES`` of planes or ``FILE_DOCS`` documents it
+ends the file and starts another, so files do not grow with the table, the length of its
+texts or the number of tasks.  A file's bytes:
 
-    chunk*  footer  footer length (u64)  b"PLANES01"
+    chunk*  padding*  footer  footer length (u64)  b"PLANES01"
 
-each followed by one newline (the writer's record end).  A chunk holds a
+each followed by one newline (the writer's record end).  Spark's writer starts a file after a fixed
+number of records; empty records fill a file that ends earlier up to that number.  A chunk holds a
 fixed number of ids (the last one fewer), transposed into byte or bit planes of the id's
 width (16 bits, or 32 for vocabularies over 65,536) and compressed plane by plane with
 zstandard.  The footer, compressed too, is a JSON header and two tables: the chunk
@@ -27,6 +30,7 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +46,10 @@ from tablesmith.session import cut_lineage, ensure_checkpoint_dir
 
 MAGIC = b"PLANES01"
 BLOCK_IDS = 1 << 16
+#: A file ends with the document that brings it to so many bytes of planes, so many ids, or so many documents.
+FILE_BYTES = 1 << 28
+FILE_DOCS = 1 << 20
+LONGEST_TEXT = 1 << 31  # bytes that one row can hold
 #: Pieces whose ids a worker remembers (about 200 bytes each); asking the library again costs ten lookups.
 KNOWN_PIECES = 800_000
 
@@ -140,24 +148,45 @@ def library_encoder(config: str) -> LibraryEncoder:
 
 # --- files -------------------------------------------------------------------
 
+def file_records(block: int) -> int:
+    """Records of a full file: chunks up to the limit of ids, those of the longest text a row can hold, and the footer."""
+    return FILE_BYTES // block + LONGEST_TEXT // block + 20
+
+
 class _FileBytes:
-    """Turns a stream of documents into the records of one file."""
+    """Turns a stream of documents into the records of files, one after the other."""
 
-    def __init__(self, dtype: str, bits: bool, block: int, part: int):
+    def __init__(self, dtype: str, bits: bool, block: int, part: int, file_bytes: int, file_docs: int, records: int):
         import zstandard
-        self.dtype, self.bits, self.block, self.part = np.dtype(dtype), bits, block, part
+        self.dtype, self.bits, self.block = np.dtype(dtype), bits, block
+        self.file_bytes, self.file_docs, self.records = file_bytes, file_docs, records
+        self.part = part << 32  # the files of a task follow each other
         self.zip = zstandard.ZstdCompressor(level=1)
+        self._empty()
+
+    def _empty(self) -> None:
         self.pending, self.waiting = [], 0
-        self.chunks, self.docs, self.at, self.total = [], [], 0, 0
+        self.chunks, self.at, self.total = [], 0, 0
+        self.known, self.doc_ids, self.counts = bytearray(), array("q"), array("q")
 
     def add(self, doc_id, ids: bytes) -> Iterator[bytes]:
         n = len(ids) // self.dtype.itemsize
-        self.docs.append((doc_id, n))
+        self.known.append(doc_id is not None)
+        self.doc_ids.append(doc_id or 0)
+        self.counts.append(n)
         self.total += n
         self.pending.append(ids)
         self.waiting += n
         if self.waiting >= 16 * self.block:
             yield from self._flush(False)
+        if max(self.at, self.total) >= self.file_bytes or len(self.counts) >= self.file_docs:
+            yield from self._flush(True)
+            missing = self.records - 1 - len(self.chunks)
+            assert missing >= 0, "a file with more chunks than records"
+            yield from [b""] * missing
+            yield from self.finish()
+            self.part += 1
+            self._empty()
 
     def _flush(self, last: bool) -> Iterator[bytes]:
         ids = np.frombuffer(b"".join(self.pending), dtype=self.dtype)
@@ -173,9 +202,8 @@ class _FileBytes:
 
     def finish(self) -> Iterator[bytes]:
         yield from self._flush(True)
-        known = np.array([d is not None for d, _ in self.docs], dtype=np.uint8)
-        doc_ids = np.array([d or 0 for d, _ in self.docs], dtype="<i8")
-        counts = np.array([n for _, n in self.docs], dtype="<i8")
+        known = np.frombuffer(bytes(self.known), dtype=np.uint8)
+        doc_ids, counts = np.array(self.doc_ids, dtype="<i8"), np.array(self.counts, dtype="<i8")
         chunks = np.array(self.chunks, dtype="<i8").ravel()
         header = json.dumps({"part": self.part, "ids": self.total, "dtype": self.dtype.str,
                              "bits": self.bits, "block": self.block, "docs": len(counts),
@@ -186,17 +214,19 @@ class _FileBytes:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, planes: str = "byte",
-                 block: int = BLOCK_IDS, files: int | None = None) -> None:
+                 block: int = BLOCK_IDS, files: int | None = None, file_bytes: int = FILE_BYTES, file_docs: int = FILE_DOCS,
+                 records: int | None = None) -> None:
     """Write the ids of ``docs`` (doc_id, text) under ``path``.
 
     The texts are ordered by one range shuffle on (doc_id, hash of the text), before encoding, so
-    that the sampling of the ranges reads no tokens and the ids are never shuffled.  ``files``
-    (default: the shuffle partitions) must keep a file under 2 GB, the reader's limit for one file.
+    that the sampling of the ranges reads no tokens and the ids are never shuffled.  ``files`` is the
+    number of ranges (default: the shuffle partitions); a range's files end by size, each after ``records`` records.
     """
     assert planes in ("byte", "bit")
     spark = docs.sparkSession
     ship_package(spark)
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    records = records or file_records(block)
     with open(tokenizer, encoding="utf-8") as f:  # a public vocabulary file, a few MB
         config = spark.sparkContext.broadcast(f.read())
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
@@ -206,9 +236,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = library_encoder(config.value)
         end = np.array([end_id], dtype=enc.id_type).tobytes()
-        out = _FileBytes(enc.id_type, planes == "bit", block, TaskContext.get().partitionId())
+        out = _FileBytes(enc.id_type, planes == "bit", block, TaskContext.get().partitionId(), file_bytes, file_docs, records)
 
-        def records() -> Iterator[bytes]:
+        def lines() -> Iterator[bytes]:
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1)
                 for lo, hi in slices(batch, pc.binary_length(texts).to_pylist(), CHUNK_CHARS):
@@ -218,12 +248,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pl
                         yield from out.add(doc_id, x)
             yield from out.finish()
 
-        for record in records():
+        for record in lines():
             yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], names=["record"])
 
     frames = src.select("doc_id", "text").mapInArrow(run, "record binary")
     # Text files of raw bytes: a binary cast to string keeps its bytes as they are.
-    frames.select(F.col("record").cast("string").alias("value")).write.text(path)
+    frames.select(F.col("record").cast("string").alias("value")).write.option(
+        "maxRecordsPerFile", records).text(path)
 
 
 def read_file(content: bytes) -> Iterator[tuple[int, int, int | None, int, np.ndarray]]:
@@ -271,7 +302,7 @@ def read_file(content: bytes) -> Iterator[tuple[int, int, int | None, int, np.nd
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """One row per document of the files: part, ordinal, doc_id, file_start, n_tokens, ids_crc32 (and ids)."""
     ship_package(spark)
-    schema = "part int, ordinal long, doc_id long, file_start long, n_tokens long, ids_crc32 long"
+    schema = "part long, ordinal long, doc_id long, file_start long, n_tokens long, ids_crc32 long"
     schema += ", ids array<long>" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +327,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
 
 def _batch(rows: list[list], with_ids: bool) -> pa.RecordBatch:
     names = ["part", "ordinal", "doc_id", "file_start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
-    types = [pa.int32()] + [pa.int64()] * 5 + [pa.list_(pa.int64())] * with_ids
+    types = [pa.int64()] * 6 + [pa.list_(pa.int64())] * with_ids
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 

@@ -101,6 +101,19 @@ def test_files_hold_every_document_in_order(spark, make_docs, tmp_path, planes):
     assert whole.ids == ids[8]
 
 
+@pytest.mark.parametrize("limits", [{"file_docs": 3}, {"file_bytes": 200}, {"file_docs": 1}])
+def test_a_task_starts_new_files(spark, make_docs, tmp_path, limits):
+    """Whatever ends a file: the same documents, positions and digests, over more files."""
+    rows = ODD_TEXTS + [(100 + i, f"text number {i} " * (1 + i % 40), "a") for i in range(60)]
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    token_files.write_tokens(make_docs(rows), one, CONFIG, block=32, files=2)
+    token_files.write_tokens(make_docs(rows), many, CONFIG, block=32, files=2, records=600, **limits)
+    count = [len(list((tmp_path / d).glob("part-*"))) for d in ("one", "many")]
+    assert count[0] == 2 and count[1] > 8
+    a, b = (sorted(map(tuple, token_files.token_index(spark, p).collect()), key=lambda r: r[1]) for p in (one, many))
+    assert a == b and len(a) == len(rows)
+
+
 def test_empty_table_writes_readable_files(spark, make_docs, tmp_path):
     path = str(tmp_path / "none")
     token_files.write_tokens(make_docs(ODD_TEXTS).limit(0), path, CONFIG)
