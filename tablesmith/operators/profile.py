@@ -242,41 +242,43 @@ def corr_matrix_pearson(df: DataFrame, cols: Sequence[str], digits: int | None =
 def corr_matrix_spearman(df: DataFrame, cols: Sequence[str], digits: int | None = None) -> DataFrame:
     """Spearman rank correlation (average ranks for ties) of every pair.
 
-    Each pair uses the rows where both are present, like Pearson and Kendall.  Distinct points
-    (a, b, n) of a pair are counted once, map-side combined; ranks come from range-partitioned running counts
-    over the points' values (``plans.ranking``), all pairs and both sides in one plan; a
-    weighted correlation of the ranks is one aggregate.  Rows themselves are never ranked or joined.
+    Each pair uses the rows where both are present, like Pearson and Kendall, so a value has a rank per partner
+    column.  One grouping counts every column's distinct values, once for each partner that is present with them;
+    range-partitioned running counts (``plans.ranking``) give the ranks against all partners at once.  Each row then meets
+    the ranks of its columns (a join per column, not per pair), and one aggregate has the sums of all pairs.
     """
     from tablesmith.plans.ranking import cumulative_by_value
     from tablesmith.session import cut_lineage
     cols = list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    k = len(cols)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
     rows = [(c, c, 1.0) for c in cols]
     if pairs:
-        base = nan_free(df.select(*[F.col(quoted(c)).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]))
-        both = [F.struct(F.lit(k).alias("pair"), F.col(f"c{cols.index(a)}").alias("a"), F.col(f"c{cols.index(b)}").alias("b"))
-                for k, (a, b) in enumerate(pairs)]
-        points = (base.select(F.explode(F.array(*both)).alias("p")).select("p.*").dropna()
-                  .groupBy("pair", "a", "b").agg(F.count(F.lit(1)).cast("double").alias("n")))
-        points = cut_lineage(points)
-        sides = points.select((F.col("pair") * 2).alias("side"), F.col("a").alias("value"), "n").unionByName(
-            points.select((F.col("pair") * 2 + 1).alias("side"), F.col("b").alias("value"), "n"))
-        ranks = cut_lineage(cumulative_by_value(sides, "value", ["n"], ["side"]).select(
-            "side", "value", (F.col("below_n") + (F.col("n") + F.lit(1.0)) / F.lit(2.0)).alias("rank")))
-        left = ranks.where("side % 2 = 0").select((F.col("side") / 2).cast("int").alias("pair"), F.col("value").alias("a"), F.col("rank").alias("ra"))
-        right = ranks.where("side % 2 = 1").select(((F.col("side") - 1) / 2).cast("int").alias("pair"), F.col("value").alias("b"), F.col("rank").alias("rb"))
-        ranked = points.join(left, ["pair", "a"]).join(right, ["pair", "b"])
-        # mean rank is (N + 1) / 2; centring first keeps the sums accurate
-        total = points.groupBy("pair").agg(((F.sum("n") + 1) / 2).alias("mid"))
-        c = ranked.join(F.broadcast(total), "pair")  # one row per pair of columns
-        da, db = F.col("ra") - F.col("mid"), F.col("rb") - F.col("mid")
-        sums = c.groupBy("pair").agg(F.sum(F.col("n") * da * db).alias("ab"), F.sum(F.col("n") * da * da).alias("aa"),
-                                     F.sum(F.col("n") * db * db).alias("bb"))
-        found = {r["pair"]: r["r"] for r in sums.select("pair", F.try_divide(F.col("ab"), F.sqrt("aa") * F.sqrt("bb")).alias("r")).collect()}
-        for k, (a, b) in enumerate(pairs):
-            r = found.get(k)
+        # one zero: -0.0 + 0.0 is 0.0
+        base = nan_free(df.select(*[(F.col(quoted(c)).cast("double") + F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(cols)]))
+        there = [F.col(f"c{i}").isNotNull().cast("double") for i in range(k)]
+        entries = F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"c{i}").alias("value")) for i in range(k)])
+        long = base.select(*[t.alias(f"n{i}") for i, t in enumerate(there)], F.explode(entries).alias("e")).select("e.*", *[f"n{i}" for i in range(k)])
+        weights = [f"n{i}" for i in range(k)]
+        counted = cut_lineage(long.where(F.col("value").isNotNull()).groupBy("side", "value").agg(*[F.sum(w).alias(w) for w in weights]))
+        ranks = cut_lineage(cumulative_by_value(counted, "value", weights, ["side"]).select(
+            "side", "value", F.array(*[F.col(f"below_{w}") + (F.col(w) + F.lit(1.0)) / F.lit(2.0) for w in weights]).alias("ranks")))
+        total = {(r.side, j): r[f"n{j}"] for r in counted.groupBy("side").agg(*[F.sum(w).alias(w) for w in weights]).collect() for j in range(k)}
+        ranked = base
+        for i in range(k):
+            own = ranks.where(F.col("side") == i).select(F.col("value").alias(f"c{i}"), F.col("ranks").alias(f"r{i}"))
+            ranked = ranked.join(own, f"c{i}", "left")
+        sums = []
+        for i, j in pairs:
+            mid = ((total.get((i, j)) or 0.0) + 1) / 2  # centring first keeps the sums accurate
+            both = F.col(f"c{i}").isNotNull() & F.col(f"c{j}").isNotNull()
+            da, db = F.when(both, F.col(f"r{i}")[j] - mid), F.when(both, F.col(f"r{j}")[i] - mid)
+            sums.append(F.try_divide(F.sum(da * db), F.sqrt(F.sum(da * da)) * F.sqrt(F.sum(db * db))).alias(f"r_{i}_{j}"))
+        found = ranked.agg(*sums).first()
+        for i, j in pairs:
+            r = found[f"r_{i}_{j}"]
             r = round_half_away_value(r, digits) if (digits is not None and r is not None) else r
-            rows += [(a, b, r), (b, a, r)]
+            rows += [(cols[i], cols[j], r), (cols[j], cols[i], r)]
     return df.sparkSession.createDataFrame(rows, "x string, y string, r double")
 
 
