@@ -10,6 +10,7 @@ from tablesmith.functions.columns import round_half_away, sql_hash_unit
 from tablesmith.functions.text import ENGLISH_STOP_WORDS
 from tablesmith.operators import features as FE
 from tablesmith.queries import register
+from tablesmith.queries import sql_models as Q
 from tablesmith.queries.common import LINEITEM_NUM, T
 
 LI_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -194,25 +195,43 @@ def _scaled_lineitem(spark, sf):
     return FE.scale_vector(v, "raw", "features", "standard")[0]
 
 
-@register("pca", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 2 AS components, 1 AS uncorrelated
-FROM lineitem""")
+_CORR_SQL = "cm AS MATERIALIZED (SELECT " + ", ".join(
+    f"corr({a}, {b}) AS m_{i}_{j}" if i != j else f"1.0::DOUBLE AS m_{i}_{j}"
+    for i, a in enumerate(LINEITEM_NUM) for j, b in enumerate(LINEITEM_NUM) if i <= j) + " FROM lineitem)"
+_Z_SQL = "z AS (SELECT *, " + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS z_{i}" for i, c in enumerate(LINEITEM_NUM)) + " FROM lineitem)"
+_COMPONENTS_SQL = f"""WITH {_CORR_SQL},
+{Q.eigen_ctes(4, "cm", 2)},
+{_Z_SQL}
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, [{", ".join(
+    "round(" + " + ".join(f"v_{c}_{i} * z_{i}" for i in range(4)) + ", 3)" for c in range(2))}] AS components FROM z, ev"""
+
+
+@register("pca", _COMPONENTS_SQL)
 def q_pca(spark, sf):
-    """Two components of the scaled lineitem measures for every row; the components do not correlate."""
+    """Two components of the scaled lineitem measures for every row; the oracle finds the correlation matrix's vectors by squaring it."""
     res, _, _ = FE.pca(_scaled_lineitem(spark, sf), "features", 2)
-    r = res.agg(F.corr(F.col("pca")[0], F.col("pca")[1])).first()[0]
-    return res.select(*LI_KEY, F.size("pca").alias("components"), F.lit(int(abs(r) < 1e-6)).alias("uncorrelated"))
+    return res.select(*LI_KEY, F.transform("pca", lambda x: round_half_away(x, 3)).alias("components"))
+
+
+@register("pca_wide", _COMPONENTS_SQL)
+def q_pca_wide(spark, sf):
+    """The same components by the randomised range finder for wide vectors."""
+    from tablesmith.plans import wide_pca as W
+    v = _scaled_lineitem(spark, sf)
+    res = W.project(v, "features", W.pca_wide(v, "features", 2))
+    return res.select(*LI_KEY, F.transform("pca", lambda x: round_half_away(x, 3)).alias("components"))
 
 
-@register("pca_variance", """SELECT i AS component, 1 AS in_order, 1.0::DOUBLE AS total
-FROM range(1, 5) r(i) WHERE (SELECT count(*) FROM lineitem) > 0""")
+@register("pca_variance", f"""WITH {_CORR_SQL},
+{Q.eigen_ctes(4, "cm", 4)},
+s AS ({" UNION ALL ".join(f"SELECT {c + 1} AS component, value_{c} / 4 AS explained FROM ev" for c in range(4))}),
+t AS (SELECT *, sum(explained) OVER (ORDER BY component) AS cumulative FROM s)
+SELECT component, round(explained, 6) AS explained, round(cumulative, 6) AS cumulative,
+  (SELECT min(component) FROM t WHERE cumulative >= 0.9) AS k_for_threshold FROM t""")
 def q_pca_variance(spark, sf):
-    """Variance shares of all four components: descending, and one in sum."""
+    """Variance shares of all four components, and how many reach nine tenths."""
     _, _, m = FE.pca(_scaled_lineitem(spark, sf), "features", 4)
-    v = FE.pca_variance(m, 0.9, spark)
-    w = Window.orderBy("component")  # four rows
-    return v.select(F.col("component").cast("long").alias("component"),
-                    (F.col("explained") <= F.coalesce(F.lag("explained").over(w), F.lit(1.0))).cast("int").alias("in_order"),
-                    F.round(F.sum("explained").over(Window.partitionBy()), 9).alias("total"))
+    return FE.pca_variance(m, 0.9, spark).withColumns({c: round_half_away(c, 6) for c in ("explained", "cumulative")})
 
 
 _DENSE = "(dense_rank() OVER (ORDER BY {0}) - 1)::DOUBLE"

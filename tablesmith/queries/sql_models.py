@@ -221,3 +221,40 @@ best AS (SELECT * FROM (SELECT r.*, n, row_number() OVER (PARTITION BY r.id ORDE
   FROM r JOIN first ON r.id = first.id AND r.t = n - 1) WHERE place = 1)
 SELECT best.id, CAST(last_day + h * INTERVAL 1 DAY AS DATE) AS day, level + h * trend + cycle[(n + h - 1) % {m} + 1] AS forecast
 FROM best JOIN (SELECT id, max(day) AS last_day FROM s GROUP BY id) USING (id), (SELECT unnest(range(1, {horizon + 1})) AS h)"""
+
+
+def eigen_ctes(k: int, matrix: str, count: int, squarings: int = 40, prefix: str = "ev") -> str:
+    """CTEs of the ``count`` leading eigenvalues and vectors of a symmetric matrix (one row of columns m_i_j, i <= j).
+
+    Squaring the matrix over and over leaves its leading vector; taking that away leaves the next one's matrix.
+    ``{prefix}`` has value_c and v_c_i; each vector's largest entry is positive.
+    """
+    def m(i, j):
+        return f"m_{min(i, j)}_{max(i, j)}"
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    ctes, now = [], matrix
+    for c in range(count):
+        p = f"{prefix}{c}"
+        ctes.append(f"{p}_0 AS MATERIALIZED (SELECT " + ", ".join(f"{m(i, j)} / t AS {m(i, j)}" for i, j in upper)
+                    + f" FROM (SELECT *, {' + '.join(m(i, i) for i in range(k))} AS t FROM {now}))")
+        for s in range(squarings):
+            cells = ", ".join("(" + " + ".join(f"{m(i, x)} * {m(x, j)}" for x in range(k)) + f") AS {m(i, j)}" for i, j in upper)
+            ctes.append(f"{p}_q{s} AS (SELECT {cells} FROM {p}_{s})")
+            ctes.append(f"{p}_{s + 1} AS MATERIALIZED (SELECT " + ", ".join(f"{m(i, j)} / t AS {m(i, j)}" for i, j in upper)
+                        + f" FROM (SELECT *, {' + '.join(m(i, i) for i in range(k))} AS t FROM {p}_q{s}))")
+        # the column with the largest diagonal entry, to unit length: that entry is the largest of the vector
+        best = "CASE " + " ".join("WHEN " + " AND ".join(f"{m(b, b)} >= {m(i, i)}" for i in range(k)) + f" THEN {{{b}}}" for b in range(k)) + " END"
+        entries = []
+        for i in range(k):
+            e = best
+            for b in range(k):
+                e = e.replace(f"{{{b}}}", f"{m(i, b)} / sqrt({m(b, b)} * t)")
+            entries.append(f"{e} AS v_{i}")
+        ctes.append(f"{p}_v AS MATERIALIZED (SELECT {', '.join(entries)} FROM (SELECT *, {' + '.join(m(i, i) for i in range(k))} AS t FROM {p}_{squarings}))")
+        value = " + ".join(f"v_{i} * v_{j} * {m(i, j)}" for i in range(k) for j in range(k))
+        ctes.append(f"{p} AS MATERIALIZED (SELECT {value} AS value, v.* FROM {now}, {p}_v v)")
+        ctes.append(f"{p}_left AS MATERIALIZED (SELECT " + ", ".join(f"{m(i, j)} - value * v_{i} * v_{j} AS {m(i, j)}" for i, j in upper) + f" FROM {now}, {p})")
+        now = f"{p}_left"
+    ctes.append(f"{prefix} AS (SELECT " + ", ".join(f"{prefix}{c}.value AS value_{c}, " + ", ".join(f"{prefix}{c}.v_{i} AS v_{c}_{i}" for i in range(k))
+                                                 for c in range(count)) + " FROM " + ", ".join(f"{prefix}{c}" for c in range(count)) + ")")
+    return ",\n".join(ctes)
