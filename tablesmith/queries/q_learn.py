@@ -15,6 +15,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import round_half_away, sql_hash_bucket, sql_in_share
+from tablesmith.operators import kernels as KN
 from tablesmith.operators import models as M
 from tablesmith.operators import split as SP
 from tablesmith.operators import tune as TU
@@ -149,6 +150,40 @@ def q_svc(spark, sf):
     return _checked(M.fit_predict(M.linear_svc(reg=0.01, max_iter=20), d)[1], "vec_id", True)
 
 
+_RING = {"a": "(l_quantity - 25.5) / 12.0", "b": "(l_discount - 0.05) / 0.025"}
+
+
+def _kernel_sql(n, gamma, seed):
+    maps = ["sqrt(2.0 / {}) * cos({} + {!r})".format(n, " + ".join(f"{w!r}::DOUBLE * ({e})" for w, e in zip(ws, _RING.values())), b)
+            for ws, b in KN.fourier_weights(len(_RING), n, gamma, seed)]
+    return "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, [" + ", ".join(f"round({m}, 6)" for m in maps) + "] AS features FROM lineitem"
+
+
+@register("kernel_features", _kernel_sql(4, 0.5, 7))
+def q_kernel_features(spark, sf):
+    """Four random Fourier features of every row; the constants stand in the oracle."""
+    from pyspark.ml.functions import vector_to_array
+    li = T(spark, sf, "lineitem").withColumns({c: F.expr(e).cast("double") for c, e in _RING.items()})
+    out = KN.KernelMap(list(_RING), n=4, gamma=0.5, seed=7).transform(li)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                      F.transform(vector_to_array("features"), lambda x: round_half_away(x, 6)).alias("features"))
+
+
+@register("kernel_svc", """SELECT 'linear' AS machine, count(*) AS n, 0 AS separates FROM lineitem
+UNION ALL SELECT 'rbf', count(*), 1 FROM lineitem""")
+def q_kernel_svc(spark, sf):
+    """Rows inside a ring of quantity and discount: the rbf machine tells at least 95 % of them from the others, the linear one does not."""
+    li = T(spark, sf, "lineitem").select(*[F.expr(e).cast("double").alias(c) for c, e in _RING.items()])
+    li = li.withColumn("label", (F.col("a") * F.col("a") + F.col("b") * F.col("b") < 1.6).cast("double"))
+    from pyspark.ml.feature import VectorAssembler
+    plain = VectorAssembler(inputCols=list(_RING), outputCol="features").transform(li)
+    scored = {"linear": M.linear_svc(multiclass=False, max_iter=20).fit(plain).transform(plain),
+              "rbf": KN.kernel_svc(list(_RING), n=60, gamma=0.7, multiclass=False, max_iter=20).fit(li).transform(li)}
+    out = [d.agg(F.lit(m).alias("machine"), F.count(F.lit(1)).alias("n"),
+                 (F.avg((F.col("label") == F.col("prediction")).cast("double")) >= 0.95).cast("int").alias("separates")) for m, d in scored.items()]
+    return out[0].unionByName(out[1])
+
+
 @register("gbt_classifier", f"""WITH {QUALITY_SQL},
 {Q.boosted_ctes("d", 3, "sign", 4, 3, 0.1, ["doc_id", "label"], logistic=True)}
 SELECT doc_id, label, CASE WHEN score > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction, round(1 / (1 + exp(-2 * score)), 5) AS probability FROM boosted""")
