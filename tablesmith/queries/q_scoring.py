@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -172,25 +174,47 @@ WITH f AS (SELECT ts, CASE WHEN {sql_hash_bucket(['user_id'], 100, 'checkout:')}
 SELECT CAST(date_trunc('day', ts) AS VARCHAR)[:10] AS day, variant, count(*) AS n, round(avg(correct), 6) AS accuracy
 FROM f GROUP BY 1, 2""")
 def q_ab_metrics_stream(spark, sf):
-    """Daily windows per variant over the whole replay, the last ones included."""
+    """Daily windows per variant over the whole replay; an end mark closes the last ones."""
     path, schema = _event_files(spark, sf)
-    sink = scratch_path(spark, "ab-stream")
-    SC.ab_metrics_stream(spark, path, schema, sink, scratch_path(spark, "ckpt"), "ts", "user_id",
-                         (F.col("value") > 10).cast("int"), (F.col("event_type") == "purchase").cast("int"),
-                         SHARES_70_30, "checkout", window="1 day", close_windows=True)
+    sink, checkpoint = scratch_path(spark, "ab-stream"), scratch_path(spark, "ckpt")
+    last = T(spark, sf, "events").agg(F.max("ts")).first()[0]
+    for end in (False, True):
+        if end:
+            SC.end_stream(spark, path, schema, "ts", last + dt.timedelta(days=3), f"day={last:%Y-%m-%d}")
+        SC.ab_metrics_stream(spark, path, schema, sink, checkpoint, "ts", "user_id",
+                             (F.col("value") > 10).cast("int"), (F.col("event_type") == "purchase").cast("int"),
+                             SHARES_70_30, "checkout", window="1 day", request_id="event_id")
     day = F.date_format("window_start", "yyyy-MM-dd")
     return spark.read.parquet(sink).select(day.alias("day"), "variant", "n", round_half_away("accuracy", 6).alias("accuracy"))
 
 
-@register("ab_metrics_stream_open")
+@register("ab_metrics_stream_open", f"""
+WITH f AS (SELECT ts, CASE WHEN {sql_hash_bucket(['user_id'], 100, 'checkout:')} < 70 THEN 'control' ELSE 'treatment' END AS variant,
+  CAST(CAST(value > 10 AS INTEGER) = CAST(event_type = 'purchase' AS INTEGER) AS DOUBLE) AS correct FROM events)
+SELECT CAST(date_trunc('day', ts) AS VARCHAR)[:10] AS day, variant, count(*) AS n, round(avg(correct), 6) AS accuracy
+FROM f GROUP BY 1, 2 HAVING date_trunc('day', any_value(ts)) + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events)""")
 def q_ab_metrics_stream_open(spark, sf):
-    """The same as an endless stream: a window appears once the watermark has passed it."""
+    """The same as an endless stream: a window appears once the watermark (a day behind the latest event) has passed it."""
     path, schema = _event_files(spark, sf)
     sink = scratch_path(spark, "ab-stream")
     SC.ab_metrics_stream(spark, path, schema, sink, scratch_path(spark, "ckpt"), "ts", "user_id",
                          (F.col("value") > 10).cast("int"), (F.col("event_type") == "purchase").cast("int"),
                          SHARES_70_30, "checkout", window="1 day", watermark="1 day")
-    return spark.read.parquet(sink)
+    day = F.date_format("window_start", "yyyy-MM-dd")
+    return spark.read.parquet(sink).select(day.alias("day"), "variant", "n", round_half_away("accuracy", 6).alias("accuracy"))
+
+
+@register("inference_log_once", _SCORED_SQL + " SELECT event_id, user_id, '7' AS model_version, prediction FROM scored")
+def q_inference_log_once(spark, sf):
+    """Every request is sent twice, the second time an hour later in event time; the log has it once."""
+    e = T(spark, sf, "events")
+    path = scratch_path(spark, "events-twice")
+    for later in (0, 1):
+        e.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {later} HOUR")).write.mode("append").parquet(path)
+    log = scratch_path(spark, "inference-log")
+    SC.inference_log(spark, _value_model(e), path, e.schema, log, scratch_path(spark, "ckpt"), keep=["event_id", "user_id"],
+                     model_version="7", request_id="event_id", ts="ts")
+    return _scored(spark.read.parquet(log), "event_id", "user_id", "model_version")
 
 
 @register("force_variant", f"""

@@ -80,10 +80,41 @@ def stream_score(spark: SparkSession, model, source_path: str, schema: StructTyp
     return q
 
 
+def once(stream: DataFrame, request_id: str | Sequence[str], ts: str, watermark: str) -> DataFrame:
+    """Each request once: a repeat within the watermark of its first arrival is dropped (state goes with the watermark)."""
+    ids = [request_id] if isinstance(request_id, str) else list(request_id)
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(ids)
+
+
+def late_rows(query) -> int:
+    """Rows that the query's stateful operators have dropped as later than the watermark (of the progress it remembers)."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def state_rows(query) -> int:
+    """Rows in the state of the query's operators after its last batch."""
+    last = query.lastProgress
+    return sum(op["numRowsTotal"] for op in last["stateOperators"]) if last else 0
+
+
+def end_stream(spark: SparkSession, source_path: str, schema: StructType, ts: str, at, folder: str = "") -> None:
+    """Put an end mark into a stream's folder (its partition ``folder``, if it has such): a row with the time ``at``
+    and nothing else.
+
+    Time that has passed ``at`` less the watermark closes every window before it; the mark itself counts nowhere,
+    as operators leave rows without a key out.  For replays that end; a live stream moves on by itself.
+    """
+    row = spark.range(1).select(*[F.lit(at if f.name == ts else None).cast(f.dataType).alias(f.name) for f in schema.fields])
+    row.coalesce(1).write.mode("append").parquet(f"{source_path.rstrip('/')}/{folder}")
+
+
 def inference_log(spark: SparkSession, model, source_path: str, schema: StructType, log_path: str,
-                  checkpoint: str, keep: Sequence[str], model_version: str = "1", available_now: bool = True):
+                  checkpoint: str, keep: Sequence[str], model_version: str = "1", available_now: bool = True,
+                  request_id: str | Sequence[str] | None = None, ts: str | None = None, watermark: str = "1 day"):
     """Keep every request with its prediction, model version, stream and batch id.
 
+    With ``request_id`` (and event time ``ts``) a request that arrives again within the watermark is logged once.
+
     A micro-batch is known by (stream id, batch id).  The stream id is a digest of the stream's checkpoint folder
     and model version, so it is the same after a restart and differs between streams that share a log.
     Each batch goes to its own ``stream_id=.../batch_id=N`` folder with overwrite: a replayed batch (after a
@@ -98,6 +129,8 @@ def inference_log(spark: SparkSession, model, source_path: str, schema: StructTy
         out.write.mode("overwrite").parquet(f"{log_path}/stream_id=s{stream_id}/batch_id={batch_id}")
 
     src = stream_files(spark, source_path, schema)
+    if request_id is not None:
+        src = once(src, request_id, ts, watermark)
     w = src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     q = w.trigger(availableNow=True).start() if available_now else w.start()
     if available_now:
@@ -108,32 +141,27 @@ def inference_log(spark: SparkSession, model, source_path: str, schema: StructTy
 def ab_metrics_stream(spark: SparkSession, source_path: str, schema: StructType, sink_path: str,
                       checkpoint: str, ts: str, user_id: str, prediction: Column, truth: Column,
                       shares: dict, experiment: str, window: str = "1 day", watermark: str = "1 day",
-                      available_now: bool = True, close_windows: bool = False):
+                      available_now: bool = True, request_id: str | Sequence[str] | None = None):
     """Per variant and event-time window: n and accuracy.
 
     Event time is cast to ``timestamp`` before the watermark (a watermark on
     timestamp_ntz is refused).  Append mode emits a window once the watermark
-    passes its end; rows later than the watermark are dropped (Spark's rule), and the last windows of
-    a stream that ends stay open.  ``close_windows`` is for a bounded replay (with ``available_now``): complete mode
-    writes all windows at the end, the last ones included, keeping the state of every window until then.
+    passes its end and forgets it, so the state holds the windows of the watermark's span alone; rows later than
+    the watermark are dropped and counted (``late_rows``).  The last windows of a replay that ends are closed by
+    ``end_stream``.  With ``request_id`` repeats count once.  Rows without a user count nowhere.
     """
     src = stream_files(spark, source_path, schema).withColumn(ts, F.col(ts).cast("timestamp"))
-    assigned = ab_assign_sticky(src, user_id, shares, experiment)
+    late = once(src, request_id, ts, watermark) if request_id is not None else src.withWatermark(ts, watermark)
+    # the condition names the event time, so that it stays above the watermark and end marks still move it
+    late = late.where(F.col(user_id).isNotNull() | F.col(ts).isNull())
+    assigned = ab_assign_sticky(late, user_id, shares, experiment)
     correct = (prediction == truth).cast("double")
-    late = assigned if close_windows else assigned.withWatermark(ts, watermark)
-    agg = (late.groupBy(F.window(ts, window).alias("w"), "variant")
+    agg = (assigned.groupBy(F.window(ts, window).alias("w"), "variant")
            .agg(F.count(F.lit(1)).alias("n"), F.sum(correct).alias("n_correct"))
            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "variant", "n",
                    (F.col("n_correct") / F.col("n")).alias("accuracy")))
-    if close_windows:
-        assert available_now, "only a bounded replay can close its last windows"
-
-        def write_all(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(sink_path)
-        w = agg.writeStream.foreachBatch(write_all).option("checkpointLocation", checkpoint).outputMode("complete")
-    else:
-        w = agg.writeStream.format("parquet").option("path", sink_path).option("checkpointLocation", checkpoint) \
-            .outputMode("append")
+    w = agg.writeStream.format("parquet").option("path", sink_path).option("checkpointLocation", checkpoint) \
+        .outputMode("append")
     q = w.trigger(availableNow=True).start() if available_now else w.start()
     if available_now:
         q.awaitTermination()

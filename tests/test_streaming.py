@@ -49,3 +49,47 @@ def test_feedback_join_keeps_every_request(spark):
     got = {r["variant"]: (r["n"], r["accuracy"]) for r in q_feedback_join_stream(spark, SMALL).collect()}
     want = {r["variant"]: (r["n"], r["accuracy"]) for r in q_ab_metrics(spark, SMALL).collect()}
     assert got == want
+
+
+def _events(spark, path, rows):
+    spark.createDataFrame(rows, "id int, user int, ts timestamp, value double").coalesce(1).write.mode("append").parquet(path)
+
+
+def test_windows_close_late_rows_count_and_state_stays_small(spark):
+    """Forty days in batches: repeats and late rows, then an end mark."""
+    import datetime as dt
+    path, sink, checkpoint = (scratch_path(spark, n) for n in ("src", "ab", "c"))
+    start = dt.datetime(2024, 1, 1, 12)
+    schema = spark.createDataFrame([], "id int, user int, ts timestamp, value double").schema
+    late, states = 0, []
+
+    def run():
+        nonlocal late
+        q = SC.ab_metrics_stream(spark, path, schema, sink, checkpoint, "ts", "user", (F.col("value") > 0.5).cast("int"), F.lit(1),
+                                 SHARES_70_30, "checkout", watermark="1 day", request_id="id")
+        late += SC.late_rows(q)
+        states.append(SC.state_rows(q))
+    for batch in range(4):
+        rows = [(100 * d + i, i, start + dt.timedelta(days=d), float(i % 2)) for d in range(10 * batch, 10 * batch + 10) for i in range(6)]
+        rows += rows[-6:]  # sent again
+        if batch == 2:
+            rows += [(9000 + i, i, start, 1.0) for i in range(5)]  # of a day long closed
+        _events(spark, path, rows)
+        run()
+    SC.end_stream(spark, path, schema, "ts", start + dt.timedelta(days=60))
+    run()
+    got = spark.read.parquet(sink).groupBy("window_start").agg(F.sum("n").alias("n")).collect()
+    assert len(got) == 40 and {r.n for r in got} == {6} and late == 5
+    assert max(states) <= 3 * 8 and states[-1] <= 2
+
+
+def test_a_request_that_comes_again_is_logged_once(spark):
+    path, schema = _event_files(spark, SMALL)
+    m = _value_model(T(spark, SMALL, "events"))
+    log, checkpoint = scratch_path(spark, "log"), scratch_path(spark, "c")
+    kw = {"keep": ["event_id"], "request_id": "event_id", "ts": "ts", "watermark": "400 days"}
+    SC.inference_log(spark, m, path, schema, log, checkpoint, **kw)
+    T(spark, SMALL, "events").withColumn("day", F.lit("2100-01-01")).write.mode("append").partitionBy("day").parquet(path)
+    SC.inference_log(spark, m, path, schema, log, checkpoint, **kw)  # a later batch brings all of them again
+    out = spark.read.parquet(log)
+    assert out.count() == out.select("event_id").distinct().count() == T(spark, SMALL, "events").count()
