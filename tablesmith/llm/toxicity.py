@@ -204,8 +204,11 @@ def train(docs: DataFrame, labels: DataFrame, train_fold: Column, column: str =
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     first = thinned(known, sizes, TRAIN_DOCS, "dictionary").withColumn("half", half)
-    rows = (texts.where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(first), "doc_id")
-            .select("doc_id", "text", "label", "half").collect())  # about 2 * TRAIN_DOCS rows
+    # of a longer text a window of TRAIN_CHARS, at a place that its id decides
+    over = F.greatest(F.lit(0), F.length("text") - TRAIN_CHARS)
+    window = F.substr("text", (F.pmod(F.xxhash64(F.lit("window"), "doc_id"), over + 1) + 1).cast("int"), F.lit(TRAIN_CHARS))
+    rows = (texts.join(F.broadcast(first), "doc_id")
+            .select("doc_id", window.alias("text"), "label", "half").collect())  # about 2 * TRAIN_DOCS rows
     rows = sorted((r["doc_id"], r["text"], r["label"], r["half"]) for r in rows)
 
     def fitted(halves: tuple[int, ...]) -> tuple[bytes, bytes]:
