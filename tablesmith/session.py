@@ -8,9 +8,16 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that ``cut_lineage`` has written for the innermost ``TemporaryTables``.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "tablesmith") -> SparkSession:
@@ -83,6 +90,41 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+class TemporaryTables:
+    """The tables that ``cut_lineage`` writes while ``temporary_tables`` is open."""
+
+    def __init__(self, spark: SparkSession, paths: list[str]):
+        self.spark, self.paths = spark, paths
+
+    def release(self, keep: DataFrame | None = None) -> int:
+        """Remove them, but for those that ``keep`` reads; how many were removed.
+
+        To be called when nothing else will read them: what depends on a removed table fails.
+        """
+        needed = [f.split(":", 1)[-1].lstrip("/") for f in keep.inputFiles()] if keep is not None else []
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        gone = []
+        for path in self.paths:
+            bare = path.split(":", 1)[-1].strip("/") if ":" in path.split("/")[0] else path.strip("/")
+            if not any(f.startswith(bare + "/") for f in needed):
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(conf).delete(where, True)
+                gone.append(path)
+        self.paths[:] = [p for p in self.paths if p not in gone]
+        return len(gone)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[TemporaryTables]:
+    """Collects the tables that ``cut_lineage`` writes inside; ``release`` removes them.  Scopes may nest."""
+    paths: list[str] = []
+    before = _WRITTEN.set(paths)
+    try:
+        yield TemporaryTables(spark, paths)
+    finally:
+        _WRITTEN.reset(before)
+
+
 def cut_lineage(df: DataFrame, eager: bool = True, how: str = "table") -> DataFrame:
     """Cut lineage into the shared checkpoint folder (survives executor loss).
 
@@ -93,7 +135,8 @@ def cut_lineage(df: DataFrame, eager: bool = True, how: str = "table") -> DataFr
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     if how == "checkpoint":
         return df.checkpoint(eager=eager)
-    import uuid
     path = f"{base}/tablesmith-tables/{uuid.uuid4().hex}"
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
