@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of documents.  ``run`` writes every stage's rows as Parquet into the shared checkpoint folder and
-reads them back, so a lost executor costs no more than a stage.
+reads them back, so a lost executor costs no more than a stage; what a stage leaves besides its rows is removed.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tablesmith.llm import bpe, mixing, quality_rules, secrets, simhash
 from tablesmith.llm.base import table
 from tablesmith.llm.registry import vocabulary
-from tablesmith.session import cut_lineage
+from tablesmith.session import cut_lineage, temporary_tables
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +54,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+    with temporary_tables(spark) as tables:
+        for _, stage in STAGES:
+            docs = cut_lineage(stage(spark, docs, sf_dir))
+            tables.release(keep=docs)  # a stage's own tables and its input have served
     return docs
