@@ -107,8 +107,8 @@ class Vocabulary:
     terms: list[str]
 
 
-def fit_vocabulary(tokens: DataFrame, col: str, vocab_size: int, min_df: int = 1) -> Vocabulary:
-    """Top terms by corpus count (ties: term ascending) among terms in >= min_df documents.
+def fit_vocabulary(tokens: DataFrame, col: str, vocab_size: int, min_df: int = 1, without: Sequence[str] = ()) -> Vocabulary:
+    """Top terms by corpus count (ties: term ascending) among terms in >= min_df documents, none of ``without``.
 
     One pass without a shuffle of documents: every token brings one to its term's count and every distinct
     token of a document one to its document frequency; both are summed with a map-side combine.  Only
@@ -123,14 +123,15 @@ def fit_vocabulary(tokens: DataFrame, col: str, vocab_size: int, min_df: int = 1
         g = g.where(F.col("df") >= min_df)
     else:
         g = tokens.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    if without:  # from the term table, not from every document
+        g = g.where(~F.col("term").isin(*without))
     top = g.orderBy(F.col("n").desc(), F.col("term").asc()).limit(vocab_size).collect()
     return Vocabulary([r["term"] for r in top])
 
 
 def _counted(tokens: DataFrame, id_col: str, col: str, vocab: Vocabulary) -> DataFrame:
     """(id, words): the document's tokens that are in the vocabulary (at most ``vocab_size`` literals)."""
-    held = F.array(*[F.lit(t) for t in vocab.terms]).cast("array<string>")
-    return tokens.select(quoted(id_col), F.filter(col, lambda w: F.array_contains(held, w)).alias("_held"))
+    return tokens.select(quoted(id_col), F.filter(col, lambda w: w.isin(*vocab.terms)).alias("_held"))
 
 
 def term_counts(tokens: DataFrame, id_col: str, col: str, vocab: Vocabulary) -> DataFrame:
@@ -156,9 +157,8 @@ def count_vectorize_wide(df: DataFrame, id_col: str, text_col: str, max_features
                          prefix: str = "cv_") -> DataFrame:
     """Word tokens (2+ word chars), English stop words removed, vocabulary of
     terms in >= min_df documents by corpus count, one count column per term, counted in the row."""
-    words = df.select(quoted(id_col), F.filter(TX.word_tokens(text_col),
-                                               lambda w: ~w.isin(*TX.ENGLISH_STOP_WORDS)).alias("words"))
-    vocab = fit_vocabulary(words, "words", max_features, min_df)
+    words = df.select(quoted(id_col), TX.word_tokens(text_col).alias("words"))
+    vocab = fit_vocabulary(words, "words", max_features, min_df, TX.ENGLISH_STOP_WORDS)
     held = _counted(words, id_col, "words", vocab)
 
     def times(term: str):
