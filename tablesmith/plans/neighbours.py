@@ -28,7 +28,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,7 @@ BOX = 512
 BOXES = 1 << 18
 SLICE = 20_000
 LOOKUPS = 100_000
+STEPS = 1 << 24      # of a scaled value
 MAX_CUTS = 4096      # cuts of one strip or one column
 
 
@@ -326,11 +327,17 @@ def _dealt(stock: DataFrame, asks: DataFrame):
     return copies.unionByName(dealt).groupBy("f", "axis", "slice", "deal")
 
 
+def _stepped(x: Column) -> Column:
+    """Rounded to steps of 2^-24; no negative zero."""
+    return F.floor(x * F.lit(float(STEPS)) + F.lit(0.5)) / F.lit(float(STEPS)) + F.lit(0.0)
+
+
 def nearest_mutual_information(df: DataFrame, features: Sequence[str], target: str, k: int = 3) -> DataFrame:
     """Mutual information (nats) between each feature and the target by k nearest neighbours: feature, mi.
 
     Both columns are divided by their (population) spread over the rows that have both; a column without spread
-    is left as it is.  Rows that miss either (null, NaN) are left out for that feature; with k or fewer rows mi is null.
+    is left as it is.  Scaled values are rounded to steps of 2^-24, so that the last bits of a spread do not decide
+    which of two equal distances is the smaller.  Rows that miss either (null, NaN) are left out for that feature; with k or fewer rows mi is null.
     Ties keep their distance of 0 (no noise is added), so the result is the same on every run.
     """
     spark = df.sparkSession
@@ -342,8 +349,8 @@ def nearest_mutual_information(df: DataFrame, features: Sequence[str], target: s
     use = [i for i in range(len(features)) if stats[f"n{i}"] > k]
     result = {i: None for i in range(len(features))}
     if use:
-        pairs = F.array(*[F.struct(F.lit(i).alias("f"), (both[i][0] / F.lit(stats[f"x{i}"] or 1.0) + F.lit(0.0)).alias("x"),
-                                   (both[i][1] / F.lit(stats[f"y{i}"] or 1.0) + F.lit(0.0)).alias("y")) for i in use])
+        pairs = F.array(*[F.struct(F.lit(i).alias("f"), _stepped(both[i][0] / F.lit(stats[f"x{i}"] or 1.0)).alias("x"),
+                                   _stepped(both[i][1] / F.lit(stats[f"y{i}"] or 1.0)).alias("y")) for i in use])
         long = df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
         points = cut_lineage(long.groupBy("f", "x", "y").agg(F.count(F.lit(1)).alias("w")))
         sizes = {r.f: r.n for r in points.groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()}

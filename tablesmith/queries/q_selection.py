@@ -87,8 +87,8 @@ NEAR_FEATS = ["p_size", "p_partkey"]
 
 def _nearest_sql(feats, target, k=3, src="part"):
     """The definition over all pairs of rows; harmonic sums stand for psi of whole numbers."""
-    one = " UNION ALL ".join(f"SELECT '{c}' AS feature, row_number() OVER () AS i, {c} / stddev_pop({c}) OVER () AS x, "
-                             f"{target} / stddev_pop({target}) OVER () AS y FROM {src}" for c in feats)
+    one = " UNION ALL ".join(f"SELECT '{c}' AS feature, row_number() OVER () AS i, floor({c} / stddev_pop({c}) OVER () * {N.STEPS} + 0.5) / {N.STEPS} AS x, "
+                             f"floor({target} / stddev_pop({target}) OVER () * {N.STEPS} + 0.5) / {N.STEPS} AS y FROM {src}" for c in feats)
     return f"""
 WITH p AS MATERIALIZED ({one}),
 psi AS MATERIALIZED (SELECT n, -0.5772156649015329 + coalesce(sum(1.0 / (n - 1)) FILTER (n > 1) OVER (ORDER BY n), 0) AS psi

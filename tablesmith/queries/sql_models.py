@@ -39,7 +39,7 @@ def ridge_ctes(data: str, features: Sequence[str], label: str, reg: float = 0.0,
     """
     k = len(features)
     means = ", ".join([f"avg({f}) AS mean_{j}" for j, f in enumerate(features)] + [f"avg({label}) AS mean_y"])
-    cov = [f"covar_pop({features[i]}, {features[j]}) + " + (f"{reg!r} / stddev_samp({label}) * var_samp({features[i]})" if i == j and reg else "0")
+    cov = [f"covar_pop({features[i]}, {features[j]}) + " + (f"{reg!r} / stddev_pop({label}) * var_pop({features[i]})" if i == j and reg else "0")
            + f" AS m_{i}_{j}" for i in range(k) for j in range(i, k)]
     cov += [f"covar_pop({features[i]}, {label}) AS b_{i}" for i in range(k)]
     return ",\n".join([

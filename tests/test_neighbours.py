@@ -16,7 +16,7 @@ def brute(x, y, k):
     n = len(x)
     if n <= k:
         return None
-    x, y = (v / (v.std() or 1.0) for v in (x, y))
+    x, y = (np.floor(v / (v.std() or 1.0) * N.STEPS + 0.5) / N.STEPS for v in (x, y))
     total = 0.0
     for i in range(n):
         dx, dy = np.abs(x - x[i]), np.abs(y - y[i])
