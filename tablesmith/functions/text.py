@@ -22,13 +22,13 @@ ENGLISH_STOP_WORDS = (
 ).split()
 
 # fixed values: tokenising patterns
-WHITESPACE = " \t\n\x0b\f\r"        # what \s is
+WHITESPACE = r"[ \t\n\x0b\f\r]"     # what \s is
 WORD_2PLUS = r"[\p{L}\p{N}_]{2,}"   # runs of two or more Unicode word characters
 
 
 def whitespace_tokens(text: str | Column) -> Column:
-    """Lower-case, split on whitespace runs, drop empty tokens.  (One kind of blank splits without a regular expression.)"""
-    return F.array_remove(F.split(F.translate(F.lower(col_of(text)), WHITESPACE, " " * len(WHITESPACE)), " "), "")
+    """Lower-case, split on whitespace runs, drop empty tokens."""
+    return F.array_remove(F.split(F.lower(col_of(text)), WHITESPACE), "")
 
 
 def word_tokens(text: str | Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (PCA, Bucketizer, Imputer, MinMaxScaler, OneHotEncoder, StandardScaler,
                                 StringIndexer, VectorAssembler, VectorIndexer)
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.functions import columns as C
@@ -129,17 +129,22 @@ def fit_vocabulary(tokens: DataFrame, col: str, vocab_size: int, min_df: int = 1
     return Vocabulary([r["term"] for r in top])
 
 
-def _counted(tokens: DataFrame, id_col: str, col: str, vocab: Vocabulary) -> DataFrame:
-    """(id, words): the document's tokens that are in the vocabulary (at most ``vocab_size`` literals)."""
-    return tokens.select(quoted(id_col), F.filter(col, lambda w: w.isin(*vocab.terms)).alias("_held"))
+def _counts(words: Column, vocab: Vocabulary) -> Column:
+    """How often each vocabulary term (at most ``vocab_size`` literals) is among the words, in the vocabulary's order.
+
+    The words that count are picked out once; a lambda's variable holds them while the terms are counted.
+    """
+    terms = F.array(*[F.lit(t) for t in vocab.terms]).cast("array<string>")
+    held = F.filter(words, lambda w: w.isin(*vocab.terms))
+    each = F.transform(F.array(held), lambda h: F.transform(terms, lambda t: F.size(F.filter(h, lambda w: w == t))))
+    return F.get(each, F.lit(0))
 
 
 def term_counts(tokens: DataFrame, id_col: str, col: str, vocab: Vocabulary) -> DataFrame:
     """Long counts (id, term_index, term, n) of vocabulary terms per document, counted inside the row."""
-    kept = _counted(tokens, id_col, col, vocab).select(quoted(id_col), "_held", F.explode(F.array_distinct("_held")).alias("term"))
-    position = F.array_position(F.array(*[F.lit(t) for t in vocab.terms]).cast("array<string>"), F.col("term"))
-    return kept.select(quoted(id_col), (position - 1).cast("int").alias("term_index"), "term",
-                       F.size(F.filter("_held", lambda w: w == F.col("term"))).cast("long").alias("n"))
+    terms = F.array(*[F.lit(t) for t in vocab.terms]).cast("array<string>")
+    found = tokens.select(quoted(id_col), F.posexplode(_counts(F.col(col), vocab)).alias("term_index", "n")).where(F.col("n") > 0)
+    return found.select(quoted(id_col), "term_index", F.get(terms, F.col("term_index")).alias("term"), F.col("n").cast("long").alias("n"))
 
 
 def count_vectorize(df: DataFrame, id_col: str, text_col: str, vocab_size: int = 30, min_df: int = 1):
@@ -159,11 +164,9 @@ def count_vectorize_wide(df: DataFrame, id_col: str, text_col: str, max_features
     terms in >= min_df documents by corpus count, one count column per term, counted in the row."""
     words = df.select(quoted(id_col), TX.word_tokens(text_col).alias("words"))
     vocab = fit_vocabulary(words, "words", max_features, min_df, TX.ENGLISH_STOP_WORDS)
-    held = _counted(words, id_col, "words", vocab)
-
-    def times(term: str):
-        return F.coalesce(F.size(F.filter("_held", lambda w: w == F.lit(term))), F.lit(0)).cast("long")
-    return held.select(quoted(id_col), *[times(t).alias(f"{prefix}{t}") for t in vocab.terms])
+    each = words.select(quoted(id_col), _counts(F.col("words"), vocab).alias("_counts"))
+    return each.select(quoted(id_col), *[F.coalesce(F.get("_counts", F.lit(i)), F.lit(0)).cast("long").alias(f"{prefix}{t}")
+                                         for i, t in enumerate(vocab.terms)])
 
 
 # ---------------------------------------------------------------- E9-E12
