@@ -21,6 +21,7 @@ from tablesmith.operators import split as SP
 from tablesmith.operators import tune as TU
 from tablesmith.operators.features import feature_pipeline
 from tablesmith.queries import register
+from tablesmith.plans.cells import CellFit
 from tablesmith.plans.trees import TreeModel, tree_score
 from tablesmith.queries import sql_models as Q
 from tablesmith.queries.common import T, scratch_path
@@ -230,7 +231,7 @@ SELECT l_orderkey, line, label, round(score, 3) AS prediction FROM boosted""")
 def q_gbtr(spark, sf):
     """Four boosted trees as a column expression; the oracle boosts in SQL."""
     d = price_frame(spark, sf)
-    return _expression(d, M.gbt_regressor(max_iter=4, max_depth=3).setMaxBins(64).fit(d), 4, "l_orderkey", "line", digits=3)
+    return _expression(d, CellFit(M.gbt_regressor(max_iter=4, max_depth=3).setMaxBins(64)).fit(d), 4, "l_orderkey", "line", digits=3)
 
 
 @register("linear_regression", f"""WITH {PRICE_SQL},
