@@ -24,13 +24,15 @@ from pyspark.ml.evaluation import (BinaryClassificationEvaluator, MulticlassClas
                                    RegressionEvaluator)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import hash_unit, quoted
 from tablesmith.operators import models as M
 from tablesmith.operators.fold_features import FoldFeatures
+from tablesmith.plans.cells import cells_of, fits_cells
+from tablesmith.session import cut_lineage
 
 
 def _param_text(pm) -> str:
@@ -76,15 +78,44 @@ def grid_cv(estimator, values: Mapping[str, Sequence], evaluator, df: DataFrame,
             fold_col: str | None = None, parallelism: int = 4, seed: int = 42):
     """V5: grid x k folds; returns (CrossValidatorModel, table of params and mean metric).
 
-    With ``fold_col`` the folds are a hash of a key (layout-free, L4).
+    With ``fold_col`` the folds are a hash of a key (layout-free, L4).  A tree regressor that fits cells is fitted to
+    the folds' cells, which one grouping of the rows gives for all settings; it is measured on the rows.
     """
     maps = grid(estimator, values)
+    if fold_col and fits_cells(estimator) and all(fits_cells(estimator.copy(m)) for m in maps):
+        return _grid_cv_cells(estimator, maps, evaluator, df, fold_col, parallelism)
     kw = dict(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator, parallelism=parallelism, seed=seed)
     cv = CrossValidator(foldCol=fold_col, **kw) if fold_col else CrossValidator(numFolds=folds, **kw)
     m = cv.fit(df)
     return m, _results(df.sparkSession, maps, m.avgMetrics, evaluator.isLargerBetter())
 
 
+def _grid_cv_cells(estimator, maps, evaluator, df: DataFrame, fold_col: str, parallelism: int):
+    needed = {estimator.getFeaturesCol(), estimator.getLabelCol(), fold_col}
+    needed |= {evaluator.getOrDefault(p) for p in evaluator.params if p.name in ("labelCol", "weightCol") and evaluator.isDefined(p)}
+    needed |= {estimator.getWeightCol()} if estimator.isDefined("weightCol") else set()
+    data = cut_lineage(df.select(*[quoted(c) for c in df.columns if c in needed]))  # every measurement reads it
+    cells = cells_of(data, estimator, [fold_col], max(estimator.copy(m).getMaxBins() for m in maps))
+    fold = F.col(quoted(fold_col))
+    folds = sorted(r[0] for r in cells.frame.select(fold).distinct().collect())  # a handful
+    if len(folds) < 2:
+        raise ValueError(f"{fold_col} names fewer than two folds")
+
+    def one(trial) -> float:
+        setting, f = trial
+        model = cells.fit(estimator, fold != F.lit(f), setting)
+        return evaluator.evaluate(model.transform(data.where(fold == F.lit(f))))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        trials = [(m, f) for m in maps for f in folds]
+        found = list(pool.map(inheritable_thread_target(df.sparkSession)(one), trials))
+    metrics = [sum(found[i:i + len(folds)]) / len(folds) for i in range(0, len(found), len(folds))]
+    larger = evaluator.isLargerBetter()
+    best = (max if larger else min)(range(len(maps)), key=metrics.__getitem__)
+    model = CrossValidatorModel(cells.fit(estimator, extra=maps[best]), metrics)
+    return model, _results(df.sparkSession, maps, metrics, larger)
+
+
 @dataclass
 class Space:
     """One search dimension: kind in uniform, quniform, loguniform, randint, choice."""

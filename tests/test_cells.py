@@ -57,3 +57,32 @@ def test_odd_input(spark):
     with pytest.raises(ValueError, match="draws rows"):
         CellFit(M.random_forest_regressor())
     assert CellFit(est).fit(df.where("id = 1")).transform(df).where("prediction IS NULL").count() == 0  # a single leaf
+
+
+def test_grid_search_measures_each_named_fold_on_its_rows(spark):
+    """Four folds, settings fitted to cells: the metrics are those of trees fitted to the rows."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+
+    from tablesmith.operators import tune
+    df, est, ev = rows_of(spark, 1200).withColumn("part", F.col("id") % 4), M.decision_tree_regressor(), RegressionEvaluator(metricName="rmse")
+    model, table = tune.grid_cv(est, {"maxDepth": [1, 3]}, ev, df, fold_col="part")
+    want = []
+    for depth in (1, 3):
+        found = [ev.evaluate(est.copy({est.maxDepth: depth}).fit(df.where(F.col("part") != f)).transform(df.where(F.col("part") == f)))
+                 for f in range(4)]
+        want.append(sum(found) / 4)
+    assert model.avgMetrics == pytest.approx(want, abs=1e-9)
+    assert [r.metric for r in table.collect()] == pytest.approx(sorted(want), abs=1e-9)
+    assert ev.evaluate(model.transform(df)) < want[0]
+
+
+@pytest.mark.parametrize("name", ["run_log", "grid_cv"])
+def test_searches_fit_cells(spark, monkeypatch, name):
+    from conftest import SMALL
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    from tablesmith import queries
+    seen, fit = [], DecisionTreeRegressor._fit
+    monkeypatch.setattr(DecisionTreeRegressor, "_fit", lambda self, df: (seen.append(df.columns), fit(self, df))[1])
+    assert queries.queries()[name](spark, SMALL).count() in (1, 4)
+    assert seen and all("_cell" in c for c in seen)
