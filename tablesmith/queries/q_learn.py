@@ -21,10 +21,11 @@ from tablesmith.operators import split as SP
 from tablesmith.operators import tune as TU
 from tablesmith.operators.features import feature_pipeline
 from tablesmith.queries import register
-from tablesmith.plans.cells import CellFit
+from tablesmith.plans.cells import CellFit, cells_of
 from tablesmith.plans.trees import TreeModel, tree_score
 from tablesmith.queries import sql_models as Q
 from tablesmith.queries.common import T, scratch_path
+from tablesmith.session import cut_lineage
 
 
 def binary_frame(spark, sf):
@@ -394,12 +395,14 @@ def q_auto_regress(spark, sf):
 WHERE (SELECT count(*) FROM lineitem) > 0""")
 def q_run_log(spark, sf):
     """Log one run per tree depth (RMSE on a hash split), then look the best run up."""
-    d = SP.split_random(regression_frame(spark, sf), ["l_orderkey", "l_linenumber"], 0.8, salt="runs")
+    split = SP.split_random(regression_frame(spark, sf), ["l_orderkey", "l_linenumber"], 0.8, salt="runs")
+    d = cut_lineage(split.select("split", "label", "features"))  # every fit and measurement reads it
     train, test = d.where("split = 'train'"), d.where("split = 'test'")
+    cells = cells_of(train, M.decision_tree_regressor())
     log = TU.RunLog(spark, scratch_path(spark, "runs"))
     ev = RegressionEvaluator(metricName="rmse")
     for depth in (2, 4):
-        m = M.decision_tree_regressor(max_depth=depth).fit(train)
+        m = cells.fit(M.decision_tree_regressor(max_depth=depth))
         log.log("lineitem_price", f"tree_d{depth}", {"maxDepth": depth}, {"rmse": ev.evaluate(m.transform(test))},
                 {"family": "decision_tree"})
     best = log.best("lineitem_price", "rmse", larger_is_better=False)
