@@ -86,3 +86,12 @@ def test_searches_fit_cells(spark, monkeypatch, name):
     monkeypatch.setattr(DecisionTreeRegressor, "_fit", lambda self, df: (seen.append(df.columns), fit(self, df))[1])
     assert queries.queries()[name](spark, SMALL).count() in (1, 4)
     assert seen and all("_cell" in c for c in seen)
+
+
+def test_a_forest_gets_partitions_of_bounded_rows(spark):
+    from tablesmith.operators import select
+    df = spark.range(1000).coalesce(1)
+    parts = select.bounded_partitions(df, 300)
+    assert parts.rdd.getNumPartitions() == 4 and parts.count() == 1000
+    assert select.bounded_partitions(spark.range(0, 1000, 1, 8), 300).rdd.getNumPartitions() == 8
+    assert select.bounded_partitions(df.limit(0)).count() == 0
