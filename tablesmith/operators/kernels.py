@@ -9,6 +9,9 @@ approximate (or are) the kernel turn one into the other:
   is exact; with ``buckets`` the monomials are hashed with random signs into that many features (unbiased).
 
 The maps are column expressions (no Python worker); random numbers come from the seed alone.
+
+A machine's loss is a sum over rows, so equal rows count as one with their number as weight: ``CountedFit`` groups the
+rows by their raw columns and label before anything is mapped, and the solver's passes read distinct rows only.
 """
 
 from __future__ import annotations
@@ -19,13 +22,14 @@ import math
 import random
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, Transformer
+from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import quoted
 from tablesmith.operators.models import linear_svc
+from tablesmith.session import cut_lineage
 
 
 def _number(x: float) -> str:
@@ -38,11 +42,10 @@ def fourier_weights(d: int, n: int, gamma: float, seed: int) -> list[tuple[list[
     return [([rng.gauss(0, math.sqrt(2 * gamma)) for _ in range(d)], rng.uniform(0, 2 * math.pi)) for _ in range(n)]
 
 
-def rbf_array(cols: Sequence[str], n: int, gamma: float, seed: int) -> str:
-    """SQL text of all random Fourier features as one array: a lambda over a literal array of their weights."""
-    rows = ", ".join(f"array({', '.join(map(_number, [*ws, b]))})" for ws, b in fourier_weights(len(cols), n, gamma, seed))
-    inner = " + ".join(f"w[{i}] * {c}" for i, c in enumerate(cols))
-    return f"transform(array({rows}), w -> {_number(math.sqrt(2 / n))} * cos({inner} + w[{len(cols)}]))"
+def rbf_expressions(cols: Sequence[str], n: int, gamma: float, seed: int) -> list[str]:
+    """SQL text of the random Fourier features."""
+    return [f"{_number(math.sqrt(2 / n))} * cos({' + '.join(f'{_number(w)} * {c}' for w, c in zip(ws, cols))} + {_number(b)})"
+            for ws, b in fourier_weights(len(cols), n, gamma, seed)]
 
 
 def poly_expressions(cols: Sequence[str], degree: int, gamma: float, coef0: float, buckets: int | None, seed: int) -> list[str]:
@@ -76,14 +79,36 @@ class KernelMap(Transformer):
             raise ValueError("polynomial kernels of degree 2 or 3")
         names = [quoted(c) for c in cols]
         self.out = out
-        self.features = (rbf_array(names, n, gamma, seed) if kind == "rbf"
-                         else f"array({', '.join(poly_expressions(names, degree, gamma, coef0, buckets, seed))})")
+        each = rbf_expressions(names, n, gamma, seed) if kind == "rbf" else poly_expressions(names, degree, gamma, coef0, buckets, seed)
+        # the lambda also keeps many features from becoming one method too large to be compiled to machine code
+        self.features = (f"CASE WHEN exists(array({', '.join(names)}), x -> x IS NULL) THEN raise_error('a kernel column holds null') "
+                         f"ELSE array({', '.join(each)}) END")
 
     def _transform(self, df: DataFrame) -> DataFrame:
         return df.withColumn(self.out, array_to_vector(F.expr(self.features)))
 
 
+class CountedFit(Estimator):
+    """Fits a learner with weights to the distinct rows of the named columns and the label, weighted by their number.
+
+    ``maps`` give the learner's features from the columns; the model scores raw rows by them.
+    """
+
+    def __init__(self, cols: Sequence[str], maps: Sequence[Transformer], inner, label: str = "label"):
+        super().__init__()
+        self.cols, self.maps, self.inner, self.label = list(cols), list(maps), inner, label
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        from tablesmith.operators.select import bounded_partitions
+        counted = dataset.groupBy(*[F.col(quoted(c)) for c in dict.fromkeys([*self.cols, self.label])]).agg(
+            F.count(F.lit(1)).cast("double").alias("_weight"))
+        rows = bounded_partitions(cut_lineage(counted))
+        for m in self.maps:
+            rows = m.transform(rows)
+        return PipelineModel(stages=[*self.maps, self.inner.copy().setWeightCol("_weight").fit(rows)])
+
+
 def kernel_svc(cols: Sequence[str], kind: str = "rbf", reg: float = 0.0, max_iter: int = 100, multiclass: bool = True, label: str = "label",
-               **kernel) -> Pipeline:
-    """M4 with a kernel: the map, then the linear SVM (one-vs-rest for more than two classes)."""
-    return Pipeline(stages=[KernelMap(cols, kind, out="_kernel", **kernel), linear_svc(reg, max_iter, multiclass, "_kernel", label)])
+               **kernel) -> CountedFit:
+    """M4 with a kernel: the map, then the linear SVM (one-vs-rest for more than two classes), fitted to distinct rows."""
+    return CountedFit(cols, [KernelMap(cols, kind, out="_kernel", **kernel)], linear_svc(reg, max_iter, multiclass, "_kernel", label), label)

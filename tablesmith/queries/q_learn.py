@@ -178,8 +178,8 @@ def q_kernel_svc(spark, sf):
     li = T(spark, sf, "lineitem").select(*[F.expr(e).cast("double").alias(c) for c, e in _RING.items()])
     li = li.withColumn("label", (F.col("a") * F.col("a") + F.col("b") * F.col("b") < 1.6).cast("double"))
     from pyspark.ml.feature import VectorAssembler
-    plain = VectorAssembler(inputCols=list(_RING), outputCol="features").transform(li)
-    scored = {"linear": M.linear_svc(multiclass=False, max_iter=20).fit(plain).transform(plain),
+    plain = VectorAssembler(inputCols=list(_RING), outputCol="features")
+    scored = {"linear": KN.CountedFit(list(_RING), [plain], M.linear_svc(multiclass=False, max_iter=20)).fit(li).transform(li),
               "rbf": KN.kernel_svc(list(_RING), n=60, gamma=0.7, multiclass=False, max_iter=20).fit(li).transform(li)}
     out = [d.agg(F.lit(m).alias("machine"), F.count(F.lit(1)).alias("n"),
                  (F.avg((F.col("label") == F.col("prediction")).cast("double")) >= 0.95).cast("int").alias("separates")) for m, d in scored.items()]

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablesmith.operators import kernels as K
 from tablesmith.operators import models as M
@@ -67,3 +68,33 @@ def test_unknown_kernels_are_refused(spark):
     for kw in ({"kind": "sigmoid"}, {"kind": "poly", "degree": 4}):
         with pytest.raises(ValueError):
             K.KernelMap(["x"], **kw)
+
+
+def test_equal_rows_are_fitted_as_one(spark, monkeypatch):
+    """The solver reads distinct rows with their numbers as weights and finds the machine of all rows."""
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.feature import VectorAssembler
+    rng = random.Random(6)
+    points = [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(60)]
+    x = [points[int(60 * rng.random() ** 2)] for _ in range(1500)]
+    df = frame(spark, x, [a + 0.5 * b + rng.gauss(0, 0.3) > 0 for a, b in x])
+    seen, fit = [], LinearSVC._fit
+    monkeypatch.setattr(LinearSVC, "_fit", lambda self, d: (seen.append(d.count()), fit(self, d))[1])
+    plain = VectorAssembler(inputCols=["x 0", "x 1"], outputCol="features")
+    machine = M.linear_svc(max_iter=10, multiclass=False)
+    want = machine.fit(plain.transform(df))
+    got = K.CountedFit(["x 0", "x 1"], [plain], machine).fit(df).stages[-1]
+    rows = np.array(df.collect())
+
+    def loss(m):
+        return np.maximum(0, 1 - (2 * rows[:, 2] - 1) * (rows[:, :2] @ m.coefficients.toArray() + m.intercept)).mean()
+    assert loss(got) == pytest.approx(loss(want), rel=0.03)
+    K.kernel_svc(["x 0", "x 1"], n=10, max_iter=2).fit(df)
+    distinct = df.distinct().count()
+    assert seen[:2] == [1500, distinct] and set(seen[2:]) == {distinct} and distinct <= 120
+
+
+def test_a_null_is_refused(spark):
+    df = frame(spark, [(1.0, 2.0)]).withColumn("x 1", F.lit(None).cast("double"))
+    with pytest.raises(Exception, match="holds null"):
+        K.KernelMap(["x 0", "x 1"], n=5).transform(df).collect()
