@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 
 # fixed values: Spark refuses deeper trees
 MAX_TREE_DEPTH = 30
+# machines of a one-vs-rest model that are fitted at a time
+CLASSES_AT_A_TIME = 8
 
 
 def _depth(d: int) -> int:
@@ -47,9 +49,12 @@ def random_forest_classifier(num_trees: int = 20, max_depth: int = 5, features:
 
 def linear_svc(reg: float = 0.0, max_iter: int = 100, multiclass: bool = True, features: str = "features",
                label: str = "label"):
-    """M4: linear SVM (kernel SVMs have no distributed form); one-vs-rest for >2 classes."""
+    """M4: linear SVM (kernel SVMs have no distributed form); one-vs-rest for >2 classes.
+
+    A solver runs hundreds of short jobs one after the other; several classes' machines share the cluster meanwhile.
+    """
     svc = LinearSVC(featuresCol=features, labelCol=label, regParam=reg, maxIter=max_iter)
-    return OneVsRest(classifier=svc, featuresCol=features, labelCol=label) if multiclass else svc
+    return OneVsRest(classifier=svc, featuresCol=features, labelCol=label, parallelism=CLASSES_AT_A_TIME) if multiclass else svc
 
 
 def gbt_classifier(max_iter: int = 20, step_size: float = 0.1, max_depth: int = 5, min_instances: int = 1,

@@ -98,3 +98,7 @@ def test_a_null_is_refused(spark):
     df = frame(spark, [(1.0, 2.0)]).withColumn("x 1", F.lit(None).cast("double"))
     with pytest.raises(Exception, match="holds null"):
         K.KernelMap(["x 0", "x 1"], n=5).transform(df).collect()
+
+
+def test_classes_share_the_cluster(spark):
+    assert M.linear_svc().getParallelism() == M.CLASSES_AT_A_TIME > 1
