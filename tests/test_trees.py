@@ -96,3 +96,15 @@ def test_a_single_leaf(spark):
     model = M.decision_tree_regressor().fit(df)
     for form in ("case", "walk"):
         assert [r.prediction for r in trees.tree_score(df, model, ["x"], form=form).collect()] == [5.0, 5.0]
+
+
+@pytest.mark.parametrize("name", ["forest", "forest classes", "boosted"])
+def test_many_nodes_are_added_up_not_walked(rows, name, monkeypatch):
+    """A model of more nodes than one compiled CASE may hold adds its trees' CASE expressions; the values stay."""
+    model = MODELS[name][0]().fit(rows)
+    tree = trees.TreeModel(model, FEATURES)
+    monkeypatch.setattr(trees, "CASE_NODES", tree.size - 1)
+    out = model.transform(rows).withColumn("mine", tree.prediction())
+    text = out._jdf.queryExecution().analyzed().toString()
+    assert "aggregate(array(" in text and "sequence(" not in text
+    assert out.where("mine <> prediction").count() == 0
