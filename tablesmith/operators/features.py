@@ -116,10 +116,9 @@ def fit_vocabulary(tokens: DataFrame, col: str, vocab_size: int, min_df: int = 1
     """
     words = F.col(col)
     if min_df > 1:
-        seen = F.concat(F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("df"))),
-                        F.transform(F.array_distinct(words), lambda w: F.struct(
-                            w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("df"))))
-        g = tokens.select(F.explode(seen).alias("t")).groupBy("t.term").agg(F.sum("t.n").alias("n"), F.sum("t.df").alias("df"))
+        both = tokens.select(F.posexplode(F.array(words, F.array_distinct(words))).alias("part", "terms"))  # 0: all, 1: distinct
+        g = both.select("part", F.explode("terms").alias("term")).groupBy("term").agg(
+            F.count_if(F.col("part") == 0).alias("n"), F.count_if(F.col("part") == 1).alias("df"))
         g = g.where(F.col("df") >= min_df)
     else:
         g = tokens.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))

@@ -201,3 +201,13 @@ def test_mode_of_a_hot_value(spark):
     rows = [("hot",)] * 5000 + [(f"v{i}",) for i in range(3000)] + [(None,)] * 6000
     df = spark.createDataFrame(rows, "c string")
     assert impute.fit_mode(df, ["c"]).values == {"c": "hot"}
+
+
+def test_document_frequencies_need_no_lambda(spark, monkeypatch):
+    """Terms and document frequencies come from plain strings: no struct is built for a token."""
+    from tablesmith.operators import features
+    docs = spark.createDataFrame([(1, ["b", "a", "b", "b"]), (2, ["a", "c"]), (3, ["c", "c", "c", "c", "c"]), (4, []), (5, None)], "id int, words array<string>")
+    monkeypatch.setattr(F, "transform", lambda *a: pytest.fail("a lambda over the tokens"))
+    assert features.fit_vocabulary(docs, "words", 5, 2).terms == ["c", "a"]
+    assert features.fit_vocabulary(docs, "words", 5, 2, ["c"]).terms == ["a"]
+    assert features.fit_vocabulary(docs, "words", 5).terms == ["c", "b", "a"]
