@@ -7,6 +7,7 @@ column) and returned as long, typed DataFrames.  Only aggregate constants
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -239,13 +240,19 @@ def corr_matrix_pearson(df: DataFrame, cols: Sequence[str], digits: int | None =
     return one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
+#: Up to so many distinct values a column's ranks are broadcast.
+BROADCAST_VALUES = 100_000
+
+
 def corr_matrix_spearman(df: DataFrame, cols: Sequence[str], digits: int | None = None) -> DataFrame:
     """Spearman rank correlation (average ranks for ties) of every pair.
 
     Each pair uses the rows where both are present, like Pearson and Kendall, so a value has a rank per partner
     column.  One grouping counts every column's distinct values, once for each partner that is present with them;
     range-partitioned running counts (``plans.ranking``) give the ranks against all partners at once.  Each row then meets
-    the ranks of its columns (a join per column, not per pair), and one aggregate has the sums of all pairs.
+    the ranks of its columns (a join per column, not per pair; a column of few values is broadcast, so its hot values stay
+    spread).  The column with most values needs none: a value's rank is the same in all its rows, so they are summed by
+    it first, and the sums meet the ranks.  What the ranks spread comes from the distinct values.
     """
     from tablesmith.plans.ranking import cumulative_by_value
     from tablesmith.session import cut_lineage
@@ -262,19 +269,34 @@ def corr_matrix_spearman(df: DataFrame, cols: Sequence[str], digits: int | None
         weights = [f"n{i}" for i in range(k)]
         counted = cut_lineage(long.where(F.col("value").isNotNull()).groupBy("side", "value").agg(*[F.sum(w).alias(w) for w in weights]))
         ranks = cut_lineage(cumulative_by_value(counted, "value", weights, ["side"]).select(
-            "side", "value", F.array(*[F.col(f"below_{w}") + (F.col(w) + F.lit(1.0)) / F.lit(2.0) for w in weights]).alias("ranks")))
-        total = {(r.side, j): r[f"n{j}"] for r in counted.groupBy("side").agg(*[F.sum(w).alias(w) for w in weights]).collect() for j in range(k)}
+            "side", "value", *weights, F.array(*[F.col(f"below_{w}") + (F.col(w) + F.lit(1.0)) / F.lit(2.0) for w in weights]).alias("ranks")))
+        sides = counted.groupBy("side").agg(F.count(F.lit(1)).alias("held"), *[F.sum(w).alias(w) for w in weights]).collect()
+        held = {r.side: r.held for r in sides}
+        middle = {(r.side, j): (r[f"n{j}"] + 1) / 2 for r in sides for j in range(k)}  # centring first keeps the sums accurate
+        last = max(range(k), key=lambda i: held.get(i, 0))
+
+        def own(i):
+            return ranks.where(F.col("side") == i).select(F.col("value").alias(f"c{i}"), F.col("ranks").alias(f"r{i}"))
+
+        def centred(i, j):
+            both = F.col(f"c{i}").isNotNull() & F.col(f"c{j}").isNotNull()
+            return F.when(both, F.col(f"r{i}")[j] - middle.get((i, j), 0.5))
         ranked = base
-        for i in range(k):
-            own = ranks.where(F.col("side") == i).select(F.col("value").alias(f"c{i}"), F.col("ranks").alias(f"r{i}"))
-            ranked = ranked.join(own, f"c{i}", "left")
-        sums = []
+        for i in set(range(k)) - {last}:
+            few = held.get(i, 0) <= BROADCAST_VALUES
+            ranked = ranked.join(F.broadcast(own(i)) if few else own(i), f"c{i}", "left")
+        sums = [F.sum(centred(i, j) * centred(j, i) if last not in (i, j) else centred(j if i == last else i, last)).alias(f"s_{i}_{j}")
+                for i, j in pairs]
+        by_value = ranked.groupBy(f"c{last}").agg(*sums).join(own(last), f"c{last}", "left")
+        rank = {j: F.col(f"r{last}")[j] - middle.get((last, j), 0.5) for j in range(k)}
+        products = by_value.agg(*[F.sum(F.col(f"s_{i}_{j}") * rank[j if i == last else i] if last in (i, j) else F.col(f"s_{i}_{j}")).alias(f"s_{i}_{j}")
+                                  for i, j in pairs]).first()
+        spread = ranks.agg(*[F.sum(F.when(F.col("side") == i, F.col(f"n{j}") * F.pow(F.col("ranks")[j] - middle.get((i, j), 0.5), 2))).alias(f"v_{i}_{j}")
+                             for i in range(k) for j in range(k) if i != j]).first()
+        found = {}
         for i, j in pairs:
-            mid = ((total.get((i, j)) or 0.0) + 1) / 2  # centring first keeps the sums accurate
-            both = F.col(f"c{i}").isNotNull() & F.col(f"c{j}").isNotNull()
-            da, db = F.when(both, F.col(f"r{i}")[j] - mid), F.when(both, F.col(f"r{j}")[i] - mid)
-            sums.append(F.try_divide(F.sum(da * db), F.sqrt(F.sum(da * da)) * F.sqrt(F.sum(db * db))).alias(f"r_{i}_{j}"))
-        found = ranked.agg(*sums).first()
+            s, v = products[f"s_{i}_{j}"], math.sqrt(spread[f"v_{i}_{j}"] or 0.0) * math.sqrt(spread[f"v_{j}_{i}"] or 0.0)
+            found[f"r_{i}_{j}"] = s / v if s is not None and v else None
         for i, j in pairs:
             r = found[f"r_{i}_{j}"]
             r = round_half_away_value(r, digits) if (digits is not None and r is not None) else r

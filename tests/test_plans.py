@@ -211,3 +211,21 @@ def test_document_frequencies_need_no_lambda(spark, monkeypatch):
     assert features.fit_vocabulary(docs, "words", 5, 2).terms == ["c", "a"]
     assert features.fit_vocabulary(docs, "words", 5, 2, ["c"]).terms == ["a"]
     assert features.fit_vocabulary(docs, "words", 5).terms == ["c", "b", "a"]
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_spearman_joins_rows_with_all_columns_but_the_widest(spark, monkeypatch, few):
+    from tablesmith.operators import profile
+    rng = random.Random(5)
+    data = [(float(rng.randrange(4)) if rng.random() > 0.1 else None, rng.gauss(0, 1) if rng.random() > 0.2 else None, float(rng.randrange(9)), 1.0)
+            for _ in range(300)]
+    seen, hint = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda d: (seen.append(d), hint(d))[1])
+    monkeypatch.setattr(profile, "BROADCAST_VALUES", few)
+    got = {(r.x, r.y): r.r for r in profile.corr_matrix_spearman(spark.createDataFrame(data, "a double, b double, c double, d double"), list("abcd")).collect()}
+    p = pd.DataFrame(data, columns=list("abcd"))
+    for x, y in itertools.permutations("abc", 2):
+        both = p[[x, y]].dropna().rank()
+        assert got[x, y] == pytest.approx(both[x].corr(both[y]), abs=1e-9)
+    assert got["a", "d"] is None and got["d", "d"] == 1.0 and len(got) == 16
+    assert len(seen) == (3 if few else 0)
